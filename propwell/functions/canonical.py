@@ -114,9 +114,11 @@ def canonical_rename(payload: Column) -> Column:
 def canonical_columns(df: DataFrame) -> DataFrame:
     """Rename the columns of a typed scan by the same rule, without touching the rows."""
     last = {}
-    for name in df.columns:
-        last[FIELD_ALIASES.get(name, name)] = name
-    return df.select(*[F.col(f"`{source}`").alias(target) for target, source in last.items()])
+    for place, name in enumerate(df.columns):
+        last[FIELD_ALIASES.get(name, name)] = f"_{place}"
+    # by place: landed names may differ in case only
+    placed = df.toDF(*[f"_{place}" for place in range(len(df.columns))])
+    return placed.select(*[F.col(source).alias(target) for target, source in last.items()])
 
 
 def open_payload(json_text: Column) -> Column:

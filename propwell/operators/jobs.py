@@ -168,13 +168,9 @@ def run_status(runs: DataFrame, empty_ok: Sequence[str] = (fixed.LISTINGS_SOURCE
 
 def run_metrics(rows: DataFrame, by: Sequence[str], started: str, ended: str) -> DataFrame:
     """(records_count, duration_ms) per run; duration runs from first start to last end."""
-
-    def millis(column: str):
-        return F.unix_millis(F.col(column).cast("timestamp"))
-
+    duration = F.timestamp_diff("MILLISECOND", F.min(started), F.max(ended))
     return rows.groupBy(*by).agg(
-        F.count("*").alias("records_count"),
-        (F.max(millis(ended)) - F.min(millis(started))).alias("duration_ms"),
+        F.count("*").alias("records_count"), duration.alias("duration_ms")
     )
 
 

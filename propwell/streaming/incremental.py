@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -23,10 +24,12 @@ _OWNER = "ingest_run STRING, ingest_batch BIGINT"
 def read_store(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """The store with its owner columns; empty while nothing was written."""
     with_owner = f"{schema}, {_OWNER}"
-    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop_path):
+    try:
+        return spark.read.schema(with_owner).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], with_owner)
-    return spark.read.schema(with_owner).parquet(path)
 
 
 def store_batch(
@@ -69,10 +72,3 @@ def incremental_ingest(
         .trigger(availableNow=True)
         .start()
     )
-
-
-def running_counts(store: DataFrame, seen: DataFrame, by: Sequence[str]) -> DataFrame:
-    """(inserted, skipped) so far per key, from the stored and the landed rows."""
-    from propwell.operators.ingest import ingest_counts
-
-    return ingest_counts(seen, store, by)
