@@ -7,7 +7,7 @@ compactly, in Spark's own VARIANT form; numbers there are normalised (``1.0`` ->
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Callable, Iterable, Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,10 +19,15 @@ _TEXT_FORM = (T.DateType, T.TimestampType, T.TimestampNTZType)
 _BARE_FORM = (T.NumericType, T.BooleanType)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` with `value` computed once per row, also where `body` uses it in a lambda."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def json_string(value: Column) -> Column:
     """A string column as a JSON literal; NULL becomes ``null``."""
-    boxed = F.to_json(F.array(value))
-    return F.substr(boxed, F.lit(2), F.length(boxed) - 2)
+    # the literal ends in a quote, so only the brackets of the array around it are cut
+    return F.btrim(F.to_json(F.array(value)), F.lit("[]"))
 
 
 def _object(parts: Iterable[tuple[str, Column]]) -> Column:
@@ -57,13 +62,14 @@ def json_value(value: Column, dtype: T.DataType) -> Column:
 
 def json_map(value: Column, value_type: T.DataType) -> Column:
     """The canonical JSON text of an open payload held as a map."""
-    members = F.transform(
-        F.array_sort(F.map_keys(value)),
-        lambda key: F.concat(
-            json_string(key), F.lit(": "), json_value(F.try_element_at(value, key), value_type)
-        ),
-    )
-    return F.coalesce(F.concat(F.lit("{"), F.array_join(members, ", "), F.lit("}")), F.lit("null"))
+
+    def member(entry: Column) -> Column:
+        text = F.concat(json_string(entry.key), F.lit(": "), json_value(entry.value, value_type))
+        return F.struct(entry.key.alias("key"), text.alias("text"))
+
+    members = F.array_sort(F.transform(F.map_entries(value), member))
+    texts = F.transform(members, lambda one: one.text)
+    return F.coalesce(F.concat(F.lit("{"), F.array_join(texts, ", "), F.lit("}")), F.lit("null"))
 
 
 def canonical_json(df: DataFrame, fields: Iterable[str] | Mapping[str, str] | None = None) -> Column:
@@ -101,14 +107,23 @@ def canonical_rename(payload: Column) -> Column:
 
     When several keys get the same name the last one wins, also with a null value.
     """
-    names = F.transform(F.map_keys(payload), canonical_name)
-    latest_names = F.reverse(names)
-    latest_values = F.reverse(F.map_values(payload))
-    kept = F.array_distinct(names)
-    return F.map_from_arrays(
-        kept,
-        F.transform(kept, lambda name: F.get(latest_values, F.array_position(latest_names, name) - 1)),
-    )
+
+    def latest_first(members: Column) -> Column:
+        names = F.transform(F.map_keys(members), canonical_name)
+        return F.struct(
+            F.reverse(names).alias("names"), F.reverse(F.map_values(members)).alias("values")
+        )
+
+    def of(pairs: Column) -> Column:
+        def value(name: Column) -> Column:
+            return F.get(pairs.values, F.array_position(pairs.names, name) - 1)
+
+        return let(
+            F.array_distinct(pairs.names),
+            lambda kept: F.map_from_arrays(kept, F.transform(kept, value)),
+        )
+
+    return let(let(payload, latest_first), of)
 
 
 def canonical_columns(df: DataFrame) -> DataFrame:
@@ -126,7 +141,8 @@ def open_payload(json_text: Column) -> Column:
     return F.from_json(json_text, "map<string,variant>")
 
 
-def with_entry(payload: Column, key: str, value: Column) -> Column:
-    """`payload` with one entry set."""
-    others = F.map_filter(payload, lambda name, _: name != F.lit(key))
-    return F.map_concat(others, F.create_map(F.lit(key), value))
+def with_entries(payload: Column, entries: Mapping[str, Column]) -> Column:
+    """`payload` with entries set."""
+    others = F.map_filter(payload, lambda name, _: ~name.isin(*entries))
+    pairs = [part for name, value in entries.items() for part in (F.lit(name), value)]
+    return F.map_concat(others, F.create_map(*pairs))

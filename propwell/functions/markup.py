@@ -11,7 +11,7 @@ from collections.abc import Mapping
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from propwell.fixed import IMAGE_GALLERY, LISTING_HREF
@@ -106,55 +106,80 @@ def _parser_udf(keys: Mapping[str, str], by_tag: bool = False):
     return parse
 
 
-def _covers(html: Column, whole: Column, loose: str) -> Column:
-    """Does the native match span the first place a looser pattern finds?"""
-    start = F.position(whole, html)
-    first = F.regexp_instr(html, F.lit(loose))
-    return (whole != "") & (start <= first) & (first < start + F.length(whole))
-
-
 def _decoded(text: Column) -> Column:
     for entity, character in _ENTITIES:
         text = F.replace(text, F.lit(entity), F.lit(character))
     return text
 
 
-def elements(
-    html: Column, keys: Mapping[str, str], by_tag: bool = False, images: bool = False
-) -> Column:
-    """STRUCT of element texts ('' when absent), first listing `link`, gallery `images`.
-
-    `keys` maps result field -> data-testid, or -> tag name with `by_tag`.
+def with_elements(
+    df: DataFrame,
+    html: str,
+    keys: Mapping[str, str],
+    into: str = "elements",
+    by_tag: bool = False,
+    images: bool = False,
+) -> DataFrame:
+    """Adds a STRUCT of element texts ('' when absent), first listing `link`, gallery `images`.
+
+    `keys` maps result field -> data-testid, or -> tag name with `by_tag`. The native way
+    reads a fragment when the wanted elements a loose pattern finds are exactly those a
+    strict pattern reads whole. Works in steps, each a column of its own, so that every
+    pattern runs once per row.
     """
-    visible = F.regexp_replace(html, _INVISIBLE, "")
-    simple = ~visible.rlike(_NOT_PLAIN)
+    wanted = "|".join(keys.values())
+    if by_tag:
+        strict = rf"<({wanted})(?:\s[^<>]*)?>([^<>]*)</\1\s*>"
+        loose = rf"(?i)<({wanted})[\s>/]"
+        at_key, at_text = 1, 2
+    else:
+        strict = (
+            rf"<(\w+)\s(?:[^<>]*\s)?data-testid=([\"'])({wanted})\2[^<>]*>([^<>]*)</\1\s*>"
+        )
+        loose = rf"(?i)data-testid\s*=\s*[\"']?({wanted})[\"'\s>/]"
+        at_key, at_text = 3, 4
+    anchor = rf"<a\s(?:[^<>]*\s)?href=([\"'])([^\"'<>&]*{LISTING_HREF}[^\"'<>&]*)\1[^<>]*>"
+    visible = F.col("_visible")
+    found = df.withColumn("_visible", F.regexp_replace(html, _INVISIBLE, "")).withColumns(
+        {
+            "_seen": F.regexp_extract_all(visible, F.lit(loose), 1),
+            "_keys": F.regexp_extract_all(visible, F.lit(strict), at_key),
+            "_texts": F.regexp_extract_all(visible, F.lit(strict), at_text),
+            "_anchor": F.when(
+                visible.contains(LISTING_HREF), F.regexp_extract(visible, anchor, 0)
+            ).otherwise(""),
+        }
+    )
+    # the first link is the anchor read only if nothing before it mentions a listing
+    first_link = F.position(F.col("_anchor"), visible)
+    first_mention = F.position(F.lit(LISTING_HREF), visible)
+    simple = (
+        ~visible.rlike(_NOT_PLAIN)
+        & (F.col("_seen") == F.col("_keys"))
+        & ~F.array_join("_texts", " ").rlike(_OTHER_ENTITY)
+        & ((first_mention == 0) | ((F.col("_anchor") != "") & (first_link < first_mention)))
+    )
     if images:
         simple = simple & ~visible.contains(IMAGE_GALLERY)
-    native = []
-    for name, key in keys.items():
-        if by_tag:
-            strict, loose = rf"<({key})((?:\s[^<>]*)?)>([^<>]*)</\1\s*>", rf"(?i)<{key}[\s>/]"
-        else:
-            strict = rf"<(\w+)\s(?:[^<>]*\s)?data-testid=([\"']){key}\2[^<>]*>([^<>]*)</\1\s*>"
-            loose = rf"(?i)data-testid\s*=\s*[\"']?{key}[\"'\s>/]"
-        whole = F.regexp_extract(visible, strict, 0)
-        text = F.regexp_extract(visible, strict, 3)
-        simple = (
-            simple
-            & (~visible.rlike(loose) | _covers(visible, whole, loose))
-            & ~text.rlike(_OTHER_ENTITY)
-        )
-        native.append(_decoded(stripped(text)).alias(name))
-    strict = rf"<a\s(?:[^<>]*\s)?href=([\"'])([^\"'<>&]*{LISTING_HREF}[^\"'<>&]*)\1[^<>]*>"
-    whole = F.regexp_extract(visible, strict, 0)
-    simple = simple & (~visible.contains(LISTING_HREF) | _covers(visible, whole, LISTING_HREF))
-    native.append(F.nullif(F.regexp_extract(visible, strict, 2), F.lit("")).alias("link"))
-    native.append(F.array().cast("array<string>").alias("images"))
-    simple = F.coalesce(simple, F.lit(True))
-    parsed = _parser_udf(keys, by_tag)(F.when(~simple, html))
-    return F.when(simple, F.struct(*native)).otherwise(parsed)
-
-
-def element_text(html: Column, *tags: str) -> Column:
-    """STRUCT of the texts of the first element of each tag, '' when absent."""
-    return elements(html, {tag: tag for tag in tags}, by_tag=True)
+    judged = found.withColumn("_simple", F.coalesce(simple, F.lit(True)))
+    parsed = judged.withColumn(
+        "_parsed", _parser_udf(keys, by_tag)(F.when(~F.col("_simple"), F.col(html)))
+    )
+
+    def native(name: str, key: str) -> Column:
+        text = F.get("_texts", F.array_position("_keys", key) - 1)
+        return F.coalesce(_decoded(stripped(text)), F.lit("")).alias(name)
+
+    href = F.nullif(F.regexp_extract("_anchor", anchor, 2), F.lit(""))
+    read = F.struct(
+        *[native(name, key) for name, key in keys.items()],
+        href.alias("link"),
+        F.array().cast("array<string>").alias("images"),
+    )
+    chosen = F.when(F.col("_simple"), read).otherwise(F.col("_parsed"))
+    return parsed.select(*df.columns, chosen.alias(into))
+
+
+def element_text(df: DataFrame, html: str, *tags: str) -> DataFrame:
+    """Adds `elements`, the texts of the first element of each tag ('' when absent)."""
+    return with_elements(df, html, {tag: tag for tag in tags}, by_tag=True)

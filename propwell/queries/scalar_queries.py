@@ -112,10 +112,9 @@ def _element_sql(tag: str) -> str:
 
 @query(f"SELECT page_id, {_element_sql('title')} AS title, {_element_sql('h1')} AS h1 FROM pages")
 def element_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = table(spark, sf_dir, "pages").select(
-        "page_id", markup.element_text(F.col("html"), "title", "h1").alias("found")
-    )
-    return found.select("page_id", "found.title", "found.h1")
+    pages = table(spark, sf_dir, "pages").select("page_id", "html")
+    found = markup.element_text(pages, "html", "title", "h1")
+    return found.select("page_id", "elements.title", "elements.h1")
 
 
 @query(

@@ -9,6 +9,7 @@ from propwell.fixed import LISTINGS_PAGE_SIZE
 from propwell.functions.canonical import canonical_rename, open_payload
 from propwell.operators.paging import page_prefix_cut as cut_pages
 from propwell.operators.paging import union_batches as union_by_name
+from propwell.operators.sinks import materialize
 from propwell.queries.base import query, table
 from propwell.queries.views import text
 from propwell.queries.workbooks import ARCHIVE, customer_archives
@@ -148,7 +149,7 @@ _INDEX_HASH_SQL = """sha256(CASE period_type WHEN 'month' THEN
 )
 def collect_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Series cut at the first broken page or page without a successor, then hashed."""
-    rows = index_pages.scan_index_rows(_index_pages(spark, sf_dir))
+    rows = materialize(index_pages.scan_index_rows(_index_pages(spark, sf_dir)), "index")
     return index_pages.collect_index(rows).select("unit", "page", "content_hash")
 
 
@@ -331,7 +332,7 @@ def city_polygon_deals(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def collect_deals(spark: SparkSession, sf_dir: str) -> DataFrame:
     places, polygons, rows = _deal_rows(spark, sf_dir)
-    return deals.collect_deals(places, polygons, rows).select("unit", "content_hash")
+    return deals.collect_deals(places, polygons, materialize(rows, "deals")).select("unit", "content_hash")
 
 
 # listings
@@ -421,7 +422,7 @@ def flatten_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def collect_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Listings of the pages each city's sequence reaches, with the hash of their version."""
-    rows = listings.scan_listing_rows(_listing_pages(spark, sf_dir))
+    rows = materialize(listings.scan_listing_rows(_listing_pages(spark, sf_dir)), "listings")
     collected = listings.collect_listings(rows, _null("string"))
     return collected.select("unit", "page", "listing_id", "content_hash")
 

@@ -11,7 +11,8 @@ from propwell.functions.canonical import (
     canonical_rename,
     content_hash,
     json_map,
-    with_entry,
+    let,
+    with_entries,
 )
 from propwell.functions.scalars import parse_point
 from propwell.operators.dedup import cap_per_group, first_seen_hash
@@ -63,11 +64,15 @@ def scan_deal_pages(pages: DataFrame, body: str = "body") -> DataFrame:
 
 def add_provenance(payload: Column, requested_polygon: Column) -> Column:
     """Set `polygon_id` and `source`; both take part in the hash."""
-    given = F.try_element_at(payload, F.lit("polygon_id"))
-    own = F.nullif(F.try_variant_get(given, "$", "string"), F.lit(""))
-    chosen = F.when(own.isNotNull(), given).otherwise(requested_polygon.cast("variant"))
-    marked = with_entry(payload, "polygon_id", chosen)
-    return with_entry(marked, "source", F.lit(fixed.DEALS_PROVENANCE).cast("variant"))
+
+    def marked(deal: Column) -> Column:
+        given = F.try_element_at(deal, F.lit("polygon_id"))
+        own = F.coalesce(F.try_variant_get(given, "$", "string"), F.lit("")) != ""
+        polygon = F.when(own, given).otherwise(requested_polygon.cast("variant"))
+        source = F.lit(fixed.DEALS_PROVENANCE).cast("variant")
+        return with_entries(deal, {"polygon_id": polygon, "source": source})
+
+    return let(payload, marked)
 
 
 def deal_sequence_ends(rows: DataFrame, limit: int = fixed.DEALS_PAGE_LIMIT) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from propwell import fixed, schema
 from propwell.functions import scalars
 from propwell.functions.canonical import canonical_json, listing_key_hash
-from propwell.functions.markup import elements
+from propwell.functions.markup import with_elements
 from propwell.operators.dedup import first_seen_listing
 from propwell.operators.paging import listing_pages_cut
 from propwell.sources.items import items
@@ -134,7 +134,7 @@ def _text(name: str) -> Column:
 
 def scan_listing_cards(cards: DataFrame, html: str = "html") -> DataFrame:
     """Adds the nine typed fields of a listing card; missing ones are NULL."""
-    read = cards.withColumn("_elements", elements(F.col(html), fixed.CARD_ELEMENTS))
+    read = with_elements(cards, html, fixed.CARD_ELEMENTS, "_elements")
     return read.select(
         *[name for name in cards.columns if name != html],
         scalars.listing_id_from_url(F.col("_elements.link")).alias("listing_id"),
@@ -151,7 +151,7 @@ def scan_listing_cards(cards: DataFrame, html: str = "html") -> DataFrame:
 
 def scan_listing_details(pages: DataFrame, html: str = "html") -> DataFrame:
     """Adds the six fields only the detail page has."""
-    read = pages.withColumn("_elements", elements(F.col(html), fixed.DETAIL_ELEMENTS, images=True))
+    read = with_elements(pages, html, fixed.DETAIL_ELEMENTS, "_elements", images=True)
     return read.select(
         *[name for name in pages.columns if name != html],
         _text("description").alias("description"),
