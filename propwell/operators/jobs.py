@@ -109,7 +109,7 @@ def append_logs(logs: DataFrame, entries: DataFrame) -> DataFrame:
 
 def has_running_job(requests: DataFrame, jobs: DataFrame, key: str = "source_name") -> DataFrame:
     """Requests whose source has a running job; pending ones do not count."""
-    running = jobs.filter("status = 'running'").select(key)
+    running = jobs.filter("status = 'running'").select(key).distinct()
     return requests.join(running, key, "left_semi")
 
 

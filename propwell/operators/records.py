@@ -90,24 +90,32 @@ def listing_price_history(
     seen_at: str,
     tie: str,
     price: str,
-    chunk: str = "month",
+    hot_rows: int = 1_000_000,
+    chunk: str = "hour",
 ) -> DataFrame:
     """Each version with `previous_price`, its predecessor's price.
 
-    LAG over a key alone would put a listing with very many versions into one task. Here
-    a key is cut into time chunks: LAG runs within (key, chunk), and the last price of a
-    chunk, one row per chunk, is carried to the first version of the next.
+    LAG over a key alone would put a listing with very many versions into one task. Keys
+    above `hot_rows` versions are cut into time chunks: LAG runs within (key, chunk), and
+    the last price of each chunk, one row, is carried to the first version of the next.
+    All other keys are one chunk and cost one shuffle.
     """
-    cut = versions.withColumn("_chunk", F.date_trunc(chunk, seen_at))
+    counts = versions.groupBy(*keys).agg(F.count("*").alias("_n"))
+    hot = counts.filter(F.col("_n") > hot_rows).select(*keys, F.lit(True).alias("_hot"))
+    # the chunk of a cold key is a constant, not NULL, so that it can be joined
+    start = F.when(F.col("_hot"), F.date_trunc(chunk, seen_at).cast("string"))
+    cut = versions.join(hot, keys, "left").withColumn("_chunk", F.coalesce(start, F.lit("")))
     slot = [*keys, "_chunk"]
     within = Window.partitionBy(*slot).orderBy(seen_at, tie)
     local = cut.withColumn("_previous", F.lag(F.struct(price)).over(within))
-    tails = cut.groupBy(*slot).agg(
-        F.max_by(F.struct(price), F.struct(seen_at, tie)).alias("_tail")
+    tails = (
+        cut.filter("_hot")
+        .groupBy(*slot)
+        .agg(F.max_by(F.struct(price), F.struct(seen_at, tie)).alias("_tail"))
     )
     carried = tails.withColumn(
         "_carried", F.lag("_tail").over(Window.partitionBy(*keys).orderBy("_chunk"))
     ).drop("_tail")
     joined = local.join(carried, slot, "left")
     previous = F.coalesce("_previous", "_carried").getField(price)
-    return joined.withColumn("previous_price", previous).drop("_chunk", "_previous", "_carried")
+    return joined.select(*versions.columns, previous.alias("previous_price"))

@@ -14,12 +14,14 @@ def append_records(records: DataFrame, path: str) -> None:
     """Append raw records: one folder per source, rows in time order within files.
 
     REBALANCE lets AQE split a source that holds most rows over many files and merge
-    small ones.
+    small ones. Bloom filters let point lookups by record or listing skip row groups.
     """
     (
         records.hint("rebalance", "source_name")
         .sortWithinPartitions("source_name", F.col("ingested_at").desc())
         .write.partitionBy("source_name")
+        .option("parquet.bloom.filter.enabled#record_id", True)
+        .option("parquet.bloom.filter.enabled#listing_id", True)
         .mode("append")
         .parquet(path)
     )

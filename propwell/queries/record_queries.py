@@ -72,7 +72,7 @@ def listing_price_history(spark: SparkSession, sf_dir: str) -> DataFrame:
         "o_custkey", "o_orderkey", "o_orderdate", "o_totalprice"
     )
     history = records.listing_price_history(
-        versions, ["o_custkey"], "o_orderdate", "o_orderkey", "o_totalprice", chunk="year"
+        versions, ["o_custkey"], "o_orderdate", "o_orderkey", "o_totalprice", hot_rows=12, chunk="year"
     )
     return history.drop("o_orderdate")
 
