@@ -17,7 +17,7 @@ _SURFACES = "array<array<array<array<double>>>>"
 
 
 def _is_position(position: Column) -> Column:
-    return (F.size(position) == 2) & F.forall(position, lambda axis: axis.isNotNull())
+    return (F.array_size(position) == 2) & F.forall(position, lambda axis: axis.isNotNull())
 
 
 def _positions_ok(line: Column) -> Column:
@@ -42,12 +42,12 @@ def geometry_validity(geometry: Column) -> Column:
     line, rings, surfaces = read(_LINE), read(_RINGS), read(_SURFACES)
     verdict = (
         F.when(kind == "Point", _is_position(read(_POSITION)))
-        .when(kind == "LineString", (F.size(line) >= 2) & _positions_ok(line))
-        .when(kind == "MultiPoint", (F.size(line) >= 1) & _positions_ok(line))
-        .when(kind.isin("Polygon", "MultiLineString"), (F.size(rings) >= 1) & _lines_ok(rings))
+        .when(kind == "LineString", (F.array_size(line) >= 2) & _positions_ok(line))
+        .when(kind == "MultiPoint", (F.array_size(line) >= 1) & _positions_ok(line))
+        .when(kind.isin("Polygon", "MultiLineString"), (F.array_size(rings) >= 1) & _lines_ok(rings))
         .when(
             kind == "MultiPolygon",
-            (F.size(surfaces) >= 1) & F.forall(surfaces, _lines_ok),
+            (F.array_size(surfaces) >= 1) & F.forall(surfaces, _lines_ok),
         )
     )
     return geometry.isNull() | F.coalesce(verdict, F.lit(False))
@@ -75,7 +75,7 @@ def bounds(geometry: Column) -> Column:
     lngs = F.transform(vertices, lambda position: F.get(position, F.lit(0)))
     lats = F.transform(vertices, lambda position: F.get(position, F.lit(1)))
     return F.when(
-        F.size(vertices) > 0,
+        F.array_size(vertices) > 0,
         F.struct(
             F.array_min(lngs).alias("min_lng"),
             F.array_min(lats).alias("min_lat"),
@@ -94,6 +94,27 @@ def point(lng: Column, lat: Column) -> Column:
     )
 
 
+def place_order(lng: Column, lat: Column, bits: int = 16) -> Column:
+    """Position on a Z-shaped curve over the globe: rows near it are near on both axes.
+
+    Sorted by it, every file and row group covers a small box, so that a bounding box
+    skips most of them whichever axis it is narrow on.
+    """
+
+    def cell(degrees: Column, lowest: int, span: int) -> Column:
+        scaled = F.floor((degrees - lowest) / span * (2**bits - 1)).cast("bigint")
+        return F.least(F.greatest(scaled, F.lit(0)), F.lit(2**bits - 1))
+
+    def spread(value: Column, bit: int, shift: int) -> Column:
+        return F.shiftleft(F.shiftright(value, bit).bitwiseAND(F.lit(1)), 2 * bit + shift)
+
+    x, y = cell(lng, -180, 360), cell(lat, -90, 180)
+    code = F.lit(0).cast("bigint")
+    for bit in range(bits):
+        code = code.bitwiseOR(spread(x, bit, 0)).bitwiseOR(spread(y, bit, 1))
+    return code
+
+
 def bbox_verdict(
     min_lat: Column, max_lat: Column, min_lng: Column, max_lng: Column, layer_id: Column
 ) -> Column:

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from propwell.functions.geometry import place_order
 from propwell.session import scratch_path
 
 
@@ -54,11 +53,15 @@ def replace_table(df: DataFrame, path: str) -> None:
     materialize(df, "replace").write.mode("overwrite").parquet(path)
 
 
-def save_layer(features: DataFrame, path: str, order: Sequence[str] = ("lng", "lat")) -> None:
-    """Write a layer range-partitioned and sorted by place, so boxes skip files."""
-    (
-        features.repartitionByRange(*order)
-        .sortWithinPartitions(*order)
-        .write.mode("overwrite")
-        .parquet(path)
-    )
+def save_layer(features: DataFrame, path: str) -> None:
+    """Write a layer along a curve over the map, so that boxes skip files and row groups.
+
+    Needs `lng` and `lat`, or the bounds of `layers.with_bounds`, whose middle is taken.
+    """
+    if {"lng", "lat"} <= set(features.columns):
+        lng, lat = F.col("lng"), F.col("lat")
+    else:
+        lng, lat = (F.col("min_lng") + F.col("max_lng")) / 2, (F.col("min_lat") + F.col("max_lat")) / 2
+    placed = features.withColumn("_place", place_order(lng, lat))
+    ordered = placed.repartitionByRange("_place").sortWithinPartitions("_place").drop("_place")
+    ordered.write.mode("overwrite").parquet(path)

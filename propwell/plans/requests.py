@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from datetime import datetime, timezone
 
@@ -14,7 +14,8 @@ from propwell import fixed, schema
 from propwell.functions.geometry import BBox
 from propwell.operators import catalog, ingest, jobs, layers, records, sinks
 from propwell.sources import store
-from propwell.sources.registry import get_source, implemented_sources
+from propwell.sources.registry import Source, get_source, implemented_sources
+from propwell.streaming.incremental import incremental_ingest
 
 
 class JobAlreadyRunning(RuntimeError):
@@ -105,10 +106,11 @@ class MarketStore:
         sinks.append_rows(created, self.path("scrape_jobs"))
         return job_id
 
-    def collect_source(self, source_name: str, landed_path: str) -> str:
-        """Ingest one source's landed data; returns the job id. Failures end in the job.
+    def _run(self, source_name: str, work: Callable[[str, Source], int]) -> str:
+        """A job around `work`, which returns how many rows came in.
 
-        Counts come from the stored rows of this job, not from a second run of the plan.
+        Failures end in the job and its log. The inserted count is that of the stored rows
+        of the job, so nothing is computed a second time.
         """
         request = self.spark.range(1).select(F.lit(source_name).alias("source_name"))
         if not jobs.has_running_job(request, self.jobs()).isEmpty():
@@ -116,32 +118,75 @@ class MarketStore:
         job_id = self._new_job(source_name)
         self._transition(job_id, "running", started_at=_now())
         try:
-            source = self.runnable_source(source_name)
-            batch = ingest.record_envelope(
-                sinks.materialize(source.scan(self.spark, landed_path), "items"),
-                source_name=source.name,
-                source_url=source.source_url,
-                retrieval_method=source.retrieval_method,
-                job_id=job_id,
-                ingested_at=_now(),
-            )
-            columns = self.spark.read.schema(schema.RAW_RECORDS).parquet(self.path("raw_records")).columns
-            fresh = ingest.ingest_dedup(batch, self.records()).select(*columns)
-            sinks.append_records(fresh, self.path("raw_records"))
-            inserted = self.records(job_id=job_id).count()
-            self._transition(
-                job_id,
-                "completed",
-                completed_at=_now(),
-                records_inserted=inserted,
-                records_skipped=batch.count() - inserted,
-            )
+            seen = work(job_id, self.runnable_source(source_name))
+            self._transition(job_id, "completed", completed_at=_now(), **self._counters(job_id, seen))
         except Exception as error:  # the job table is where a failed run is reported
             self._transition(job_id, "failed", completed_at=_now(), error_message=str(error))
             self._log_error(job_id, source_name, str(error))
         return job_id
 
-    def runnable_source(self, source_name: str):
+    def _counters(self, job_id: str, seen: int) -> dict[str, int]:
+        inserted = self.records(job_id=job_id).count()
+        return {"records_inserted": inserted, "records_skipped": seen - inserted}
+
+    def _enveloped(self, items: DataFrame, job_id: str, source: Source) -> DataFrame:
+        return ingest.record_envelope(
+            sinks.materialize(items, "items"),
+            source_name=source.name,
+            source_url=source.source_url,
+            retrieval_method=source.retrieval_method,
+            job_id=job_id,
+            ingested_at=_now(),
+        )
+
+    def _append(self, fresh: DataFrame) -> None:
+        sinks.append_records(fresh.select(*self.records().columns), self.path("raw_records"))
+
+    def collect_source(self, source_name: str, landed_path: str) -> str:
+        """Ingest one source's landed data; returns the job id."""
+
+        def work(job_id: str, source: Source) -> int:
+            batch = self._enveloped(source.scan(self.spark, landed_path), job_id, source)
+            self._append(ingest.ingest_dedup(batch, self.records()))
+            return batch.count()
+
+        return self._run(source_name, work)
+
+    def collect_incremental(
+        self, source_name: str, landed_path: str, checkpoint: str, files_per_batch: int = 1000
+    ) -> str:
+        """Ingest what landed since the last call, some files at a time; returns the job id.
+
+        A landed file must hold whole sequences (a city, a series). The job's counters rise
+        with every batch, and a failure keeps what was stored before it.
+        """
+
+        def work(job_id: str, source: Source) -> int:
+            if source.scan_pages is None:
+                raise LookupError(f"source {source_name!r} does not land as pages")
+            seen = 0
+
+            def prepare(pages: DataFrame) -> DataFrame:
+                return self._enveloped(source.scan_pages(self.spark, landed_path, pages), job_id, source)
+
+            def count(batch: DataFrame) -> None:
+                nonlocal seen
+                seen += batch.count()
+                self._transition(job_id, "running", **self._counters(job_id, seen))
+
+            stream = (
+                self.spark.readStream.schema(schema.LANDED_PAGE)
+                .option("maxFilesPerTrigger", files_per_batch)
+                .parquet(f"{landed_path}/{source.pages}".rstrip("/"))
+            )
+            incremental_ingest(
+                stream, self.records, self._append, checkpoint, prepare=prepare, after=count
+            ).awaitTermination()
+            return seen
+
+        return self._run(source_name, work)
+
+    def runnable_source(self, source_name: str) -> Source:
         """The registered source, unless the registry says it must not run."""
         request = self.spark.range(1).select(F.lit(source_name).alias("source_name"))
         checked = catalog.runnable_source_check(

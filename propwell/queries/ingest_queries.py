@@ -14,7 +14,7 @@ from propwell.queries.views import DOC_HASH, document_items
 from propwell.session import scratch_path
 from propwell.sources import registry, store
 from propwell.sources.items import items
-from propwell.streaming.incremental import incremental_ingest
+from propwell.streaming.incremental import existing_rows, incremental_ingest
 
 _RUN_AT = datetime(2024, 6, 1)
 
@@ -117,7 +117,7 @@ def record_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.variant_get("raw_payload", "$.conv_id", "bigint").alias("conv_id"),
         F.variant_get("raw_payload", "$.turn", "bigint").alias("turn"),
         "source_name", "source_url", "retrieval_method", "parsing_status", "schema_version",
-        F.size("tags").alias("n_tags"),
+        F.array_size("tags").alias("n_tags"),
         "job_id",
         F.variant_get("raw_payload", "$.role", "string").alias("payload_role"),
         "content_hash", "record_id",
@@ -185,7 +185,12 @@ def incremental_ingest_query(spark: SparkSession, sf_dir: str) -> DataFrame:
         return batch.select("doc_id", "source", canonical.content_hash(text).alias("content_hash"))
 
     running = incremental_ingest(
-        stream, store_path, scratch_path(spark, "stream-checkpoint"), ["doc_id"], prepare
+        stream,
+        lambda: existing_rows(spark, store_path),
+        lambda fresh: fresh.write.mode("append").parquet(store_path),
+        scratch_path(spark, "stream-checkpoint"),
+        ["doc_id"],
+        prepare,
     )
     running.awaitTermination()
     return spark.read.parquet(store_path).select("content_hash")

@@ -183,7 +183,7 @@ def split_id_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = text(F.col("p_partkey"), ", ,", F.col("p_size"), " ,,", F.col("p_brand"), "  ,")
     ids = scalars.split_id_list(raw)
     return table(spark, sf_dir, "part").select(
-        "p_partkey", F.array_join(ids, "|").alias("ids"), F.size(ids).alias("n_ids")
+        "p_partkey", F.array_join(ids, "|").alias("ids"), F.array_size(ids).alias("n_ids")
     )
 
 

@@ -116,8 +116,8 @@ def scan_index_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scanned.select(
         "unit",
         "page",
-        F.coalesce(F.size("parsed.month"), F.lit(0)).alias("n_month"),
-        F.coalesce(F.size("parsed.quarter"), F.lit(0)).alias("n_quarter"),
+        F.coalesce(F.array_size("parsed.month"), F.lit(0)).alias("n_month"),
+        F.coalesce(F.array_size("parsed.quarter"), F.lit(0)).alias("n_quarter"),
         F.col("parsed.paging.next_url").alias("next_url"),
         "failed",
     )

@@ -54,7 +54,7 @@ def scan_deal_pages(pages: DataFrame, body: str = "body") -> DataFrame:
     parsed = pages.withColumn("_deals", F.when(bare, F.from_json(body, deals)).otherwise(wrapped))
     return parsed.select(
         *[name for name in pages.columns if name != body],
-        F.coalesce(F.size("_deals"), F.lit(0)).alias("n_on_page"),
+        F.coalesce(F.array_size("_deals"), F.lit(0)).alias("n_on_page"),
         F.when(F.col("_deals").isNull(), F.try_parse_json(body).isNull())
         .otherwise(F.lit(False))
         .alias("failed"),

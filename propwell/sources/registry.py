@@ -19,24 +19,43 @@ from propwell.sources.items import read_landed_pages
 Scan = Callable[[SparkSession, str], DataFrame]
 
 
+PageScan = Callable[[SparkSession, str, DataFrame], DataFrame]
+
+
 @dataclass(frozen=True)
 class Source:
-    """A named scan from a landed path to items (see `sources.items`)."""
+    """A named scan from a landed path to items (see `sources.items`).
+
+    `scan_pages` does the same for some of the landed pages only, for ingest bit by bit;
+    they must hold whole sequences.
+    """
 
     name: str
     source_url: str
     retrieval_method: str
     scan: Scan
+    pages: str = ""
+    scan_pages: PageScan | None = None
 
 
 _SOURCES: dict[str, Source] = {}
 
 
-def register_source(name: str, scan: Scan, source_url: str = "", retrieval_method: str = "http_get") -> Source:
-    """Make `scan` available under `name`; a later registration replaces an earlier one."""
+def register_source(
+    name: str,
+    scan: Scan,
+    source_url: str = "",
+    retrieval_method: str = "http_get",
+    pages: str = "",
+    scan_pages: PageScan | None = None,
+) -> Source:
+    """Make `scan` available under `name`; a later registration replaces an earlier one.
+
+    `pages` is the folder of the landed path that `scan_pages` gets its pages from.
+    """
     if retrieval_method not in fixed.RETRIEVAL_METHODS:
         raise ValueError(f"unknown retrieval method {retrieval_method!r}")
-    _SOURCES[name] = Source(name, source_url, retrieval_method, scan)
+    _SOURCES[name] = Source(name, source_url, retrieval_method, scan, pages, scan_pages)
     return _SOURCES[name]
 
 
@@ -61,27 +80,30 @@ def _archive_items(spark: SparkSession, path: str) -> DataFrame:
     return archive.collect_archive(archive.scan_archive_sheets(archive.read_archives(spark, path)))
 
 
-def _deal_items(spark: SparkSession, path: str) -> DataFrame:
-    rows = materialize(deals.scan_deal_pages(read_landed_pages(spark, f"{path}/deals")), "deals")
+def _deal_items(spark: SparkSession, path: str, pages: DataFrame) -> DataFrame:
+    rows = materialize(deals.scan_deal_pages(pages), "deals")
     places = read_landed_pages(spark, f"{path}/places")
     return deals.collect_deals(places, read_landed_pages(spark, f"{path}/polygons"), rows)
 
 
-def _index_items(spark: SparkSession, path: str) -> DataFrame:
-    rows = materialize(index_pages.scan_index_rows(read_landed_pages(spark, path)), "index")
-    return index_pages.collect_index(rows)
+def _index_items(spark: SparkSession, path: str, pages: DataFrame) -> DataFrame:
+    return index_pages.collect_index(materialize(index_pages.scan_index_rows(pages), "index"))
 
 
-def _listing_items(spark: SparkSession, path: str) -> DataFrame:
-    rows = materialize(listings.scan_listing_rows(read_landed_pages(spark, path)), "listings")
+def _listing_items(spark: SparkSession, path: str, pages: DataFrame) -> DataFrame:
+    rows = materialize(listings.scan_listing_rows(pages), "listings")
     return listings.collect_listings(rows, F.lit(None).cast("string"))
 
 
+def _register_page_source(name: str, pages: str, scan_pages: PageScan) -> None:
+    def scan(spark: SparkSession, path: str) -> DataFrame:
+        return scan_pages(spark, path, read_landed_pages(spark, f"{path}/{pages}".rstrip("/")))
+
+    register_source(name, scan, _URLS[name], "http_get", pages, scan_pages)
+
+
 _URLS = {seed[0]: seed[4] for seed in fixed.SEED_SOURCES}
-for _name, _scan, _method in (
-    (fixed.ARCHIVE_SOURCE, _archive_items, "zip_download"),
-    (fixed.DEALS_SOURCE, _deal_items, "http_get"),
-    (fixed.INDEX_SOURCE, _index_items, "http_get"),
-    (fixed.LISTINGS_SOURCE, _listing_items, "http_get"),
-):
-    register_source(_name, _scan, _URLS[_name], _method)
+register_source(fixed.ARCHIVE_SOURCE, _archive_items, _URLS[fixed.ARCHIVE_SOURCE], "zip_download")
+_register_page_source(fixed.DEALS_SOURCE, "deals", _deal_items)
+_register_page_source(fixed.INDEX_SOURCE, "", _index_items)
+_register_page_source(fixed.LISTINGS_SOURCE, "", _listing_items)

@@ -1,70 +1,65 @@
 """Incremental ingest: landed rows are deduplicated and stored batch by batch.
 
-Every batch owns one folder of the store, named by run and batch. A batch that is run
-again after a failure replaces its own folder and does not count its first attempt as
-existing rows, so the store ends as if it had run once. What earlier batches stored stays
-when a later one fails.
+A batch is compared with everything stored before it is appended. That also makes it safe
+to run one again: rows its first attempt stored are skipped like any other existing row.
+What earlier batches stored stays when a later one fails.
+
+Every batch reads the hash column of the store. Let batches be large (`availableNow` takes
+all that landed), or keep the store bucketed by hash, which is then read in place.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable, Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from propwell.operators.ingest import ingest_dedup
-
-_OWNER = "ingest_run STRING, ingest_batch BIGINT"
+from propwell.sources.items import ARRIVAL
 
 
-def read_store(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """The store with its owner columns; empty while nothing was written."""
-    with_owner = f"{schema}, {_OWNER}"
+def existing_rows(spark: SparkSession, path: str) -> DataFrame | None:
+    """The store as it is now, None while nothing was written."""
     try:
-        return spark.read.schema(with_owner).parquet(path)
+        return spark.read.parquet(path)
     except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], with_owner)
+        if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
 
 
 def store_batch(
     batch: DataFrame,
-    path: str,
-    run: str,
-    batch_id: int,
-    arrival: Sequence[str],
+    existing: Callable[[], DataFrame | None],
+    append: Callable[[DataFrame], None],
+    arrival: Sequence[str] = ARRIVAL,
 ) -> None:
-    """Write what is new in `batch` to its own folder of the store."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in batch.schema.fields)
-    own = (F.col("ingest_run") == run) & (F.col("ingest_batch") == batch_id)
-    existing = read_store(batch.sparkSession, path, schema).filter(~own)
-    fresh = ingest_dedup(batch, existing, arrival)
-    fresh.hint("rebalance").write.mode("overwrite").parquet(
-        f"{path}/ingest_run={run}/ingest_batch={batch_id}"
-    )
+    """Append what is new in `batch`; `existing` looks the store up anew."""
+    append(ingest_dedup(batch, existing(), arrival))
 
 
 def incremental_ingest(
     stream: DataFrame,
-    path: str,
+    existing: Callable[[], DataFrame | None],
+    append: Callable[[DataFrame], None],
     checkpoint: str,
-    arrival: Sequence[str],
+    arrival: Sequence[str] = ARRIVAL,
     prepare: Callable[[DataFrame], DataFrame] | None = None,
+    after: Callable[[DataFrame], None] | None = None,
 ) -> StreamingQuery:
     """Ingest everything landed so far and stop; the next start goes on from there.
 
-    `prepare` turns a micro-batch into rows with `content_hash`. The run is named after
-    its checkpoint, so batch numbers of different checkpoints do not meet.
+    `prepare` turns a micro-batch into rows with `content_hash`; `after` sees these rows
+    once they are stored.
     """
-    run = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
 
-    def store(batch: DataFrame, batch_id: int) -> None:
-        store_batch(prepare(batch) if prepare else batch, path, run, batch_id, arrival)
+    def store(batch: DataFrame, _batch_id: int) -> None:
+        rows = prepare(batch) if prepare else batch
+        store_batch(rows, existing, append, arrival)
+        if after:
+            after(rows)
 
     return (
         stream.writeStream.foreachBatch(store)

@@ -13,7 +13,7 @@ from propwell.functions.canonical import canonical_json, content_hash, listing_k
 from propwell.operators import dedup, ingest
 from propwell.queries.base import table
 from propwell.queries.views import document_items
-from propwell.streaming.incremental import incremental_ingest, store_batch
+from propwell.streaming.incremental import existing_rows, incremental_ingest, store_batch
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -100,32 +100,39 @@ def landed(spark, tmp_path):
     return path
 
 
+def appender(path):
+    return lambda fresh: fresh.write.mode("append").parquet(path)
+
+
 def test_stream_equals_batch_and_resumes(spark, landed, tmp_path):
     documents = table(spark, SF_DIR, "documents")
     stream = spark.readStream.schema(documents.schema).option("maxFilesPerTrigger", 2).parquet(landed)
-    store, checkpoint = str(tmp_path / "store"), str(tmp_path / "checkpoint")
+    store, sizes = str(tmp_path / "store"), []
 
-    def run(where):
-        incremental_ingest(stream, store, where, ["doc_id"], hashed).awaitTermination()
+    def run(checkpoint):
+        incremental_ingest(
+            stream, lambda: existing_rows(spark, store), appender(store), str(tmp_path / checkpoint),
+            ["doc_id"], hashed, lambda rows: sizes.append(rows.count()),
+        ).awaitTermination()
         return spark.read.parquet(store)
 
-    stored = run(checkpoint)
+    stored = run("one")
     expected = {r.content_hash for r in hashed(documents).collect()}
     assert {r.content_hash for r in stored.collect()} == expected
     assert stored.count() == len(expected)
-    assert stored.select("ingest_batch").distinct().count() > 1
-    assert run(checkpoint).count() == len(expected)
-    assert run(str(tmp_path / "other")).count() == len(expected)
+    assert len(sizes) == 3 and sum(sizes) == documents.count()
+    assert run("one").count() == len(expected) and len(sizes) == 3
+    assert run("other").count() == len(expected) and len(sizes) == 6
 
 
-def test_replayed_batch_replaces_itself(spark, tmp_path):
+def test_batch_run_again_adds_nothing(spark, tmp_path):
     store = str(tmp_path / "store")
     batch = hashed(table(spark, SF_DIR, "documents"))
-    store_batch(batch, store, "run", 0, ["doc_id"])
-    once = sorted(r.doc_id for r in spark.read.parquet(store).collect())
-    store_batch(batch, store, "run", 0, ["doc_id"])
-    spark.catalog.refreshByPath(store)
-    assert sorted(r.doc_id for r in spark.read.parquet(store).collect()) == once
+    half = batch.filter("doc_id < 60")  # what a first attempt got stored
+    for rows in (half, batch, batch):
+        store_batch(rows, lambda: existing_rows(spark, store), appender(store), ["doc_id"])
+    stored = [r.content_hash for r in spark.read.parquet(store).collect()]
+    assert len(stored) == len(set(stored)) == batch.select("content_hash").distinct().count()
 
 
 def test_envelope_types(spark):

@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from propwell.functions.geometry import BBox, bounds, geometry_validity, point
+from propwell.functions.geometry import BBox, bounds, geometry_validity, place_order, point
 from propwell.operators import layers, sinks
 
 
@@ -85,12 +85,30 @@ def test_collection_document(spark):
     assert json.loads(empty.head().document)["features"] == []
 
 
-def test_layer_files_are_sorted_by_place(spark, tmp_path):
-    path = str(tmp_path / "layer")
-    spark.range(1000).select(
-        (F.col("id") * 7919 % 1000).cast("double").alias("lng"), F.lit(1.0).alias("lat")
-    ).write.parquet(str(tmp_path / "raw"))
-    sinks.save_layer(spark.read.parquet(str(tmp_path / "raw")), path)
-    ranges = spark.read.parquet(path).groupBy(F.input_file_name().alias("f")).agg(F.min("lng").alias("a"), F.max("lng").alias("b"))
-    spans = sorted((r.a, r.b) for r in ranges.collect())
-    assert all(left[1] < right[0] for left, right in zip(spans, spans[1:]))
+def test_layer_files_cover_small_boxes(spark, tmp_path):
+    """Files of a layer overlap little on either axis."""
+    path, n = str(tmp_path / "layer"), 64
+    grid = spark.range(n * n).select(
+        (F.col("id") % n * 4 - 128).cast("double").alias("lng"),
+        (F.floor(F.col("id") / n) * 2 - 64).cast("double").alias("lat"),
+    )
+    grid.write.parquet(str(tmp_path / "raw"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sinks.save_layer(spark.read.parquet(str(tmp_path / "raw")), path)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    spans = (
+        spark.read.parquet(path)
+        .groupBy(F.input_file_name())
+        .agg((F.max("lng") - F.min("lng")).alias("w"), (F.max("lat") - F.min("lat")).alias("h"))
+        .agg(F.count("*").alias("files"), F.avg("w").alias("w"), F.avg("h").alias("h"))
+        .head()
+    )
+    assert spans.files == 8 and spans.w < 256 * 0.6 and spans.h < 128 * 0.6
+
+
+def test_place_order_interleaves(spark):
+    frame = spark.createDataFrame([(-180.0, -90.0), (180.0, 90.0), (180.0, -90.0), (500.0, 0.0)], "x DOUBLE, y DOUBLE")
+    found = [r.z for r in frame.select(place_order(F.col("x"), F.col("y"), 2).alias("z")).collect()]
+    assert found == [0, 15, 5, 7]

@@ -70,6 +70,28 @@ def test_collect_all(spark, market, landed):
     assert market.list_all_jobs().count() == 6
 
 
+def test_incremental_equals_batch(spark, market, landed, tmp_path):
+    """Cities land as files of their own; a bad one fails the job, the rest stays stored."""
+    root = tmp_path / "cities"
+    for city, ids in (("haifa", ["1", "2"]), ("lod", ["2", "3", "3"])):
+        rows = [(city, None, 1, 200, state_page(ids))]
+        spark.createDataFrame(rows, schema.LANDED_PAGE).coalesce(1).write.mode("append").parquet(str(root))
+    checkpoint = str(tmp_path / "checkpoint")
+
+    def run():
+        return market.get_job(market.collect_incremental(fixed.LISTINGS_SOURCE, str(root), checkpoint, 1)).head()
+
+    job = run()
+    assert (job.status, job.records_inserted, job.records_skipped) == ("completed", 3, 1)
+    assert market.count(source_name=fixed.LISTINGS_SOURCE).head().total == 3
+    job = run()
+    assert (job.status, job.records_inserted, job.records_skipped) == ("completed", 0, 0)
+    job = market.get_job(market.collect_incremental(fixed.ARCHIVE_SOURCE, str(root), checkpoint)).head()
+    assert job.status == "failed" and "pages" in job.error_message
+    deals = market.collect_incremental(fixed.DEALS_SOURCE, landed[fixed.DEALS_SOURCE], str(tmp_path / "deals-checkpoint"))
+    assert market.get_job(deals).head().records_inserted == 2
+
+
 def test_price_history(spark, market, tmp_path):
     for day, price in ((1, 100), (2, 90), (3, 95)):
         body = state_page(["5"]).replace("1250000", str(price))
