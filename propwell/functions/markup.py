@@ -7,7 +7,9 @@ by Arrow batch, to the tolerant parser below. Both ways give the same result.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping
+from html.entities import name2codepoint
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -34,6 +36,17 @@ _ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&a
 _OTHER_ENTITY = r"&(?!(?:lt|gt|quot|#39|amp);)"
 
 
+_REFERENCE = re.compile(r"&(?!#)(\w*;?)")
+_NAMED = {f"{name};" for name in name2codepoint} | {"apos;"}
+
+
+def _with_literal_marks(html: str) -> str:
+    """A named reference counts only if it is a known one that ends in ';'."""
+    return _REFERENCE.sub(
+        lambda found: found[0] if found[1] in _NAMED else f"&amp;{found[1]}", html
+    )
+
+
 class _Elements(HTMLParser):
     """Texts of the first element per key, first listing link, gallery images."""
 
@@ -86,7 +99,7 @@ def _parsed(html: pd.Series, keys: Mapping[str, str], by_tag: bool = False) -> p
             rows.append({})
             continue
         parser = _Elements(keys, by_tag)
-        parser.feed(fragment)
+        parser.feed(_with_literal_marks(fragment))
         parser.close()
         row = {name: "".join(parser.texts.get(name, [])) for name in keys}
         rows.append({**row, "link": parser.link, "images": parser.images})

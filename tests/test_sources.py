@@ -238,6 +238,17 @@ def test_native_reading_equals_parser(spark, html):
     assert (native.price, native.link) == (parsed.price, parsed.link)
 
 
+@pytest.mark.parametrize(
+    ("text", "expected"),
+    [("a &amp; b", "a & b"), ("a &amp", "a &amp"), ("&copy; &copy 1", "© &copy 1"), ("&check; &x", "&check; &x"),
+     ("&#8362;5 &#8362 6", "₪5 ₪ 6"), ("R&D", "R&D"), ("&amp;lt;", "&lt;"), ("&apos;", "'")],
+)
+def test_references(spark, text, expected):
+    frame = spark.createDataFrame([(f"<h1>{text}</h1><a href='/listing/1?a=1&copy=2'>x</a>",)], "html STRING")
+    row = with_elements(frame, "html", {"h1": "h1"}, by_tag=True).head().elements
+    assert (row.h1, row.link) == (expected, "/listing/1?a=1&copy=2")
+
+
 # archives
 
 
