@@ -272,14 +272,18 @@ class MarketStore:
 
     # spatial read
 
-    def map_features(self, layer_id: str, box: BBox, key: Sequence[str] = ("geometry_key",)) -> DataFrame:
-        """Features of a configured layer inside a box, valid ones only, as a projection."""
+    def map_features(self, layer_id: str, box: BBox, key: Sequence[str] = ()) -> DataFrame:
+        """Valid features of a configured layer inside a box, at most a fixed number.
+
+        `key` orders them, so that a cut result is the same each time; without one their
+        place does.
+        """
         rows = layers.drop_internal_id(
             store.scan_layer_features(self.spark, self.layers(), layer_id, self.root)
         )
+        edges = ["min_lng", "min_lat", "max_lng", "max_lat"]
         if "min_lng" not in rows.columns:
             rows = layers.with_bounds(rows)
         valid, _ = layers.split_valid(layers.bbox_filter_bounds(rows, box))
-        order = [name for name in key if name in rows.columns] or ["min_lng", "min_lat"]
-        picked = layers.bbox_limit(valid, order)
-        return layers.feature_projection(picked.drop("min_lng", "min_lat", "max_lng", "max_lat"))
+        picked = layers.bbox_limit(valid, list(key) or edges)
+        return layers.feature_projection(picked.drop(*edges))

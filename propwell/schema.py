@@ -35,19 +35,16 @@ LAYERS = (
 
 GEOMETRY = "STRUCT<type: STRING, coordinates: VARIANT>"
 
-_INDEX_ENTRY = (
-    "year: INT, {period}: INT, {period}Desc: STRING, percent: DOUBLE, percentYear: DOUBLE, "
-    "currBase: STRUCT<value: DOUBLE, baseDesc: STRING>, prevBase: STRUCT<value: DOUBLE>"
+# months and quarters share one type, so that both are read by one explode
+_INDEX_SERIES = (
+    "ARRAY<STRUCT<code: STRING, name: STRING, date: ARRAY<STRUCT<"
+    "year: INT, month: INT, monthDesc: STRING, quarter: INT, quarterDesc: STRING, "
+    "percent: DOUBLE, percentYear: DOUBLE, currBase: STRUCT<value: DOUBLE, baseDesc: STRING>, "
+    "prevBase: STRUCT<value: DOUBLE>>>>>"
 )
 
-
-def _series(period: str) -> str:
-    entry = _INDEX_ENTRY.format(period=period)
-    return f"ARRAY<STRUCT<code: STRING, name: STRING, date: ARRAY<STRUCT<{entry}>>>>"
-
-
 INDEX_PAGE = (
-    f"month {_series('month')}, quarter {_series('quarter')}, "
+    f"month {_INDEX_SERIES}, quarter {_INDEX_SERIES}, "
     "paging STRUCT<next_url: STRING>, _corrupt_record STRING"
 )
 

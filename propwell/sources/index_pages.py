@@ -19,36 +19,6 @@ MONTH_FIELDS = (*_SHARED, "month", "month_name_he")
 QUARTER_FIELDS = (*_SHARED, "quarter", "quarterDesc")
 
 
-def _entries(series: Column, period: str) -> Column:
-    """Array of series -> array of entries that carry their series and period."""
-
-    def of_series(one: Column) -> Column:
-        def entry(point: Column) -> Column:
-            is_month = period == "month"
-            number, label = point.getField(period), point.getField(f"{period}Desc")
-            none_int, none_text = F.lit(None).cast("int"), F.lit(None).cast("string")
-            return F.struct(
-                one.getField("code").alias("series_code"),
-                one.getField("name").alias("series_name"),
-                F.lit(period).alias("period_type"),
-                point.getField("year").alias("year"),
-                point.getField("percent").alias("percent_change"),
-                point.getField("percentYear").alias("percent_change_annual"),
-                point.getField("currBase").getField("value").alias("current_base"),
-                point.getField("currBase").getField("baseDesc").alias("base_description"),
-                point.getField("prevBase").getField("value").alias("previous_base"),
-                F.lit(INDEX_PROVENANCE).alias("source"),
-                (number if is_month else none_int).alias("month"),
-                (label if is_month else none_text).alias("month_name_he"),
-                (none_int if is_month else number).alias("quarter"),
-                (none_text if is_month else label).alias("quarterDesc"),
-            )
-
-        return F.transform(one.getField("date"), entry)
-
-    return F.flatten(F.filter(F.transform(series, of_series), lambda dates: dates.isNotNull()))
-
-
 def scan_index_pages(pages: DataFrame, body: str = "body") -> DataFrame:
     """Adds `parsed` (month, quarter, paging) and `failed`.
 
@@ -63,22 +33,49 @@ def scan_index_pages(pages: DataFrame, body: str = "body") -> DataFrame:
 
 
 def flatten_index_entry(scanned: DataFrame) -> DataFrame:
-    """UNION ALL of months and quarters: one explode over both, canonical names.
+    """UNION ALL of months and quarters, one row per entry, under canonical names.
 
-    Page columns are carried; `position` is the place within the page, NULL on the one
-    row an empty page leaves.
+    Both lists are exploded as one, series by series and entry by entry, so a page is
+    parsed once. Page columns are carried; `position` is the place within the page, NULL
+    on rows that empty lists leave.
     """
-    both = F.concat(
-        F.coalesce(_entries(F.col("parsed.month"), "month"), F.array()),
-        F.coalesce(_entries(F.col("parsed.quarter"), "quarter"), F.array()),
-    )
     keep = [name for name in scanned.columns if name != "parsed"]
-    rows = scanned.select(
+    months, quarters = (F.coalesce(f"parsed.{name}", F.array()) for name in ("month", "quarter"))
+    series = scanned.select(
         *keep,
         F.nullif(F.col("parsed.paging.next_url"), F.lit("")).alias("next_url"),
-        F.posexplode_outer(both).alias("position", "entry"),
+        F.array_size(months).alias("_n_months"),
+        F.posexplode_outer(F.concat(months, quarters)).alias("_turn", "_series"),
+    )
+    entries = series.select(
+        *keep,
+        "next_url",
+        (F.col("_turn") < F.col("_n_months")).alias("_monthly"),
+        "_turn",
+        F.col("_series.code").alias("_code"),
+        F.col("_series.name").alias("_name"),
+        F.posexplode_outer("_series.date").alias("_at", "_entry"),
+    )
+    monthly = F.col("_monthly")
+    return entries.select(
+        *keep,
+        "next_url",
+        (F.shiftleft(F.col("_turn").cast("bigint"), 32) + F.col("_at")).alias("position"),
+        F.col("_code").alias("series_code"),
+        F.col("_name").alias("series_name"),
+        F.when(monthly, "month").otherwise("quarter").alias("period_type"),
+        F.col("_entry.year").alias("year"),
+        F.col("_entry.percent").alias("percent_change"),
+        F.col("_entry.percentYear").alias("percent_change_annual"),
+        F.col("_entry.currBase.value").alias("current_base"),
+        F.col("_entry.currBase.baseDesc").alias("base_description"),
+        F.col("_entry.prevBase.value").alias("previous_base"),
+        F.lit(INDEX_PROVENANCE).alias("source"),
+        F.when(monthly, F.col("_entry.month")).alias("month"),
+        F.when(monthly, F.col("_entry.monthDesc")).alias("month_name_he"),
+        F.when(~monthly, F.col("_entry.quarter")).alias("quarter"),
+        F.when(~monthly, F.col("_entry.quarterDesc")).alias("quarterDesc"),
     )
-    return rows.select(*keep, "next_url", "position", "entry.*")
 
 
 def index_hash(entries: DataFrame) -> tuple[Column, Column]:
