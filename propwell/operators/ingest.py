@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from propwell import fixed
 from propwell.functions.times import at
 from propwell.operators.dedup import first_by
+from propwell.operators.joins import join_per_key
 from propwell.sources.items import ARRIVAL
 
 
@@ -46,13 +47,19 @@ def record_envelope(
     )
 
 
-def existing_hash_antijoin(batch: DataFrame, store: DataFrame, key: str = "content_hash") -> DataFrame:
-    """Rows of `batch` whose hash the store does not hold.
+def existing_hash_antijoin(
+    batch: DataFrame, store: DataFrame, key: str = "content_hash", spread_by: str | None = None
+) -> DataFrame:
+    """Rows of `batch` whose hash the store, which holds each hash once, does not have.
 
     Only the hash column of the store is read. It moves once per ingest unless the store
-    is a table bucketed by hash (`sinks.save_bucketed`), which is read in place.
+    is a table bucketed by hash (`sinks.save_bucketed`), which is read in place. For a
+    batch that still repeats hashes, `spread_by` names a column that tells the copies apart.
     """
-    return batch.join(store.select(key), key, "left_anti")
+    known = store.select(key)
+    if spread_by is not None:
+        return join_per_key(batch, known, [key], spread_by, "left_anti")
+    return batch.join(known, key, "left_anti")
 
 
 def ingest_dedup(

@@ -2,8 +2,7 @@
 
 A sequence is asked for page by page until a page says stop; landed pages after that are
 not part of the result. The end is one small row per sequence, aggregated in the map
-tasks and joined back, so a long sequence is never gathered in one task: AQE broadcasts
-the ends when they are small and splits skewed sequences when they are not.
+tasks and joined back by `join_per_key`, so a long sequence is never gathered in one task.
 """
 
 from __future__ import annotations
@@ -14,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from propwell import fixed
+from propwell.operators.joins import join_per_key
 
 
 def sequence_ends(
@@ -38,7 +38,8 @@ def sequence_ends(
 
 def cut_at_end(rows: DataFrame, ends: DataFrame, keys: Sequence[str], page: str) -> DataFrame:
     """Rows up to and including the last page; none of a failed sequence."""
-    joined = rows.join(ends.withColumnsRenamed({"last_page": "_last", "failed": "_bad"}), list(keys), "left")
+    ends = ends.withColumnsRenamed({"last_page": "_last", "failed": "_bad"})
+    joined = join_per_key(rows, ends, keys, page)
     inside = F.col("_last").isNull() | (~F.col("_bad") & (F.col(page) <= F.col("_last")))
     return joined.filter(inside).drop("_last", "_bad")
 
@@ -50,10 +51,12 @@ def page_prefix_cut(
     return cut_at_end(rows, sequence_ends(rows, keys, page, stop, failed), keys, page)
 
 
-def union_skip_failed(rows: DataFrame, keys: Sequence[str], bad: Column) -> tuple[DataFrame, DataFrame]:
+def union_skip_failed(
+    rows: DataFrame, keys: Sequence[str], bad: Column, spread_by: str
+) -> tuple[DataFrame, DataFrame]:
     """(rows of units without a bad row, one row per failed unit)."""
     failed = rows.filter(bad).select(*keys).distinct()
-    return rows.join(failed, list(keys), "left_anti"), failed
+    return join_per_key(rows, failed, keys, spread_by, "left_anti"), failed
 
 
 def union_batches(*batches: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from propwell import fixed
 from propwell.functions.times import at
+from propwell.operators.joins import join_per_key
 
 _RECORD_ID = re.compile(r"[0-9a-f]{24}")
 
@@ -104,7 +105,7 @@ def listing_price_history(
     hot = counts.filter(F.col("_n") > hot_rows).select(*keys, F.lit(True).alias("_hot"))
     # the chunk of a cold key is a constant, not NULL, so that it can be joined
     start = F.when(F.col("_hot"), F.date_trunc(chunk, seen_at).cast("string"))
-    cut = versions.join(hot, keys, "left").withColumn("_chunk", F.coalesce(start, F.lit("")))
+    cut = join_per_key(versions, hot, keys, tie).withColumn("_chunk", F.coalesce(start, F.lit("")))
     slot = [*keys, "_chunk"]
     within = Window.partitionBy(*slot).orderBy(seen_at, tie)
     local = cut.withColumn("_previous", F.lag(F.struct(price)).over(within))

@@ -119,14 +119,15 @@ class MarketStore:
         self._transition(job_id, "running", started_at=_now())
         try:
             seen = work(job_id, self.runnable_source(source_name))
-            self._transition(job_id, "completed", completed_at=_now(), **self._counters(job_id, seen))
+            self._transition(job_id, "completed", completed_at=_now(), **self._counters(job_id, source_name, seen))
         except Exception as error:  # the job table is where a failed run is reported
             self._transition(job_id, "failed", completed_at=_now(), error_message=str(error))
             self._log_error(job_id, source_name, str(error))
         return job_id
 
-    def _counters(self, job_id: str, seen: int) -> dict[str, int]:
-        inserted = self.records(job_id=job_id).count()
+    def _counters(self, job_id: str, source_name: str, seen: int) -> dict[str, int]:
+        stored = self.records(source_name=get_source(source_name).name, job_id=job_id)
+        inserted = stored.count()
         return {"records_inserted": inserted, "records_skipped": seen - inserted}
 
     def _enveloped(self, items: DataFrame, job_id: str, source: Source) -> DataFrame:
@@ -172,7 +173,7 @@ class MarketStore:
             def count(batch: DataFrame) -> None:
                 nonlocal seen
                 seen += batch.count()
-                self._transition(job_id, "running", **self._counters(job_id, seen))
+                self._transition(job_id, "running", **self._counters(job_id, source_name, seen))
 
             stream = (
                 self.spark.readStream.schema(schema.LANDED_PAGE)

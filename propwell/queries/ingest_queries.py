@@ -62,7 +62,8 @@ def existing_hash_antijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The labelled documents are the store, all documents the batch."""
     batch = document_items(spark, sf_dir).select(F.col("position").alias("doc_id"), "content_hash")
     stored = batch.join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi")
-    return ingest.existing_hash_antijoin(batch, stored.select("content_hash").distinct())
+    known = stored.select("content_hash").distinct()
+    return ingest.existing_hash_antijoin(batch, known, spread_by="doc_id")
 
 
 @query(

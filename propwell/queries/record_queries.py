@@ -456,7 +456,7 @@ def union_skip_failed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A unit with one unreadable row is left out whole."""
     landed = F.when(F.col("value") < 0.5, F.replace("props", F.lit("}"), F.lit(""))).otherwise(F.col("props"))
     rows = table(spark, sf_dir, "events").select(
-        "user_id", F.from_json(landed, "k BIGINT").getField("k").alias("k")
+        "user_id", "event_id", F.from_json(landed, "k BIGINT").getField("k").alias("k")
     )
-    good, _ = split_failed(rows, ["user_id"], F.col("k").isNull())
+    good, _ = split_failed(rows, ["user_id"], F.col("k").isNull(), "event_id")
     return good.groupBy("user_id").agg(F.count("*").alias("n_rows"), F.sum("k").alias("sum_k"))

@@ -90,6 +90,37 @@ def test_look_back_is_a_top_k_first(spark):
     assert "TakeOrderedAndProject(limit=200" in text
 
 
+def test_hot_sequence_is_split(spark):
+    """A third of the rows in one sequence, no broadcast: AQE splits its partition."""
+    from propwell.operators.paging import page_prefix_cut
+
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "256KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128KB",
+        "spark.sql.shuffle.partitions": "64",
+    }
+    before = {key: spark.conf.get(key, None) for key in settings}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        rows = spark.range(0, 300_000, 1, 8).select(
+            F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id") % 5000).alias("unit"),
+            (F.xxhash64("id") % 50).alias("page"),
+            F.sha2(F.col("id").cast("string"), 256).alias("body"),
+        )
+        cut = page_prefix_cut(rows, ["unit"], "page", F.col("page") == 47)
+        total = cut.agg(F.count("body"), F.sum(F.length("body")))
+        total.collect()
+        text = plan(total)
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+    assert "SortMergeJoin(skew=true)" in text
+
+
 def test_hot_listing_is_cut_into_chunks(spark):
     versions = spark.range(3000).select(
         F.when(F.col("id") % 3 == 0, F.col("id")).otherwise(F.lit(-1)).alias("listing"),
