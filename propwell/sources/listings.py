@@ -10,7 +10,7 @@ from propwell.functions import scalars
 from propwell.functions.canonical import canonical_json, listing_key_hash
 from propwell.functions.markup import with_elements
 from propwell.operators.dedup import first_seen_listing
-from propwell.operators.paging import listing_pages_cut
+from propwell.operators.paging import listing_ends, listing_pages_cut
 from propwell.sources.items import items
 
 _STATE_PATH = "reduxInitialState.domainData.searchList.data.searchPoiV2"
@@ -107,14 +107,22 @@ def scan_listing_rows(pages: DataFrame) -> DataFrame:
     return rows.withColumn("listing_id", F.col("listing.id"))
 
 
+def _fresh(rows: DataFrame) -> DataFrame:
+    present = rows.filter("position IS NOT NULL")
+    return first_seen_listing(present, ["unit"], "listing_id", ["page", "position"])
+
+
+def failed_cities(rows: DataFrame) -> DataFrame:
+    """(unit) of the cities whose sequence breaks off with a bad page."""
+    return listing_ends(rows, _fresh(rows)).filter("failed").select("unit")
+
+
 def collect_listings(rows: DataFrame, scraped_at: Column) -> DataFrame:
     """Rows of `scan_listing_rows` -> items, each listing once per city.
 
     A city that meets a bad page is left out.
     """
-    present = rows.filter("position IS NOT NULL")
-    fresh = first_seen_listing(present, ["unit"], "listing_id", ["page", "position"])
-    kept = listing_pages_cut(rows, fresh)
+    kept = listing_pages_cut(rows, _fresh(rows))
     flat = kept.select("page", "position", *flatten_listing(F.col("listing"), F.col("unit"), scraped_at))
     fields = [name for name in flat.columns if name not in ("page", "position")]
     return items(

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,6 +40,7 @@ class Source:
 
 
 _SOURCES: dict[str, Source] = {}
+_NAMED_FAILURES = 20
 
 
 def register_source(
@@ -91,8 +93,15 @@ def _index_items(spark: SparkSession, path: str, pages: DataFrame) -> DataFrame:
 
 
 def _listing_items(spark: SparkSession, path: str, pages: DataFrame) -> DataFrame:
+    """A run without any listing fails when cities failed; otherwise it is just empty."""
     rows = materialize(listings.scan_listing_rows(pages), "listings")
-    return listings.collect_listings(rows, F.lit(None).cast("string"))
+    scraped_at = datetime.now(timezone.utc).isoformat()
+    found = listings.collect_listings(rows, F.lit(scraped_at))
+    if found.isEmpty():
+        failed = listings.failed_cities(rows).limit(_NAMED_FAILURES).collect()
+        if failed:
+            raise RuntimeError("no listings, failed: " + "; ".join(row.unit for row in failed))
+    return found
 
 
 def _register_page_source(name: str, pages: str, scan_pages: PageScan) -> None:

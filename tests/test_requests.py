@@ -110,6 +110,20 @@ def test_failures_end_in_the_job(spark, market):
         assert entry.level == "error" and entry.details == {"source_name": name}
 
 
+def test_listing_run_without_listings(spark, market, tmp_path):
+    """Empty is fine; empty because every city failed is a failed run."""
+
+    def run(name, *rows):
+        path = str(tmp_path / name)
+        spark.createDataFrame(list(rows), schema.LANDED_PAGE).write.parquet(path)
+        return market.get_job(market.collect_source(fixed.LISTINGS_SOURCE, path)).head()
+
+    assert run("empty", ("haifa", None, 1, 200, "")).status == "completed"
+    job = run("bad", ("haifa", None, 1, 502, ""), ("lod", None, 1, 200, ""))
+    assert job.status == "failed" and "haifa" in job.error_message and "lod" not in job.error_message
+    assert run("mixed", ("haifa", None, 1, 502, ""), ("lod", None, 1, 200, state_page(["1"]))).records_inserted == 1
+
+
 def test_hyphenated_name_and_own_source(spark, market, landed):
     job = market.get_job(market.collect_source("cbs-housing", landed[fixed.INDEX_SOURCE])).head()
     assert job.status == "completed" and job.records_inserted == 1
