@@ -56,12 +56,13 @@ def replace_table(df: DataFrame, path: str) -> None:
 def save_layer(features: DataFrame, path: str) -> None:
     """Write a layer along a curve over the map, so that boxes skip files and row groups.
 
-    Needs `lng` and `lat`, or the bounds of `layers.with_bounds`, whose middle is taken.
+    Needs `lng` and `lat`, or the bounds of `layers.with_bounds`, whose middle is taken. The
+    row number breaks ties, so that one place with very many rows fills several files.
     """
     if {"lng", "lat"} <= set(features.columns):
         lng, lat = F.col("lng"), F.col("lat")
     else:
         lng, lat = (F.col("min_lng") + F.col("max_lng")) / 2, (F.col("min_lat") + F.col("max_lat")) / 2
     placed = features.withColumn("_place", place_order(lng, lat))
-    ordered = placed.repartitionByRange("_place").sortWithinPartitions("_place").drop("_place")
-    ordered.write.mode("overwrite").parquet(path)
+    ordered = placed.repartitionByRange("_place", F.monotonically_increasing_id())
+    ordered.sortWithinPartitions("_place").drop("_place").write.mode("overwrite").parquet(path)

@@ -7,13 +7,25 @@ import uuid
 
 from pyspark.sql import SparkSession
 
-_local_root: str | None = None
+_local_root: tempfile.TemporaryDirectory | None = None
+_SHUFFLE_BYTES = 128 * 2**20
 
 
-def build_session(app_name: str = "propwell", master: str | None = None, **conf: str) -> SparkSession:
+def shuffle_width(input_bytes: int) -> int:
+    """How many partitions a shuffle of the whole input should start with."""
+    return min(max(200, -(-input_bytes // _SHUFFLE_BYTES)), 100_000)
+
+
+def build_session(
+    app_name: str = "propwell",
+    master: str | None = None,
+    input_bytes: int | None = None,
+    **conf: str,
+) -> SparkSession:
     """A session with the settings the operators are written for.
 
-    Shuffle width is left to AQE: it starts wide and coalesces small partitions.
+    Name the size of the input, and shuffles start wide enough for it; AQE merges
+    partitions that turn out small and splits skewed ones.
     """
     builder = SparkSession.builder.appName(app_name)
     if master:
@@ -23,9 +35,11 @@ def build_session(app_name: str = "propwell", master: str | None = None, **conf:
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
-        **conf,
     }
-    for key, value in settings.items():
+    if input_bytes is not None:
+        width = str(shuffle_width(input_bytes))
+        settings["spark.sql.adaptive.coalescePartitions.initialPartitionNum"] = width
+    for key, value in {**settings, **conf}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 
@@ -33,7 +47,7 @@ def build_session(app_name: str = "propwell", master: str | None = None, **conf:
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new path in the folder all executors share (`spark.checkpoint.dir`).
 
-    A machine-local folder is used only by a local session that names none.
+    A machine-local folder, removed at exit, is used only by a local session that names none.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
@@ -41,6 +55,6 @@ def scratch_path(spark: SparkSession, label: str) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
         global _local_root
         if _local_root is None:
-            _local_root = tempfile.mkdtemp(prefix="propwell-")
-        root = _local_root
+            _local_root = tempfile.TemporaryDirectory(prefix="propwell-", ignore_cleanup_errors=True)
+        root = _local_root.name
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"

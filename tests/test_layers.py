@@ -108,6 +108,18 @@ def test_layer_files_cover_small_boxes(spark, tmp_path):
     assert spans.files == 8 and spans.w < 256 * 0.6 and spans.h < 128 * 0.6
 
 
+def test_one_hot_place_fills_several_files(spark, tmp_path):
+    path = str(tmp_path / "layer")
+    spark.range(40_000).select(F.lit(34.5).alias("lng"), F.lit(31.5).alias("lat"), "id").write.parquet(str(tmp_path / "raw"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sinks.save_layer(spark.read.parquet(str(tmp_path / "raw")), path)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    sizes = [r["count"] for r in spark.read.parquet(path).groupBy(F.input_file_name()).count().collect()]
+    assert len(sizes) == 8 and max(sizes) < 10_000 and sum(sizes) == 40_000
+
+
 def test_place_order_interleaves(spark):
     frame = spark.createDataFrame([(-180.0, -90.0), (180.0, 90.0), (180.0, -90.0), (500.0, 0.0)], "x DOUBLE, y DOUBLE")
     found = [r.z for r in frame.select(place_order(F.col("x"), F.col("y"), 2).alias("z")).collect()]

@@ -152,6 +152,12 @@ def test_hot_hash_sends_one_row_per_task(spark):
     assert "Partial" in text[text.index("Exchange hashpartitioning"):]
 
 
+def test_shuffle_width():
+    from propwell.session import shuffle_width
+
+    assert [shuffle_width(n) for n in (0, 10**12, 10**14)] == [200, 7451, 100_000]
+
+
 def test_parquet_store_keeps_source_folders(spark, tmp_path):
     path = str(tmp_path / "records")
     events = event_records(spark, SF_DIR).withColumns({"record_id": F.col("event_id"), "listing_id": F.lit("1")})
