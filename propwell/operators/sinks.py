@@ -27,13 +27,16 @@ def append_records(records: DataFrame, path: str) -> None:
 
 
 def save_bucketed(records: DataFrame, table: str, buckets: int) -> None:
-    """Keep the store as a table bucketed by hash: ingest then reads it without a shuffle."""
-    (
-        records.write.bucketBy(buckets, "content_hash")
-        .sortBy("content_hash")
-        .mode("append")
-        .saveAsTable(table)
-    )
+    """Append to a table bucketed by hash, which ingest compares with in place.
+
+    Rows go to the task of their bucket first, so an append adds one file per bucket (and
+    source, where the table has a folder per source).
+    """
+    folders = ["source_name"] if "source_name" in records.columns else []
+    writer = records.repartition(buckets, "content_hash").write.mode("append")
+    if folders:
+        writer = writer.partitionBy(*folders)
+    writer.bucketBy(buckets, "content_hash").sortBy("content_hash").saveAsTable(table)
 
 
 def append_rows(rows: DataFrame, path: str) -> None:

@@ -32,10 +32,16 @@ def _new_id() -> str:
 
 @dataclass(frozen=True)
 class MarketStore:
-    """Paths of the stored tables and the requests over them."""
+    """Paths of the stored tables and the requests over them.
+
+    Records are a folder under `root`, or, with `records_table`, a catalog table bucketed by
+    hash. The latter lets ingest compare a batch with a large store without moving the store.
+    """
 
     spark: SparkSession
     root: str
+    records_table: str | None = None
+    buckets: int = 1024
 
     def path(self, table: str) -> str:
         return f"{self.root.rstrip('/')}/{table}"
@@ -49,9 +55,12 @@ class MarketStore:
             ("layer_configs", schema.LAYERS),
         ):
             make([], columns).write.mode("ignore").parquet(self.path(table))
-        make([], schema.RAW_RECORDS).write.mode("ignore").partitionBy("source_name").parquet(
-            self.path("raw_records")
-        )
+        records_writer = make([], schema.RAW_RECORDS).write.mode("ignore").partitionBy("source_name")
+        if self.records_table is None:
+            records_writer.parquet(self.path("raw_records"))
+        else:
+            bucketed = records_writer.bucketBy(self.buckets, "content_hash").sortBy("content_hash")
+            bucketed.saveAsTable(self.records_table)
         make([], schema.SOURCES).write.mode("ignore").parquet(self.path("source_registry"))
         seeded = catalog.upsert_sources(self.sources(), catalog.seed_sources(self.spark))
         sinks.replace_table(seeded, self.path("source_registry"))
@@ -59,6 +68,8 @@ class MarketStore:
     # tables
 
     def records(self, **predicates: object) -> DataFrame:
+        if self.records_table is not None:
+            return records.filter_records(self.spark.table(self.records_table), **predicates)
         return store.scan_raw_records(self.spark, self.path("raw_records"), **predicates)
 
     def jobs(self, status: str | None = None) -> DataFrame:
@@ -141,7 +152,11 @@ class MarketStore:
         )
 
     def _append(self, fresh: DataFrame) -> None:
-        sinks.append_records(fresh.select(*self.records().columns), self.path("raw_records"))
+        rows = fresh.select(*self.records().columns)
+        if self.records_table is not None:
+            sinks.save_bucketed(rows, self.records_table, self.buckets)
+        else:
+            sinks.append_records(rows, self.path("raw_records"))
 
     def collect_source(self, source_name: str, landed_path: str) -> str:
         """Ingest one source's landed data; returns the job id."""

@@ -4,11 +4,11 @@ import json
 from datetime import datetime, timezone
 
 import pytest
-from pyspark.sql import functions as F
 
 from propwell import fixed, schema
 from propwell.functions.geometry import BBox
 from propwell.operators import layers, sinks
+from propwell.operators.ingest import existing_hash_antijoin
 from propwell.plans.requests import JobAlreadyRunning, MarketStore
 from propwell.queries.workbooks import archive, workbook
 from propwell.sources.registry import register_source
@@ -70,6 +70,29 @@ def test_collect_all(spark, market, landed):
     assert market.list_all_jobs().count() == 6
 
 
+def test_bucketed_store(spark, landed, tmp_path):
+    """Records in a table bucketed by hash: same results, and ingest leaves the store in place."""
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS bucketed LOCATION '{tmp_path}/bucketed'")
+    try:
+        market = MarketStore(spark, str(tmp_path / "store"), records_table="bucketed.raw_records", buckets=8)
+        market.create()
+        market.create()
+        for _ in range(2):
+            job = market.get_job(market.collect_source(fixed.LISTINGS_SOURCE, landed[fixed.LISTINGS_SOURCE])).head()
+        assert (job.status, job.records_inserted, job.records_skipped) == ("completed", 0, 2)
+        market.collect_source(fixed.DEALS_SOURCE, landed[fixed.DEALS_SOURCE])
+        assert market.count().head().total == 4
+        assert market.count(source_name=fixed.DEALS_SOURCE).head().total == 2
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        batch = spark.range(5).selectExpr("sha2(string(id), 256) AS content_hash")
+        fresh = existing_hash_antijoin(batch, market.records())
+        plan = fresh._jdf.queryExecution().executedPlan().toString()
+        assert "Bucketed: true" in plan and plan.count("Exchange") == 1
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sql("DROP DATABASE bucketed CASCADE")
+
+
 def test_incremental_equals_batch(spark, market, landed, tmp_path):
     """Cities land as files of their own; a bad one fails the job, the rest stays stored."""
     root = tmp_path / "cities"
