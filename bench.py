@@ -1,8 +1,8 @@
 """Times every registered query; prints one JSON line.
 
 BENCH_SF_DIR and BENCH_CPUS choose the tables and the cores. Each query is planned and run
-anew every time: one warm-up, then the median of BENCH_RUNS runs (one run where the warm-up
-took over SLOW seconds) into a sink that reads every column.
+anew every time: one warm-up, then the median of BENCH_RUNS runs into a sink that reads every
+column.
 """
 
 from __future__ import annotations
@@ -18,8 +18,6 @@ from pyspark.sql import SparkSession
 from propwell.queries import QUERIES
 
 
-SLOW = 4.0
-
 
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
@@ -45,9 +43,8 @@ def main() -> None:
 
     seconds = {}
     for name in wanted:
-        warm_up = once(name)
-        repeats = 1 if warm_up > SLOW else runs
-        seconds[name] = round(statistics.median(once(name) for _ in range(repeats)), 4)
+        once(name)
+        seconds[name] = round(statistics.median(once(name) for _ in range(runs)), 4)
     print(
         json.dumps(
             {

@@ -3,6 +3,8 @@
 import check
 import pytest
 
+from propwell.queries import ORACLE, QUERIES
+
 import __spark_entry__ as contract
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -16,13 +18,13 @@ def duck():
 
 
 def test_every_query_has_sql():
-    assert set(contract.queries()) == set(contract.oracle_sql())
+    assert set(QUERIES) == set(ORACLE)
 
 
-@pytest.mark.parametrize("name", sorted(contract.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, duck, name):
-    frame = contract.queries()[name](spark, SF_DIR)
-    assert check.difference(frame, duck, contract.oracle_sql()[name]) is None
+    frame = QUERIES[name](spark, SF_DIR)
+    assert check.difference(frame, duck, ORACLE[name]) is None
 
 
 def test_entry(spark):
