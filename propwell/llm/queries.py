@@ -1,7 +1,9 @@
 """Every query of this subpackage."""
 
 from propwell.llm import (  # noqa: F401
+    chat_format,
     exact_dedup,
+    mixing,
     sharding,
 )
 from propwell.llm.registry import ORACLE, QUERIES  # noqa: F401
