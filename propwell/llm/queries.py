@@ -2,6 +2,7 @@
 
 from propwell.llm import (  # noqa: F401
     chat_format,
+    decontamination,
     exact_dedup,
     mixing,
     sharding,
