@@ -6,5 +6,6 @@ from propwell.llm import (  # noqa: F401
     exact_dedup,
     mixing,
     sharding,
+    substring_dedup,
 )
 from propwell.llm.registry import ORACLE, QUERIES  # noqa: F401
