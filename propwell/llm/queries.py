@@ -5,6 +5,7 @@ from propwell.llm import (  # noqa: F401
     decontamination,
     exact_dedup,
     mixing,
+    near_dedup,
     sharding,
     substring_dedup,
 )
