@@ -8,5 +8,6 @@ from propwell.llm import (  # noqa: F401
     near_dedup,
     sharding,
     substring_dedup,
+    token_files,
 )
 from propwell.llm.registry import ORACLE, QUERIES  # noqa: F401
