@@ -9,5 +9,6 @@ from propwell.llm import (  # noqa: F401
     sharding,
     substring_dedup,
     token_files,
+    toxicity,
 )
 from propwell.llm.registry import ORACLE, QUERIES  # noqa: F401
