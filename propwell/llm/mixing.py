@@ -156,21 +156,22 @@ SEED = "mix"
 
 
 def document_records(documents: DataFrame) -> DataFrame:
-    """`documents` with the columns the mix works on: id, size (words), key."""
-    sized = documents.withColumn("size", word_count(F.col("text"))).withColumn("id", F.col("doc_id"))
-    return sized.withColumn(
-        "key", exponential_key(F.col("doc_id"), prose_quality(F.col("text"), F.col("size")), SEED)
-    )
+    """row (all columns of `documents`), source, id (doc_id), size (words) and key."""
+    text = F.col("row")["text"]
+    packed = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"))
+    sized = packed.select("row", F.col("row")["source"].alias("source"), F.col("row")["doc_id"].alias("id"), word_count(text).alias("size"))
+    return sized.withColumn("key", exponential_key(F.col("id"), prose_quality(text, F.col("size")), SEED))
 
 
 def mix_documents(documents: DataFrame) -> DataFrame:
-    """`documents` (doc_id, text, source, ...) with size, source_size, target, epochs and part.
+    """row (all columns of `documents`, which has doc_id, text and source), id, size,
+    source_size, target, epochs and part.
 
     Null texts have no words. Null sources are one source, the last. Repeated rows draw the
     same key and are treated alike. Reruns agree, however rows are partitioned.
     """
     records = document_records(documents)
-    return with_cuts(records, source_cuts(records.select("source", "id", "size", "key"))).drop("id", "key")
+    return with_cuts(records, source_cuts(records.select("source", "id", "size", "key"))).drop("key", "source")
 
 
 @query(
@@ -222,7 +223,7 @@ def mix_documents(documents: DataFrame) -> DataFrame:
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix_documents(table(spark, sf_dir, "documents", "doc_id", "text", "source"))
     return mixed.select(
-        "doc_id",
+        F.col("id").alias("doc_id"),
         "size",
         "source_size",
         "target",

@@ -6,6 +6,7 @@ from propwell.llm import (  # noqa: F401
     exact_dedup,
     mixing,
     near_dedup,
+    quality,
     sharding,
     substring_dedup,
     token_files,

@@ -218,7 +218,7 @@ def fit(documents: DataFrame, labelled: DataFrame) -> ToxicityModel | float:
         .limit(MOST_EXAMPLES)
     )
     chosen = spark.createDataFrame(sample.toPandas(), "doc_id bigint, label bigint")
-    examples = documents.join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text")
+    examples = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text")
     totals = examples.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("toxic")).first()
     n, toxic = totals["n"], totals["toxic"]
     share = toxic / n if n else 0.0
