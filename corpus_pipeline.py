@@ -36,7 +36,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
         near_dedup.vertex_of(F.col("doc_id"), F.col("text")).alias("vertex"),
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
     )
-    first = rows.join(kept, "vertex", "left_semi").groupBy("vertex").agg(F.min_by("row", F.col("row.text")).alias("row"))
+    first = rows.join(kept, "vertex", "left_semi").groupBy("vertex").agg(F.min_by("row", F.struct("row.text")).alias("row"))
     return first.select("row.*")
 
 

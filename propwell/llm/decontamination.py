@@ -42,7 +42,7 @@ _NAME = rf"\p{{Lu}}\p{{Ll}}{_LETTERS}*+"
 #: A word that begins a sentence (with what stands before it), a name, a word, a number, a sign.
 TOKENS = (
     rf"(?:^|[.!?\n])[^\p{{L}}\p{{N}}]{{0,8}}+{_LETTERS}++"
-    rf"|{_NAME}(?: {_NAME}){{0,3}}"
+    rf"|{_NAME}"
     rf"|{_LETTERS}++"
     r"|[0-9]++(?:[.,:/][0-9]++){0,8}"
     r"|[$€£¥%°]"

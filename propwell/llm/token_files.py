@@ -122,7 +122,8 @@ class SequenceWriter:
         self.stream = ipc.new_stream(sink, sequence_schema(self.dtype, length))
         self.waiting: list[np.ndarray] = []
         self.held = 0
-        self.first_batch, self.batch_bytes = -1, 0
+        # the stream begins with its schema, written along with the first batch
+        self.first_batch, self.batch_bytes = sequence_schema(self.dtype, length).serialize().size, 0
 
     def put(self, ids: np.ndarray) -> None:
         self.waiting.append(ids)
@@ -140,10 +141,9 @@ class SequenceWriter:
             pa.FixedSizeListArray.from_arrays(pa.array(flat, self.dtype), self.length),
             pa.FixedSizeListArray.from_arrays(pa.array(mask), self.length),
         ]
-        before = self.sink.tell()
         self.stream.write_batch(pa.RecordBatch.from_arrays(columns, ["ids", "mask"]))
-        if self.first_batch < 0:
-            self.first_batch, self.batch_bytes = before, self.sink.tell() - before
+        if not self.batch_bytes:
+            self.batch_bytes = self.sink.tell() - self.first_batch
 
     def close(self) -> None:
         flat = np.concatenate(self.waiting) if self.waiting else np.zeros(0)
