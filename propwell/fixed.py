@@ -137,17 +137,10 @@ LISTING_HREF = "/listing/"
 
 # Limits.
 DEALS_PAGE_LIMIT = 100
-MAX_POLYGONS_PER_CITY = 50
 LISTINGS_PAGE_SIZE = 50
-MAX_LISTING_PAGES = 10
 STATUS_LOOKBACK_JOBS = 200
-STATUS_MAX_SOURCES = 100
 MAX_PAGE_LIMIT = 100
 DEFAULT_PAGE_LIMIT = 20
-ALL_JOBS_LIMIT = 1000
-JOB_LOG_LIMIT = 100
-MAX_LAYERS = 100
-MAX_FEATURES = 10_000
 
 # Layers offered when none is configured, and layer kinds.
 # (id, name, type, color, source, min_zoom, max_zoom, opacity)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from propwell import fixed, schema
 from propwell.functions.scalars import normalize_source_name
 from propwell.operators.dedup import first_by
+from propwell.operators.records import page_records
 
 
 def seed_sources(spark: SparkSession) -> DataFrame:
@@ -115,6 +116,5 @@ def source_status(sources: DataFrame, jobs: DataFrame, lookback: int | None = No
 def page_status(
     status: DataFrame, limit: int = fixed.DEFAULT_PAGE_LIMIT, offset: int = 0
 ) -> DataFrame:
-    """A page of the status view, which covers a fixed number of sources by name."""
-    covered = status.orderBy("source_name").limit(fixed.STATUS_MAX_SOURCES)
-    return covered.orderBy("source_name").offset(offset).limit(limit)
+    """A page of the status view, by name."""
+    return page_records(status, "source_name", False, limit, offset, tie="source_name")

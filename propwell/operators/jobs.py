@@ -89,17 +89,16 @@ def page_jobs(
     )
 
 
-def all_jobs(jobs: DataFrame) -> DataFrame:
-    """The newest jobs up to the fixed cap of the unpaged view."""
-    return page_records(
-        jobs, "created_at", True, fixed.ALL_JOBS_LIMIT, 0, tie="job_id", max_limit=fixed.ALL_JOBS_LIMIT
-    )
+def all_jobs(jobs: DataFrame, limit: int | None = None) -> DataFrame:
+    """Jobs, newest first; all of them unless a limit is given."""
+    newest = jobs.orderBy(F.col("created_at").desc(), F.col("job_id").desc())
+    return newest if limit is None else newest.limit(limit)
 
 
-def page_logs(logs: DataFrame, job_id: str, limit: int = fixed.JOB_LOG_LIMIT) -> DataFrame:
-    """One job's log, oldest first."""
-    own = logs.filter(F.col("job_id") == job_id)
-    return page_records(own, "created_at", False, limit, 0, tie="log_id", max_limit=limit)
+def page_logs(logs: DataFrame, job_id: str, limit: int | None = None, offset: int = 0) -> DataFrame:
+    """One job's log, oldest first; all of it after `offset` unless a limit is given."""
+    own = logs.filter(F.col("job_id") == job_id).orderBy("created_at", "log_id").offset(offset)
+    return own if limit is None else own.limit(limit)
 
 
 def append_logs(logs: DataFrame, entries: DataFrame) -> DataFrame:

@@ -17,9 +17,8 @@ def default_layers(spark: SparkSession) -> DataFrame:
 
 
 def scan_layers(configs: DataFrame, defaults: DataFrame) -> DataFrame:
-    """Configured layers (a fixed number by id), or the defaults when there are none."""
-    configured = configs.orderBy("id").limit(fixed.MAX_LAYERS)
-    return configured.unionByName(defaults.filter(~configs.select("id").limit(1).exists()))
+    """Configured layers, or the defaults when there are none."""
+    return configs.unionByName(defaults.filter(~configs.select("id").limit(1).exists()))
 
 
 def layer_exists_semijoin(requests: DataFrame, layers: DataFrame, layer_id: str = "layer_id") -> DataFrame:
@@ -47,6 +46,10 @@ def bbox_filter(features: DataFrame, box: BBox, lng: str = "lng", lat: str = "la
     )
 
 
+#: Columns of a feature's bounds.
+EDGES = ("min_lng", "min_lat", "max_lng", "max_lat")
+
+
 def with_bounds(features: DataFrame, geometry: str = "geometry") -> DataFrame:
     """Adds min_lng, min_lat, max_lng, max_lat; written with the layer, they prune its scan."""
     marked = features.withColumn("_bounds", bounds(F.col(geometry)))
@@ -63,9 +66,10 @@ def bbox_filter_bounds(features: DataFrame, box: BBox) -> DataFrame:
     )
 
 
-def bbox_limit(features: DataFrame, key: Sequence[str], most: int = fixed.MAX_FEATURES) -> DataFrame:
-    """At most `most` features, by key so that a repeat gives the same ones."""
-    return features.orderBy(*key).limit(most)
+def bbox_limit(features: DataFrame, key: Sequence[str | Column], most: int | None = None) -> DataFrame:
+    """Features by key, at most `most` where that is given; the key should tell features apart."""
+    ordered = features.orderBy(*key)
+    return ordered if most is None else ordered.limit(most)
 
 
 def split_valid(features: DataFrame, geometry: str = "geometry") -> tuple[DataFrame, DataFrame]:
@@ -98,11 +102,17 @@ def export_features(features: DataFrame, path: str) -> None:
     features.select(feature_json(features).alias("value")).write.mode("overwrite").text(path)
 
 
-def feature_collection(features: DataFrame, most: int = fixed.MAX_FEATURES) -> DataFrame:
-    """One FeatureCollection document of a bounded result (at most `most` features)."""
-    texts = features.limit(most).agg(
-        F.array_join(F.collect_list(feature_json(features)), ",").alias("_features")
-    )
+def feature_collection(features: DataFrame, most: int) -> DataFrame:
+    """One FeatureCollection document of at most `most` features: those with a geometry, by
+    their text, then the others.
+
+    A document is one value in one task, so it must be bounded; `export_features` writes any
+    number of features.
+    """
+    placed = F.struct(F.col("geometry").isNull().alias("absent"), feature_json(features).alias("text"))
+    first = features.select(placed.alias("_placed")).orderBy("_placed").limit(most)
+    listed = F.array_sort(F.collect_list("_placed"))
+    texts = first.agg(F.array_join(F.transform(listed, lambda f: f["text"]), ",").alias("_features"))
     return texts.select(
         F.concat(
             F.lit('{"type":"FeatureCollection","features":['), F.col("_features"), F.lit("]}")

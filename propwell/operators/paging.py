@@ -71,15 +71,17 @@ def listing_ends(
     rows: DataFrame,
     fresh: DataFrame,
     page_size: int = fixed.LISTINGS_PAGE_SIZE,
-    max_pages: int = fixed.MAX_LISTING_PAGES,
+    max_pages: int | None = None,
 ) -> DataFrame:
     """Ends of listing sequences: empty or short page, announced total reached, page limit.
 
     `rows` holds every listing (an empty page as one row without position), `fresh` the
-    first occurrences. The running sum is over at most `max_pages` rows per city.
+    first occurrences. The running sum is over one row per page of a city. Without
+    `max_pages` every landed page counts.
     """
+    within = F.lit(True) if max_pages is None else F.col("page") <= max_pages
     pages = (
-        rows.filter(F.col("page") <= max_pages)
+        rows.filter(within)
         .groupBy("unit", "page")
         .agg(
             F.count("position").alias("n_on_page"),
@@ -87,7 +89,7 @@ def listing_ends(
             F.bool_or("failed").alias("failed"),
         )
     )
-    new = fresh.filter(F.col("page") <= max_pages).groupBy("unit", "page").agg(F.count("*").alias("n_new"))
+    new = fresh.filter(within).groupBy("unit", "page").agg(F.count("*").alias("n_new"))
     counted = pages.join(new, ["unit", "page"], "left")
     so_far = F.sum(F.coalesce("n_new", F.lit(0))).over(
         Window.partitionBy("unit").orderBy("page").rowsBetween(Window.unboundedPreceding, 0)
@@ -96,13 +98,13 @@ def listing_ends(
     stop = (
         (F.col("n_on_page") < page_size)
         | ((F.col("total") > 0) & (F.col("so_far") >= F.col("total")))
-        | (F.col("page") == max_pages)
+        | (F.lit(False) if max_pages is None else F.col("page") == max_pages)
     )
     return sequence_ends(counted, ["unit"], "page", stop, F.col("failed"))
 
 
-def listing_pages_cut(rows: DataFrame, fresh: DataFrame, **limits: int) -> DataFrame:
+def listing_pages_cut(rows: DataFrame, fresh: DataFrame, max_pages: int | None = None, **sizes: int) -> DataFrame:
     """First occurrences that lie on pages the sequence reaches."""
-    max_pages = limits.get("max_pages", fixed.MAX_LISTING_PAGES)
-    ends = listing_ends(rows, fresh, **limits)
-    return cut_at_end(fresh.filter(F.col("page") <= max_pages), ends, ["unit"], "page")
+    ends = listing_ends(rows, fresh, max_pages=max_pages, **sizes)
+    within = fresh if max_pages is None else fresh.filter(F.col("page") <= max_pages)
+    return cut_at_end(within, ends, ["unit"], "page")

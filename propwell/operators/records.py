@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from propwell import fixed
 from propwell.functions.times import at
-from propwell.operators.joins import join_per_key
 
 _RECORD_ID = re.compile(r"[0-9a-f]{24}")
 
@@ -86,37 +85,26 @@ def lookup_listing(records: DataFrame, source_name: str, listing_id: str) -> Dat
 
 
 def listing_price_history(
-    versions: DataFrame,
-    keys: list[str],
-    seen_at: str,
-    tie: str,
-    price: str,
-    hot_rows: int = 1_000_000,
-    chunk: str = "hour",
+    versions: DataFrame, keys: list[str], seen_at: str, tie: str, price: str, chunk: str = "year"
 ) -> DataFrame:
     """Each version with `previous_price`, its predecessor's price.
 
-    LAG over a key alone would put a listing with very many versions into one task. Keys
-    above `hot_rows` versions are cut into time chunks: LAG runs within (key, chunk), and
-    the last price of each chunk, one row, is carried to the first version of the next.
-    All other keys are one chunk and cost one shuffle.
+    LAG over a key alone would put a listing with very many versions into one task. So every
+    key is cut into time chunks: LAG runs within (key, chunk), and the last price of each
+    chunk, one row, is carried to the first version of the next. Rows without a key have no
+    predecessor and are left out.
     """
-    counts = versions.groupBy(*keys).agg(F.count("*").alias("_n"))
-    hot = counts.filter(F.col("_n") > hot_rows).select(*keys, F.lit(True).alias("_hot"))
-    # the chunk of a cold key is a constant, not NULL, so that it can be joined
-    start = F.when(F.col("_hot"), F.date_trunc(chunk, seen_at).cast("string"))
-    cut = join_per_key(versions, hot, keys, tie).withColumn("_chunk", F.coalesce(start, F.lit("")))
+    known = versions.dropna(subset=keys)
+    cut = known.withColumn("_chunk", F.coalesce(F.date_trunc(chunk, seen_at).cast("string"), F.lit("")))
     slot = [*keys, "_chunk"]
     within = Window.partitionBy(*slot).orderBy(seen_at, tie)
-    local = cut.withColumn("_previous", F.lag(F.struct(price)).over(within))
-    tails = (
-        cut.filter("_hot")
-        .groupBy(*slot)
-        .agg(F.max_by(F.struct(price), F.struct(seen_at, tie)).alias("_tail"))
+    local = cut.withColumn("_first", F.row_number().over(within) == 1).withColumns(
+        {"_previous": F.lag(price).over(within), "_last": F.lead(F.lit(True)).over(within).isNull()}
     )
+    tails = local.filter("_last").select(*slot, F.col(price).alias("_tail"))
     carried = tails.withColumn(
         "_carried", F.lag("_tail").over(Window.partitionBy(*keys).orderBy("_chunk"))
     ).drop("_tail")
     joined = local.join(carried, slot, "left")
-    previous = F.coalesce("_previous", "_carried").getField(price)
+    previous = F.when(F.col("_first"), F.col("_carried")).otherwise(F.col("_previous"))
     return joined.select(*versions.columns, previous.alias("previous_price"))

@@ -262,15 +262,15 @@ class MarketStore:
     def get_job(self, job_id: str) -> DataFrame:
         return records.lookup_by_id(self.jobs(), job_id, "job_id")
 
-    def job_log(self, job_id: str) -> DataFrame:
+    def job_log(self, job_id: str, limit: int | None = None, offset: int = 0) -> DataFrame:
         logs = store.scan_logs(self.spark, self.path("pipeline_logs"), job_id)
-        return jobs.page_logs(logs, job_id)
+        return jobs.page_logs(logs, job_id, limit, offset)
 
     def list_jobs(self, status: str | None = None, limit: int = 20, offset: int = 0) -> DataFrame:
         return jobs.page_jobs(self.jobs(), status, limit, offset)
 
-    def list_all_jobs(self) -> DataFrame:
-        return jobs.all_jobs(self.jobs())
+    def list_all_jobs(self, limit: int | None = None) -> DataFrame:
+        return jobs.all_jobs(self.jobs(), limit)
 
     def list_sources(self, limit: int = 20, offset: int = 0) -> DataFrame:
         return catalog.page_sources(self.sources(), limit, offset)
@@ -288,18 +288,31 @@ class MarketStore:
 
     # spatial read
 
-    def map_features(self, layer_id: str, box: BBox, key: Sequence[str] = ()) -> DataFrame:
-        """Valid features of a configured layer inside a box, at most a fixed number.
+    def map_features(
+        self, layer_id: str, box: BBox, key: Sequence[str] = (), most: int | None = None
+    ) -> DataFrame:
+        """Valid features of a configured layer inside a box, at most `most` where given.
 
-        `key` orders them, so that a cut result is the same each time; without one their
-        place does.
+        They are ordered by `key`, then place, then geometry, so that a cut result is the same
+        each time. The box is compared with columns written with the layer where there are
+        any, so that a scan skips files and row groups.
         """
+        valid, _ = layers.split_valid(self._in_box(layer_id, box))
+        edges = [c for c in layers.EDGES if c in valid.columns]
+        place = edges or ["lng", "lat"]
+        picked = layers.bbox_limit(valid, [*key, *place, F.to_json("geometry")], most)
+        return layers.feature_projection(picked.drop(*edges))
+
+    def map_rejects(self, layer_id: str, box: BBox) -> DataFrame:
+        """Rows of a layer inside a box whose geometry is not valid."""
+        return layers.split_valid(self._in_box(layer_id, box))[1]
+
+    def _in_box(self, layer_id: str, box: BBox) -> DataFrame:
         rows = layers.drop_internal_id(
             store.scan_layer_features(self.spark, self.layers(), layer_id, self.root)
         )
-        edges = ["min_lng", "min_lat", "max_lng", "max_lat"]
-        if "min_lng" not in rows.columns:
-            rows = layers.with_bounds(rows)
-        valid, _ = layers.split_valid(layers.bbox_filter_bounds(rows, box))
-        picked = layers.bbox_limit(valid, list(key) or edges)
-        return layers.feature_projection(picked.drop(*edges))
+        if set(layers.EDGES) <= set(rows.columns):
+            return layers.bbox_filter_bounds(rows, box)
+        if {"lng", "lat"} <= set(rows.columns):
+            return layers.bbox_filter(rows, box)
+        return layers.bbox_filter_bounds(layers.with_bounds(rows), box)

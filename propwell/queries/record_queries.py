@@ -65,14 +65,15 @@ def lookup_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """SELECT o_custkey, o_orderkey, o_totalprice, lag(o_totalprice) OVER
-      (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS previous_price FROM orders"""
+      (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS previous_price FROM orders
+    WHERE o_custkey IS NOT NULL"""
 )
 def listing_price_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     versions = table(spark, sf_dir, "orders").select(
         "o_custkey", "o_orderkey", "o_orderdate", "o_totalprice"
     )
     history = records.listing_price_history(
-        versions, ["o_custkey"], "o_orderdate", "o_orderkey", "o_totalprice", hot_rows=12, chunk="year"
+        versions, ["o_custkey"], "o_orderdate", "o_orderkey", "o_totalprice"
     )
     return history.drop("o_orderdate")
 
@@ -111,7 +112,7 @@ def page_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """SELECT event_id, ts FROM events WHERE user_id::VARCHAR = '5'
-    ORDER BY ts, event_id LIMIT 100"""
+    ORDER BY ts, event_id LIMIT 7 OFFSET 2"""
 )
 def page_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     logs = table(spark, sf_dir, "events").select(
@@ -119,7 +120,7 @@ def page_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("user_id").cast("string").alias("job_id"),
         F.col("ts").alias("created_at"),
     )
-    return jobs.page_logs(logs, "5").select(
+    return jobs.page_logs(logs, "5", 7, 2).select(
         F.col("log_id").alias("event_id"), F.col("created_at").alias("ts")
     )
 
@@ -163,12 +164,12 @@ def source_status_lookback(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""SELECT * FROM (SELECT * FROM ({_STATUS_SQL.format(jobs=JOBS_SQL)})
-    ORDER BY source_name LIMIT 100) ORDER BY source_name LIMIT 20 OFFSET 20"""
+    f"""SELECT * FROM ({_STATUS_SQL.format(jobs=JOBS_SQL)})
+    ORDER BY source_name LIMIT 20 OFFSET 110"""
 )
 def page_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     status = catalog.source_status(customer_sources(spark, sf_dir), order_jobs(spark, sf_dir))
-    return catalog.page_status(status, 20, 20)
+    return catalog.page_status(status, 20, 110)
 
 
 @query(

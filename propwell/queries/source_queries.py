@@ -408,13 +408,12 @@ def flatten_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH rows AS (SELECT *, p_type NOT IN ('ECONOMY', 'STANDARD') AS present FROM part
-      WHERE p_size <= 10),
+    f"""WITH rows AS (SELECT *, p_type NOT IN ('ECONOMY', 'STANDARD') AS present FROM part),
     pages AS (SELECT p_brand, p_size, count(*) FILTER (present) AS n,
       max(CASE WHEN present THEN p_size % 7 ELSE 0 END) AS total FROM rows GROUP BY 1, 2),
     counted AS (SELECT *, sum(n) OVER (PARTITION BY p_brand ORDER BY p_size) AS so_far FROM pages),
     ends AS (SELECT p_brand, min(p_size) AS last_page FROM counted
-      WHERE n < {LISTINGS_PAGE_SIZE} OR (total > 0 AND so_far >= total) OR p_size = 10 GROUP BY 1)
+      WHERE n < {LISTINGS_PAGE_SIZE} OR (total > 0 AND so_far >= total) GROUP BY 1)
     SELECT p_brand AS unit, p_size::BIGINT AS page, p_partkey::VARCHAR AS listing_id,
       sha256('{{"address": "' || p_name || ' {{street}}", "listing_id": "' || p_partkey ||
         '", "price": ' || p_size || '}}') AS content_hash

@@ -13,7 +13,7 @@ _SHUFFLE_BYTES = 128 * 2**20
 
 def shuffle_width(input_bytes: int) -> int:
     """How many partitions a shuffle of the whole input should start with."""
-    return min(max(200, -(-input_bytes // _SHUFFLE_BYTES)), 100_000)
+    return max(200, -(-input_bytes // _SHUFFLE_BYTES))
 
 
 def build_session(

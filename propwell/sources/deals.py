@@ -84,14 +84,17 @@ def deal_sequence_ends(rows: DataFrame, limit: int = fixed.DEALS_PAGE_LIMIT) ->
 
 
 def asked_polygons(
-    places: DataFrame, polygons: DataFrame, most: int = fixed.MAX_POLYGONS_PER_CITY
+    places: DataFrame, polygons: DataFrame, most: int | None = None
 ) -> DataFrame:
     """(unit, request_id, turn): the polygons each city with a point asks for.
 
-    The cap counts members of the response before those without an id are dropped.
+    A cap, where one is given, counts members of the response before those without an id
+    are dropped.
     """
     located = scan_place_responses(places).filter("point IS NOT NULL").select("unit").distinct()
-    listed = cap_per_group(scan_polygon_pages(polygons), "position", most)
+    listed = scan_polygon_pages(polygons)
+    if most is not None:
+        listed = cap_per_group(listed, "position", most)
     return (
         listed.filter("polygon_id IS NOT NULL")
         .join(located, "unit", "left_semi")

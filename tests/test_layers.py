@@ -73,7 +73,7 @@ def test_missing_geometry_is_in_no_box(spark):
 def test_collection_document(spark):
     rows = spark.createDataFrame([(7, "a", 34.5, 31.5), (8, None, None, 31.0)], "_id INT, name STRING, lng DOUBLE, lat DOUBLE")
     located = rows.select("_id", "name", point(F.col("lng"), F.col("lat")).alias("geometry"))
-    document = layers.feature_collection(layers.feature_projection(located)).head().document
+    document = layers.feature_collection(layers.feature_projection(located), 100).head().document
     assert json.loads(document) == {
         "type": "FeatureCollection",
         "features": [
@@ -81,7 +81,7 @@ def test_collection_document(spark):
             {"type": "Feature", "geometry": None, "properties": {"name": None}, "id": None},
         ],
     }
-    empty = layers.feature_collection(layers.feature_projection(located.filter("_id > 8")))
+    empty = layers.feature_collection(layers.feature_projection(located.filter("_id > 8")), 100)
     assert json.loads(empty.head().document)["features"] == []
 
 
