@@ -72,6 +72,7 @@ def listing_ends(
     fresh: DataFrame,
     page_size: int = fixed.LISTINGS_PAGE_SIZE,
     max_pages: int | None = None,
+    keys: Sequence[str] = ("unit",),
 ) -> DataFrame:
     """Ends of listing sequences: empty or short page, announced total reached, page limit.
 
@@ -82,17 +83,17 @@ def listing_ends(
     within = F.lit(True) if max_pages is None else F.col("page") <= max_pages
     pages = (
         rows.filter(within)
-        .groupBy("unit", "page")
+        .groupBy(*keys, "page")
         .agg(
             F.count("position").alias("n_on_page"),
             F.max("total").alias("total"),
             F.bool_or("failed").alias("failed"),
         )
     )
-    new = fresh.filter(within).groupBy("unit", "page").agg(F.count("*").alias("n_new"))
-    counted = pages.join(new, ["unit", "page"], "left")
+    new = fresh.filter(within).groupBy(*keys, "page").agg(F.count("*").alias("n_new"))
+    counted = pages.join(new, [*keys, "page"], "left")
     so_far = F.sum(F.coalesce("n_new", F.lit(0))).over(
-        Window.partitionBy("unit").orderBy("page").rowsBetween(Window.unboundedPreceding, 0)
+        Window.partitionBy(*keys).orderBy("page").rowsBetween(Window.unboundedPreceding, 0)
     )
     counted = counted.withColumn("so_far", so_far)
     stop = (
@@ -100,11 +101,17 @@ def listing_ends(
         | ((F.col("total") > 0) & (F.col("so_far") >= F.col("total")))
         | (F.lit(False) if max_pages is None else F.col("page") == max_pages)
     )
-    return sequence_ends(counted, ["unit"], "page", stop, F.col("failed"))
+    return sequence_ends(counted, keys, "page", stop, F.col("failed"))
 
 
-def listing_pages_cut(rows: DataFrame, fresh: DataFrame, max_pages: int | None = None, **sizes: int) -> DataFrame:
+def listing_pages_cut(
+    rows: DataFrame,
+    fresh: DataFrame,
+    page_size: int = fixed.LISTINGS_PAGE_SIZE,
+    max_pages: int | None = None,
+    keys: Sequence[str] = ("unit",),
+) -> DataFrame:
     """First occurrences that lie on pages the sequence reaches."""
-    ends = listing_ends(rows, fresh, max_pages=max_pages, **sizes)
+    ends = listing_ends(rows, fresh, page_size, max_pages, keys)
     within = fresh if max_pages is None else fresh.filter(F.col("page") <= max_pages)
-    return cut_at_end(within, ends, ["unit"], "page")
+    return cut_at_end(within, ends, keys, "page")

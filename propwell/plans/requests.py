@@ -14,6 +14,7 @@ from propwell import fixed, schema
 from propwell.functions.geometry import BBox
 from propwell.operators import catalog, ingest, jobs, layers, records, sinks
 from propwell.sources import store
+from propwell.sources.items import read_landed_pages, whole_sequences
 from propwell.sources.registry import Source, get_source, implemented_sources
 from propwell.streaming.incremental import incremental_ingest
 
@@ -162,9 +163,16 @@ class MarketStore:
         """Ingest one source's landed data; returns the job id."""
 
         def work(job_id: str, source: Source) -> int:
-            batch = self._enveloped(source.scan(self.spark, landed_path), job_id, source)
+            failed = 0
+            if source.scan_pages is None:
+                found = source.scan(self.spark, landed_path)
+            else:
+                pages = read_landed_pages(self.spark, f"{landed_path}/{source.pages}".rstrip("/"))
+                scanned = source.scan_pages(self.spark, landed_path, pages)
+                found, failed = scanned.items, self._log_failed(job_id, source.name, scanned.failed)
+            batch = self._enveloped(found, job_id, source)
             self._append(ingest.ingest_dedup(batch, self.records()))
-            return batch.count()
+            return self._seen(job_id, batch.count(), failed)
 
         return self._run(source_name, work)
 
@@ -173,17 +181,24 @@ class MarketStore:
     ) -> str:
         """Ingest what landed since the last call, some files at a time; returns the job id.
 
-        A landed file must hold whole sequences (a city, a series). The job's counters rise
-        with every batch, and a failure keeps what was stored before it.
+        Each batch takes the whole sequences (a city, a series) its files have pages of, so the
+        result does not depend on how sequences lie in files or files in batches. Failed units
+        are left out and logged; they stop nothing. The job's counters rise with every batch,
+        and a failure keeps what was stored before it.
         """
 
         def work(job_id: str, source: Source) -> int:
             if source.scan_pages is None:
                 raise LookupError(f"source {source_name!r} does not land as pages")
-            seen = 0
+            folder = f"{landed_path}/{source.pages}".rstrip("/")
+            seen = failed = 0
 
             def prepare(pages: DataFrame) -> DataFrame:
-                return self._enveloped(source.scan_pages(self.spark, landed_path, pages), job_id, source)
+                nonlocal failed
+                whole = whole_sequences(pages, read_landed_pages(self.spark, folder))
+                scanned = source.scan_pages(self.spark, landed_path, whole)
+                failed += self._log_failed(job_id, source.name, scanned.failed)
+                return self._enveloped(scanned.items, job_id, source)
 
             def count(batch: DataFrame) -> None:
                 nonlocal seen
@@ -191,14 +206,14 @@ class MarketStore:
                 self._transition(job_id, "running", **self._counters(job_id, source_name, seen))
 
             stream = (
-                self.spark.readStream.schema(schema.LANDED_PAGE)
+                self.spark.readStream.schema(schema.LANDED_PAGE_OF_RUN)
                 .option("maxFilesPerTrigger", files_per_batch)
-                .parquet(f"{landed_path}/{source.pages}".rstrip("/"))
+                .parquet(folder)
             )
             incremental_ingest(
                 stream, self.records, self._append, checkpoint, prepare=prepare, after=count
             ).awaitTermination()
-            return seen
+            return self._seen(job_id, seen, failed)
 
         return self._run(source_name, work)
 
@@ -213,6 +228,28 @@ class MarketStore:
             raise LookupError(f"source {source_name!r}: {verdict}")
         return get_source(source_name)
 
+    def _log_failed(self, job_id: str, source_name: str, failed: DataFrame) -> int:
+        """One log row per failed unit; returns how many."""
+        entries = failed.select(
+            F.substring(F.sha2(F.concat_ws("/", F.lit(_new_id()), "run_id", "unit"), 256), 1, 24).alias("log_id"),
+            F.lit(job_id).alias("job_id"),
+            F.lit("warning").alias("level"),
+            F.concat(F.lit("failed: "), F.coalesce("unit", F.lit(""))).alias("message"),
+            F.lit(_now()).alias("created_at"),
+            F.create_map(F.lit("source_name"), F.lit(source_name), F.lit("unit"), "unit", F.lit("run_id"), "run_id").alias("details"),
+        )
+        kept = sinks.materialize(entries, "failed")
+        sinks.append_rows(kept, self.path("pipeline_logs"))
+        return kept.count()
+
+    def _seen(self, job_id: str, seen: int, failed: int) -> int:
+        """`seen`, unless a run brought nothing because units failed; their log has every name."""
+        if failed and not seen:
+            log = self.job_log(job_id).filter("level = 'warning'")
+            names = [row.message for row in log.limit(20).collect()]
+            raise RuntimeError(f"no rows, {failed} units failed (all in the log): " + "; ".join(names))
+        return seen
+
     def _log_error(self, job_id: str, source_name: str, message: str) -> None:
         entry = self.spark.range(1).select(
             F.lit(_new_id()).alias("log_id"),

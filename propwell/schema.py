@@ -5,6 +5,9 @@ from __future__ import annotations
 # One landed response: `unit` is the thing asked for (series id, city), `request_id`
 # the finer key inside it (polygon), `page` counts from 1 within (unit, request_id).
 LANDED_PAGE = "unit STRING, request_id STRING, page INT, status_code INT, body STRING"
+# `run_id` tells the sequences of one crawl from those of the next; folders `run_id=...`
+# also let ingest bit by bit read only the runs it is about. Files without it are one run.
+LANDED_PAGE_OF_RUN = f"{LANDED_PAGE}, run_id STRING"
 
 RAW_RECORDS = (
     "record_id STRING, source_name STRING, source_url STRING, ingested_at TIMESTAMP, "

@@ -15,9 +15,10 @@ from propwell.functions.canonical import (
     with_entries,
 )
 from propwell.functions.scalars import parse_point
-from propwell.operators.dedup import cap_per_group, first_seen_hash
+from propwell.operators.dedup import cap_per_group, first_by, first_seen_hash
 from propwell.operators.paging import cut_at_end, sequence_ends
-from propwell.sources.items import items
+from propwell.operators.sinks import materialize
+from propwell.sources.items import items, with_run
 
 
 def scan_place_responses(places: DataFrame, body: str = "body") -> DataFrame:
@@ -75,12 +76,16 @@ def add_provenance(payload: Column, requested_polygon: Column) -> Column:
     return let(payload, marked)
 
 
+#: What a sequence of pages is asked for by: a polygon, once per crawl.
+SEQUENCE = ["run_id", "request_id"]
+
+
 def deal_sequence_ends(rows: DataFrame, limit: int = fixed.DEALS_PAGE_LIMIT) -> DataFrame:
     """Ends of deal sequences: 404, or fewer deals than a full page."""
     gone = F.coalesce(F.col("status_code") == 404, F.lit(False))
     stop = gone | (F.col("n_on_page") < limit)
     failed = ~gone & (F.coalesce(F.col("status_code") >= 400, F.lit(False)) | F.col("failed"))
-    return sequence_ends(rows, ["request_id"], "page", stop, failed)
+    return sequence_ends(rows, SEQUENCE, "page", stop, failed)
 
 
 def asked_polygons(
@@ -111,19 +116,31 @@ def city_polygon_deals(asked: DataFrame, deals: DataFrame) -> DataFrame:
     return deals.drop("unit").join(asked, "request_id")
 
 
+def _bad_cities(asked: DataFrame, ends: DataFrame) -> DataFrame:
+    failed = ends.filter("failed").select(*SEQUENCE)
+    return asked.join(failed, "request_id").select("run_id", "unit").distinct()
+
+
+def failed_cities(places: DataFrame, polygons: DataFrame, rows: DataFrame) -> DataFrame:
+    """(run_id, unit) of the cities that ask for a polygon whose pages break off with a bad one."""
+    return _bad_cities(asked_polygons(places, polygons), deal_sequence_ends(with_run(rows)))
+
+
 def collect_deals(places: DataFrame, polygons: DataFrame, rows: DataFrame) -> DataFrame:
     """Landed place and polygon pages and rows of `scan_deal_pages` -> items.
 
-    A city that meets a bad page is left out; of the rest, each hash comes once.
+    A city that meets a bad page is left out of that crawl; of the rest, each hash comes once.
+    The hash does not depend on the city, so a polygon goes to the first city that asks for it.
     """
-    asked = asked_polygons(places, polygons)
+    rows = with_run(rows)
+    asked = materialize(asked_polygons(places, polygons), "asked")
     ends = deal_sequence_ends(rows)
-    bad_cities = (
-        asked.join(ends.filter("failed"), "request_id", "left_semi").select("unit").distinct()
+    crawled = rows.select(*SEQUENCE).distinct().join(asked, "request_id")
+    first = first_by(
+        crawled.join(_bad_cities(asked, ends), ["run_id", "unit"], "left_anti"), SEQUENCE, ["unit", "turn"]
     )
-    kept = cut_at_end(rows, ends, ["request_id"], "page").filter("position IS NOT NULL")
-    asked = asked.join(bad_cities, "unit", "left_anti")
-    found = city_polygon_deals(asked, kept)
+    kept = cut_at_end(rows, ends, SEQUENCE, "page").filter("position IS NOT NULL")
+    found = kept.drop("unit").join(first, SEQUENCE)
     payload = add_provenance(canonical_rename(F.col("deal")), F.col("request_id"))
     text = found.withColumn("payload_json", json_map(payload, T.VariantType()))
     collected = items(

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from propwell import schema
 from propwell.fixed import INDEX_PROVENANCE
 from propwell.functions.canonical import canonical_json, content_hash
-from propwell.operators.paging import page_prefix_cut
-from propwell.sources.items import items
+from propwell.operators.paging import page_prefix_cut, sequence_ends
+from propwell.sources.items import items, with_run
 
 _SHARED = (
     "series_code", "series_name", "period_type", "year", "percent_change",
@@ -91,16 +91,31 @@ def scan_index_rows(pages: DataFrame) -> DataFrame:
     return flatten_index_entry(scan_index_pages(pages))
 
 
+#: What a sequence of pages is asked for by: a series, once per crawl.
+SEQUENCE = ["run_id", "unit"]
+
+
+def _endings() -> tuple[Column, Column, Column]:
+    """(server broke, sequence stops, sequence fails) of a page."""
+    broken = F.coalesce(F.col("status_code") == 500, F.lit(False))
+    failed = ~broken & (F.coalesce(F.col("status_code") >= 400, F.lit(False)) | F.col("failed"))
+    return broken, broken | F.col("next_url").isNull(), failed
+
+
+def failed_series(rows: DataFrame) -> DataFrame:
+    """(run_id, unit) of the series whose pages break off with a bad one."""
+    _, stop, failed = _endings()
+    return sequence_ends(with_run(rows), SEQUENCE, "page", stop, failed).filter("failed").select(*SEQUENCE)
+
+
 def collect_index(rows: DataFrame) -> DataFrame:
     """Rows of `scan_index_rows` -> items.
 
     A series ends at its first 500 or page without a successor; a series whose pages
-    break off in any other way is left out.
+    break off in any other way is left out of that crawl.
     """
-    broken = F.coalesce(F.col("status_code") == 500, F.lit(False))
-    stop = broken | F.col("next_url").isNull()
-    failed = ~broken & (F.coalesce(F.col("status_code") >= 400, F.lit(False)) | F.col("failed"))
-    kept = page_prefix_cut(rows, ["unit"], "page", stop, failed)
+    broken, stop, failed = _endings()
+    kept = page_prefix_cut(with_run(rows), SEQUENCE, "page", stop, failed)
     entries = kept.filter(F.col("position").isNotNull() & ~broken)
     text, digest = index_hash(entries)
     return items(

@@ -37,9 +37,22 @@ def items(
     )
 
 
+def with_run(rows: DataFrame) -> DataFrame:
+    """Rows with `run_id`, '' where the landed pages have none."""
+    given = F.col("run_id") if "run_id" in rows.columns else F.lit(None)
+    return rows.withColumn("run_id", F.coalesce(given.cast("string"), F.lit("")))
+
+
 def read_landed_pages(spark: SparkSession, path: str) -> DataFrame:
-    """The landed responses under `path` (Parquet, `schema.LANDED_PAGE`)."""
-    return spark.read.schema(schema.LANDED_PAGE).parquet(path)
+    """The landed responses under `path` (Parquet, `schema.LANDED_PAGE_OF_RUN`)."""
+    return with_run(spark.read.schema(schema.LANDED_PAGE_OF_RUN).parquet(path))
+
+
+def whole_sequences(pages: DataFrame, landed: DataFrame) -> DataFrame:
+    """All landed pages of the sequences that `pages` has a page of."""
+    touched = with_run(pages).select("run_id", "unit", "request_id").distinct()
+    same = [landed[c].eqNullSafe(touched[c]) for c in ("unit", "request_id")]
+    return landed.join(touched, [landed["run_id"] == touched["run_id"], *same], "left_semi")
 
 
 def read_page_files(spark: SparkSession, path: str, suffix: str = "json") -> DataFrame:

@@ -11,7 +11,7 @@ from propwell.functions.canonical import canonical_json, listing_key_hash
 from propwell.functions.markup import with_elements
 from propwell.operators.dedup import first_seen_listing
 from propwell.operators.paging import listing_ends, listing_pages_cut
-from propwell.sources.items import items
+from propwell.sources.items import items, with_run
 
 _STATE_PATH = "reduxInitialState.domainData.searchList.data.searchPoiV2"
 
@@ -98,7 +98,7 @@ def scan_listing_rows(pages: DataFrame) -> DataFrame:
     refused = F.coalesce(F.col("status_code") == 403, F.lit(False))
     readable = pages.withColumn("body", F.when(~refused, F.col("body")))
     rows = scan_embedded_state(readable).select(
-        "unit",
+        *[name for name in ("run_id", "unit") if name in pages.columns],
         "page",
         (~refused & F.coalesce(F.col("status_code") >= 400, F.lit(False))).alias("failed"),
         "total",
@@ -107,22 +107,28 @@ def scan_listing_rows(pages: DataFrame) -> DataFrame:
     return rows.withColumn("listing_id", F.col("listing.id"))
 
 
+#: What a sequence of pages is asked for by: a city, once per crawl.
+SEQUENCE = ["run_id", "unit"]
+
+
 def _fresh(rows: DataFrame) -> DataFrame:
     present = rows.filter("position IS NOT NULL")
-    return first_seen_listing(present, ["unit"], "listing_id", ["page", "position"])
+    return first_seen_listing(present, SEQUENCE, "listing_id", ["page", "position"])
 
 
 def failed_cities(rows: DataFrame) -> DataFrame:
-    """(unit) of the cities whose sequence breaks off with a bad page."""
-    return listing_ends(rows, _fresh(rows)).filter("failed").select("unit")
+    """(run_id, unit) of the cities whose sequence breaks off with a bad page."""
+    rows = with_run(rows)
+    return listing_ends(rows, _fresh(rows), keys=SEQUENCE).filter("failed").select(*SEQUENCE)
 
 
 def collect_listings(rows: DataFrame, scraped_at: Column) -> DataFrame:
-    """Rows of `scan_listing_rows` -> items, each listing once per city.
+    """Rows of `scan_listing_rows` -> items, each listing once per city and crawl.
 
-    A city that meets a bad page is left out.
+    A city that meets a bad page is left out of that crawl.
     """
-    kept = listing_pages_cut(rows, _fresh(rows))
+    rows = with_run(rows)
+    kept = listing_pages_cut(rows, _fresh(rows), keys=SEQUENCE)
     flat = kept.select("page", "position", *flatten_listing(F.col("listing"), F.col("unit"), scraped_at))
     fields = [name for name in flat.columns if name not in ("page", "position")]
     return items(

@@ -20,15 +20,23 @@ from propwell.sources.items import read_landed_pages
 Scan = Callable[[SparkSession, str], DataFrame]
 
 
-PageScan = Callable[[SparkSession, str, DataFrame], DataFrame]
+@dataclass(frozen=True)
+class Scanned:
+    """Items, and (run_id, unit) of the units that were left out because they failed."""
+
+    items: DataFrame
+    failed: DataFrame
+
+
+PageScan = Callable[[SparkSession, str, DataFrame], Scanned]
 
 
 @dataclass(frozen=True)
 class Source:
     """A named scan from a landed path to items (see `sources.items`).
 
-    `scan_pages` does the same for some of the landed pages only, for ingest bit by bit;
-    they must hold whole sequences.
+    `scan_pages` does the same for some of the landed pages only, for ingest bit by bit, and
+    names failed units; the pages it gets hold whole sequences.
     """
 
     name: str
@@ -40,7 +48,6 @@ class Source:
 
 
 _SOURCES: dict[str, Source] = {}
-_NAMED_FAILURES = 20
 
 
 def register_source(
@@ -82,31 +89,26 @@ def _archive_items(spark: SparkSession, path: str) -> DataFrame:
     return archive.collect_archive(archive.scan_archive_sheets(archive.read_archives(spark, path)))
 
 
-def _deal_items(spark: SparkSession, path: str, pages: DataFrame) -> DataFrame:
+def _deal_items(spark: SparkSession, path: str, pages: DataFrame) -> Scanned:
     rows = materialize(deals.scan_deal_pages(pages), "deals")
-    places = read_landed_pages(spark, f"{path}/places")
-    return deals.collect_deals(places, read_landed_pages(spark, f"{path}/polygons"), rows)
+    places, polygons = (read_landed_pages(spark, f"{path}/{name}") for name in ("places", "polygons"))
+    return Scanned(deals.collect_deals(places, polygons, rows), deals.failed_cities(places, polygons, rows))
 
 
-def _index_items(spark: SparkSession, path: str, pages: DataFrame) -> DataFrame:
-    return index_pages.collect_index(materialize(index_pages.scan_index_rows(pages), "index"))
+def _index_items(spark: SparkSession, path: str, pages: DataFrame) -> Scanned:
+    rows = materialize(index_pages.scan_index_rows(pages), "index")
+    return Scanned(index_pages.collect_index(rows), index_pages.failed_series(rows))
 
 
-def _listing_items(spark: SparkSession, path: str, pages: DataFrame) -> DataFrame:
-    """A run without any listing fails when cities failed; otherwise it is just empty."""
+def _listing_items(spark: SparkSession, path: str, pages: DataFrame) -> Scanned:
     rows = materialize(listings.scan_listing_rows(pages), "listings")
     scraped_at = datetime.now(timezone.utc).isoformat()
-    found = listings.collect_listings(rows, F.lit(scraped_at))
-    if found.isEmpty():
-        failed = listings.failed_cities(rows).limit(_NAMED_FAILURES).collect()
-        if failed:
-            raise RuntimeError("no listings, failed: " + "; ".join(row.unit for row in failed))
-    return found
+    return Scanned(listings.collect_listings(rows, F.lit(scraped_at)), listings.failed_cities(rows))
 
 
 def _register_page_source(name: str, pages: str, scan_pages: PageScan) -> None:
     def scan(spark: SparkSession, path: str) -> DataFrame:
-        return scan_pages(spark, path, read_landed_pages(spark, f"{path}/{pages}".rstrip("/")))
+        return scan_pages(spark, path, read_landed_pages(spark, f"{path}/{pages}".rstrip("/"))).items
 
     register_source(name, scan, _URLS[name], "http_get", pages, scan_pages)
 

@@ -115,6 +115,24 @@ def test_incremental_equals_batch(spark, market, landed, tmp_path):
     assert market.get_job(deals).head().records_inserted == 2
 
 
+@pytest.mark.parametrize("files_per_batch", [1, 1000])
+def test_sequences_over_files_and_batches(spark, market, tmp_path, files_per_batch):
+    """A city of 70 listings over two files, in two crawls with another price, beside a city that
+    answers 502: the same rows for any number of files per batch, and a trace of the failure."""
+    root = str(tmp_path / "cities")
+    ids = [str(i) for i in range(70)]
+    for run, price in (("a", "1250000"), ("b", "90")):
+        for page, part in ((1, ids[:50]), (2, ids[50:])):
+            body = state_page(part).replace("1250000", price)
+            rows = [("haifa", None, page, 200, body, run), (f"bad{page}", None, 1, 502, "", run)]
+            spark.createDataFrame(rows, schema.LANDED_PAGE_OF_RUN).coalesce(1).write.mode("append").parquet(root)
+    job_id = market.collect_incremental(fixed.LISTINGS_SOURCE, root, str(tmp_path / "checkpoint"), files_per_batch)
+    assert market.get_job(job_id).head().status == "completed"
+    assert market.count(source_name=fixed.LISTINGS_SOURCE).head().total == 140
+    failed = {(r.details["unit"], r.details["run_id"]) for r in market.job_log(job_id).collect()}
+    assert failed == {(f"bad{page}", run) for page in (1, 2) for run in ("a", "b")}
+
+
 def test_price_history(spark, market, tmp_path):
     for day, price in ((1, 100), (2, 90), (3, 95)):
         body = state_page(["5"]).replace("1250000", str(price))
