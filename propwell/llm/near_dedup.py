@@ -10,8 +10,12 @@ plus a fixed number of darts; the few it leaves open get twice the rank.
 Equal word sequences are one vertex from the start. Signatures are cut into bands. In every
 bucket of a band the smallest vertex is paired with all others (as many pairs as rows); pairs are
 verified exactly on their shingles and joined to classes. Links within a class change
-nothing any more, so then only rows of a bucket that are in different classes are paired, and
-verified too. Verified links make the classes.
+nothing any more, so only buckets with rows of different classes go on. In those of up to
+MOST_PAIRED rows, rows of different classes are paired and verified. Larger ones are gathered to
+groups: all rows outside a group's largest class are queries against all its rows, which are
+kept in blocks of bounded size with an index of their shingles; of the similar rows a
+query finds, only those that join classes not yet joined leave the task. Both ways find every link
+between classes; the second gives no more rows than there are queries and classes.
 """
 
 from __future__ import annotations
@@ -32,6 +36,10 @@ SIMILARITY = 0.8
 #: Pairs at the similarity of 0.8 share no band with a probability of (1 - 0.8**5)**30 < 1e-5.
 BANDS, ROWS = 30, 5
 COORDINATES = BANDS * ROWS
+#: Rows of a bucket that may be paired one by one; larger buckets go by blocks.
+MOST_PAIRED = 64
+#: Shingles of the texts in one block.
+BLOCK_WEIGHT = 1_500_000
 #: Vertices of rows without an id are above all ids.
 NO_ID = 1 << 62
 
@@ -207,6 +215,95 @@ def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([a.filter(pa.array(good)), b.filter(pa.array(good))], ["a", "b"])
 
 
+def _links_in_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows in order of (group, block, asks): a block's own texts, then the queries against it ->
+    links that join its classes."""
+    now, index = None, None
+    for batch in batches:
+        group, block, asks = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("grp", "block", "asks"))
+        vertex, cls = batch.column("vertex").to_numpy(), batch.column("class").to_numpy()
+        links: list[tuple[int, int]] = []
+        for first, last, data, offsets in W.pieces(batch.column("text")):
+            hashes, owner, _, _ = shingles(data, offsets)
+            cells = np.split(unit_cells(hashes, owner), np.cumsum(np.bincount(owner, minlength=last - first))[:-1])
+            for i, own in zip(range(first, last), cells, strict=True):
+                if (group[i], block[i]) != now:
+                    now, index = (group[i], block[i]), _Block()
+                if asks[i]:
+                    links += index.ask(int(vertex[i]), int(cls[i]), own)
+                else:
+                    index.add(int(vertex[i]), int(cls[i]), own)
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+
+class _Block:
+    """Texts of one block by their shingles, and the classes joined so far."""
+
+    def __init__(self):
+        self.vertex: list[int] = []
+        self.cls: list[int] = []
+        self.cells: list[np.ndarray] = []
+        self.joined: dict[int, int] = {}
+        self.sorted = None
+
+    def add(self, vertex: int, cls: int, cells: np.ndarray) -> None:
+        self.vertex.append(vertex)
+        self.cls.append(cls)
+        self.cells.append(cells)
+
+    def root(self, cls: int) -> int:
+        while (up := self.joined.get(cls, cls)) != cls:
+            cls = up
+        return cls
+
+    def ask(self, vertex: int, cls: int, cells: np.ndarray) -> list[tuple[int, int]]:
+        if not self.vertex:
+            return []
+        if self.sorted is None:
+            self.weight = np.array([len(c) for c in self.cells])
+            flat = np.concatenate(self.cells)
+            order = np.argsort(flat, kind="stable")
+            self.sorted, self.owner = flat[order], np.repeat(np.arange(len(self.cells)), self.weight)[order]
+            self.cells = []
+        low, high = (np.searchsorted(self.sorted, cells, side) for side in ("left", "right"))
+        both = np.bincount(self.owner[W.ragged(low, high - low)], minlength=len(self.vertex))
+        links = []
+        for i in np.flatnonzero(5 * both >= 4 * (self.weight + len(cells) - both)).tolist():
+            one, other = self.root(cls), self.root(self.cls[i])
+            if one != other:
+                self.joined[max(one, other)] = min(one, other)
+                links.append((min(vertex, self.vertex[i]), max(vertex, self.vertex[i])))
+        return links
+
+
+def _large_bucket_links(large: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) between classes of rows (key, first, class, vertex, n) of large buckets."""
+    groups = components(
+        large.where("vertex != first").select(F.col("first").alias("a"), F.col("vertex").alias("b")).distinct()
+    ).withColumnRenamed("class", "grp")
+    members = cut_lineage(large.select("vertex", "class", "n").distinct().join(groups, "vertex"))
+    per_class = members.groupBy("grp", "class").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("weight"))
+    per_group = per_class.groupBy("grp").agg(
+        F.max(F.struct("rows", "class")).alias("main"),
+        F.ceil(F.sum("weight") / F.lit(BLOCK_WEIGHT)).cast("int").alias("blocks"),
+    )
+    placed = members.join(per_group, "grp")
+    own = placed.select(
+        "grp", F.pmod(F.xxhash64("vertex"), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("asks"), "vertex", "class"
+    )
+    queries = placed.where(F.col("class") != F.col("main.class")).select(
+        "grp", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("asks"), "vertex", "class"
+    )
+    return (
+        own.union(queries)
+        .join(texts, "vertex")
+        .select("grp", "block", "asks", "vertex", "class", "text")
+        .repartition("grp", "block")
+        .sortWithinPartitions("grp", "block", "asks")
+        .mapInArrow(_links_in_blocks, "a bigint, b bigint")
+    )
+
+
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) of vertices whose texts (vertex, text) are similar."""
     left = texts.select(F.col("vertex").alias("a"), F.col("text").alias("text_a"))
@@ -216,24 +313,36 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     )
 
 
+#: Rows of a graph table in one partition; rounds on few rows then write few files.
+GRAPH_ROWS = 100_000
+
+
 def components(links: DataFrame) -> DataFrame:
     """vertex, class (its smallest vertex) for every vertex of the links (a, b).
 
     Each round a vertex takes the smallest class among its neighbours', then the class of that;
-    rounds grow with the logarithm of the longest path.
+    rounds grow with the logarithm of the longest path. Tables have as many partitions as
+    the number of links asks for, whatever the width of a shuffle.
     """
-    both = cut_lineage(links.select("a", "b").union(links.select("b", "a")))
-    labels = cut_lineage(both.groupBy(F.col("a").alias("vertex")).agg(F.least(F.min("b"), F.col("vertex")).alias("class")))
+    links = cut_lineage(links.select("a", "b"))
+    parts = max(8, -(-2 * links.count() // GRAPH_ROWS))
+    both = cut_lineage(links.union(links.select("b", "a")).coalesce(parts))
+    lowest = both.groupBy(F.col("a").alias("vertex")).agg(F.least(F.min("b"), F.min("a")).alias("class"))
+    labels = cut_lineage(lowest.coalesce(parts))
     while True:
         heard = (
             both.join(labels.withColumnRenamed("vertex", "b"), "b")
-            .groupBy(F.col("a").alias("vertex"))
+            .select(F.col("a").alias("vertex"), "class")
+            .coalesce(parts)
+            .groupBy("vertex")
             .agg(F.min("class").alias("heard"))
         )
-        nearer = labels.join(heard, "vertex").select("vertex", F.least("class", "heard").alias("near"), "class")
+        nearer = labels.join(heard, "vertex").select("vertex", F.least("class", "heard").alias("near"), "class").coalesce(parts)
         jump = labels.select(F.col("vertex").alias("near"), F.col("class").alias("next"))
         after = cut_lineage(
-            nearer.join(jump, "near").select("vertex", F.least("near", "next").alias("class"), F.col("class").alias("was"))
+            nearer.join(jump, "near")
+            .select("vertex", F.least("near", "next").alias("class"), F.col("class").alias("was"))
+            .coalesce(parts)
         )
         labels = after.select("vertex", "class")
         if after.where(F.col("class") != F.col("was")).isEmpty():
@@ -277,20 +386,30 @@ def near_duplicate_classes(documents: DataFrame, doc_id: str, text: str) -> Data
     )
     links = cut_lineage(verified(pairs, texts))
     first = components(links)
-    placed = buckets.join(first, "vertex", "left").select(
-        "key", F.coalesce("class", "vertex").alias("class"), "vertex", "n"
+    placed = cut_lineage(
+        buckets.join(first, "vertex", "left").select(
+            "key", "first", F.coalesce("class", "vertex").alias("class"), "vertex", "n"
+        )
+    )
+    mixed = (
+        placed.groupBy("key")
+        .agg(F.min("class").alias("low"), F.max("class").alias("high"), F.count(F.lit(1)).alias("rows"))
+        .where("low < high")
     )
-    placed = cut_lineage(placed)
-    mixed = placed.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").select("key")
     more = (
-        placed.join(mixed, "key", "left_semi")
+        placed.join(mixed.where(F.col("rows") <= MOST_PAIRED).select("key"), "key", "left_semi")
+        .select("key", "class", "vertex", "n")
         .repartition("key")
         .sortWithinPartitions("key", "class", "vertex")
         .mapInArrow(_between_classes, "a bigint, b bigint")
         .distinct()
         .join(pairs, ["a", "b"], "left_anti")
     )
-    late = cut_lineage(verified(more, texts))
+    large = cut_lineage(placed.join(mixed.where(F.col("rows") > MOST_PAIRED).select("key"), "key", "left_semi"))
+    late = verified(more, texts)
+    if not large.isEmpty():
+        late = late.union(_large_bucket_links(large, texts))
+    late = cut_lineage(late)
     classes = first if late.isEmpty() else components(links.union(late))
     by_rep = cut_lineage(
         own.join(classes, own["rep"] == classes["vertex"], "left")
