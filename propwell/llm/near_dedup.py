@@ -320,32 +320,45 @@ GRAPH_ROWS = 100_000
 def components(links: DataFrame) -> DataFrame:
     """vertex, class (its smallest vertex) for every vertex of the links (a, b).
 
-    Each round a vertex takes the smallest class among its neighbours', then the class of that;
-    rounds grow with the logarithm of the longest path. Tables have as many partitions as
+    Each round every vertex hooks to its smallest neighbour, the trees are followed to their
+    roots by doubling, and links become those between roots; at least half the vertices of
+    a class go each round, and links within a tree at once. Tables have as many partitions as
     the number of links asks for, whatever the width of a shuffle.
     """
-    links = cut_lineage(links.select("a", "b"))
-    parts = max(8, -(-2 * links.count() // GRAPH_ROWS))
-    both = cut_lineage(links.union(links.select("b", "a")).coalesce(parts))
-    lowest = both.groupBy(F.col("a").alias("vertex")).agg(F.least(F.min("b"), F.min("a")).alias("class"))
-    labels = cut_lineage(lowest.coalesce(parts))
+    edges = cut_lineage(links.select("a", "b"))
+    parts = max(8, -(-2 * edges.count() // GRAPH_ROWS))
+    labels = None
     while True:
-        heard = (
-            both.join(labels.withColumnRenamed("vertex", "b"), "b")
-            .select(F.col("a").alias("vertex"), "class")
-            .coalesce(parts)
-            .groupBy("vertex")
-            .agg(F.min("class").alias("heard"))
-        )
-        nearer = labels.join(heard, "vertex").select("vertex", F.least("class", "heard").alias("near"), "class").coalesce(parts)
-        jump = labels.select(F.col("vertex").alias("near"), F.col("class").alias("next"))
-        after = cut_lineage(
-            nearer.join(jump, "near")
-            .select("vertex", F.least("near", "next").alias("class"), F.col("class").alias("was"))
+        both = edges.union(edges.select("b", "a")).coalesce(parts)
+        hooked = both.groupBy(F.col("a").alias("vertex")).agg(F.least(F.min("b"), F.min("a")).alias("class"))
+        roots = cut_lineage(hooked.coalesce(parts))
+        while True:
+            above = roots.select(F.col("vertex").alias("class"), F.col("class").alias("next"))
+            moved = cut_lineage(
+                roots.join(above, "class").select("vertex", "next", F.col("class").alias("was")).coalesce(parts)
+            )
+            roots = moved.select("vertex", F.col("next").alias("class"))
+            if moved.where("next != was").isEmpty():
+                break
+        if labels is None:
+            labels = roots
+        else:
+            above = roots.select(F.col("vertex").alias("class"), F.col("class").alias("next"))
+            labels = cut_lineage(
+                labels.join(above, "class", "left")
+                .select("vertex", F.coalesce("next", "class").alias("class"))
+                .coalesce(parts)
+            )
+        of_a, of_b = (roots.select(F.col("vertex").alias(x), F.col("class").alias(f"to_{x}")) for x in ("a", "b"))
+        edges = cut_lineage(
+            edges.join(of_a, "a")
+            .join(of_b, "b")
+            .where("to_a != to_b")
+            .select(F.col("to_a").alias("a"), F.col("to_b").alias("b"))
+            .distinct()
             .coalesce(parts)
         )
-        labels = after.select("vertex", "class")
-        if after.where(F.col("class") != F.col("was")).isEmpty():
+        if edges.isEmpty():
             return labels
 
 
@@ -409,11 +422,21 @@ def near_duplicate_classes(documents: DataFrame, doc_id: str, text: str) -> Data
     late = verified(more, texts)
     if not large.isEmpty():
         late = late.union(_large_bucket_links(large, texts))
-    late = cut_lineage(late)
-    classes = first if late.isEmpty() else components(links.union(late))
+    of_a, of_b = (first.select(F.col("vertex").alias(x), F.col("class").alias(f"to_{x}")) for x in ("a", "b"))
+    late = cut_lineage(  # between the classes found first, so that only those are joined on
+        late.join(of_a, "a", "left")
+        .join(of_b, "b", "left")
+        .select(F.coalesce("to_a", "a").alias("a"), F.coalesce("to_b", "b").alias("b"))
+        .distinct()
+    )
+    placed_reps = own.join(first, own["rep"] == first["vertex"], "left").select(
+        "one", "two", "rep", F.coalesce("class", "rep").alias("class"), "copies"
+    )
+    if not late.isEmpty():
+        joined_classes = components(late).select(F.col("vertex").alias("class"), F.col("class").alias("next"))
+        placed_reps = placed_reps.join(joined_classes, "class", "left").withColumn("class", F.coalesce("next", "class"))
     by_rep = cut_lineage(
-        own.join(classes, own["rep"] == classes["vertex"], "left")
-        .select("one", "two", F.col("rep"), F.coalesce("class", "rep").alias("class"), "copies")
+        placed_reps.select("one", "two", "rep", "class", "copies")
         .where("copies > 1 OR class != rep")
     )
     joined = join_per_key(signed.select("vertex", "one", "two", "n"), by_rep, ["one", "two"], spread_by="vertex")
