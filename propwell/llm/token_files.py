@@ -8,7 +8,7 @@ arithmetic and is read, memory-mapped, without copying. A second stream file bes
 documents' places. A manifest names the files that belong to the result; a task that is run
 again writes files of its own, and what a lost attempt left is named nowhere.
 
-Equal pieces of text get equal ids, so each piece of a task's texts is tokenized once. Pieces begin at
+Equal pieces of text get equal ids, so a worker tokenizes each piece once. Pieces begin at
 a space after a visible character, where the tokenizer's own pattern always divides.
 """
 
@@ -33,8 +33,15 @@ from propwell.session import scratch_path
 SEQUENCE = 2048
 SEQUENCES_PER_BATCH = 256
 END_ID = 2
-#: Pieces whose ids a task remembers; beyond, it forgets them all and goes on.
-REMEMBERED = 400_000
+#: Pieces whose ids a worker process remembers; once full, new ones are encoded each time.
+REMEMBERED = 600_000
+#: Bytes of pieces that are encoded as one text.
+JOINED_BYTES = 1 << 13
+
+
+def _visible(last: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """Bytes that end a character that is certainly not white space."""
+    return ((last > 0x20) & (last < 0x7F)) | ((last >= 0x80) & (before == 0xC3))
 
 
 class PieceEncoder:
@@ -45,66 +52,90 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
-        self.dtype = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
-        self.forget()
-
-    def forget(self) -> None:
+        size = self.tokenizer.get_vocab_size()
+        self.dtype = np.uint16 if size <= 1 << 16 else np.uint32
+        # in a byte-level vocabulary every character of a token stands for a byte
+        self.token_bytes = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(size)])
         self.place: dict[int, int] = {}
         self.check = np.zeros(0, np.uint64)
-        self.first = np.zeros(0, np.int64)
         self.count = np.zeros(0, np.int64)
         self.ids = np.zeros(0, self.dtype)
 
-    def learn(self, keys: list[int], checks: np.ndarray, texts: list[str]) -> None:
-        if len(self.place) + len(keys) > REMEMBERED:
-            self.forget()
-        got = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        count = np.fromiter(map(len, got), np.int64, len(got))
-        flat = np.fromiter((i for x in got for i in x), self.dtype, int(count.sum()))
-        self.place.update(zip(keys, range(len(self.place), len(self.place) + len(keys)), strict=True))
-        self.check = np.r_[self.check, checks]
-        self.first = np.r_[self.first, len(self.ids) + np.cumsum(count) - count]
-        self.count = np.r_[self.count, count]
-        self.ids = np.r_[self.ids, flat]
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, self.dtype) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _encode_pieces(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces, end to end, and how many each has.
+
+        Pieces that begin with a space and end visibly keep their ids when they are laid end
+        to end, so they are encoded many at a time; where one ends is found by counting bytes.
+        """
+        plain = (data[start] == 0x20) & _visible(data[end - 1], np.where(end - start > 1, data[end - 2], 0))
+        order = np.r_[np.flatnonzero(plain), np.flatnonzero(~plain)]
+        n_plain = int(plain.sum())
+        size = (end - start)[order]
+        flat = data[W.ragged(start[order], size)].tobytes()
+        ends = np.cumsum(size)
+        joined = np.flatnonzero(np.diff(ends[:n_plain] // JOINED_BYTES, append=-1))
+        cuts = np.r_[0, ends[joined], ends[n_plain:]] if n_plain else np.r_[0, ends]
+        parts = self._ids([flat[a:b].decode() for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)])
+        ids = np.concatenate(parts) if parts else self.ids[:0]
+        count = np.zeros(len(order), np.int64)
+        lengths = np.array([len(x) for x in parts], np.int64)
+        count[n_plain:] = lengths[len(joined) :]
+        if n_plain:
+            reach = np.cumsum(self.token_bytes[ids[: lengths[: len(joined)].sum()]])
+            until = np.searchsorted(reach, ends[:n_plain]) + 1
+            if not np.array_equal(reach[until - 1], ends[:n_plain]):
+                raise ValueError("the tokenizer is not byte-level, or divides otherwise than at spaces")
+            count[:n_plain] = np.diff(until, prepend=0)
+        first = np.cumsum(count) - count
+        back = np.argsort(order)
+        return ids[W.ragged(first[back], count[back])], count[back]
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows, and how many each has; no end id."""
         n = len(data)
         if not n:
-            return np.zeros(0, self.dtype), np.zeros(len(offsets) - 1, np.int64)
+            return self.ids[:0], np.zeros(len(offsets) - 1, np.int64)
         begins = np.zeros(n + 1, bool)
-        before = data[:-1]
-        visible = (before > 0x20) & (before < 0x7F)
-        visible[1:] |= (before[1:] >= 0x80) & (before[:-1] == 0xC3)
-        begins[1:n] = (data[1:] == 0x20) & visible
+        begins[1:n] = (data[1:] == 0x20) & _visible(data[:-1], np.r_[0, data[:-2]] if n > 1 else data[:0])
         begins[offsets] = True
         start = np.flatnonzero(begins[:n])
         end = np.r_[start[1:], n]
         keys, checks = (W.word_hashes(data, start, end, s) for s in (0, 1))
         distinct, at, back = np.unique(keys, return_index=True, return_inverse=True)
         known = distinct.tolist()
-        new = [i for i, k in enumerate(known) if k not in self.place]
-        if len(self.place) + len(new) > REMEMBERED:
-            self.forget()
-            new = list(range(len(known)))
-        raw = data.tobytes()
-        self.learn([known[i] for i in new], checks[at[new]], [raw[start[a] : end[a]].decode() for a in at[new].tolist()])
-        place = np.fromiter((self.place[k] for k in known), np.int64, len(known))[back]
-        first, count, ids = self.first, self.count, self.ids
-        odd = np.flatnonzero(self.check[place] != checks)
+        place = np.fromiter((self.place.get(k, -1) for k in known), np.int64, len(known))
+        new = np.flatnonzero(place < 0)
+        place[new] = len(self.count) + np.arange(len(new))
+        got, counts = self._encode_pieces(data, start[at[new]], end[at[new]])
+        check, count, ids = np.r_[self.check, checks[at[new]]], np.r_[self.count, counts], np.r_[self.ids, got]
+        if len(self.place) + len(new) <= REMEMBERED:
+            self.place.update(zip(distinct[new].tolist(), place[new].tolist(), strict=True))
+            self.check, self.count, self.ids = check, count, ids
+        place = place[back]
+        odd = np.flatnonzero(check[place] != checks)
         if len(odd):  # equal keys of unequal pieces
-            got = [e.ids for e in self.tokenizer.encode_batch_fast([raw[start[a] : end[a]].decode() for a in odd.tolist()], add_special_tokens=False)]
-            place = place.copy()
-            place[odd] = len(first) + np.arange(len(odd))
-            lengths = np.array([len(x) for x in got])
-            first = np.r_[first, len(ids) + np.cumsum(lengths) - lengths]
-            count = np.r_[count, lengths]
-            ids = np.r_[ids, np.concatenate([np.array(x, self.dtype) for x in got])]
+            got, counts = self._encode_pieces(data, start[odd], end[odd])
+            place[odd] = len(count) + np.arange(len(odd))
+            count, ids = np.r_[count, counts], np.r_[ids, got]
+        first = np.cumsum(count) - count
         sizes = count[place]
         total = np.r_[0, np.cumsum(sizes)][np.searchsorted(start, offsets)]
         return ids[W.ragged(first[place], sizes)], np.diff(total)
 
 
+def worker_encoder(tokenizer_path: str) -> PieceEncoder:
+    """The encoder of this worker process, which tasks after each other share."""
+    import tokenizers
+
+    kept = vars(tokenizers).setdefault("_propwell_encoders", {})
+    if tokenizer_path not in kept:
+        kept[tokenizer_path] = PieceEncoder(tokenizer_path)
+    return kept[tokenizer_path]
+
+
 def sequence_schema(dtype: pa.DataType, length: int) -> pa.Schema:
     return pa.schema([("ids", pa.list_(dtype, length)), ("mask", pa.list_(pa.bool_(), length))])
 
@@ -159,7 +190,7 @@ def _writer(folder: str, tokenizer_path: str, end_id: int, length: int, per_batc
         store.create_dir(root, recursive=True)
         part = TaskContext.get().partitionId()
         name = f"{root}/part-{part:06d}-{uuid.uuid4().hex}"
-        encoder, n_docs, n_tokens, writer, places = PieceEncoder(tokenizer_path), 0, 0, None, None
+        encoder, n_docs, n_tokens, writer, places = worker_encoder(tokenizer_path), 0, 0, None, None
         with store.open_output_stream(f"{name}.tokens.arrows") as sink, store.open_output_stream(f"{name}.places.arrows") as other:
             writer = SequenceWriter(sink, encoder.dtype, length, per_batch)
             places = ipc.new_stream(other, PLACES)
