@@ -288,10 +288,13 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def token_digests(manifest: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 per document, read back from the files of a manifest."""
+    """doc_id, start, n_tokens, ids_crc32 per document, read back from the files of a manifest.
+
+    A manifest row is small and its file large, so rows are dealt out by number, not by size.
+    """
     return (
         manifest.select("path", "places_path", "start")
-        .repartition("path")
+        .repartition(max(1, manifest.count()), "path")
         .mapInArrow(_digests, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
     )
 
