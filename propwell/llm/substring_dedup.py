@@ -345,6 +345,30 @@ def _with_found(rows: DataFrame, found: DataFrame) -> DataFrame:
     return rows.join(lists, ["doc", "mark"], "left").select("doc_id", "doc", "mark", "text", "found")
 
 
-@query()
+@query(
+    r"""
+    WITH d AS (
+        SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+    ),
+    p AS (SELECT doc_id, len(w) AS n, unnest(w) AS word, unnest(range(len(w))) AS i FROM d),
+    k AS (
+        SELECT *, CASE WHEN i + 50 <= n THEN md5(string_agg(word, ' ') OVER (
+            PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 49 FOLLOWING)) END AS key
+        FROM p
+    ),
+    f AS (SELECT key, min(doc_id) AS first FROM k WHERE key IS NOT NULL GROUP BY key),
+    m AS (
+        SELECT k.doc_id, k.i, k.word, coalesce(max(CASE WHEN f.first < k.doc_id THEN 1 ELSE 0 END) OVER (
+            PARTITION BY k.doc_id ORDER BY k.i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW), 0) AS gone
+        FROM k LEFT JOIN f USING (key)
+    ),
+    r AS (
+        SELECT doc_id, sum(gone)::BIGINT AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (gone = 0) AS kept
+        FROM m GROUP BY doc_id
+    )
+    SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+    FROM d LEFT JOIN r USING (doc_id)
+    """
+)
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_repeats(table(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text", digest=True)
