@@ -14,6 +14,8 @@ that only windows known to the benchmark become rows.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -164,7 +166,60 @@ def contaminated(
     )
 
 
-@query()
+#: The tokens without possessive quantifiers, which SQL's expressions lack.
+_SQL_TOKENS = re.sub(r"(?<=[+*}])\+", "", TOKENS)
+_SQL_UNITS = ", ".join(f"'{unit}'" for unit in UNITS)
+
+
+@query(
+    f"""
+    WITH t AS (
+        SELECT 'd' AS kind, doc_id AS id, regexp_extract_all(coalesce(text, ''), '{_SQL_TOKENS}') AS w FROM documents
+        UNION ALL SELECT 'i', item_id, regexp_extract_all(coalesce(text, ''), '{_SQL_TOKENS}') FROM benchmark
+    ),
+    x AS (SELECT kind, id, len(w) AS n, unnest(w) AS raw, unnest(range(len(w))) AS i FROM t),
+    y AS (SELECT *, lower(raw) AS low, coalesce(lag(raw) OVER (PARTITION BY kind, id ORDER BY i), '') AS prev FROM x),
+    z AS (
+        SELECT *, CASE
+            WHEN regexp_matches(raw, '^[0-9]') THEN '<num>'
+            WHEN raw IN ('$', '€', '£', '¥', '%', '°') THEN '<unit>'
+            WHEN low = raw AND regexp_matches(prev, '^[0-9]') AND raw IN ({_SQL_UNITS}) THEN '<unit>'
+            WHEN low <> raw AND regexp_matches(raw, '^\\p{{Lu}}\\p{{Ll}}') THEN '<name>'
+            ELSE regexp_extract(low, '[\\p{{L}}\\p{{M}}]+$') END AS tok
+        FROM y
+    ),
+    v AS (
+        SELECT kind, id, i, n - 7 AS windows, string_agg(tok, ' ') OVER o AS key,
+               list(CASE WHEN tok IN ('<num>', '<unit>', '<name>') THEN low END) OVER o AS slots
+        FROM z WINDOW o AS (PARTITION BY kind, id ORDER BY i ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING)
+    ),
+    k AS (SELECT kind, id, i, windows, key, list_filter(slots, lambda s: s IS NOT NULL) AS slots FROM v WHERE i < windows),
+    b AS (SELECT *, count(*) OVER (PARTITION BY id) AS item_windows FROM k WHERE kind = 'i' AND len(slots) <= 4),
+    g AS (
+        SELECT k.id AS doc_id, b.id AS item_id, k.i - b.i AS shift, b.i AS place, b.item_windows,
+               list_zip(b.slots, k.slots) AS pairs
+        FROM k JOIN b USING (key) WHERE k.kind = 'd'
+    ),
+    a AS (
+        SELECT doc_id, item_id, any_value(item_windows) AS item_windows, list(DISTINCT place) AS places,
+               list_distinct(flatten(list(pairs))) AS pairs
+        FROM g GROUP BY doc_id, item_id, shift
+    ),
+    c AS (
+        SELECT doc_id, item_id, count(DISTINCT place) / any_value(item_windows)::DOUBLE AS coverage
+        FROM (SELECT doc_id, item_id, item_windows, unnest(places) AS place FROM a
+              WHERE len(list_distinct(list_transform(pairs, lambda p: p[1]))) = len(pairs)
+                AND len(list_distinct(list_transform(pairs, lambda p: p[2]))) = len(pairs))
+        GROUP BY doc_id, item_id
+    ),
+    e AS (
+        SELECT doc_id, count(*) AS n_items, max((coverage, -item_id)) AS best FROM c WHERE coverage >= 0.6 GROUP BY doc_id
+    )
+    SELECT d.doc_id, e.doc_id IS NOT NULL AS contaminated, coalesce(n_items, 0) AS n_items,
+           -(best[2]) AS item_id, best[1] AS coverage
+    FROM documents d LEFT JOIN e USING (doc_id)
+    """
+)
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents", "doc_id", "text")
     found = contaminated(
