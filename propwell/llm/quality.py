@@ -26,8 +26,8 @@ from propwell.llm.registry import query, table
 from propwell.llm.toxicity import logistic_fit
 
 #: Bounds of what is gathered to fit: labelled and unlabelled documents, those of smallest hash.
-MOST_LABELLED = 12_000
-MOST_UNLABELLED = 6_000
+MOST_LABELLED = 6_000
+MOST_UNLABELLED = 3_000
 ROUNDS = 3
 #: Pseudo-labels a view may give per class and round, and how certain it must be.
 MOST_GIVEN = 500
