@@ -1,13 +1,15 @@
-"""Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max index.
-
-Terms are lower-case words and their first four to seven bytes. Of the terms of a bounded sample
-of labelled rows those count whose presence goes with the label (chi-square). Their document
-frequencies come from all documents. The examples' vectors are laid out in blocks; every block
-has, for each term, the largest weight in it. A query adds those up to an upper bound per block,
-and takes the blocks in falling order of bound until none can reach the k-th best similarity, so
-the k nearest are exact. Their votes, weighted by similarity, are calibrated by logistic
-regression on the examples themselves, each left out of its own vote. The neighbours are the
-evidence.
+"""Toxicity by the nearest labelled examples: exact TF-IDF cosine over every term of the sample.
+
+Terms are lower-case words and their first four to seven bytes, all that a bounded sample of
+labelled rows has. Their document frequencies come from all documents. The k nearest by cosine
+are exact: similarities to every example are summed up, common terms by a matrix, others by
+postings. These neighbours are the evidence.
+
+Beside them, the terms whose presence goes with the label (chi-square) have vectors of their own,
+in blocks; every block has, for each term, the largest weight in it. A query adds those up to an
+upper bound per block, and takes the blocks in falling order of bound until none can reach the
+k-th best similarity. The votes of both, weighted by similarity, are calibrated by logistic
+regression on the examples themselves, each left out of its own vote.
 """
 
 from __future__ import annotations
@@ -24,16 +26,19 @@ from pyspark.sql import functions as F
 from propwell.llm import words as W
 from propwell.llm.registry import query, table
 
-#: Bounds of what is gathered to fit: labelled rows (those of smallest hash), terms, and rows to calibrate on.
+#: Bounds of what is gathered to fit: labelled rows (those of smallest hash), telling terms, and rows to calibrate on.
 MOST_EXAMPLES = 12_000
 MOST_TERMS = 8_000
 MOST_CALIBRATED = 4_000
-#: A term must differ between the classes this much to count.
+#: A term must differ between the classes this much to be telling.
 LEAST_CHI_SQUARE = 30.0
 STEMS = (4, 5, 6, 7)
 NEIGHBOURS = 8
 BLOCK = 64
 THRESHOLD = 0.7
+#: Terms of the most examples that are compared by a matrix, and rows compared at a time.
+MATRIX_TERMS = 1024
+ROWS_AT_ONCE = 16
 
 
 def term_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -69,27 +74,35 @@ def _example_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 @dataclass
 class Vocabulary:
-    """Sorted term hashes; `seen` is a table of their low bits, to pass over most words quickly."""
+    """Sorted term hashes; `at` is a table of them by their low bits, `shared` says where several have the same."""
 
     terms: np.ndarray
-    seen: np.ndarray | None = None
+    at: np.ndarray | None = None
+    shared: np.ndarray | None = None
     BITS = 22
 
     def __getstate__(self):
-        return {"terms": self.terms, "seen": None}
+        return {"terms": self.terms, "at": None, "shared": None}
 
     def counts(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """row, term number and count of every term of the vocabulary in every row, in order."""
-        if self.seen is None:
-            self.seen = np.zeros(1 << self.BITS, bool)
-            self.seen[self.terms & np.uint64((1 << self.BITS) - 1)] = True
+        mask = np.uint64((1 << self.BITS) - 1)
+        if self.at is None:
+            low = self.terms & mask
+            self.at = np.full(1 << self.BITS, -1, np.int32)
+            self.at[low] = np.arange(len(self.terms))
+            self.shared = np.bincount(low.astype(np.int64), minlength=1 << self.BITS) > 1
         hashes, owner = term_hashes(data, offsets)
-        maybe = np.flatnonzero(self.seen[hashes & np.uint64((1 << self.BITS) - 1)])
+        low = hashes & mask
+        place = self.at[low].astype(np.int64)
+        maybe = np.flatnonzero(place >= 0)
         if not len(maybe):
             return (np.zeros(0, np.int64),) * 3
-        place = np.minimum(np.searchsorted(self.terms, hashes[maybe]), len(self.terms) - 1)
-        hit = self.terms[place] == hashes[maybe]
-        both, count = np.unique(owner[maybe[hit]] * len(self.terms) + place[hit], return_counts=True)
+        hashes, owner, low, place = hashes[maybe], owner[maybe], low[maybe], place[maybe]
+        again = np.flatnonzero((self.terms[place] != hashes) & self.shared[low])
+        place[again] = np.minimum(np.searchsorted(self.terms, hashes[again]), len(self.terms) - 1)
+        hit = self.terms[place] == hashes
+        both, count = np.unique(owner[hit] * len(self.terms) + place[hit], return_counts=True)
         return both // len(self.terms), both % len(self.terms), count
 
 
@@ -145,19 +158,107 @@ class BlockMaxIndex:
         return found, cosine
 
 
+class CosineIndex:
+    """Unit vectors of examples: the terms of most examples as a matrix, the others as postings."""
+
+    def __init__(self, start: np.ndarray, term: np.ndarray, weight: np.ndarray, n_terms: int):
+        self.start, self.term, self.weight, self.n = start, term, weight, len(start) - 1
+        common = np.argsort(-np.bincount(term, minlength=n_terms), kind="stable")[:MATRIX_TERMS]
+        self.column = np.full(n_terms, -1, np.int32)
+        self.column[common] = np.arange(len(common))
+        example = np.repeat(np.arange(self.n, dtype=np.int32), np.diff(start))
+        column = self.column[term]
+        inside = column >= 0
+        self.matrix = np.zeros((len(common), self.n), np.float32)
+        self.matrix[column[inside], example[inside]] = weight[inside]
+        rest = np.flatnonzero(~inside)
+        rest = rest[np.argsort(term[rest], kind="stable")]
+        self.posting_start = np.searchsorted(term[rest], np.arange(n_terms + 1))
+        self.posting_example, self.posting_weight = example[rest], weight[rest]
+        self.dense = np.zeros(n_terms)
+
+    def _about(self, row: np.ndarray, term: np.ndarray, weight: np.ndarray, n_rows: int) -> np.ndarray:
+        """Cosines of rows and all examples, to single precision."""
+        column = self.column[term]
+        inside = column >= 0
+        query = np.zeros((n_rows, len(self.matrix)), np.float32)
+        query[row[inside], column[inside]] = weight[inside]
+        row, term, weight = row[~inside], term[~inside], weight[~inside]
+        begin = self.posting_start[term]
+        length = self.posting_start[term + 1] - begin
+        cells = W.ragged(begin, length)
+        key = np.repeat(row * self.n, length) + self.posting_example[cells]
+        got = np.bincount(key, np.repeat(weight, length) * self.posting_weight[cells], n_rows * self.n)
+        return got.reshape(n_rows, self.n) + query @ self.matrix
+
+    def nearest(
+        self, row: np.ndarray, term: np.ndarray, weight: np.ndarray, n_rows: int, k: int, without: np.ndarray | None = None
+    ) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each row the k examples of largest cosine (above 0) and their cosines; ties by place."""
+        for first in range(0, n_rows, ROWS_AT_ONCE):
+            last = min(first + ROWS_AT_ONCE, n_rows)
+            at = np.searchsorted(row, np.arange(first, last + 1))
+            some = slice(at[0], at[-1])
+            about = self._about(row[some] - first, term[some], weight[some], last - first)
+            for i in range(last - first):
+                a, b = at[i], at[i + 1]
+                if without is not None:
+                    about[i, without[first + i]] = 0
+                worst = np.partition(about[i], self.n - k)[self.n - k] if self.n > k else 0.0
+                found = np.flatnonzero((about[i] > 0) & (about[i] >= worst - 1e-5))
+                begin = self.start[found]
+                length = self.start[found + 1] - begin
+                cells = W.ragged(begin, length)
+                self.dense[term[a:b]] = weight[a:b]
+                cosine = np.bincount(
+                    np.repeat(np.arange(len(found)), length), self.dense[self.term[cells]] * self.weight[cells], len(found)
+                )
+                self.dense[term[a:b]] = 0
+                best = np.lexsort((found, -cosine))[:k]
+                yield found[best], cosine[best]
+
+
 @dataclass
 class ToxicityModel:
-    vocabulary: Vocabulary
-    idf: np.ndarray
-    index: BlockMaxIndex
+    lexicon: object  # broadcasts, see _lexicon
+    idf: object
+    index: BlockMaxIndex  # of the first examples, those with telling terms
     label: np.ndarray
     ids: np.ndarray
     coefficients: np.ndarray
+    whole: object = None  # a broadcast of the terms and counts of all examples
 
-    def votes(self, term: np.ndarray, weight: np.ndarray, without: int = -1):
-        found, cosine = self.index.nearest(term, weight, NEIGHBOURS, without)
+    def votes(self, found: np.ndarray, cosine: np.ndarray) -> tuple[float, float]:
         toxic = float(cosine @ self.label[found])
-        return found, cosine, toxic / NEIGHBOURS, (float(cosine.sum()) - toxic) / NEIGHBOURS
+        return toxic / NEIGHBOURS, (float(cosine.sum()) - toxic) / NEIGHBOURS
+
+    def lean(self, found: np.ndarray, cosine: np.ndarray) -> float:
+        """How much larger the toxic part of the votes is than that of the examples; 0 without votes."""
+        return float(cosine @ self.label[found]) / float(cosine.sum()) - float(self.label.mean()) if len(found) else 0.0
+
+    def judge(self, index: CosineIndex, own: tuple, telling: tuple, n_rows: int, without: np.ndarray | None = None):
+        """The nearest examples of each row with their cosines, its votes by telling terms, and its lean.
+
+        `own` is row, term, weight of all terms, `telling` start of each row, term, weight of telling ones.
+        """
+        near = list(index.nearest(*own, n_rows, NEIGHBOURS, without))
+        start, term, weight = telling
+        votes = np.zeros((n_rows, 3))
+        for i in np.flatnonzero(np.diff(start)).tolist():
+            a, b = start[i], start[i + 1]
+            votes[i, :2] = self.votes(*self.index.nearest(term[a:b], weight[a:b], NEIGHBOURS, -1 if without is None else without[i]))
+        votes[:, 2] = [self.lean(*x) for x in near]
+        return near, votes
+
+    def held(self) -> dict:
+        """The broadcast arrays and the index made of them: one for all tasks of a worker."""
+        held = self.whole.value
+        if "index" not in held:
+            start, term, count = held["vectors"]
+            row = np.repeat(np.arange(len(start) - 1), np.diff(start))
+            weight = _unit_rows(row, term, count.astype(np.float32), self.idf.value.astype(np.float32), len(start) - 1)[1].astype(np.float32)
+            held["index"] = CosineIndex(start, term, weight, len(self.idf.value))
+        return held
 
     def scores(self, votes: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-(self.coefficients[0] + votes @ self.coefficients[1:])))
@@ -189,8 +290,27 @@ def logistic_fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, weight: np.n
     return np.r_[b[0] - slope @ mean, slope]
 
 
-def _term_documents(vocabulary: Vocabulary):
+def _both_vectors(row: np.ndarray, term: np.ndarray, count: np.ndarray, idf: np.ndarray, telling: np.ndarray, n_rows: int):
+    """What `judge` takes as `own` and `telling`."""
+    _, weight = _unit_rows(row, term, count, idf, n_rows)
+    some = np.flatnonzero(telling[term] >= 0)
+    start, marks = _unit_rows(row[some], term[some], count[some], idf, n_rows)
+    return (row, term, weight), (start, telling[term[some]], marks)
+
+
+def _lexicon(lexicon) -> tuple[Vocabulary, np.ndarray]:
+    """The vocabulary, and of each term its number among the telling ones or -1, made once per worker of a broadcast."""
+    held = lexicon.value
+    if "vocabulary" not in held:
+        held["vocabulary"] = Vocabulary(held["terms"])
+        held["telling"] = np.full(len(held["terms"]), -1, np.int64)
+        held["telling"][held["marks"]] = np.arange(len(held["marks"]))
+    return held["vocabulary"], held["telling"]
+
+
+def _term_documents(lexicon):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = _lexicon(lexicon)[0]
         total = np.zeros(len(vocabulary.terms) + 1, np.int64)
         for batch in batches:
             total[-1] += batch.num_rows
@@ -202,12 +322,38 @@ def _term_documents(vocabulary: Vocabulary):
     return count
 
 
+def _left_out(m: ToxicityModel, some: np.ndarray):
+    """Votes of the examples at places `some`, each without itself."""
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = m.held()["index"]
+        start, term, weight = index.start, index.term, index.weight
+        marks = m.index
+        for batch in batches:
+            places = some[batch.column("id").to_numpy()]
+            length = start[places + 1] - start[places]
+            cells = W.ragged(start[places], length)
+            inside = np.minimum(places, len(marks.start) - 1), np.minimum(places + 1, len(marks.start) - 1)
+            begin, end = marks.start[inside[0]], marks.start[inside[1]]
+            own = W.ragged(begin, end - begin)
+            _, votes = m.judge(
+                index,
+                (np.repeat(np.arange(len(places)), length), term[cells], weight[cells]),
+                (np.r_[0, np.cumsum(end - begin)], marks.term[own], marks.weight[own]),
+                len(places),
+                places,
+            )
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(list(votes), pa.list_(pa.float64()))], ["id", "votes"])
+
+    return judge
+
+
 def fit(documents: DataFrame, labelled: DataFrame) -> ToxicityModel | float:
     """A model from `documents` (doc_id, text) and `labelled` (doc_id, label 0/1).
 
-    Gathers at most MOST_EXAMPLES labelled rows (a bounded sample by hash of the id) and
-    MOST_TERMS terms; document frequencies are counted over all documents. Without any
-    telling term, the share of label 1 (0 if nothing is labelled) is returned instead.
+    Gathers at most MOST_EXAMPLES labelled rows (a bounded sample by hash of the id) and all
+    their terms; document frequencies are counted over all documents. Without any term, or
+    examples of both labels, the share of label 1 (0 if nothing is labelled) is returned instead.
     """
     spark = documents.sparkSession
     sample = (
@@ -230,51 +376,87 @@ def fit(documents: DataFrame, labelled: DataFrame) -> ToxicityModel | float:
         .groupBy("term")
         .agg(F.sum("label").cast("double").alias("a"), F.sum(1 - F.col("label")).cast("double").alias("b"))
     )
-    a, b, c, d = F.col("a"), F.col("b"), toxic - F.col("a"), (n - toxic) - F.col("b")
-    chi = F.lit(float(n)) * (a * d - b * c) * (a * d - b * c) / ((a + b) * (c + d) * (a + c) * (b + d))
-    telling = per_term.withColumn("chi", chi).where(
-        (F.col("chi") >= LEAST_CHI_SQUARE) & (a * (n - toxic) > b * toxic)
-    )
-    top = telling.orderBy(F.desc("chi"), "term").limit(MOST_TERMS).select("term").toPandas()["term"].to_numpy()
-    if not len(top):
+    seen = per_term.toArrow()
+    if not seen.num_rows:
         return share
-    vocabulary = Vocabulary(np.sort(top.astype(np.int64).view(np.uint64)))
+    hashes = seen["term"].to_numpy().view(np.uint64)
+    order = np.argsort(hashes)
+    terms = hashes[order]
+    a, b = seen["a"].to_numpy()[order], seen["b"].to_numpy()[order]
+    c, d = toxic - a, (n - toxic) - b
+    with np.errstate(divide="ignore", invalid="ignore"):
+        chi = float(n) * (a * d - b * c) ** 2 / ((a + b) * (c + d) * (a + c) * (b + d))
+    marks = np.flatnonzero((chi >= LEAST_CHI_SQUARE) & (a * (n - toxic) > b * toxic))
+    marks = np.sort(marks[np.lexsort((terms[marks].view(np.int64), -chi[marks]))[:MOST_TERMS]])
+    lexicon = spark.sparkContext.broadcast({"terms": terms, "marks": marks})
     counted = (
-        documents.select("text").mapInArrow(_term_documents(vocabulary), "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).toPandas()
+        documents.select("text").mapInArrow(_term_documents(lexicon), "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
     )
-    frequency = np.zeros(len(vocabulary.terms) + 1)
+    frequency = np.zeros(len(terms) + 1)
     frequency[counted["term"].to_numpy()] = counted["n"].to_numpy()
-    idf = np.log((1 + frequency[-1]) / (1 + frequency[:-1])) + 1
+    idf = spark.sparkContext.broadcast(np.log((1 + frequency[-1]) / (1 + frequency[:-1])) + 1)
+    n_marks = len(marks)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary, telling = _lexicon(lexicon)
         for batch in batches:
             for first, end, data, offsets in _lower_pieces(batch.column("text")):
+                n = end - first
                 row, term, count = vocabulary.counts(data, offsets)
-                bounds = pa.array(np.searchsorted(row, np.arange(end - first + 1)).astype(np.int32))
-                lists = [pa.ListArray.from_arrays(bounds, pa.array(x)) for x in (term, count)]
-                own = [batch.column(x).slice(first, end - first) for x in ("doc_id", "label")]
-                yield pa.RecordBatch.from_arrays([*own, *lists], ["doc_id", "label", "term", "count"])
-
-    rows = examples.mapInArrow(vectors, "doc_id bigint, label bigint, term array<bigint>, count array<bigint>").toPandas()
-    # like vectors side by side, so that blocks differ in their maxima
-    main = [int(t[np.argmax(idf[t] * (1 + np.log(c)))]) if len(t) else -1 for t, c in zip(rows["term"], rows["count"], strict=True)]
-    rows = rows.assign(main=main).sort_values(["main", "doc_id"], kind="stable")
-    empty = rows[rows["main"] < 0]
-    rows = rows[rows["main"] >= 0].reset_index(drop=True)
-    sizes = rows["term"].map(len).to_numpy()
-    term, count = np.concatenate(list(rows["term"])), np.concatenate(list(rows["count"]))
-    start, weight = _unit_rows(np.repeat(np.arange(len(rows)), sizes), term, count, idf, len(rows))
-    index = BlockMaxIndex(start, term, weight, len(vocabulary.terms))
-    model = ToxicityModel(vocabulary, idf, index, rows["label"].to_numpy().astype(float), rows["doc_id"].to_numpy(), np.zeros(3))
-    # every example has a place in the calibration, but those without terms are all alike
-    step = -(-len(rows) // MOST_CALIBRATED)
-    some = np.arange(0, len(rows), step)
-    votes = np.array([model.votes(term[start[i] : start[i + 1]], weight[start[i] : start[i + 1]], i)[2:] for i in some]).reshape(-1, 2)
-    x, y, w = votes, model.label[some], np.full(len(some), float(step))
+                _, (start, mark, mark_weight) = _both_vectors(row, term, count, idf.value, telling, n)
+                at = np.searchsorted(row, np.arange(n + 1))
+                # like vectors side by side, so that blocks differ in their maxima; those without telling terms last
+                main = np.where(np.diff(at) > 0, n_marks, n_marks + 1)
+                for i in np.flatnonzero(np.diff(start)).tolist():
+                    main[i] = mark[start[i] + np.argmax(mark_weight[start[i] : start[i + 1]])]
+                own = [batch.column(x).slice(first, n) for x in ("doc_id", "label")]
+                lists = [
+                    pa.ListArray.from_arrays(pa.array(b.astype(np.int32)), pa.array(x))
+                    for b, x in ((at, term.astype(np.int32)), (at, count.astype(np.int32)), (start, mark.astype(np.int32)), (start, mark_weight))
+                ]
+                yield pa.RecordBatch.from_arrays([pa.array(main), *own, *lists], ["main", "doc_id", "label", "term", "count", "mark", "mark_weight"])
+
+    rows = examples.mapInArrow(
+        vectors,
+        "main bigint, doc_id bigint, label bigint, term array<int>, count array<int>, mark array<int>, mark_weight array<double>",
+    ).toArrow()
+    main, labels, ids = (rows[x].to_numpy() for x in ("main", "label", "doc_id"))
+    empty = labels[main > len(marks)]
+    order = np.lexsort((ids, main))[: len(main) - len(empty)]
+    if not len(order):
+        return share
+    marked = int((main < len(marks)).sum())
+    labels, ids = labels[order], ids[order]
+
+    def in_order(name: str) -> tuple[np.ndarray, np.ndarray]:
+        """Start of each example, and the values of all."""
+        chunks = [(np.asarray(c.offsets), c.values.to_numpy()) for c in rows[name].chunks]
+        got = [v[a:b] for o, v in chunks for a, b in zip(o[:-1].tolist(), o[1:].tolist(), strict=True)]
+        got = [got[i] for i in order.tolist()]
+        return np.r_[0, np.cumsum([len(x) for x in got])].astype(np.int64), np.concatenate(got)
+
+    (start, mark), mark_weight = in_order("mark"), in_order("mark_weight")[1]
+    index = BlockMaxIndex(start[: marked + 1], mark.astype(np.int64), mark_weight, len(marks))
+    model = ToxicityModel(lexicon, idf, index, labels.astype(float), ids, np.zeros(4))
+    start, term = in_order("term")
+    count = in_order("count")[1]
+    held = {"vectors": (start, term, count.astype(np.min_scalar_type(count.max())))}
+    del rows
+    model.whole = spark.sparkContext.broadcast(held)
+    # every example has a place in the calibration, with and without telling terms; those without terms are all alike
+    some, w = [], []
+    for first, last in ((0, marked), (marked, len(order))):
+        step = max(1, -(-(last - first) // (MOST_CALIBRATED // 2)))
+        some.append(np.arange(first, last, step))
+        w.append(np.full(len(some[-1]), float(step)))
+    some, w = np.concatenate(some), np.concatenate(w)
+    votes = spark.range(len(some)).mapInArrow(_left_out(model, some), "id bigint, votes array<double>").toArrow().sort_by("id")
+    x = votes["votes"].combine_chunks().flatten().to_numpy().reshape(-1, 3)
+    y = model.label[some]
     for value in (0, 1):
-        alike = float((empty["label"] == value).sum())
+        alike = float((empty == value).sum())
         if alike:
-            x, y, w = np.r_[x, np.zeros((1, 2))], np.r_[y, value], np.r_[w, alike]
+            x, y, w = np.r_[x, np.zeros((1, 3))], np.r_[y, value], np.r_[w, alike]
     model.coefficients = logistic_fit(x, y, weight=w)
     return model
 
@@ -284,22 +466,17 @@ RESULT = "doc_id bigint, score double, neighbours array<bigint>, cosines array<d
 
 def _scorer(m: ToxicityModel):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, (vocabulary, telling) = m.held(), _lexicon(m.lexicon)
         for batch in batches:
             for first, end, data, offsets in _lower_pieces(batch.column("text")):
                 n = end - first
-                row, term, count = m.vocabulary.counts(data, offsets)
-                start, weight = _unit_rows(row, term, count, m.idf, n)
-                votes, near, cosines = np.zeros((n, 2)), [[]] * n, [[]] * n
-                for i in np.unique(row).tolist():
-                    a, b = start[i], start[i + 1]
-                    found, cosine, *votes[i] = m.votes(term[a:b], weight[a:b])
-                    near[i], cosines[i] = m.ids[found].tolist(), cosine.tolist()
+                near, votes = m.judge(held["index"], *_both_vectors(*vocabulary.counts(data, offsets), m.idf.value, telling, n), n)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id").slice(first, n),
                         pa.array(m.scores(votes)),
-                        pa.array(near, pa.list_(pa.int64())),
-                        pa.array(cosines, pa.list_(pa.float64())),
+                        pa.array([m.ids[found].tolist() for found, _ in near], pa.list_(pa.int64())),
+                        pa.array([cosine.tolist() for _, cosine in near], pa.list_(pa.float64())),
                     ],
                     ["doc_id", "score", "neighbours", "cosines"],
                 )

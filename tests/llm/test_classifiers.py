@@ -1,3 +1,5 @@
+from collections import Counter
+
 import numpy as np
 from cases import SF_DIR, empty, odd, odd_rows, prose
 from pyspark.sql import functions as F
@@ -30,6 +32,26 @@ def test_nearest_is_exact():
         assert np.allclose(cosine, best) and np.allclose(all_[found], cosine)
 
 
+def test_neighbours_are_the_nearest_by_all_terms(spark):
+    """Rows without a telling term have neighbours too, and the right ones."""
+    rows = [(i, prose(i, 40) + (" vilewordy grumblor" if i % 5 == 0 else "")) for i in range(200)]
+    documents = spark.createDataFrame(rows, "doc_id bigint, text string")
+    marked = [i for i in range(200) if i % 2]
+    model = toxicity.fit(documents, spark.createDataFrame([(i, int(i % 5 == 0)) for i in marked], "doc_id bigint, label int"))
+    bags = [
+        Counter(x for w in t.lower().replace("!", "").split() for x in [(0, w), *((n, w[:n]) for n in toxicity.STEMS if len(w) > n)])
+        for _, t in rows
+    ]
+    known = {x for i in marked for x in bags[i]}
+    df = Counter(x for bag in bags for x in bag)
+    vectors = [{x: (1 + np.log(c)) * (np.log(201 / (1 + df[x])) + 1) for x, c in bag.items() if x in known} for bag in bags]
+    norms = [np.sqrt(sum(w * w for w in v.values())) for v in vectors]
+    for r in toxicity.score_toxicity(documents, model).collect():
+        i = r["doc_id"]
+        cosines = sorted((sum(w * vectors[j].get(x, 0) for x, w in vectors[i].items()) / norms[i] / norms[j] for j in marked), reverse=True)
+        assert len(r["neighbours"]) == 8 and np.allclose(r["cosines"], cosines[:8], atol=1e-6)
+
+
 def test_toxicity_is_learnt(spark):
     rows, marked = [], []
     for i in range(600):
