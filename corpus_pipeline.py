@@ -43,7 +43,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no benchmark item is found; rows that share an id share the verdict."""
     items = table(spark, sf_dir, "benchmark", "item_id", "text")
-    found = decontamination.contaminated(docs, "doc_id", "text", items, "item_id", "text")
+    found = decontamination.leaks(docs, "doc_id", "text", items, "item_id", "text")
     leaks = found.select(F.col("doc_id").alias("leak")).distinct()
     return docs.join(leaks, docs["doc_id"].eqNullSafe(leaks["leak"]), "left_anti")
 

@@ -7,6 +7,9 @@ behind the placeholders are compared along the alignment: an item's value must s
 value of the document throughout, and the other way round. A document is contaminated by an item
 when windows so confirmed make up most of the item.
 
+Beside the templates stand literal windows of eight words, whatever their case: `leaks` unites
+what both find.
+
 All of it is DataFrame expressions. Window hashes are looked up inside each row's array first,
 against a literal set (only while that set is small; it saves work and changes no result), so
 that only windows known to the benchmark become rows.
@@ -117,6 +120,68 @@ def template_windows(rows: DataFrame, row_id: str, text: str, known: list[int] |
     )
 
 
+#: Words and numbers, in text of one case.
+LITERAL_TOKENS = rf"{_LETTERS}++|[0-9]++(?:[.,:/][0-9]++){{0,8}}"
+
+
+def _one_case(text: Column) -> Column:
+    return F.lower(F.upper(F.coalesce(text, F.lit(""))))
+
+
+def _known(items: DataFrame) -> list[int] | None:
+    """The hashes of items as a literal set, or None where they are too many."""
+    hashes = [r["hash"] for r in items.select("hash").distinct().limit(MOST_LITERAL + 1).collect()]
+    return (sorted(hashes) or [0]) if len(hashes) <= MOST_LITERAL else None
+
+
+def literal_windows(rows: DataFrame, row_id: str, text: str, known: list[int] | None = None) -> DataFrame:
+    """row_id, n_windows, at, hash for every window of eight words of every text, in one case."""
+    hashed = rows.select(
+        F.col(f"`{row_id}`").alias("row_id"),
+        F.regexp_extract_all(_one_case(F.col(f"`{text}`")), F.lit(LITERAL_TOKENS), F.lit(0)).alias("tokens"),
+    ).withColumn("hashes", F.transform("tokens", lambda t: F.xxhash64(t)))
+    last = F.size("hashes") - WINDOW
+    windows = F.when(
+        last >= 0,
+        F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(*[F.col("hashes")[i + k] for k in range(WINDOW)])),
+    )
+    found = F.expr(
+        "filter(transform(windows, (h, i) -> "
+        + ("named_struct('hash', h, 'at', i)" if known is None else f"if(h IN ({', '.join(map(str, known))}), named_struct('hash', h, 'at', i), null)")
+        + "), w -> w is not null)"
+    )
+    hits = hashed.withColumn("windows", windows).withColumn("hits", found)
+    rows_out = hits.select("row_id", F.size("windows").alias("n_windows"), F.explode_outer("hits").alias("w"))
+    return rows_out.where(F.col("w").isNotNull()).select("row_id", "n_windows", "w.hash", "w.at")
+
+
+def literal_matches(
+    documents: DataFrame, doc_id: str, text: str, benchmark: DataFrame, item_id: str, item_text: str, least_coverage: float = LEAST_COVERAGE
+) -> DataFrame:
+    """doc_id, item_id, coverage where most literal windows of an item are in a document, whatever their case."""
+    items = literal_windows(benchmark, item_id, item_text).select(
+        F.col("row_id").alias("item_id"),
+        "hash",
+        F.col("at").alias("item_at"),
+        F.count(F.lit(1)).over(Window.partitionBy("row_id")).alias("item_windows"),
+    )
+    found = literal_windows(documents, doc_id, text, _known(items)).select(F.col("row_id").alias("doc_id"), "hash").distinct()
+    covered = found.join(items, "hash").groupBy("doc_id", "item_id").agg(
+        F.countDistinct("item_at").alias("n"), F.first("item_windows").alias("item_windows")
+    )
+    return covered.select("doc_id", "item_id", (F.col("n") / F.col("item_windows")).alias("coverage")).where(
+        F.col("coverage") >= least_coverage
+    )
+
+
+def leaks(documents: DataFrame, doc_id: str, text: str, benchmark: DataFrame, item_id: str, item_text: str) -> DataFrame:
+    """One row per document and item it contains, by template or literally: doc_id, item_id,
+    coverage (that of the template where it is found so)."""
+    rows = documents, doc_id, text, benchmark, item_id, item_text
+    found = contaminated(*rows).withColumn("literal", F.lit(0)).unionByName(literal_matches(*rows).withColumn("literal", F.lit(1)))
+    return found.groupBy("doc_id", "item_id").agg(F.min_by("coverage", "literal").alias("coverage"))
+
+
 def contaminated(
     documents: DataFrame,
     doc_id: str,
@@ -140,11 +205,7 @@ def contaminated(
         "hash",
         F.count(F.lit(1)).over(Window.partitionBy("row_id")).alias("item_windows"),
     )
-    hashes = [r["hash"] for r in items.select("hash").distinct().limit(MOST_LITERAL + 1).collect()]
-    few = len(hashes) <= MOST_LITERAL
-    if few and not hashes:
-        hashes = [0]
-    found = template_windows(documents, doc_id, text, sorted(hashes) if few else None).select(
+    found = template_windows(documents, doc_id, text, _known(items)).select(
         F.col("row_id").alias("doc_id"), "at", "slots", "hash"
     )
     met = found.join(items, "hash").withColumn("shift", F.col("at") - F.col("item_at"))
@@ -222,7 +283,7 @@ _SQL_UNITS = ", ".join(f"'{unit}'" for unit in UNITS)
 )
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents", "doc_id", "text")
-    found = contaminated(
+    found = leaks(
         documents, "doc_id", "text", table(spark, sf_dir, "benchmark", "item_id", "text"), "item_id", "text"
     )
     best = found.groupBy("doc_id").agg(

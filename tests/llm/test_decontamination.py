@@ -49,3 +49,16 @@ def test_documents_that_hold_an_item(spark):
     got = d.op4_decontamination(spark, sf_dir).collect()
     assert len(got) == len(documents(spark))
     assert whole <= {r["doc_id"] for r in got if r["contaminated"]}
+
+
+def leaking(spark, texts, items=((1, ITEM),)):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    benchmark = spark.createDataFrame(list(items), "item_id bigint, text string")
+    return {(r["doc_id"], r["item_id"]) for r in d.leaks(docs, "doc_id", "text", benchmark, "item_id", "text").collect()}
+
+
+def test_case_hides_no_copy(spark):
+    texts = [ITEM, ITEM.upper(), "x " + ITEM.lower(), ITEM.replace("Alice", "Carla"), prose(1, 200), None]
+    assert leaking(spark, texts) == {(0, 1), (1, 1), (2, 1), (3, 1)}
+    german = "Die Straße von Hamburg nach Berlin führt durch viele Dörfer und Wälder mit alten Häusern am Rand"
+    assert leaking(spark, [german.upper()], [(1, german)]) == {(0, 1)}
