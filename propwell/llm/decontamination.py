@@ -7,8 +7,8 @@ behind the placeholders are compared along the alignment: an item's value must s
 value of the document throughout, and the other way round. A document is contaminated by an item
 when windows so confirmed make up most of the item.
 
-Beside the templates stand literal windows of eight words, whatever their case: `leaks` unites
-what both find.
+Beside the templates stand literal windows of eight words, whatever their case, and items of
+fewer words, literally as a whole: `leaks` unites what these find.
 
 All of it is DataFrame expressions. Window hashes are looked up inside each row's array first,
 against a literal set (only while that set is small; it saves work and changes no result), so
@@ -29,6 +29,8 @@ WINDOW = 8
 LEAST_WORDS = 4
 #: Share of an item's windows that must be confirmed.
 LEAST_COVERAGE = 0.6
+#: Windows in a row that are a leak whatever the item's length: 20 words.
+RUN = 13
 #: Hashes that may be looked up as a literal set.
 MOST_LITERAL = 100_000
 
@@ -158,27 +160,74 @@ def literal_windows(rows: DataFrame, row_id: str, text: str, known: list[int] |
 def literal_matches(
     documents: DataFrame, doc_id: str, text: str, benchmark: DataFrame, item_id: str, item_text: str, least_coverage: float = LEAST_COVERAGE
 ) -> DataFrame:
-    """doc_id, item_id, coverage where most literal windows of an item are in a document, whatever their case."""
+    """doc_id, item_id, coverage where most literal windows of an item, or RUN in a row, are in a document, whatever their case."""
     items = literal_windows(benchmark, item_id, item_text).select(
         F.col("row_id").alias("item_id"),
         "hash",
         F.col("at").alias("item_at"),
         F.count(F.lit(1)).over(Window.partitionBy("row_id")).alias("item_windows"),
     )
-    found = literal_windows(documents, doc_id, text, _known(items)).select(F.col("row_id").alias("doc_id"), "hash").distinct()
-    covered = found.join(items, "hash").groupBy("doc_id", "item_id").agg(
-        F.countDistinct("item_at").alias("n"), F.first("item_windows").alias("item_windows")
+    found = literal_windows(documents, doc_id, text, _known(items)).select(F.col("row_id").alias("doc_id"), "hash", "at")
+    aligned = (
+        found.join(items, "hash")
+        .groupBy("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("shift"))
+        .agg(F.array_sort(F.collect_set("item_at")).alias("ats"), F.first("item_windows").alias("item_windows"))
     )
-    return covered.select("doc_id", "item_id", (F.col("n") / F.col("item_windows")).alias("coverage")).where(
-        F.col("coverage") >= least_coverage
+    in_a_row = F.size("ats") >= RUN
+    run = F.exists(F.sequence(F.lit(0), F.size("ats") - RUN), lambda i: F.col("ats")[i + (RUN - 1)] - F.col("ats")[i] == RUN - 1)
+    covered = (
+        aligned.withColumn("run", F.when(in_a_row, run).otherwise(False))
+        .select("doc_id", "item_id", "item_windows", "run", F.explode("ats").alias("item_at"))
+        .groupBy("doc_id", "item_id")
+        .agg(F.countDistinct("item_at").alias("n"), F.first("item_windows").alias("item_windows"), F.max("run").alias("run"))
+    )
+    return covered.withColumn("coverage", F.col("n") / F.col("item_windows")).where(
+        F.col("run") | (F.col("coverage") >= least_coverage)
+    ).select("doc_id", "item_id", "coverage")
+
+
+#: Words, numbers and every other sign but white space.
+SIGNS = rf"{_LETTERS}++|[0-9]++|[^\p{{L}}\p{{M}}0-9\s\p{{Z}}]"
+
+
+def short_matches(documents: DataFrame, doc_id: str, text: str, benchmark: DataFrame, item_id: str, item_text: str) -> DataFrame:
+    """doc_id, item_id, coverage (1) where an item of fewer than eight words is in a document as a whole, sign by sign."""
+    signs = lambda c: F.regexp_extract_all(_one_case(F.col(f"`{c}`")), F.lit(SIGNS), F.lit(0))
+    words = F.size(F.regexp_extract_all(_one_case(F.col(f"`{item_text}`")), F.lit(LITERAL_TOKENS), F.lit(0)))
+    items = (
+        benchmark.where(words < WINDOW)
+        .select(F.col(f"`{item_id}`").alias("item_id"), signs(item_text).alias("signs"))
+        .select("item_id", F.size("signs").alias("length"), F.xxhash64("signs").alias("hash"))
+        .where("length > 0")
+    )
+    lengths = sorted(r["length"] for r in items.select("length").distinct().collect())
+    rows = documents.select(F.col(f"`{doc_id}`").alias("doc_id"), signs(text).alias("signs"))
+    if not lengths:
+        return rows.limit(0).select("doc_id", F.lit(None).cast(benchmark.schema[item_id].dataType).alias("item_id"), F.lit(1.0).alias("coverage"))
+    known = _known(items)
+    among = "true" if known is None else f"h IN ({', '.join(map(str, known))})"
+    hits = F.concat(
+        *[
+            F.expr(
+                f"transform(array_distinct(filter(transform(sequence(1, greatest(1, size(signs) - {n - 1})), i -> xxhash64(slice(signs, i, {n}))),"
+                f" h -> {among})), h -> named_struct('length', {n}, 'hash', h))"
+            )
+            for n in lengths
+        ]
     )
+    found = rows.withColumn("hits", hits).select("doc_id", F.explode_outer("hits").alias("w")).where(F.col("w").isNotNull())
+    return found.select("doc_id", "w.length", "w.hash").join(items, ["length", "hash"]).select(
+        "doc_id", "item_id", F.lit(1.0).alias("coverage")
+    ).distinct()
 
 
 def leaks(documents: DataFrame, doc_id: str, text: str, benchmark: DataFrame, item_id: str, item_text: str) -> DataFrame:
     """One row per document and item it contains, by template or literally: doc_id, item_id,
     coverage (that of the template where it is found so)."""
     rows = documents, doc_id, text, benchmark, item_id, item_text
-    found = contaminated(*rows).withColumn("literal", F.lit(0)).unionByName(literal_matches(*rows).withColumn("literal", F.lit(1)))
+    found = contaminated(*rows, by_window=True).withColumn("literal", F.lit(0))
+    for other in (literal_matches, short_matches):
+        found = found.unionByName(other(*rows).withColumn("literal", F.lit(1)))
     return found.groupBy("doc_id", "item_id").agg(F.min_by("coverage", "literal").alias("coverage"))
 
 
@@ -190,12 +239,14 @@ def contaminated(
     item_id: str,
     item_text: str,
     least_coverage: float = LEAST_COVERAGE,
+    by_window: bool = False,
 ) -> DataFrame:
     """One row per document and item it contains: doc_id, item_id, coverage.
 
     Null and repeated ids are ids like others; rows that share one are taken together. Items
     of fewer than eight tokens, or mostly of placeholders, cannot be told from chance and match
-    nothing. Empty tables give an empty result.
+    nothing. Empty tables give an empty result. Values in conflict undo the whole alignment, or
+    `by_window` only the windows they are in.
     """
     items = template_windows(benchmark, item_id, item_text).where(F.col("words") >= LEAST_WORDS)
     items = items.select(
@@ -214,9 +265,16 @@ def contaminated(
         F.collect_set("item_at").alias("ats"),
         F.first("item_windows").alias("item_windows"),
         F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs"),
+        *([F.collect_set(F.struct("item_at", pairs.alias("pairs"))).alias("wins")] if by_window else []),
     )
     count = lambda field: F.size(F.array_distinct(F.transform("pairs", lambda p: p[field])))
-    consistent = aligned.where((count("a") == F.size("pairs")) & (count("b") == F.size("pairs")))
+    agree = (count("a") == F.size("pairs")) & (count("b") == F.size("pairs"))
+    if by_window:
+        clash = F.expr("filter(pairs, p -> exists(pairs, q -> (p.a = q.a) != (p.b = q.b)))")
+        free = F.expr("transform(filter(wins, w -> NOT exists(w.pairs, p -> array_contains(clash, p))), w -> w.item_at)")
+        consistent = aligned.withColumn("clash", F.when(agree, F.slice("pairs", 1, 0)).otherwise(clash)).withColumn("ats", free)
+    else:
+        consistent = aligned.where(agree)
     covered = (
         consistent.select("doc_id", "item_id", "item_windows", F.explode("ats").alias("item_at"))
         .groupBy("doc_id", "item_id")

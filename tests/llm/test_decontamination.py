@@ -62,3 +62,23 @@ def test_case_hides_no_copy(spark):
     assert leaking(spark, texts) == {(0, 1), (1, 1), (2, 1), (3, 1)}
     german = "Die Straße von Hamburg nach Berlin führt durch viele Dörfer und Wälder mit alten Häusern am Rand"
     assert leaking(spark, [german.upper()], [(1, german)]) == {(0, 1)}
+
+
+def test_short_items_are_found_whole(spark):
+    items = [(1, "12 + 30 = ?"), (2, "Who wrote Faust?"), (3, None), (4, "")]
+    texts = ["Sums: 12 + 30 = ? Well.", "12 - 30 = ?", "so WHO WROTE FAUST? he asked", "who wrote it", None]
+    assert leaking(spark, texts, items) == {(0, 1), (2, 2)}
+
+
+def test_long_quotation_of_a_longer_item(spark):
+    item = prose(11, 59)
+    words = item.split()
+    assert leaking(spark, ["a b c " + " ".join(words[10:35]) + " d e f", " ".join(words[10:22])], [(1, item)]) == {(0, 1)}
+
+
+def test_conflict_costs_its_windows_only(spark):
+    item = "so there were 4 apples in the first old basket near the green door of the long house and the man who lived there put 4 pears beside it"
+    redrawn = item.replace("4 apples", "3 apples").replace("4 pears", "5 pears").replace("so there", "now there")
+    assert flagged(spark, [redrawn], [(1, item)]) == set()
+    assert leaking(spark, [redrawn], [(1, item)]) == {(0, 1)}
+    assert leaking(spark, [ITEM.replace("Alice kept", "Eve kept").replace("Alice bought", "Carla bought")]) == set()
