@@ -20,6 +20,7 @@ between classes; the second gives no more rows than there are queries and classe
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -50,8 +51,8 @@ def vertex_of(doc_id: Column, text: Column) -> Column:
     return F.coalesce(doc_id.cast("bigint"), own)
 
 
-def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Shingle hashes of rows of text, the row of each, and two hashes of each row's words.
+def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Shingle hashes of rows of text, and the row of each.
 
     A row of one to four words has one shingle, all of it.
     """
@@ -62,9 +63,19 @@ def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     owner = np.repeat(np.arange(len(n)), count)
     first = W.ragged(rows[:-1], count)
     hashes = W.between(sums, first, np.minimum(first + SHINGLE, rows[owner + 1]))
-    other = W.prefix(W.word_hashes(data, start, stop, 1), 1)
-    whole = W.between(sums, rows[:-1], rows[1:]), W.between(other, rows[:-1], rows[1:], 1)
-    return hashes, owner, *whole
+    return hashes, owner
+
+
+def word_digests(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The 128-bit digest of each row's words, one space between, in two halves."""
+    start, stop, rows = W.spans(data, offsets)
+    size = stop - start + 1
+    joined = np.append(data, 32).astype(np.uint8)[W.ragged(start, size)]
+    joined[np.cumsum(size) - 1] = 32
+    until, flat = np.r_[0, np.cumsum(size)][rows].tolist(), memoryview(joined)
+    parts = [hashlib.blake2b(flat[a:b], digest_size=16).digest() for a, b in zip(until[:-1], until[1:], strict=True)]
+    halves = np.frombuffer(b"".join(parts), "<i8").reshape(-1, 2)
+    return halves[:, 0], halves[:, 1]
 
 
 def unit_cells(hashes: np.ndarray, owner: np.ndarray) -> np.ndarray:
@@ -115,7 +126,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         vertex = batch.column("vertex")
         for first, end, data, offsets in W.pieces(batch.column("text"), W.PIECE_BYTES // 2):
-            hashes, owner, one, two = shingles(data, offsets)
+            (hashes, owner), (one, two) = shingles(data, offsets), word_digests(data, offsets)
             n = np.bincount(owner, minlength=end - first)
             signature = dart_signatures(unit_cells(hashes, owner), owner, end - first)
             bands = np.zeros((end - first, BANDS), np.uint64)
@@ -127,7 +138,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ends = np.cumsum(np.where(n > 0, BANDS, 0))
             lists = pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.array(bands[n > 0].view(np.int64).ravel()))
             yield pa.RecordBatch.from_arrays(
-                [vertex.slice(first, end - first), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(n), lists],
+                [vertex.slice(first, end - first), pa.array(one), pa.array(two), pa.array(n), lists],
                 ["vertex", "one", "two", "n", "bands"],
             )
 
@@ -198,13 +209,13 @@ def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             some = order[at : at + 256]
             cells = []
             for _, _, data, offsets in W.pieces(batch.column("text_b").take(pa.array(some))):
-                hashes, owner, _, _ = shingles(data, offsets)
+                hashes, owner = shingles(data, offsets)
                 mine = unit_cells(hashes, owner)
                 cells += np.split(mine, np.cumsum(np.bincount(owner, minlength=len(offsets) - 1))[:-1])
             for row, other in zip(some, cells, strict=True):
                 if ids[row] != last or last_cells is None:
                     _, _, data, offsets = next(W.pieces(left.slice(int(row), 1)))
-                    hashes, owner, _, _ = shingles(data, offsets)
+                    hashes, owner = shingles(data, offsets)
                     last, last_cells = ids[row], np.sort(unit_cells(hashes, owner))
                 if not len(last_cells):
                     continue
@@ -224,7 +235,7 @@ def _links_in_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         vertex, cls = batch.column("vertex").to_numpy(), batch.column("class").to_numpy()
         links: list[tuple[int, int]] = []
         for first, last, data, offsets in W.pieces(batch.column("text")):
-            hashes, owner, _, _ = shingles(data, offsets)
+            hashes, owner = shingles(data, offsets)
             cells = np.split(unit_cells(hashes, owner), np.cumsum(np.bincount(owner, minlength=last - first))[:-1])
             for i, own in zip(range(first, last), cells, strict=True):
                 if (group[i], block[i]) != now:

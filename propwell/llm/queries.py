@@ -4,6 +4,7 @@ from propwell.llm import (  # noqa: F401
     chat_format,
     decontamination,
     exact_dedup,
+    fill_middle,
     mixing,
     near_dedup,
     quality,

@@ -107,13 +107,13 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             start, stop, rows = W.spans(data, offsets)
             hashes = W.word_hashes(data, start, stop)
             owner = W.row_of(rows)
-            sums = W.prefix(hashes)
+            sums, other = W.prefix(hashes), W.prefix(W.word_hashes(data, start, stop, 1), 1)
             at = np.arange(len(hashes)) - rows[owner]
             n = np.diff(rows)[owner]
             chosen = np.flatnonzero(inside[at % PERIOD] & (at + ANCHOR <= n) & (n >= LENGTH))
             lo = np.maximum(chosen - (LENGTH - ANCHOR), rows[owner[chosen]])
             hi = np.minimum(chosen + LENGTH, rows[owner[chosen] + 1])
-            around = W.mix(W.between(sums, lo, hi) + (chosen - lo).astype(np.uint64))
+            around = W.mix(W.between(other, lo, hi, 1) + (chosen - lo).astype(np.uint64))
             # spots are whole, so where surroundings end is kept apart, in `end`, until rows leave
             found.append(
                 (

@@ -33,8 +33,9 @@ from propwell.session import scratch_path
 SEQUENCE = 2048
 SEQUENCES_PER_BATCH = 256
 END_ID = 2
-#: Pieces whose ids a worker process remembers; once full, new ones are encoded each time.
+#: Pieces, and their bytes, whose ids a worker process remembers; once full, new ones are encoded each time.
 REMEMBERED = 600_000
+REMEMBERED_BYTES = 1 << 25
 #: Bytes of pieces that are encoded as one text.
 JOINED_BYTES = 1 << 13
 
@@ -57,7 +58,7 @@ class PieceEncoder:
         # in a byte-level vocabulary every character of a token stands for a byte
         self.token_bytes = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(size)])
         self.place: dict[int, int] = {}
-        self.check = np.zeros(0, np.uint64)
+        self.bytes, self.begin = np.zeros(0, np.uint8), np.zeros(1, np.int64)  # of the pieces remembered
         self.count = np.zeros(0, np.int64)
         self.ids = np.zeros(0, self.dtype)
 
@@ -103,20 +104,24 @@ class PieceEncoder:
         begins[offsets] = True
         start = np.flatnonzero(begins[:n])
         end = np.r_[start[1:], n]
-        keys, checks = (W.word_hashes(data, start, end, s) for s in (0, 1))
+        keys = W.word_hashes(data, start, end)
         distinct, at, back = np.unique(keys, return_index=True, return_inverse=True)
         known = distinct.tolist()
         place = np.fromiter((self.place.get(k, -1) for k in known), np.int64, len(known))
         new = np.flatnonzero(place < 0)
         place[new] = len(self.count) + np.arange(len(new))
-        got, counts = self._encode_pieces(data, start[at[new]], end[at[new]])
-        check, count, ids = np.r_[self.check, checks[at[new]]], np.r_[self.count, counts], np.r_[self.ids, got]
-        if len(self.place) + len(new) <= REMEMBERED:
+        first, last = start[at[new]], end[at[new]]
+        got, counts = self._encode_pieces(data, first, last)
+        own = data[W.ragged(first, last - first)]
+        begin = np.r_[self.begin, self.begin[-1] + np.cumsum(last - first)]
+        held, count, ids = np.r_[self.bytes, own], np.r_[self.count, counts], np.r_[self.ids, got]
+        if len(self.place) + len(new) <= REMEMBERED and len(held) <= REMEMBERED_BYTES:
             self.place.update(zip(distinct[new].tolist(), place[new].tolist(), strict=True))
-            self.check, self.count, self.ids = check, count, ids
+            self.bytes, self.begin, self.count, self.ids = held, begin, count, ids
         place = place[back]
-        odd = np.flatnonzero(check[place] != checks)
-        if len(odd):  # equal keys of unequal pieces
+        same = (np.diff(begin)[place] == end - start) & W.same_bytes(data, start, end, held, begin[place])
+        odd = np.flatnonzero(~same)
+        if len(odd):  # equal hashes of unequal pieces
             got, counts = self._encode_pieces(data, start[odd], end[odd])
             place[odd] = len(count) + np.arange(len(odd))
             count, ids = np.r_[count, counts], np.r_[ids, got]

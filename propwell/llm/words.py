@@ -1,12 +1,14 @@
 """Words of many texts at once, as numpy arrays over the bytes of an Arrow string array.
 
 Texts are handled as UTF-8 bytes. White space is ASCII, so a byte of a longer character is
-never taken for it. Words, and runs of words, get 64-bit hashes from prefix sums; a second
-family (`seed=1`) makes them 128 bits where a match is final.
+never taken for it. Words get 64-bit hashes, and short runs of words (a power series in them)
+others from prefix sums; a second family (`seed=1`) makes them 128 bits where a match is final.
+Long runs, whole texts, need a real digest where a match is final.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,6 +24,10 @@ NOT_ALNUM = np.array([i < 128 and not chr(i).isalnum() for i in range(256)])
 PIECE_BYTES = 1 << 21
 
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+#: Words of more bytes are hashed one by one.
+LONG_WORD = 256
+#: Masks of the first 0 to 8 bytes of a number.
+_LOW = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 _powers: dict[tuple[int, bool], np.ndarray] = {}
 
 
@@ -89,8 +95,45 @@ def spans(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = WHITE)
     return start, np.flatnonzero(ends) + 1, np.searchsorted(start, offsets)
 
 
+def _eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from every position on, as one number; zeros follow the end."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+
+
 def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
-    return between(prefix(_BYTE[seed][data], seed), start, end, seed)
+    """Hash of every word, eight bytes at a time, each mixed into what came before; long words by BLAKE2b.
+
+    No sum of powers: those have words, not hard to write down, that collide under every odd base.
+    """
+    eight, size = _eights(data), end - start
+    hashes = mix(size.astype(np.uint64) + np.uint64(_BASES[1 - seed]))
+    live, at = np.flatnonzero((size > 0) & (size <= LONG_WORD)), 0
+    while len(live):
+        here = eight[start[live] + at] & _LOW[np.minimum(size[live] - at, 8)]
+        hashes[live] = mix((hashes[live] ^ here) * np.uint64(_BASES[seed]))
+        at += 8
+        live = live[size[live] > at]
+    for i in np.flatnonzero(size > LONG_WORD).tolist():
+        digest = hashlib.blake2b(data[start[i] : end[i]], digest_size=8, salt=bytes([seed])).digest()
+        hashes[i] = int.from_bytes(digest, "little")
+    return hashes
+
+
+def same_bytes(data: np.ndarray, start: np.ndarray, end: np.ndarray, other: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """Whether data[start:end] equals as many bytes of `other` from `begin` on, for every pair of places."""
+    one, two, size = _eights(data), _eights(other), end - start
+    same = begin + size <= len(other)
+    live, at = np.flatnonzero(same & (size <= LONG_WORD)), 0
+    while len(live):
+        differ = (one[start[live] + at] ^ two[begin[live] + at]) & _LOW[np.clip(size[live] - at, 0, 8)]
+        same[live] &= differ == 0
+        at += 8
+        live = live[(size[live] > at) & (differ == 0)]
+    for i in np.flatnonzero(same & (size > LONG_WORD)).tolist():
+        same[i] = np.array_equal(data[start[i] : end[i]], other[begin[i] : begin[i] + size[i]])
+    return same
 
 
 def row_of(rows: np.ndarray) -> np.ndarray:
@@ -103,3 +146,26 @@ def ragged(start: np.ndarray, length: np.ndarray) -> np.ndarray:
     total = int(length.sum())
     step = np.arange(total) - np.repeat(np.cumsum(length) - length, length)
     return np.repeat(start, length) + step
+
+
+def slices(texts: pa.Array, limit: int = PIECE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, bool]]:
+    """As `pieces`, but a longer row comes in several, cut before white space; True if the row goes on.
+
+    A word that is longer than the limit stays whole.
+    """
+    for first, end, data, offsets in pieces(texts, limit):
+        at = 0
+        while len(data) - at > limit:
+            window = np.flatnonzero(WHITE[data[at + 1 : at + limit]])
+            if len(window):
+                cut = at + 1 + int(window[-1])
+            else:
+                cut, step = at + limit, limit
+                while cut < len(data) and not WHITE[data[cut : cut + step]].any():
+                    cut += step
+                if cut >= len(data):
+                    break
+                cut += int(np.argmax(WHITE[data[cut : cut + step]]))
+            yield first, end, data[at:cut], np.array([0, cut - at]), True
+            at = cut
+        yield first, end, data[at:], offsets if at == 0 else np.array([0, len(data) - at]), False
