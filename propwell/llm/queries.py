@@ -7,6 +7,7 @@ from propwell.llm import (  # noqa: F401
     fill_middle,
     mixing,
     near_dedup,
+    packing,
     prefix_trie,
     quality,
     sharding,
