@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -45,37 +46,81 @@ SEQUENCES = "sequence_id bigint, n_tokens bigint, ids array<int>, pieces array<s
 DIGESTS = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 
 
+#: Kinds of ASCII characters: letters 1, digits 2, others 0.
+_KIND = np.array([1 if chr(i).isalpha() and i < 128 else 2 if 0x30 <= i <= 0x39 else 0 for i in range(256)], np.uint8)
+_LOWER = np.array([i + 32 if 0x41 <= i <= 0x5A else i for i in range(256)], np.uint8)
+#: Words with such a byte stay as they are: beyond ASCII, or part of a special token.
+_ODD = np.array([i >= 128 or i == 0x7C for i in range(256)])
+
+
+def atoms(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Lower-cased bytes, and start and end of the parts that words fall into.
+
+    The tokenizer lower-cases, and divides where letters, digits and other characters meet, but
+    for an apostrophe before a letter; so do these parts in words of ASCII alone.
+    """
+    odd = np.r_[0, np.cumsum(_ODD[data])]
+    plain = odd[end] == odd[start]
+    change = np.zeros(len(data) + 1, np.int8)
+    change[start[plain]] += 1
+    change[end[plain]] -= 1
+    inside = np.cumsum(change[:-1], dtype=np.int8).astype(bool)
+    kind = _KIND[data]
+    cut = np.zeros(len(data) + 1, bool)
+    cut[1:-1] = inside[1:] & inside[:-1] & ((kind[1:] != kind[:-1]) | (kind[1:] == 2)) & ~((data[:-1] == 0x27) & (kind[1:] == 1))
+    cut[start] = True
+    begin = np.flatnonzero(cut)
+    until = np.r_[begin[1:], len(data)]
+    return np.where(inside, _LOWER[data], data), begin, np.minimum(until, end[np.searchsorted(start, begin, "right") - 1])
+
+
 class WordEncoder:
-    """Ids of texts by a tokenizer that drops white space, each distinct word encoded once."""
+    """Ids of texts by a tokenizer that drops white space and case, each distinct part of a word encoded once."""
 
     def __init__(self, tokenizer_path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
+        self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self._forget()
 
     def _forget(self) -> None:
         self.place: dict[int, int] = {}
         self.bytes, self.begin = np.zeros(0, np.uint8), np.zeros(1, np.int64)
-        self.count, self.ids = np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.count, self.ids = np.zeros(0, np.int64), np.zeros(0, self.dtype)
 
     def _encode_words(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of words, end to end, and how many each has."""
+        """Ids of words, end to end, and how many each has.
+
+        Words of ASCII without an apostrophe are one part for the tokenizer, so 512 of them make a text
+        whose parts are those words; others are given one by one.
+        """
         raw = data.tobytes()
         words = [raw[a:b].decode() for a, b in zip(start.tolist(), end.tolist(), strict=True)]
-        ids, count = [np.zeros(0, np.uint32)], np.zeros(len(words), np.int64)
-        groups = [words[at : at + 512] for at in range(0, len(words), 512)]
-        for k, e in enumerate(self.tokenizer.encode_batch(groups, is_pretokenized=True, add_special_tokens=False)):
-            ids.append(np.array(e.ids, np.uint32))
-            count[512 * k : 512 * k + len(groups[k])] = np.bincount(np.array(e.word_ids, np.int64), minlength=len(groups[k]))
-        return np.concatenate(ids), count
+        single = np.array([w.isascii() and w.isprintable() and "'" not in w and "|" not in w for w in words], bool)
+        order = np.r_[np.flatnonzero(single), np.flatnonzero(~single)]
+        n = int(single.sum())
+        cuts = [*range(0, n, 512), *range(n, len(words), 512), len(words)]
+        groups = [[words[i] for i in order[a:b].tolist()] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        alone = -(-n // 512)
+        made = self.tokenizer.encode_batch([" ".join(g) for g in groups[:alone]], add_special_tokens=False)
+        made += self.tokenizer.encode_batch(groups[alone:], is_pretokenized=True, add_special_tokens=False)
+        count = np.zeros(len(words), np.int64)
+        for k, (e, g) in enumerate(zip(made, groups, strict=True)):
+            count[cuts[k] : cuts[k] + len(g)] = np.bincount(np.array(e.word_ids, np.int64), minlength=len(g))
+        ids = np.concatenate([np.array(e.ids, self.dtype) for e in made])
+        first, back = np.cumsum(count) - count, np.argsort(order)
+        return ids[W.ragged(first[back], count[back])], count[back]
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows, and how many each has; no end id."""
         start, end, rows = W.spans(data, offsets)
         if not len(start):
-            return np.zeros(0, np.uint32), np.zeros(len(offsets) - 1, np.int64)
+            return self.ids[:0], np.zeros(len(offsets) - 1, np.int64)
+        whole = start
+        data, start, end = atoms(data, start, end)
+        rows = np.r_[np.searchsorted(start, whole), len(start)][rows]
         keys = W.word_hashes(data, start, end)
         distinct, at, back = np.unique(keys, return_index=True, return_inverse=True)
         known = distinct.tolist()
@@ -128,7 +173,7 @@ def _cutter(tokenizer_path: str, end_id: int, capacity: int):
                         continue
                     ids, waiting = np.concatenate(waiting), []
                     count = np.array([len(ids)])
-                closed = np.full(len(ids) + len(count), end_id, np.uint32)
+                closed = np.full(len(ids) + len(count), end_id, encoder.dtype)
                 closed[np.arange(len(ids)) + np.repeat(np.arange(len(count)), count)] = ids
                 count = count + 1
                 n = -(-count // capacity)
@@ -141,9 +186,9 @@ def _cutter(tokenizer_path: str, end_id: int, capacity: int):
                 nth = np.empty(len(length), np.int64)
                 nth[order] = np.arange(len(length)) - np.repeat(run, np.diff(np.r_[run, len(length)])) + seen[ranked]
                 seen += np.bincount(length, minlength=capacity + 1)
-                at = np.r_[0, np.cumsum(length)] * 4
-                raw = pa.py_buffer(closed.astype("<u4"))
-                for a, b in _runs(at, 1 << 24):
+                at = np.r_[0, np.cumsum(length)] * encoder.dtype.itemsize
+                raw = pa.py_buffer(closed)
+                for a, b in _runs(at, 1 << 22):
                     own = pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer((at[a : b + 1] - at[a]).astype(np.int32)), raw.slice(at[a], at[b] - at[a])])
                     yield pa.RecordBatch.from_arrays(
                         [
@@ -292,18 +337,20 @@ class Layout:
         return tuple(np.array(c, np.int64) for c in zip(*parts, strict=True))
 
 
-def _placer(layout):
+def _placer(layout, item: int):
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: Layout = layout.value
         for batch in batches:
             length, rank, start = (batch.column(c).to_numpy() for c in ("length", "rank", "start"))
             piece, begin, size, sequence, offset = own.place(length, rank)
             ids = batch.column("ids")
-            at = np.frombuffer(ids.buffers()[1], np.int32)[ids.offset : ids.offset + len(ids) + 1].astype(np.int64)
-            data = np.frombuffer(ids.buffers()[2], np.uint8)
-            first = at[piece] + begin * 4
-            ends = np.r_[0, np.cumsum(size * 4)].astype(np.int32)
-            parts = pa.Array.from_buffers(pa.binary(), len(piece), [None, pa.py_buffer(ends), pa.py_buffer(data[W.ragged(first, size * 4)])])
+            cut = np.flatnonzero(size < length[piece])
+            parts = ids.take(pa.array(piece))
+            if len(cut):
+                raw = [ids[i].as_py()[a * item : b * item] for i, a, b in zip(piece[cut].tolist(), begin[cut].tolist(), (begin + size)[cut].tolist(), strict=True)]
+                mask = np.zeros(len(piece), bool)
+                mask[cut] = True
+                parts = pc.replace_with_mask(parts, pa.array(mask), pa.array(raw, pa.binary()))
             take = pa.array(piece)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(sequence), pa.array(offset), batch.column("doc_id").take(take), pa.array(start[piece] + begin), batch.column("doc_tokens").take(take), parts],
@@ -316,7 +363,7 @@ def _placer(layout):
 _PIECE = pa.struct([(n, pa.int64()) for n in ("doc_id", "start", "length", "doc_tokens", "offset")])
 
 
-def _builder(capacity: int, pad_id: int):
+def _builder(capacity: int, pad_id: int, dtype: np.dtype):
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows in order of (sequence_id, offset) -> sequences, padded."""
         held: pa.RecordBatch | None = None
@@ -327,8 +374,8 @@ def _builder(capacity: int, pad_id: int):
             bounds = np.r_[first, len(number)]
             raw = rows.column("ids")
             at = np.frombuffer(raw.buffers()[1], np.int32)[raw.offset : raw.offset + len(raw) + 1].astype(np.int64)
-            data = np.frombuffer(raw.buffers()[2], np.uint8)[at[0] : at[-1]].view("<u4")
-            size = np.diff(at) // 4
+            data = np.frombuffer(raw.buffers()[2], np.uint8)[at[0] : at[-1]].view(dtype)
+            size = np.diff(at) // dtype.itemsize
             used = np.add.reduceat(size, first)
             exact = (used & (used - 1)) == 0
             full = np.where(exact, used, capacity)
@@ -354,9 +401,9 @@ def _builder(capacity: int, pad_id: int):
                 continue
             whole = int(np.searchsorted(number, number[-1]))  # the last sequence may go on
             if whole:
-                for at in range(0, whole, 4096):  # batches of bounded size, cut between sequences
+                for at in range(0, whole, 1024):  # batches of bounded size, cut between sequences
                     a = 0 if not at else int(np.searchsorted(number, number[at], "left"))
-                    b = whole if at + 4096 >= whole else int(np.searchsorted(number, number[at + 4096], "left"))
+                    b = whole if at + 1024 >= whole else int(np.searchsorted(number, number[at + 1024], "left"))
                     if b > a:
                         yield sequences(batch.slice(a, b - a))
             held = batch.slice(whole)
@@ -373,7 +420,7 @@ def pack(documents: DataFrame, doc_id: str, text: str, tokenizer_path: str, end_
     length) and where (offset). Null texts are empty and give an end id alone. Rows that share
     an id, or have none, are documents of their own. An empty table gives no sequences.
     """
-    spark = documents.sparkSession
+    spark, dtype = documents.sparkSession, worker_encoder(tokenizer_path).dtype
     rows = documents.select(F.col(f"`{doc_id}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     pieces = cut_lineage(rows.mapInArrow(_cutter(tokenizer_path, end_id, capacity), PIECES))
     counts = cut_lineage(pieces.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n")))
@@ -384,9 +431,9 @@ def pack(documents: DataFrame, doc_id: str, text: str, tokenizer_path: str, end_
     placed = (
         pieces.join(base, ["part", "length"])
         .select("length", (F.col("base") + F.col("nth")).alias("rank"), "doc_id", "start", "doc_tokens", "ids")
-        .mapInArrow(_placer(layout), PLACED)
+        .mapInArrow(_placer(layout, dtype.itemsize), PLACED)
     )
-    return placed.repartition("sequence_id").sortWithinPartitions("sequence_id", "offset").mapInArrow(_builder(capacity, pad_id), SEQUENCES)
+    return placed.repartition("sequence_id").sortWithinPartitions("sequence_id", "offset").mapInArrow(_builder(capacity, pad_id, dtype), SEQUENCES)
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -25,6 +25,8 @@ def test_ids_of_whole_texts(monkeypatch):
     monkeypatch.setattr(p, "REMEMBERED", 300)
     rnd = random.Random(0)
     texts = ["a  b", "it's they'll 'VE ", "x<|endoftext|>y <|startoftext|>", "é ́n", "　 a\x85b\x1cc d", "", "ΑΣ Σ İ ß ﬁ", "12345 !!?"]
+    texts += ["".join(rnd.choices(" ''sStTvVlLrRdDmMeE.|<>1Aé", k=40)) for _ in range(2000)]
+    texts += ["".join(rnd.choices(["<|endoftext|>", "<|ENDOFTEXT|>", "a", "B'", " ", "1", "-", "\u0301"], k=12)) for _ in range(500)]
     texts += ["".join(rnd.choices(" \t\n\r\x0b  éa1.'sß日𝔘!É", k=40)) for _ in range(500)]
     encoder = p.WordEncoder(PATH)
     for first, end, data, offsets in words.pieces(pa.array(texts), 2000):
