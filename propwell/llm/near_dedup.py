@@ -7,7 +7,7 @@ coordinate with a probability equal to their weighted Jaccard similarity. Darts
 K (ln K + 3) / total weight nearly always reach all coordinates, so a document costs its length
 plus a fixed number of darts; the few it leaves open get twice the rank.
 
-Equal word sequences are one vertex from the start. Signatures are cut into bands. In every
+Equal word sequences, by their 128-bit digest, are one vertex from the start. Signatures are cut into bands. In every
 bucket of a band the smallest vertex is paired with all others (as many pairs as rows); pairs are
 verified exactly on their shingles and joined to classes. Links within a class change
 nothing any more, so only buckets with rows of different classes go on. In those of up to
@@ -324,61 +324,136 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     )
 
 
-#: Rows of a graph table in one partition; rounds on few rows then write few files.
+#: Links that one task contracts.
 GRAPH_ROWS = 100_000
+#: Rounds whose labels are followed in one plan.
+ROUNDS_AT_ONCE = 4
+
+
+def _priority(vertex: np.ndarray, turn: int) -> np.ndarray:
+    return W.mix(vertex.astype(np.int64).view(np.uint64) + np.uint64(turn * 0x9E3779B97F4A7C15 % (1 << 64)))
+
+
+def _local_roots(turn: int):
+    """Links (a, b) of a partition -> every vertex of theirs and the root of its tree in this partition's forest."""
+
+    def contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [(b.column("a").to_numpy(), b.column("b").to_numpy()) for b in batches]
+        if not parts:
+            return
+        a, b = (np.concatenate(c) for c in zip(*parts, strict=True))
+        names, ends = np.unique(np.r_[a, b], return_inverse=True)
+        if not len(names):
+            return
+        order = np.argsort(_priority(names, turn), kind="stable")
+        place = np.empty_like(order)
+        place[order] = np.arange(len(order))
+        up = list(range(len(names)))  # by place, so that roots have the smallest priority
+
+        def root(i: int) -> int:
+            while up[i] != i:
+                up[i] = up[up[i]]
+                i = up[i]
+            return i
+
+        for x, y in zip(place[ends[: len(a)]].tolist(), place[ends[len(a) :]].tolist(), strict=True):
+            x, y = root(x), root(y)
+            if x != y:
+                up[max(x, y)] = min(x, y)
+        roots = np.array([root(i) for i in range(len(up))])
+        yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(names[order[roots[place]]])], ["vertex", "root"])
+
+    return contract
+
+
+def _first_root(turn: int) -> Column:
+    """Of the roots a vertex has in several partitions, the one that is numbered first this round."""
+    return F.array_min(F.transform("roots", lambda r: F.named_struct(F.lit("order"), F.xxhash64(r, F.lit(turn)), F.lit("root"), r)))["root"]
 
 
 def components(links: DataFrame) -> DataFrame:
     """vertex, class (its smallest vertex) for every vertex of the links (a, b).
 
-    Each round every vertex hooks to its smallest neighbour, the trees are followed to their
-    roots by doubling, and links become those between roots; at least half the vertices of
-    a class go each round, and links within a tree at once. Tables have as many partitions as
-    the number of links asks for, whatever the width of a shuffle.
+    Each round every task contracts its links by union-find. A vertex that has several roots, in several
+    tasks, makes links of those roots, which are the next round's; roots are of random priority, so long
+    chains shrink by a third each round as well. Links come to tasks by their smaller end, so what a
+    bucket has linked to its first row is contracted at once. No task holds more than its own links.
     """
-    edges = cut_lineage(links.select("a", "b"))
-    parts = max(8, -(-2 * edges.count() // GRAPH_ROWS))
-    labels = None
-    while True:
-        both = edges.union(edges.select("b", "a")).coalesce(parts)
-        hooked = both.groupBy(F.col("a").alias("vertex")).agg(F.least(F.min("b"), F.min("a")).alias("class"))
-        roots = cut_lineage(hooked.coalesce(parts))
-        while True:
-            above = roots.select(F.col("vertex").alias("class"), F.col("class").alias("next"))
-            moved = cut_lineage(
-                roots.join(above, "class").select("vertex", "next", F.col("class").alias("was")).coalesce(parts)
-            )
-            roots = moved.select("vertex", F.col("next").alias("class"))
-            if moved.where("next != was").isEmpty():
-                break
-        if labels is None:
-            labels = roots
-        else:
-            above = roots.select(F.col("vertex").alias("class"), F.col("class").alias("next"))
-            labels = cut_lineage(
-                labels.join(above, "class", "left")
-                .select("vertex", F.coalesce("next", "class").alias("class"))
-                .coalesce(parts)
-            )
-        of_a, of_b = (roots.select(F.col("vertex").alias(x), F.col("class").alias(f"to_{x}")) for x in ("a", "b"))
+    edges = cut_lineage(links.where("a != b").select("a", "b"))
+    labels: list[DataFrame] = []
+    while n := edges.count():
+        parts, turn = max(8, -(-n // GRAPH_ROWS)), len(labels)
+        stars = edges.repartition(parts, "a").mapInArrow(_local_roots(turn), "vertex bigint, root bigint")
+        hooked = cut_lineage(stars.groupBy("vertex").agg(F.collect_set("root").alias("roots")).coalesce(parts))
+        labels.append(hooked.select("vertex", _first_root(turn).alias("class")))
         edges = cut_lineage(
-            edges.join(of_a, "a")
-            .join(of_b, "b")
-            .where("to_a != to_b")
-            .select(F.col("to_a").alias("a"), F.col("to_b").alias("b"))
+            hooked.where("size(roots) > 1")
+            .select(_first_root(turn).alias("x"), F.explode("roots").alias("y"))
+            .where("x != y")
+            .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
             .distinct()
             .coalesce(parts)
         )
-        if edges.isEmpty():
-            return labels
+    if not labels:
+        return links.sparkSession.createDataFrame([], "vertex bigint, class bigint")
+    found = labels.pop()
+    while labels:
+        above = found.select(F.col("vertex").alias("class"), F.col("class").alias("next"))
+        found = join_per_key(labels.pop(), above, ["class"], spread_by="vertex").select(
+            "vertex", F.coalesce("next", "class").alias("class")
+        )
+        if len(labels) % ROUNDS_AT_ONCE == 1:
+            found = cut_lineage(found)
+    smallest = found.groupBy("class").agg(F.min("vertex").alias("low"))
+    return cut_lineage(join_per_key(found, smallest, ["class"], spread_by="vertex").select("vertex", F.col("low").alias("class")))
+
+
+def _with_these_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (text, one, two, vertex) whose words have the digest (one, two)."""
+    for batch in batches:
+        for first, end, data, offsets in W.pieces(batch.column("text")):
+            part = batch.slice(first, end - first)
+            one, two = word_digests(data, offsets)
+            same = (one == part.column("one").to_numpy()) & (two == part.column("two").to_numpy())
+            yield pa.RecordBatch.from_arrays([part.column(c).filter(pa.array(same)) for c in ("vertex", "text")], ["vertex", "text"])
+
+
+def _digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        parts = [word_digests(data, offsets) for _, _, data, offsets in W.pieces(batch.column("_text"))]
+        one, two = (np.concatenate(c) for c in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64),) * 2
+        yield pa.RecordBatch.from_arrays([batch.column("_row"), pa.array(one), pa.array(two)], ["_row", "one", "two"])
+
+
+def first_of_classes(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """The rows that stay, with all their columns: of each group one row of its smallest vertex.
+
+    Of rows equal in id and words the first by text stays; rows without words stay, one per id.
+    """
+    classes = near_duplicate_classes(documents, doc_id, text)
+    kept = classes.where("vertex = class").select(F.col("row_vertex").alias("vertex"), "one", "two").distinct()
+    own = documents.select(
+        F.struct(
+            vertex_of(F.col(f"`{doc_id}`"), F.col(f"`{text}`")).alias("vertex"),
+            F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(documents.columns)]).alias("row"),
+        ).alias("_row"),
+        F.col(f"`{text}`").alias("_text"),
+    )
+    schema = f"_row {own.schema['_row'].dataType.simpleString()}, one bigint, two bigint"
+    place = f"c{documents.columns.index(text)}"
+    rows = own.mapInArrow(_digested, schema).select("_row.vertex", "one", "two", "_row.row")
+    first = rows.join(kept, ["vertex", "one", "two"], "left_semi").groupBy("vertex", "one", "two").agg(F.min_by("row", F.struct(f"row.{place}")).alias("row"))
+    return first.select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(documents.columns)])
 
 
 def near_duplicate_classes(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """vertex, doc_id, class, copies: one row per row, `class` is the smallest vertex of its group.
+    """vertex, doc_id, row_vertex, one, two, class, copies: one row per row, `class` is the smallest vertex of its group.
 
     Groups are what links of a similarity of 0.8 and more connect. Rows with equal words are
-    equal. Rows that share an id are one vertex. Rows without words (null, empty, white space)
-    are each a group of their own id. An empty table gives an empty result.
+    equal: `one` and `two` are the halves of the words' digest. A text's vertex is the smallest id
+    that has it; of unlike texts under one smallest id, the others get numbers above all ids. A row has
+    its text's vertex if it has that id, else its id; `row_vertex` is always by id. Rows without
+    words (null, empty, white space) are each a group of their own id. An empty table gives an empty result.
     """
     rows = documents.select(
         vertex_of(F.col(f"`{doc_id}`"), F.col(f"`{text}`")).alias("vertex"), F.col(f"`{text}`").alias("text")
@@ -389,8 +464,18 @@ def near_duplicate_classes(documents: DataFrame, doc_id: str, text: str) -> Data
     own = cut_lineage(
         signed.where("n > 0")
         .groupBy("one", "two", "n")
-        .agg(F.min("vertex").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"))
+        .agg(F.min("vertex").alias("own_id"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"))
+    )
+    crowded = cut_lineage(
+        own.groupBy("own_id").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("one", "two")).alias("first")).where("n > 1").select("own_id", "first")
     )
+    several = not crowded.isEmpty()
+    if several:  # unlike texts under one id
+        number = F.xxhash64("own_id", "one", "two").bitwiseAND(F.lit((1 << 61) - 1)) + F.lit(NO_ID)
+        later = F.col("first").isNotNull() & (F.struct("one", "two") != F.col("first"))
+        own = cut_lineage(own.join(crowded, "own_id", "left").withColumn("rep", F.when(later, number).otherwise(F.col("own_id"))).drop("first"))
+    else:
+        own = own.withColumn("rep", F.col("own_id"))
     buckets = cut_lineage(
         own.select(F.explode("bands").alias("key"), F.col("rep").alias("vertex"), "n")
         .repartition("key")
@@ -404,10 +489,13 @@ def near_duplicate_classes(documents: DataFrame, doc_id: str, text: str) -> Data
         .distinct()
     )
     in_buckets = buckets.select("vertex").distinct()
-    # one text per vertex, so that rows that share an id cannot multiply
-    texts = cut_lineage(
-        rows.join(in_buckets, "vertex", "left_semi").groupBy("vertex").agg(F.min("text").alias("text"))
-    )
+    # one text per vertex, so that repeated rows cannot multiply
+    if several:
+        wanted = in_buckets.join(own.select("own_id", "one", "two", F.col("rep").alias("vertex")), "vertex")
+        own_text = rows.withColumnRenamed("vertex", "own_id").join(wanted, "own_id").mapInArrow(_with_these_words, "vertex bigint, text string")
+    else:
+        own_text = rows.join(in_buckets, "vertex", "left_semi")
+    texts = cut_lineage(own_text.groupBy("vertex").agg(F.min("text").alias("text")))
     links = cut_lineage(verified(pairs, texts))
     first = components(links)
     placed = cut_lineage(
@@ -441,19 +529,22 @@ def near_duplicate_classes(documents: DataFrame, doc_id: str, text: str) -> Data
         .distinct()
     )
     placed_reps = own.join(first, own["rep"] == first["vertex"], "left").select(
-        "one", "two", "rep", F.coalesce("class", "rep").alias("class"), "copies"
+        "one", "two", "own_id", "rep", F.coalesce("class", "rep").alias("class"), "copies"
     )
     if not late.isEmpty():
         joined_classes = components(late).select(F.col("vertex").alias("class"), F.col("class").alias("next"))
         placed_reps = placed_reps.join(joined_classes, "class", "left").withColumn("class", F.coalesce("next", "class"))
     by_rep = cut_lineage(
-        placed_reps.select("one", "two", "rep", "class", "copies")
-        .where("copies > 1 OR class != rep")
+        placed_reps.select("one", "two", "own_id", "rep", "class", "copies")
+        .where("copies > 1 OR class != own_id")
     )
     joined = join_per_key(signed.select("vertex", "one", "two", "n"), by_rep, ["one", "two"], spread_by="vertex")
     return joined.select(
-        "vertex",
+        F.when(F.col("vertex") == F.col("own_id"), F.col("rep")).otherwise(F.col("vertex")).alias("vertex"),
         F.when(F.col("vertex") < NO_ID, F.col("vertex")).alias("doc_id"),
+        F.col("vertex").alias("row_vertex"),
+        "one",
+        "two",
         F.when(F.col("n") == 0, F.col("vertex")).otherwise(F.coalesce("class", "vertex")).alias("class"),
         F.when(F.col("n") == 0, 1).otherwise(F.coalesce("copies", F.lit(1))).cast("bigint").alias("copies"),
     )
@@ -464,7 +555,7 @@ def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     classes = near_duplicate_classes(table(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text")
     return classes.select(
         "doc_id",
-        F.when(F.col("class") < NO_ID, F.col("class")).alias("class_id"),
+        F.when(F.col("doc_id").isNotNull() | (F.col("class") < NO_ID), F.col("class")).alias("class_id"),
         (F.col("vertex") == F.col("class")).alias("kept"),
         "copies",
     )

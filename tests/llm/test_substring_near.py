@@ -3,7 +3,10 @@ from collections import Counter, defaultdict
 
 from cases import WORDS, documents, empty, odd, odd_rows, prose
 
+import pytest
+
 from propwell.llm import near_dedup, substring_dedup
+from propwell.llm.near_dedup import first_of_classes, near_duplicate_classes
 
 
 def kept_words(rows):
@@ -154,3 +157,24 @@ def test_near_graded_group(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "MOST_PAIRED", 3)  # nearly all by blocks, and many of them
     monkeypatch.setattr(near_dedup, "BLOCK_WEIGHT", 2000)
     assert got_classes(frame) == want
+
+
+def test_unlike_texts_under_one_id(spark):
+    a, b, c = (prose(i, 100) for i in (71, 72, 73))
+    rows = [(9, a), (3, a + " more"), (3, b + " more"), (1, b), (3, c), (12, None), (3, c), (None, c + " tail"), (4, " ")]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = near_duplicate_classes(frame, "doc_id", "text").collect()
+    of = {}
+    for r in got:
+        of.setdefault(r["class"], []).append(r["doc_id"])
+    assert sorted((sorted(x, key=str) for x in of.values()), key=str) == [[1, 3], [12], [3, 3, None], [3, 9], [4]]
+    kept = first_of_classes(frame, "doc_id", "text").collect()
+    assert sorted((r["doc_id"], r["text"] or "") for r in kept) == sorted([(3, a + " more"), (1, b), (3, c), (12, ""), (4, " ")])
+
+
+@pytest.mark.parametrize("n", [2, 3000])
+def test_components_of_chains_and_stars(spark, monkeypatch, n):
+    monkeypatch.setattr(near_dedup, "GRAPH_ROWS", 50)
+    links = [(i, i + 1) for i in range(n)] + [(10_000, 10_000 + i) for i in range(1, n)] + [(30_000 + n - i, 30_000 + n - i - 1) for i in range(n)] + [(50, 50)]
+    got = {r["vertex"]: r["class"] for r in near_dedup.components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
+    assert got == {**{i: 0 for i in range(n + 1)}, **{10_000 + i: 10_000 for i in range(n)}, **{30_000 + i: 30_000 for i in range(n + 1)}}
