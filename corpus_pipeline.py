@@ -25,19 +25,9 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, the one of smallest id.
-
-    Of rows that share an id one stays, the first by text. Documents without
-    words stay, one per id.
-    """
-    classes = near_dedup.near_duplicate_classes(docs, "doc_id", "text")
-    kept = classes.where("vertex = class").select("vertex").distinct()
-    rows = docs.select(
-        near_dedup.vertex_of(F.col("doc_id"), F.col("text")).alias("vertex"),
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
-    )
-    first = rows.join(kept, "vertex", "left_semi").groupBy("vertex").agg(F.min_by("row", F.struct("row.text")).alias("row"))
-    return first.select("row.*")
+    """One document of each group of near duplicates, the one of smallest id; unlike texts under one id
+    are documents of their own. Documents without words stay, one per id."""
+    return near_dedup.first_of_classes(docs, "doc_id", "text")
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
