@@ -1,15 +1,15 @@
-"""Toxicity by the nearest labelled examples: exact TF-IDF cosine over every term of the sample.
+"""Toxicity by the nearest labelled examples: exact cosine over a block-max inverted index.
 
 Terms are lower-case words and their first four to seven bytes, all that a bounded sample of
-labelled rows has. Their document frequencies come from all documents. The k nearest by cosine
-are exact: similarities to every example are summed up, common terms by a matrix, others by
-postings. These neighbours are the evidence.
-
-Beside them, the terms whose presence goes with the label (chi-square) have vectors of their own,
-in blocks; every block has, for each term, the largest weight in it. A query adds those up to an
-upper bound per block, and takes the blocks in falling order of bound until none can reach the
-k-th best similarity. The votes of both, weighted by similarity, are calibrated by logistic
-regression on the examples themselves, each left out of its own vote.
+labelled rows has. A term weighs its frequency in the text, its inverse document frequency over all
+documents, and its relevance: a floor, and more the more it goes with the label beyond chance
+(chi-square), so every term counts, and terms that tell count most.
+
+Examples lie in blocks, like ones together; of every term and block the index has the largest weight and the
+postings. A text adds those maxima up to a bound per block, opens the blocks of the largest bounds, and then
+only blocks that can still have one of the k nearest. The neighbours are the evidence; their
+votes, weighted by cosine, are calibrated by logistic regression on labelled rows, examples left out
+of their own votes.
 """
 
 from __future__ import annotations
@@ -24,20 +24,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from propwell.llm import words as W
-from propwell.llm.registry import query, table
+from propwell.llm.registry import cut_lineage, query, table
 
-#: Bounds of what is gathered to fit: labelled rows (those of smallest hash), telling terms, and rows to calibrate on.
-MOST_EXAMPLES = 12_000
-MOST_TERMS = 8_000
+#: Bounds of what is gathered to fit: labelled rows (those of smallest hash), examples of the index, and rows to calibrate on.
+MOST_LABELLED = 12_000
+MOST_EXAMPLES = 2_048
 MOST_CALIBRATED = 4_000
-#: A term must differ between the classes this much to be telling.
-LEAST_CHI_SQUARE = 30.0
+#: What a term counts that does not go with the label, and the chi-square that is put down to chance.
+LEAST_RELEVANCE = 0.02
+CHANCE = 10.8
 STEMS = (4, 5, 6, 7)
 NEIGHBOURS = 8
-BLOCK = 64
+BLOCK = 32
+#: Blocks that are opened first.
+FIRST = 4
 THRESHOLD = 0.7
-#: Terms of the most examples that are compared by a matrix, and rows compared at a time.
-MATRIX_TERMS = 1024
+#: Rows that are compared at a time.
 ROWS_AT_ONCE = 16
 
 
@@ -106,170 +108,124 @@ class Vocabulary:
         return both // len(self.terms), both % len(self.terms), count
 
 
-@dataclass
 class BlockMaxIndex:
-    """Unit vectors of examples, in blocks, with the largest weight per term and block."""
-
-    start: np.ndarray  # of each example in the two arrays below; one longer
-    term: np.ndarray
-    weight: np.ndarray
-    n_terms: int
-
-    def __post_init__(self):
-        n = len(self.start) - 1
-        self.example = np.repeat(np.arange(n), np.diff(self.start))
-        self.n_blocks = -(-n // BLOCK)
-        cell = self.term * max(self.n_blocks, 1) + self.example // BLOCK
-        order = np.lexsort((-self.weight, cell))
-        new = order[np.r_[True, cell[order][1:] != cell[order][:-1]]] if len(order) else order
-        self.max_block, self.max_weight = self.example[new] // BLOCK, self.weight[new]
-        self.max_start = np.searchsorted(self.term[new], np.arange(self.n_terms + 1))
-        self.dense = np.zeros(self.n_terms)
-
-    def nearest(self, term: np.ndarray, weight: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of largest cosine (above 0) and their cosines; ties by place."""
-        bound = np.zeros(self.n_blocks)
-        for t, w in zip(term.tolist(), weight.tolist(), strict=True):
-            a, b = self.max_start[t], self.max_start[t + 1]
-            bound[self.max_block[a:b]] += w * self.max_weight[a:b]
-        self.dense[term] = weight
-        found, cosine, worst = np.zeros(0, np.int64), np.zeros(0), 0.0
-        order = np.argsort(-bound, kind="stable")
-        at, step = 0, 4
-        while at < len(order):
-            some = order[at : at + step]
-            some = some[(bound[some] > 0) & (bound[some] >= worst - 1e-12)]
-            if not len(some):
-                break
-            first = some * BLOCK
-            last = np.minimum(first + BLOCK, len(self.start) - 1)
-            examples = W.ragged(first, last - first)
-            begin, end = self.start[examples], self.start[examples + 1]
-            cells = W.ragged(begin, end - begin)
-            owner = np.repeat(np.arange(len(examples)), end - begin)
-            got = np.bincount(owner, self.dense[self.term[cells]] * self.weight[cells], len(examples))
-            good = (got > 0) & (examples != without)
-            found, cosine = np.r_[found, examples[good]], np.r_[cosine, got[good]]
-            best = np.lexsort((found, -cosine))[:k]
-            found, cosine = found[best], cosine[best]
-            worst = cosine[-1] if len(cosine) == k else 0.0
-            at, step = at + step, step * 2
-        self.dense[term] = 0
-        return found, cosine
-
-
-class CosineIndex:
-    """Unit vectors of examples: the terms of most examples as a matrix, the others as postings."""
+    """Unit vectors of examples as an inverted index in blocks of BLOCK examples.
+
+    An entry is a term in a block: its largest weight there, and its postings (examples and weights).
+    """
 
     def __init__(self, start: np.ndarray, term: np.ndarray, weight: np.ndarray, n_terms: int):
-        self.start, self.term, self.weight, self.n = start, term, weight, len(start) - 1
-        common = np.argsort(-np.bincount(term, minlength=n_terms), kind="stable")[:MATRIX_TERMS]
-        self.column = np.full(n_terms, -1, np.int32)
-        self.column[common] = np.arange(len(common))
-        example = np.repeat(np.arange(self.n, dtype=np.int32), np.diff(start))
-        column = self.column[term]
-        inside = column >= 0
-        self.matrix = np.zeros((len(common), self.n), np.float32)
-        self.matrix[column[inside], example[inside]] = weight[inside]
-        rest = np.flatnonzero(~inside)
-        rest = rest[np.argsort(term[rest], kind="stable")]
-        self.posting_start = np.searchsorted(term[rest], np.arange(n_terms + 1))
-        self.posting_example, self.posting_weight = example[rest], weight[rest]
-        self.dense = np.zeros(n_terms)
-
-    def _about(self, row: np.ndarray, term: np.ndarray, weight: np.ndarray, n_rows: int) -> np.ndarray:
-        """Cosines of rows and all examples, to single precision."""
-        column = self.column[term]
-        inside = column >= 0
-        query = np.zeros((n_rows, len(self.matrix)), np.float32)
-        query[row[inside], column[inside]] = weight[inside]
-        row, term, weight = row[~inside], term[~inside], weight[~inside]
-        begin = self.posting_start[term]
-        length = self.posting_start[term + 1] - begin
-        cells = W.ragged(begin, length)
-        key = np.repeat(row * self.n, length) + self.posting_example[cells]
-        got = np.bincount(key, np.repeat(weight, length) * self.posting_weight[cells], n_rows * self.n)
-        return got.reshape(n_rows, self.n) + query @ self.matrix
+        self.n = len(start) - 1
+        self.n_blocks = -(-self.n // BLOCK)
+        example = np.repeat(np.arange(self.n), np.diff(start))
+        order = np.lexsort((example, term))
+        term, self.example, self.weight = term[order], example[order].astype(np.int32), weight[order]
+        block = self.example // BLOCK
+        self.posting = np.flatnonzero(np.r_[True, (term[1:] != term[:-1]) | (block[1:] != block[:-1])]) if len(term) else np.zeros(0, np.int64)
+        self.block, own = block[self.posting], term[self.posting]
+        self.largest = np.maximum.reduceat(self.weight, self.posting) if len(term) else self.weight
+        self.posting = np.append(self.posting, len(term))
+        self.entry = np.searchsorted(own, np.arange(n_terms + 1))
+
+    def _cosines(self, entry: np.ndarray, row: np.ndarray, weight: np.ndarray, n_rows: int) -> np.ndarray:
+        """Parts of the cosines of rows and examples that these entries make."""
+        length = self.posting[entry + 1] - self.posting[entry]
+        cells = W.ragged(self.posting[entry], length)
+        key = np.repeat(row * self.n, length) + self.example[cells]
+        return np.bincount(key, np.repeat(weight, length) * self.weight[cells], n_rows * self.n).reshape(n_rows, self.n)
 
     def nearest(
         self, row: np.ndarray, term: np.ndarray, weight: np.ndarray, n_rows: int, k: int, without: np.ndarray | None = None
-    ) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """For each row the k examples of largest cosine (above 0) and their cosines; ties by place."""
-        for first in range(0, n_rows, ROWS_AT_ONCE):
-            last = min(first + ROWS_AT_ONCE, n_rows)
-            at = np.searchsorted(row, np.arange(first, last + 1))
-            some = slice(at[0], at[-1])
-            about = self._about(row[some] - first, term[some], weight[some], last - first)
-            for i in range(last - first):
-                a, b = at[i], at[i + 1]
-                if without is not None:
-                    about[i, without[first + i]] = 0
-                worst = np.partition(about[i], self.n - k)[self.n - k] if self.n > k else 0.0
-                found = np.flatnonzero((about[i] > 0) & (about[i] >= worst - 1e-5))
-                begin = self.start[found]
-                length = self.start[found + 1] - begin
-                cells = W.ragged(begin, length)
-                self.dense[term[a:b]] = weight[a:b]
-                cosine = np.bincount(
-                    np.repeat(np.arange(len(found)), length), self.dense[self.term[cells]] * self.weight[cells], len(found)
-                )
-                self.dense[term[a:b]] = 0
-                best = np.lexsort((found, -cosine))[:k]
-                yield found[best], cosine[best]
+    ) -> tuple[np.ndarray, np.ndarray]:
+        """For each row the k examples of largest cosine and their cosines, -1 and 0 where fewer are above 0; ties by place.
+
+        Rows are n_rows lists of terms, in order. Blocks are opened in falling order of their bound, the
+        sum of the row's weights times the largest of the block: FIRST of them, then all whose
+        bound reaches the k-th cosine so far.
+        """
+        found, cosines = np.full((n_rows, k), -1), np.zeros((n_rows, k))
+        if not self.n:
+            return found, cosines
+        length = self.entry[term + 1] - self.entry[term]
+        entry = W.ragged(self.entry[term], length)
+        owner, own = np.repeat(row, length), np.repeat(weight, length)
+        block = self.block[entry]
+        cell = owner * self.n_blocks + block
+        bound = np.bincount(cell, own * self.largest[entry], n_rows * self.n_blocks).reshape(n_rows, self.n_blocks)
+        rank = np.argsort(np.argsort(-bound, axis=1, kind="stable"), axis=1)
+        opened = rank < FIRST
+        some = opened.ravel()[cell]
+        cosine = self._cosines(entry[some], owner[some], own[some], n_rows)
+        left_out = np.arange(n_rows), (without if without is not None else np.full(n_rows, -1))
+        hidden = left_out[1] >= 0
+        own_place = left_out[0][hidden], left_out[1][hidden]
+        cosine[own_place] = 0
+        worst = -np.partition(-cosine, k - 1, axis=1)[:, k - 1] if self.n > k else np.zeros(n_rows)
+        more = (~opened & (bound > 0) & (bound >= worst[:, None] - 1e-9)).ravel()[cell]
+        if more.any():
+            cosine += self._cosines(entry[more], owner[more], own[more], n_rows)
+            cosine[own_place] = 0
+        k_here = min(k, self.n)
+        at = np.argpartition(-cosine, k_here - 1, axis=1)[:, :k_here] if k_here < self.n else np.tile(np.arange(self.n), (n_rows, 1))
+        # ties at the k-th cosine go by place
+        least = np.take_along_axis(cosine, at, axis=1).min(axis=1)
+        for i in np.flatnonzero((cosine == least[:, None]).sum(axis=1) > 1).tolist():
+            at[i] = np.lexsort((np.arange(self.n), -cosine[i]))[:k_here]
+        value = np.take_along_axis(cosine, at, axis=1)
+        order = np.lexsort((at, -value), axis=1)
+        at, value = np.take_along_axis(at, order, axis=1), np.take_along_axis(value, order, axis=1)
+        found[:, :k_here], cosines[:, :k_here] = np.where(value > 0, at, -1), np.maximum(value, 0)
+        return found, cosines
+
+
+def unit_weights(row: np.ndarray, term: np.ndarray, count: np.ndarray, worth: np.ndarray, n_rows: int) -> np.ndarray:
+    """Weights of the terms of rows, each row of length 1; `worth` is what a term counts besides how often it occurs."""
+    weight = (1 + np.log(count)) * worth[term]
+    norm = np.sqrt(np.bincount(row, weight**2, n_rows))
+    return weight / norm[row]
 
 
 @dataclass
 class ToxicityModel:
-    lexicon: object  # broadcasts, see _lexicon
-    idf: object
-    index: BlockMaxIndex  # of the first examples, those with telling terms
+    held: object  # a broadcast: terms, worth, start, term and weight of the examples
     label: np.ndarray
     ids: np.ndarray
     coefficients: np.ndarray
-    whole: object = None  # a broadcast of the terms and counts of all examples
-
-    def votes(self, found: np.ndarray, cosine: np.ndarray) -> tuple[float, float]:
-        toxic = float(cosine @ self.label[found])
-        return toxic / NEIGHBOURS, (float(cosine.sum()) - toxic) / NEIGHBOURS
-
-    def lean(self, found: np.ndarray, cosine: np.ndarray) -> float:
-        """How much larger the toxic part of the votes is than that of the examples; 0 without votes."""
-        return float(cosine @ self.label[found]) / float(cosine.sum()) - float(self.label.mean()) if len(found) else 0.0
 
-    def judge(self, index: CosineIndex, own: tuple, telling: tuple, n_rows: int, without: np.ndarray | None = None):
-        """The nearest examples of each row with their cosines, its votes by telling terms, and its lean.
-
-        `own` is row, term, weight of all terms, `telling` start of each row, term, weight of telling ones.
-        """
-        near = list(index.nearest(*own, n_rows, NEIGHBOURS, without))
-        start, term, weight = telling
-        votes = np.zeros((n_rows, 3))
-        for i in np.flatnonzero(np.diff(start)).tolist():
-            a, b = start[i], start[i + 1]
-            votes[i, :2] = self.votes(*self.index.nearest(term[a:b], weight[a:b], NEIGHBOURS, -1 if without is None else without[i]))
-        votes[:, 2] = [self.lean(*x) for x in near]
-        return near, votes
-
-    def held(self) -> dict:
-        """The broadcast arrays and the index made of them: one for all tasks of a worker."""
-        held = self.whole.value
+    def tools(self) -> tuple[Vocabulary, np.ndarray, BlockMaxIndex]:
+        """The vocabulary, the worth of its terms and the index, made once per worker of a broadcast."""
+        held = self.held.value
         if "index" not in held:
-            start, term, count = held["vectors"]
-            row = np.repeat(np.arange(len(start) - 1), np.diff(start))
-            weight = _unit_rows(row, term, count.astype(np.float32), self.idf.value.astype(np.float32), len(start) - 1)[1].astype(np.float32)
-            held["index"] = CosineIndex(start, term, weight, len(self.idf.value))
-        return held
+            held["vocabulary"] = Vocabulary(held["terms"])
+            held["index"] = BlockMaxIndex(held["start"], held["term"], held["weight"], len(held["terms"]))
+        return held["vocabulary"], held["worth"], held["index"]
+
+    def near(self, data: np.ndarray, offsets: np.ndarray, without: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Nearest examples of each text, and their cosines."""
+        vocabulary, worth, index = self.tools()
+        n = len(offsets) - 1
+        row, term, count = vocabulary.counts(data, offsets)
+        weight = unit_weights(row, term, count, worth, n)
+        at = np.searchsorted(row, np.arange(n + 1))
+        parts = []
+        for first in range(0, n, ROWS_AT_ONCE):
+            last = min(first + ROWS_AT_ONCE, n)
+            some = slice(at[first], at[last])
+            parts.append(index.nearest(row[some] - first, term[some], weight[some], last - first, NEIGHBOURS, None if without is None else without[first:last]))
+        found, cosines = zip(*parts, strict=True)
+        return np.concatenate(found), np.concatenate(cosines)
+
+    def votes(self, found: np.ndarray, cosines: np.ndarray) -> np.ndarray:
+        """Per row: the toxic and the other votes, and the toxic share of both (that of the examples without any)."""
+        toxic = (cosines * self.label[found]).sum(axis=1)  # -1 has no cosine
+        total = cosines.sum(axis=1)
+        share = np.where(total > 0, toxic / np.where(total > 0, total, 1), self.label.mean())
+        return np.c_[toxic / NEIGHBOURS, (total - toxic) / NEIGHBOURS, share]
 
     def scores(self, votes: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-(self.coefficients[0] + votes @ self.coefficients[1:])))
 
 
-def _unit_rows(row: np.ndarray, term: np.ndarray, count: np.ndarray, idf: np.ndarray, n_rows: int):
-    weight = (1 + np.log(count)) * idf[term]
-    norm = np.sqrt(np.bincount(row, weight**2, n_rows))
-    return np.searchsorted(row, np.arange(n_rows + 1)), weight / norm[row]
-
-
 def logistic_fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, weight: np.ndarray | None = None) -> np.ndarray:
     """Intercept and coefficients of a ridge logistic regression, by Newton's method on scaled columns."""
     mean, spread = x.mean(axis=0), x.std(axis=0)
@@ -290,27 +246,12 @@ def logistic_fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, weight: np.n
     return np.r_[b[0] - slope @ mean, slope]
 
 
-def _both_vectors(row: np.ndarray, term: np.ndarray, count: np.ndarray, idf: np.ndarray, telling: np.ndarray, n_rows: int):
-    """What `judge` takes as `own` and `telling`."""
-    _, weight = _unit_rows(row, term, count, idf, n_rows)
-    some = np.flatnonzero(telling[term] >= 0)
-    start, marks = _unit_rows(row[some], term[some], count[some], idf, n_rows)
-    return (row, term, weight), (start, telling[term[some]], marks)
-
-
-def _lexicon(lexicon) -> tuple[Vocabulary, np.ndarray]:
-    """The vocabulary, and of each term its number among the telling ones or -1, made once per worker of a broadcast."""
-    held = lexicon.value
-    if "vocabulary" not in held:
-        held["vocabulary"] = Vocabulary(held["terms"])
-        held["telling"] = np.full(len(held["terms"]), -1, np.int64)
-        held["telling"][held["marks"]] = np.arange(len(held["marks"]))
-    return held["vocabulary"], held["telling"]
-
-
-def _term_documents(lexicon):
+def _term_documents(held):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = _lexicon(lexicon)[0]
+        tools = held.value
+        if "vocabulary" not in tools:
+            tools["vocabulary"] = Vocabulary(tools["terms"])
+        vocabulary = tools["vocabulary"]
         total = np.zeros(len(vocabulary.terms) + 1, np.int64)
         for batch in batches:
             total[-1] += batch.num_rows
@@ -322,161 +263,156 @@ def _term_documents(lexicon):
     return count
 
 
-def _left_out(m: ToxicityModel, some: np.ndarray):
-    """Votes of the examples at places `some`, each without itself."""
-
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = m.held()["index"]
-        start, term, weight = index.start, index.term, index.weight
-        marks = m.index
-        for batch in batches:
-            places = some[batch.column("id").to_numpy()]
-            length = start[places + 1] - start[places]
-            cells = W.ragged(start[places], length)
-            inside = np.minimum(places, len(marks.start) - 1), np.minimum(places + 1, len(marks.start) - 1)
-            begin, end = marks.start[inside[0]], marks.start[inside[1]]
-            own = W.ragged(begin, end - begin)
-            _, votes = m.judge(
-                index,
-                (np.repeat(np.arange(len(places)), length), term[cells], weight[cells]),
-                (np.r_[0, np.cumsum(end - begin)], marks.term[own], marks.weight[own]),
-                len(places),
-                places,
-            )
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(list(votes), pa.list_(pa.float64()))], ["id", "votes"])
+def relevance(with_term: np.ndarray, without: np.ndarray, toxic: int, n: int) -> np.ndarray:
+    """How much a term counts: LEAST_RELEVANCE, and more the more it goes with the label beyond chance.
 
-    return judge
+    Takes the numbers of toxic and of other rows that have the term, and of toxic and of all rows.
+    """
+    a, b = with_term, without
+    c, d = toxic - a, (n - toxic) - b
+    with np.errstate(divide="ignore", invalid="ignore"):
+        chi = float(n) * (a * d - b * c) ** 2 / ((a + b) * (c + d) * (a + c) * (b + d))
+    return LEAST_RELEVANCE + np.sqrt(np.maximum(np.nan_to_num(chi) - CHANCE, 0) / n)
 
 
 def fit(documents: DataFrame, labelled: DataFrame) -> ToxicityModel | float:
     """A model from `documents` (doc_id, text) and `labelled` (doc_id, label 0/1).
 
-    Gathers at most MOST_EXAMPLES labelled rows (a bounded sample by hash of the id) and all
-    their terms; document frequencies are counted over all documents. Without any term, or
-    examples of both labels, the share of label 1 (0 if nothing is labelled) is returned instead.
+    Of at most MOST_LABELLED labelled ids (those of smallest hash; of rows that share an id one, the
+    first by text) up to MOST_EXAMPLES become examples, half of them toxic if there are that many; up to MOST_CALIBRATED
+    calibrate. Document frequencies are counted over all documents. Without any term, or
+    rows of both labels, the share of label 1 (0 if nothing is labelled) is returned instead.
     """
     spark = documents.sparkSession
+    by_hash = F.xxhash64("doc_id", F.lit("toxicity"))
     sample = (
         labelled.where("doc_id IS NOT NULL AND label IS NOT NULL")
         .groupBy("doc_id")
         .agg(F.max("label").cast("bigint").alias("label"))
-        .orderBy(F.xxhash64("doc_id", F.lit("toxicity")), "doc_id")
-        .limit(MOST_EXAMPLES)
+        .orderBy(by_hash, "doc_id")
+        .limit(MOST_LABELLED)
     )
     chosen = spark.createDataFrame(sample.toPandas(), "doc_id bigint, label bigint")
-    examples = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text")
-    totals = examples.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("toxic")).first()
-    n, toxic = totals["n"], totals["toxic"]
+    rows = cut_lineage(
+        documents.select("doc_id", "text")
+        .join(F.broadcast(chosen), "doc_id")
+        .groupBy("doc_id", "label")
+        .agg(F.min("text").alias("text"))
+        .withColumn("place", by_hash)
+    )
+    known = rows.select("doc_id", "label", "place").toPandas().sort_values(["place", "doc_id"])
+    n, toxic = len(known), int(known["label"].sum())
     share = toxic / n if n else 0.0
     if not 0 < toxic < n:
         return share
-    per_term = (
-        examples.select("label", "text")
+    seen = (
+        rows.select("label", "text")
         .mapInArrow(_example_terms, "term bigint, label bigint")
         .groupBy("term")
         .agg(F.sum("label").cast("double").alias("a"), F.sum(1 - F.col("label")).cast("double").alias("b"))
+        .toArrow()
     )
-    seen = per_term.toArrow()
     if not seen.num_rows:
         return share
     hashes = seen["term"].to_numpy().view(np.uint64)
     order = np.argsort(hashes)
     terms = hashes[order]
-    a, b = seen["a"].to_numpy()[order], seen["b"].to_numpy()[order]
-    c, d = toxic - a, (n - toxic) - b
-    with np.errstate(divide="ignore", invalid="ignore"):
-        chi = float(n) * (a * d - b * c) ** 2 / ((a + b) * (c + d) * (a + c) * (b + d))
-    marks = np.flatnonzero((chi >= LEAST_CHI_SQUARE) & (a * (n - toxic) > b * toxic))
-    marks = np.sort(marks[np.lexsort((terms[marks].view(np.int64), -chi[marks]))[:MOST_TERMS]])
-    lexicon = spark.sparkContext.broadcast({"terms": terms, "marks": marks})
+    relevant = relevance(seen["a"].to_numpy()[order], seen["b"].to_numpy()[order], toxic, n)
+    counting = spark.sparkContext.broadcast({"terms": terms})
     counted = (
-        documents.select("text").mapInArrow(_term_documents(lexicon), "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+        documents.select("text").mapInArrow(_term_documents(counting), "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
     )
     frequency = np.zeros(len(terms) + 1)
     frequency[counted["term"].to_numpy()] = counted["n"].to_numpy()
-    idf = spark.sparkContext.broadcast(np.log((1 + frequency[-1]) / (1 + frequency[:-1])) + 1)
-    n_marks = len(marks)
+    worth = (np.log((1 + frequency[-1]) / (1 + frequency[:-1])) + 1) * relevant
+    half = MOST_EXAMPLES // 2
+    half = max(half, MOST_EXAMPLES - toxic), max(half, MOST_EXAMPLES - (n - toxic))
+    picked = [known[known["label"] == value]["doc_id"].head(half[value]) for value in (0, 1)]
+    ids = np.concatenate(picked).astype(np.int64)
+    weighing = spark.sparkContext.broadcast({"terms": terms, "worth": worth})
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, telling = _lexicon(lexicon)
+        held = weighing.value
+        vocabulary = Vocabulary(held["terms"])
         for batch in batches:
             for first, end, data, offsets in _lower_pieces(batch.column("text")):
-                n = end - first
                 row, term, count = vocabulary.counts(data, offsets)
-                _, (start, mark, mark_weight) = _both_vectors(row, term, count, idf.value, telling, n)
-                at = np.searchsorted(row, np.arange(n + 1))
-                # like vectors side by side, so that blocks differ in their maxima; those without telling terms last
-                main = np.where(np.diff(at) > 0, n_marks, n_marks + 1)
-                for i in np.flatnonzero(np.diff(start)).tolist():
-                    main[i] = mark[start[i] + np.argmax(mark_weight[start[i] : start[i + 1]])]
-                own = [batch.column(x).slice(first, n) for x in ("doc_id", "label")]
-                lists = [
-                    pa.ListArray.from_arrays(pa.array(b.astype(np.int32)), pa.array(x))
-                    for b, x in ((at, term.astype(np.int32)), (at, count.astype(np.int32)), (start, mark.astype(np.int32)), (start, mark_weight))
-                ]
-                yield pa.RecordBatch.from_arrays([pa.array(main), *own, *lists], ["main", "doc_id", "label", "term", "count", "mark", "mark_weight"])
-
-    rows = examples.mapInArrow(
-        vectors,
-        "main bigint, doc_id bigint, label bigint, term array<int>, count array<int>, mark array<int>, mark_weight array<double>",
-    ).toArrow()
-    main, labels, ids = (rows[x].to_numpy() for x in ("main", "label", "doc_id"))
-    empty = labels[main > len(marks)]
-    order = np.lexsort((ids, main))[: len(main) - len(empty)]
-    if not len(order):
-        return share
-    marked = int((main < len(marks)).sum())
-    labels, ids = labels[order], ids[order]
-
-    def in_order(name: str) -> tuple[np.ndarray, np.ndarray]:
-        """Start of each example, and the values of all."""
-        chunks = [(np.asarray(c.offsets), c.values.to_numpy()) for c in rows[name].chunks]
-        got = [v[a:b] for o, v in chunks for a, b in zip(o[:-1].tolist(), o[1:].tolist(), strict=True)]
-        got = [got[i] for i in order.tolist()]
-        return np.r_[0, np.cumsum([len(x) for x in got])].astype(np.int64), np.concatenate(got)
-
-    (start, mark), mark_weight = in_order("mark"), in_order("mark_weight")[1]
-    index = BlockMaxIndex(start[: marked + 1], mark.astype(np.int64), mark_weight, len(marks))
-    model = ToxicityModel(lexicon, idf, index, labels.astype(float), ids, np.zeros(4))
-    start, term = in_order("term")
-    count = in_order("count")[1]
-    held = {"vectors": (start, term, count.astype(np.min_scalar_type(count.max())))}
-    del rows
-    model.whole = spark.sparkContext.broadcast(held)
-    # every example has a place in the calibration, with and without telling terms; those without terms are all alike
-    some, w = [], []
-    for first, last in ((0, marked), (marked, len(order))):
-        step = max(1, -(-(last - first) // (MOST_CALIBRATED // 2)))
-        some.append(np.arange(first, last, step))
-        w.append(np.full(len(some[-1]), float(step)))
-    some, w = np.concatenate(some), np.concatenate(w)
-    votes = spark.range(len(some)).mapInArrow(_left_out(model, some), "id bigint, votes array<double>").toArrow().sort_by("id")
+                weight = unit_weights(row, term, count, held["worth"], end - first)
+                at = np.searchsorted(row, np.arange(end - first + 1)).astype(np.int32)
+                # like vectors side by side, so that blocks differ in their maxima
+                main = [int(term[a + np.argmax(weight[a:b])]) if b > a else -1 for a, b in zip(at[:-1], at[1:], strict=True)]
+                own = [batch.column(x).slice(first, end - first) for x in ("doc_id", "label")]
+                lists = [pa.ListArray.from_arrays(pa.array(at), pa.array(x)) for x in (term.astype(np.int32), weight)]
+                yield pa.RecordBatch.from_arrays([pa.array(main, pa.int64()), *own, *lists], ["main", "doc_id", "label", "term", "weight"])
+
+    examples = spark.createDataFrame([(int(i),) for i in ids], "doc_id bigint")
+    made = (
+        rows.join(F.broadcast(examples), "doc_id")
+        .select("doc_id", "label", "text")
+        .mapInArrow(vectors, "main bigint, doc_id bigint, label bigint, term array<int>, weight array<double>")
+        .toArrow()
+        .sort_by([("label", "ascending"), ("main", "ascending"), ("doc_id", "ascending")])
+        .combine_chunks()
+    )
+    ids, labels = made["doc_id"].to_numpy(), made["label"].to_numpy()
+    lists = made["term"].combine_chunks(), made["weight"].combine_chunks()
+    start = np.r_[0, np.cumsum(lists[0].value_lengths().to_numpy())].astype(np.int64)
+    held = spark.sparkContext.broadcast(
+        {
+            "terms": terms,
+            "worth": worth,
+            "start": start,
+            "term": lists[0].flatten().to_numpy().astype(np.int64),
+            "weight": lists[1].flatten().to_numpy(),
+        }
+    )
+    model = ToxicityModel(held, labels.astype(float), ids, np.zeros(4))
+    # calibrated on rows of the sample, examples each left out of their own votes
+    calibrating = spark.createDataFrame([(int(i),) for i in known["doc_id"].head(MOST_CALIBRATED)], "doc_id bigint")
+    votes = (
+        rows.join(F.broadcast(calibrating), "doc_id")
+        .select("doc_id", "label", "text")
+        .mapInArrow(_voter(model), "label bigint, votes array<double>")
+        .toArrow()
+    )
     x = votes["votes"].combine_chunks().flatten().to_numpy().reshape(-1, 3)
-    y = model.label[some]
-    for value in (0, 1):
-        alike = float((empty == value).sum())
-        if alike:
-            x, y, w = np.r_[x, np.zeros((1, 3))], np.r_[y, value], np.r_[w, alike]
-    model.coefficients = logistic_fit(x, y, weight=w)
+    model.coefficients = logistic_fit(x, votes["label"].to_numpy().astype(float))
     return model
 
 
+def _voter(m: ToxicityModel):
+    """Votes of labelled rows, examples without themselves."""
+
+    def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = {i: at for at, i in enumerate(m.ids.tolist())}
+        for batch in batches:
+            ids = batch.column("doc_id").to_pylist()
+            for first, end, data, offsets in _lower_pieces(batch.column("text")):
+                without = np.array([place.get(i, -1) for i in ids[first:end]])
+                votes = m.votes(*m.near(data, offsets, without))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("label").slice(first, end - first), pa.array(list(votes), pa.list_(pa.float64()))], ["label", "votes"]
+                )
+
+    return vote
+
+
 RESULT = "doc_id bigint, score double, neighbours array<bigint>, cosines array<double>"
 
 
 def _scorer(m: ToxicityModel):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, (vocabulary, telling) = m.held(), _lexicon(m.lexicon)
         for batch in batches:
             for first, end, data, offsets in _lower_pieces(batch.column("text")):
-                n = end - first
-                near, votes = m.judge(held["index"], *_both_vectors(*vocabulary.counts(data, offsets), m.idf.value, telling, n), n)
+                found, cosines = m.near(data, offsets)
+                there = found >= 0
+                bounds = pa.array(np.r_[0, np.cumsum(there.sum(axis=1))].astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column("doc_id").slice(first, n),
-                        pa.array(m.scores(votes)),
-                        pa.array([m.ids[found].tolist() for found, _ in near], pa.list_(pa.int64())),
-                        pa.array([cosine.tolist() for _, cosine in near], pa.list_(pa.float64())),
+                        batch.column("doc_id").slice(first, end - first),
+                        pa.array(m.scores(m.votes(found, cosines))),
+                        pa.ListArray.from_arrays(bounds, pa.array(m.ids[found[there]])),
+                        pa.ListArray.from_arrays(bounds, pa.array(cosines[there])),
                     ],
                     ["doc_id", "score", "neighbours", "cosines"],
                 )
@@ -488,7 +424,7 @@ def score_toxicity(documents: DataFrame, model: ToxicityModel | float) -> DataFr
     """doc_id, score in [0, 1], neighbours (ids of labelled examples) and their cosines, for every row.
 
     Texts without a term of the vocabulary (null and empty ones too) have no neighbours and
-    get the share that is toxic among examples like them. Only the text enters the score.
+    get the score of no votes. Only the text enters the score.
     """
     rows = documents.select("doc_id", "text")
     if isinstance(model, float):

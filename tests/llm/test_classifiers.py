@@ -24,12 +24,26 @@ def test_nearest_is_exact():
     dense = np.zeros((n, terms))
     dense[np.repeat(np.arange(n), np.diff(start)), term] = weight
     index = toxicity.BlockMaxIndex(start, term, weight, terms)
-    for i in range(0, n, 7):
-        found, cosine = index.nearest(term[start[i] : start[i + 1]], weight[start[i] : start[i + 1]], 8, without=i)
+    some = np.arange(0, n, 7)
+    row = np.repeat(np.arange(len(some)), np.diff(start)[some])
+    cells = np.concatenate([np.arange(start[i], start[i + 1]) for i in some])
+    found, cosines = index.nearest(row, term[cells], weight[cells], len(some), 8, without=some)
+    for i, at, cosine in zip(some, found, cosines, strict=True):
         all_ = dense @ dense[i]
         all_[i] = 0
         best = np.sort(all_[all_ > 0])[::-1][:8]
-        assert np.allclose(cosine, best) and np.allclose(all_[found], cosine)
+        assert np.allclose(cosine[: len(best)], best) and np.allclose(all_[at[: len(best)]], best)
+        assert (at[len(best) :] == -1).all() and not cosine[len(best) :].any()
+
+
+def test_blocks_that_cannot_count_stay_closed(monkeypatch):
+    n, opened = 640, []
+    start, term = np.arange(n + 1), np.repeat(np.arange(n // toxicity.BLOCK), toxicity.BLOCK)
+    index = toxicity.BlockMaxIndex(start, term, np.ones(n), n // toxicity.BLOCK)
+    inner = index._cosines
+    monkeypatch.setattr(index, "_cosines", lambda entry, *rest: (opened.append(len(entry)), inner(entry, *rest))[1])
+    found, _ = index.nearest(np.zeros(10, int), np.arange(10), np.r_[0.9, np.full(9, 0.1)], 1, 8)
+    assert found.tolist() == [list(range(8))] and opened == [toxicity.FIRST]
 
 
 def test_neighbours_are_the_nearest_by_all_terms(spark):
@@ -44,7 +58,10 @@ def test_neighbours_are_the_nearest_by_all_terms(spark):
     ]
     known = {x for i in marked for x in bags[i]}
     df = Counter(x for bag in bags for x in bag)
-    vectors = [{x: (1 + np.log(c)) * (np.log(201 / (1 + df[x])) + 1) for x, c in bag.items() if x in known} for bag in bags]
+    per_label = [Counter(x for i in marked if (i % 5 == 0) == y for x in bags[i]) for y in (False, True)]
+    n_toxic = sum(i % 5 == 0 for i in marked)
+    relevant = {x: toxicity.relevance(np.array([per_label[1][x]]), np.array([per_label[0][x]]), n_toxic, len(marked))[0] for x in known}
+    vectors = [{x: (1 + np.log(c)) * (np.log(201 / (1 + df[x])) + 1) * relevant[x] for x, c in bag.items() if x in known} for bag in bags]
     norms = [np.sqrt(sum(w * w for w in v.values())) for v in vectors]
     for r in toxicity.score_toxicity(documents, model).collect():
         i = r["doc_id"]
@@ -52,6 +69,13 @@ def test_neighbours_are_the_nearest_by_all_terms(spark):
         assert len(r["neighbours"]) == 8 and np.allclose(r["cosines"], cosines[:8], atol=1e-6)
 
 
+def test_repeated_ids_are_fitted_once(spark):
+    rows = [(i % 40, prose(i % 40, 30) + (" vilewordy" if i % 4 == 0 else "")) for i in range(400)]
+    documents = spark.createDataFrame(rows, "doc_id bigint, text string")
+    model = toxicity.fit(documents, spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(40)], "doc_id bigint, label int"))
+    assert len(model.ids) == 40
+
+
 def test_toxicity_is_learnt(spark):
     rows, marked = [], []
     for i in range(600):
@@ -73,12 +97,13 @@ def test_toxicity_is_learnt(spark):
 
 
 def test_toxicity_of_documents(spark):
-    truth = labels(spark, "toxic")
-    got = [r for r in toxicity.op5_toxicity(spark, BIG).collect() if r["held_out"] and r["doc_id"] in truth]
+    larger = "/root/testdata/sf0.1"
+    truth = labels(spark, "toxic", larger)
+    got = [r for r in toxicity.op5_toxicity(spark, larger).collect() if r["held_out"] and r["doc_id"] in truth]
     clean = [r["predicted"] for r in got if truth[r["doc_id"]] == 0]
     toxic = [r["predicted"] for r in got if truth[r["doc_id"]] == 1]
-    assert sum(clean) / len(clean) < 0.02
-    assert sum(toxic) / len(toxic) > 0.6
+    assert sum(clean) / len(clean) < 0.01
+    assert sum(toxic) / len(toxic) >= 0.9
 
 
 def test_quality_of_documents(spark):
