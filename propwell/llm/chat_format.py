@@ -64,13 +64,25 @@ LAYOUTS = (
 )
 
 
+#: A JSON string; and from where the last match ended, all up to the next string that is not a field's name.
+_STRING = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
+_VALUE = rf"(?s)\G((?:[^\"]*+{_STRING}\s*+:)*+[^\"]*+){_STRING}"
+#: Texts may be as long as a value of a row can be; the parser's own limit is 20 million characters.
+_PARSE = {"maxStringLen": str((1 << 31) - 1)}
+
+
+def skeleton(record: Column) -> Column:
+    """The record with every text in it empty."""
+    return F.regexp_replace(record, F.lit(_VALUE), F.lit('$1""'))
+
+
 def field_paths(record: Column) -> Column:
-    """The nested field paths of a JSON record, as one text; values do not matter.
+    """The nested field paths of a JSON record, as one text; values do not matter, however long.
 
     Strings and nulls count as the same type, so a null text does not make another layout.
     Text that is not JSON has null paths.
     """
-    shape = F.schema_of_variant(F.try_parse_json(record))
+    shape = F.schema_of_variant(F.try_parse_json(skeleton(record)))
     return F.regexp_replace(shape, r"\b(STRING|VOID)\b", "TEXT")
 
 
@@ -79,28 +91,24 @@ def fingerprint(record: Column) -> Column:
 
 
 def turns_of(record: Column, layout: Layout) -> Column:
-    parsed = F.try_parse_json(record)
     if layout.turns is not None:
-        shape = f"array<struct<`{layout.role}`: string, `{layout.text}`: string>>"
-        rows = F.try_variant_get(parsed, f"$.{layout.turns}", shape)
+        shape = f"struct<`{layout.turns}`: array<struct<`{layout.role}`: string, `{layout.text}`: string>>>"
+        rows = F.from_json(record, shape, _PARSE)[layout.turns]
         role = lambda r: r
         for old, new in layout.roles:
             role = lambda r, old=old, new=new, inner=role: F.when(r == old, new).otherwise(inner(r))
         return F.transform(rows, lambda t: F.struct(role(t[layout.role]).alias("role"), t[layout.text].alias("text")))
-    found = [
-        F.struct(F.lit(role).alias("role"), F.try_variant_get(parsed, f"$.{name}", "string").alias("text"))
-        for role, name in layout.fields
-    ]
-    absent = [name in layout.optional for _, name in layout.fields]
-    kept = [
-        F.when(F.try_variant_get(parsed, f"$.{name}", "string").isNotNull() | F.lit(not may_miss), turn)
-        for turn, (_, name), may_miss in zip(found, layout.fields, absent, strict=True)
-    ]
+    shape = "struct<" + ", ".join(f"`{name}`: string" for _, name in layout.fields) + ">"
+    parsed = F.from_json(record, shape, _PARSE)
+    kept = []
+    for role, name in layout.fields:
+        turn = F.struct(F.lit(role).alias("role"), parsed[name].alias("text"))
+        kept.append(F.when(parsed[name].isNotNull(), turn) if name in layout.optional else turn)
     return F.filter(F.array(*kept), lambda t: t.isNotNull())
 
 
 def canonical_turns(records: DataFrame, record: str, layouts: Sequence[Layout] = LAYOUTS) -> DataFrame:
-    """`records` with fingerprint, layout and turns.
+    """`records` with fingerprint, layout and turns; columns of these names are replaced.
 
     The mapping is chosen by fingerprint. A record of an unknown layout, or one that is not
     JSON, keeps its row with null layout and null turns.
@@ -108,13 +116,17 @@ def canonical_turns(records: DataFrame, record: str, layouts: Sequence[Layout] =
     spark = records.sparkSession
     known = spark.sql("SELECT * FROM VALUES " + ", ".join(f"({i}, '{s}')" for i, x in enumerate(layouts) for s in x.samples) + " AS t(place, sample)")
     prints = [(r["place"], r["print"]) for r in known.select("place", fingerprint(F.col("sample")).alias("print")).collect()]
-    marked = records.withColumn("fingerprint", fingerprint(F.col(record)))
+    new = ("fingerprint", "layout", "turns")
+    own = [F.col(f"`{c}`") for c in records.columns if c not in new]
+    marked = records.select(F.col(f"`{record}`").alias("_record"), F.struct(F.lit(0).alias("_none"), *own).alias("_own"))
+    marked = marked.select("_record", "_own", fingerprint(F.col("_record")).alias("fingerprint"))
     name, turns = F.lit(None).cast("string"), F.lit(None).cast(TURNS)
     for i, layout in enumerate(layouts):
         here = F.col("fingerprint").isin([p for place, p in prints if place == i])
         name = F.when(here, layout.name).otherwise(name)
-        turns = F.when(here, turns_of(F.col(record), layout).cast(TURNS)).otherwise(turns)
-    return marked.withColumn("layout", name).withColumn("turns", turns)
+        turns = F.when(here, turns_of(F.col("_record"), layout).cast(TURNS)).otherwise(turns)
+    kept = [F.col("_own")[c].alias(c) for c in records.columns if c not in new]
+    return marked.select(*kept, "fingerprint", name.alias("layout"), turns.alias("turns"))
 
 
 def escape(text: Column) -> Column:
@@ -230,14 +242,14 @@ def conversation_records(rows: DataFrame) -> DataFrame:
 
 def format_chats(records: DataFrame, record: str, layouts: Sequence[Layout] = LAYOUTS) -> DataFrame:
     """`records` with fingerprint, layout, turns, formatted and loss_spans (null where the layout
-    is unknown)."""
+    is unknown); columns of these names are replaced."""
     mapped = canonical_turns(records, record, layouts)
-    written = mapped.withColumn("_written", F.when(F.col("turns").isNotNull(), write_turns(F.col("turns"))))
-    return written.select(
-        *mapped.columns,
-        F.col("_written.formatted").alias("formatted"),
-        F.col("_written.loss_spans").alias("loss_spans"),
+    own = [c for c in mapped.columns if c not in ("formatted", "loss_spans")]
+    written = mapped.select(
+        F.struct(*[F.col(f"`{c}`") for c in own]).alias("own"),
+        F.when(F.col("turns").isNotNull(), write_turns(F.col("turns"))).alias("written"),
     )
+    return written.select(*[F.col("own")[c].alias(c) for c in own], "written.formatted", "written.loss_spans")
 
 
 PLANTED = "\\### Assistant: </turn> ok"

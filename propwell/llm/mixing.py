@@ -24,6 +24,7 @@ WORDS = r"[^\x20\x09-\x0D]+"
 ROWS_PER_BLOCK = 20_000
 #: Rows of a table with one row per source that may be broadcast; more are joined by shuffle.
 MOST_BROADCAST = 10_000
+LEAST_WEIGHT = 0.05
 
 
 def word_count(text: Column) -> Column:
@@ -33,7 +34,7 @@ def word_count(text: Column) -> Column:
 def prose_quality(text: Column, words: Column) -> Column:
     """A weight in [0.05, 1]: 1 where the mean word has 6 characters, less the farther from it."""
     mean = F.coalesce(F.length(text), F.lit(0)).cast("double") / (words + 1).cast("double")
-    return F.greatest(F.lit(0.05), F.lit(1.0) / (F.lit(1.0) + F.abs(mean - 6.0) / 6.0))
+    return F.greatest(F.lit(LEAST_WEIGHT), F.lit(1.0) / (F.lit(1.0) + F.abs(mean - 6.0) / 6.0))
 
 
 def exponential_key(record: Column, quality: Column, seed: str) -> Column:
@@ -85,7 +86,8 @@ def source_cuts(
         records.groupBy("source", "id", "size", "key").agg(F.count(F.lit(1)).alias("alike"))
     )
     blocks = max(64, -(-units.count() // ROWS_PER_BLOCK))
-    block = F.floor((F.lit(1.0) - F.exp(-F.col("key"))) * blocks).cast("bigint")
+    # rises with the key, and spreads keys of any rate: a block has at most some ten times its share
+    block = F.least(F.floor(F.col("key") / (F.col("key") + 1.0) * blocks), F.lit(blocks - 1)).cast("bigint")
     words = (F.col("size") * F.col("alike")).alias("words")
     sums = units.groupBy("source", block.alias("block")).agg(F.sum(words).alias("words"))
     sums = cut_lineage(sums)
@@ -155,22 +157,26 @@ def with_cuts(records: DataFrame, cuts: DataFrame) -> DataFrame:
 SEED = "mix"
 
 
-def document_records(documents: DataFrame) -> DataFrame:
-    """row (all columns of `documents`), source, id (doc_id), size (words) and key."""
+def document_records(documents: DataFrame, quality: str | None = None) -> DataFrame:
+    """row (all columns of `documents`), source, id (doc_id), size (words) and key.
+
+    `quality` names a column of weights above 0; without it, prose weighs most.
+    """
     text = F.col("row")["text"]
     packed = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"))
     sized = packed.select("row", F.col("row")["source"].alias("source"), F.col("row")["doc_id"].alias("id"), word_count(text).alias("size"))
-    return sized.withColumn("key", exponential_key(F.col("id"), prose_quality(text, F.col("size")), SEED))
+    weight = prose_quality(text, F.col("size")) if quality is None else F.greatest(F.lit(LEAST_WEIGHT), F.col("row")[quality])
+    return sized.withColumn("key", exponential_key(F.col("id"), weight, SEED))
 
 
-def mix_documents(documents: DataFrame) -> DataFrame:
+def mix_documents(documents: DataFrame, quality: str | None = None) -> DataFrame:
     """row (all columns of `documents`, which has doc_id, text and source), id, size,
     source_size, target, epochs and part.
 
     Null texts have no words. Null sources are one source, the last. Repeated rows draw the
-    same key and are treated alike. Reruns agree, however rows are partitioned.
+    same key and are treated alike. `quality` is as in `document_records`. Reruns agree, however rows are partitioned.
     """
-    records = document_records(documents)
+    records = document_records(documents, quality)
     return with_cuts(records, source_cuts(records.select("source", "id", "size", "key"))).drop("key", "source")
 
 

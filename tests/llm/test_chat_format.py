@@ -1,3 +1,4 @@
+import hashlib
 import json
 
 from pyspark.sql import functions as F
@@ -55,3 +56,30 @@ def test_rows_of_conversations(spark):
     assert [tuple(t) for t in got[None]["turns"]] == [(None, "")]
     assert got[2]["formatted"] == f"### system: {'x' * 200_000}</turn>\n"
     assert c.conversation_records(frame.limit(0)).count() == 0
+
+
+def test_texts_beyond_the_parsers_limit(spark):
+    """25 million code points, with what a JSON text escapes."""
+    long = 'a"b\\n\n,{}[]: é' * 1_700_000
+    rows = [(1, 0, "user", "q"), (1, 1, "assistant", long), (2, 0, "system", long), (2, 1, "tool", None)]
+    frame = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    formatted = c.format_chats(c.conversation_records(frame), "record")
+    got = formatted.select("conv_id", "layout", F.sha2(c.read_scored(F.col("formatted"), F.col("loss_spans")), 256).alias("scored"), F.length("formatted").alias("n")).collect()
+    assert len(long) > 20_000_000
+    assert {r["conv_id"]: r["layout"] for r in got} == {1: "prompt", 2: "messages"}
+    assert {r["conv_id"]: r["scored"] for r in got}[1] == hashlib.sha256(long.encode()).hexdigest()
+    assert all(r["n"] > len(long) for r in got)
+
+
+def test_skeletons_keep_names_alone(spark):
+    records = ['{"a":"x","b" : "y\\"z","c":["p","q",{"d":"","e":1}],"f":"g:"}', '"alone"', '["a:","b"]', "{}", '{"k":{"l":"m"}}']
+    want = ['{"a":"","b" : "","c":["","",{"d":"","e":1}],"f":""}', '""', '["",""]', "{}", '{"k":{"l":""}}']
+    frame = spark.createDataFrame([(i, r) for i, r in enumerate(records)], "i int, record string")
+    assert [r["s"] for r in frame.orderBy("i").select(c.skeleton(F.col("record")).alias("s")).collect()] == want
+
+
+def test_clashing_columns_are_replaced(spark):
+    rows = [('{"prompt":"q","completion":"a"}', "x", 1, 2, 3, 4, 5)]
+    frame = spark.createDataFrame(rows, "record string, layout string, turns int, fingerprint int, formatted int, loss_spans int, _written int")
+    got = c.format_chats(frame, "record").collect()[0]
+    assert got["layout"] == "prompt" and got["formatted"].startswith("### user: q") and got["_written"] == 5

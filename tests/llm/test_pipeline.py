@@ -28,17 +28,28 @@ def test_one_of_each_group_stays(spark):
     assert sorted(r["doc_id"] for r in got) == sorted(min(c) for c in classes(documents(spark)))
 
 
-def test_mix_repeats_and_cuts(spark):
+def test_mix_repeats_whole_documents(spark):
     docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
     texts = dict(documents(spark))
     got = p.mix_sources(spark, docs, SF_DIR).collect()
-    taken = Counter()
-    for r in got:
-        assert texts[r["doc_id"]].startswith(r["text"])
-        taken[r["doc_id"]] += len(WORDS.findall(r["text"]))
+    assert all(texts[r["doc_id"]] == (r["text"] or "") for r in got)
+    taken = Counter(r["doc_id"] for r in got)
+    assert max(taken.values()) <= 2
     size = {i: len(WORDS.findall(t)) for i, t in texts.items()}
-    assert all(n <= 2 * size[i] for i, n in taken.items())
-    assert abs(sum(taken.values()) - 1.5 * sum(size.values())) <= 40
+    by_source, of_source, largest = Counter(), Counter(), Counter()
+    for r in docs.select("doc_id", "source").collect():
+        by_source[r["source"]] += taken[r["doc_id"]] * size[r["doc_id"]]
+        of_source[r["source"]] += size[r["doc_id"]]
+        largest[r["source"]] = max(largest[r["source"]], size[r["doc_id"]])
+    targets = {r["source"]: r["target"] for r in p.mixing.mix_documents(docs).select("row.source", "target").distinct().collect()}
+    for source, target in targets.items():
+        assert abs(by_source[source] - target) <= largest[source] / 2 + 1
+
+
+def test_mix_prefers_high_scores(spark):
+    rows = spark.range(600).selectExpr("id AS doc_id", "repeat('a ', 20) AS text", "'s' AS source", "IF(id % 2 = 0, 1.0D, 0.1D) AS score")
+    taken = {r["row"]["doc_id"]: r["epochs"] * 20 + r["part"] for r in p.mixing.mix_documents(rows, "score").collect()}
+    assert sum(taken[i] for i in range(0, 600, 2)) > 1.3 * sum(taken[i] for i in range(1, 600, 2))
 
 
 def test_run(spark):
