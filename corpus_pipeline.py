@@ -39,22 +39,19 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as whole epochs of its source have it, and once more, or its first
-    words, where the fraction takes it. A cut text has its own n_chars."""
+    """Each document as often as whole epochs of its source have it, and once more where the
+    fraction takes it; that at the cut if the fraction takes half of it or more. No text is cut.
+
+    The quality classifier's score weighs documents."""
     names = docs.columns
-    row = {c: F.col("row")[c] for c in names}
-    mixed = mixing.mix_documents(docs)
-    repeats = F.col("epochs") + F.when(F.col("part") > 0, 1).otherwise(0)
-    copies = mixed.where(repeats > 0).select(
-        "row", "size", "epochs", "part", F.explode(F.sequence(F.lit(1).cast("bigint"), repeats)).alias("copy")
-    )
-    whole = (F.col("copy") <= F.col("epochs")) | (F.col("part") == F.col("size"))
-    words = F.regexp_extract_all(row["text"], F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
-    cut = F.array_join(F.slice(words, F.lit(1), F.col("part").cast("int")), "")
-    row["text"] = F.when(whole, row["text"]).otherwise(cut)
-    if "n_chars" in names:
-        row["n_chars"] = F.when(whole, row["n_chars"]).otherwise(F.length(cut).cast(docs.schema["n_chars"].dataType))
-    return copies.select(*[row[c].alias(c) for c in names])
+    weight = next(n for n in (f"quality_{i}" for i in range(len(names) + 1)) if n not in names)
+    model = quality.quality_model(spark, table(spark, sf_dir, "documents"), sf_dir)
+    scored = quality.score_quality(docs, model, names)
+    weighed = scored.select(*[F.col(f"c{i}").alias(name) for i, name in enumerate(names)], F.col("score").alias(weight))
+    mixed = mixing.mix_documents(weighed, weight)
+    repeats = F.col("epochs") + F.when((F.col("part") > 0) & (F.col("part") * 2 >= F.col("size")), 1).otherwise(0)
+    copies = mixed.where(repeats > 0).select("row", F.explode(F.sequence(F.lit(1).cast("bigint"), repeats)))
+    return copies.select(*[F.col("row")[c].alias(c) for c in names])
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
