@@ -7,11 +7,12 @@ from datetime import datetime
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from propwell import fixed
 from propwell.functions.times import at
+from propwell.operators import segments
 
 _RECORD_ID = re.compile(r"[0-9a-f]{24}")
 
@@ -85,26 +86,13 @@ def lookup_listing(records: DataFrame, source_name: str, listing_id: str) -> Dat
 
 
 def listing_price_history(
-    versions: DataFrame, keys: list[str], seen_at: str, tie: str, price: str, chunk: str = "year"
+    versions: DataFrame, keys: list[str], seen_at: str, tie: str, price: str, hot_rows: int = segments.MOST_ROWS
 ) -> DataFrame:
     """Each version with `previous_price`, its predecessor's price.
 
-    LAG over a key alone would put a listing with very many versions into one task. So every
-    key is cut into time chunks: LAG runs within (key, chunk), and the last price of each
-    chunk, one row, is carried to the first version of the next. Rows without a key have no
+    A listing with very many versions is cut into chunks of at most `hot_rows` rows, and the last price
+    of a chunk, one row, is carried to the first version of the next. Rows without a key have no
     predecessor and are left out.
     """
-    known = versions.dropna(subset=keys)
-    cut = known.withColumn("_chunk", F.coalesce(F.date_trunc(chunk, seen_at).cast("string"), F.lit("")))
-    slot = [*keys, "_chunk"]
-    within = Window.partitionBy(*slot).orderBy(seen_at, tie)
-    local = cut.withColumn("_first", F.row_number().over(within) == 1).withColumns(
-        {"_previous": F.lag(price).over(within), "_last": F.lead(F.lit(True)).over(within).isNull()}
-    )
-    tails = local.filter("_last").select(*slot, F.col(price).alias("_tail"))
-    carried = tails.withColumn(
-        "_carried", F.lag("_tail").over(Window.partitionBy(*keys).orderBy("_chunk"))
-    ).drop("_tail")
-    joined = local.join(carried, slot, "left")
-    previous = F.when(F.col("_first"), F.col("_carried")).otherwise(F.col("_previous"))
-    return joined.select(*versions.columns, previous.alias("previous_price"))
+    chunked = segments.segmented(versions.dropna(subset=keys), keys, [seen_at, tie], hot_rows)
+    return segments.segmented_lag(chunked, keys, [seen_at, tie], price, "previous_price")

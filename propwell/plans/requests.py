@@ -170,6 +170,7 @@ class MarketStore:
                 pages = read_landed_pages(self.spark, f"{landed_path}/{source.pages}".rstrip("/"))
                 scanned = source.scan_pages(self.spark, landed_path, pages)
                 found, failed = scanned.items, self._log_failed(job_id, source.name, scanned.failed)
+                self._log_rejected(job_id, source.name, scanned.rejected)
             batch = self._enveloped(found, job_id, source)
             self._append(ingest.ingest_dedup(batch, self.records()))
             return self._seen(job_id, batch.count(), failed)
@@ -198,6 +199,7 @@ class MarketStore:
                 whole = whole_sequences(pages, read_landed_pages(self.spark, folder))
                 scanned = source.scan_pages(self.spark, landed_path, whole)
                 failed += self._log_failed(job_id, source.name, scanned.failed)
+                self._log_rejected(job_id, source.name, scanned.rejected)
                 return self._enveloped(scanned.items, job_id, source)
 
             def count(batch: DataFrame) -> None:
@@ -242,10 +244,28 @@ class MarketStore:
         sinks.append_rows(kept, self.path("pipeline_logs"))
         return kept.count()
 
+    def _log_rejected(self, job_id: str, source_name: str, rejected: DataFrame | None) -> None:
+        """One log row per page and kind of bad member; the page's other members are stored."""
+        if rejected is None:
+            return
+        place = [F.col(c).cast("string") for c in ("run_id", "unit", "page", "error")]
+        details = [F.lit("source_name"), F.lit(source_name)]
+        for name in ("unit", "run_id", "page", "n"):
+            details += [F.lit(name), F.col(name).cast("string")]
+        entries = rejected.select(
+            F.substring(F.sha2(F.concat_ws("/", F.lit(_new_id()), *place), 256), 1, 24).alias("log_id"),
+            F.lit(job_id).alias("job_id"),
+            F.lit("warning").alias("level"),
+            F.concat(F.lit("rejected: "), F.col("error")).alias("message"),
+            F.lit(_now()).alias("created_at"),
+            F.create_map(*details).alias("details"),
+        )
+        sinks.append_rows(entries, self.path("pipeline_logs"))
+
     def _seen(self, job_id: str, seen: int, failed: int) -> int:
         """`seen`, unless a run brought nothing because units failed; their log has every name."""
         if failed and not seen:
-            log = self.job_log(job_id).filter("level = 'warning'")
+            log = self.job_log(job_id).filter("level = 'warning' AND message LIKE 'failed: %'")
             names = [row.message for row in log.limit(20).collect()]
             raise RuntimeError(f"no rows, {failed} units failed (all in the log): " + "; ".join(names))
         return seen

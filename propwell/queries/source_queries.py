@@ -58,7 +58,10 @@ def collect_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _index_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One page per line: a month entry and a quarter entry of the order's series."""
+    """One page per line: a month entry and a quarter entry of the order's series.
+
+    Years of some pages are sent as text; some lists have a member that is no entry.
+    """
     shipped, series = F.col("l_shipdate"), F.col("l_orderkey").cast("string")
 
     def one(*point: Column) -> Column:
@@ -85,12 +88,16 @@ def _index_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         quarter.alias("quarter"),
         F.struct(successor.alias("next_url")).alias("paging"),
     )
+    sent = F.to_json(body)
+    # numbers as text, and members that are no entry
+    sent = F.when(F.col("l_returnflag") == "A", F.regexp_replace(sent, r'"year":(\d+)', r'"year":"$1"')).otherwise(sent)
+    sent = F.when(F.col("l_quantity") == 49, F.replace(sent, F.lit('"date":['), F.lit('"date":[7,'))).otherwise(sent)
     return table(spark, sf_dir, "lineitem").select(
         series.alias("unit"),
         _null("string").alias("request_id"),
         F.col("l_linenumber").alias("page"),
         F.when((F.col("l_quantity") == 50) & (F.col("l_tax") > 0.05), 500).otherwise(200).alias("status_code"),
-        F.to_json(body).alias("body"),
+        sent.alias("body"),
     )
 
 
@@ -116,28 +123,32 @@ def scan_index_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scanned.select(
         "unit",
         "page",
-        F.coalesce(F.array_size("parsed.month"), F.lit(0)).alias("n_month"),
-        F.coalesce(F.array_size("parsed.quarter"), F.lit(0)).alias("n_quarter"),
-        F.col("parsed.paging.next_url").alias("next_url"),
+        F.array_size("months").alias("n_month"),
+        F.array_size("quarters").alias("n_quarter"),
+        "next_url",
         "failed",
     )
 
 
 @query(f"SELECT * EXCLUDE (page, broken) FROM {_ENTRIES_SQL}")
 def flatten_index_entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = index_pages.scan_index_rows(_index_pages(spark, sf_dir))
+    rows = index_pages.index_view(index_pages.scan_index_rows(_index_pages(spark, sf_dir)))
     return rows.drop("unit", "request_id", "page", "status_code", "failed", "next_url", "position")
 
 
-_INDEX_HASH_SQL = """sha256(CASE period_type WHEN 'month' THEN
-    '{"base_description": "' || base_description || '", "current_base": ' || current_base ||
+def _sent_number(column: str) -> str:
+    return f"regexp_replace({column}::VARCHAR, '\\.0$', '')"
+
+
+_INDEX_HASH_SQL = f"""sha256(CASE period_type WHEN 'month' THEN
+    '{{"base_description": "' || base_description || '", "current_base": ' || {_sent_number("current_base")} ||
     ', "month": ' || month || ', "month_name_he": "' || month_name_he || '", "percent_change": ' ||
-    percent_change || ', "percent_change_annual": null, "period_type": "month", "previous_base": null'
-    ELSE '{"base_description": null, "current_base": null, "percent_change": null, ' ||
-    '"percent_change_annual": ' || percent_change_annual || ', "period_type": "quarter", ' ||
-    '"previous_base": ' || previous_base || ', "quarter": ' || quarter || ', "quarterDesc": "' ||
+    {_sent_number("percent_change")} || ', "percent_change_annual": null, "period_type": "month", "previous_base": null'
+    ELSE '{{"base_description": null, "current_base": null, "percent_change": null, ' ||
+    '"percent_change_annual": ' || {_sent_number("percent_change_annual")} || ', "period_type": "quarter", ' ||
+    '"previous_base": ' || {_sent_number("previous_base")} || ', "quarter": ' || quarter || ', "quarterDesc": "' ||
     "quarterDesc" || '"' END || ', "series_code": "' || series_code || '", "series_name": "' ||
-    series_name || '", "source": "cbs", "year": ' || year || '}')"""
+    series_name || '", "source": "cbs", "year": ' || CASE series_name WHEN 'A' THEN '"' || year || '"' ELSE year::VARCHAR END || '}}')"""
 
 
 @query(
@@ -153,6 +164,19 @@ def collect_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index_pages.collect_index(rows).select("unit", "page", "content_hash")
 
 
+@query(
+    """WITH ends AS (SELECT l_orderkey, min(l_linenumber) AS last_page
+      FROM lineitem WHERE l_returnflag = 'R' OR (l_quantity = 50 AND l_tax > 0.05) GROUP BY 1)
+    SELECT l_orderkey::VARCHAR AS unit, l_linenumber AS page, 'entry is not an object' AS error,
+      sum(CASE l_linestatus WHEN 'F' THEN 2 ELSE 1 END)::BIGINT AS n FROM lineitem LEFT JOIN ends USING (l_orderkey)
+    WHERE l_quantity = 49 AND (last_page IS NULL OR l_linenumber <= last_page) GROUP BY 1, 2"""
+)
+def rejected_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the log gets of members that are no entry."""
+    rows = materialize(index_pages.scan_index_rows(_index_pages(spark, sf_dir)), "index")
+    return index_pages.rejected_entries(rows).drop("run_id")
+
+
 @query(
     """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem
     LEFT JOIN (SELECT l_orderkey, min(l_linenumber) AS last_page FROM lineitem
@@ -188,11 +212,12 @@ def union_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT event_id, i AS position, event_id + i AS price, event_type AS property_type
+    """SELECT event_id, i + CASE WHEN event_id % 5 = 0 THEN i ELSE 0 END AS position, event_id + i AS price,
+      event_type AS property_type, CASE WHEN event_id % 5 = 0 THEN 4 ELSE 2 END AS n_on_page
     FROM events, (VALUES (0), (1)) AS n(i) WHERE event_type NOT IN ('signup', 'error')"""
 )
 def scan_deal_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bare arrays, wrapped arrays, a null list and a body that is neither."""
+    """Bare arrays, wrapped arrays, a null list and a body that is neither; members that are no deal."""
     kind, key = F.col("event_type"), F.col("event_id")
 
     def deal(amount: Column) -> Column:
@@ -205,14 +230,17 @@ def scan_deal_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(kind == "error", '"oops"')
         .otherwise(F.to_json(F.struct(both.alias("data"))))
     )
+    spoilt = F.replace(F.replace(body, F.lit("},{"), F.lit('},"gone",{')), F.lit("}]"), F.lit("},[1]]"))
+    body = F.when((key % 5 == 0) & ~kind.isin("signup", "error"), spoilt).otherwise(body)
     pages = table(spark, sf_dir, "events").select("event_id", body.alias("body"))
-    rows = deals.scan_deal_pages(pages).filter("position IS NOT NULL")
-    payload = rows.select("event_id", "position", canonical_rename(F.col("deal")).alias("payload"))
+    rows = deals.scan_deal_pages(pages).filter("position IS NOT NULL AND error IS NULL")
+    payload = rows.select("event_id", "position", "n_on_page", canonical_rename(F.col("deal")).alias("payload"))
     return payload.select(
         "event_id",
         "position",
         F.variant_get(F.col("payload")["price"], "$", "bigint").alias("price"),
         F.variant_get(F.col("payload")["property_type"], "$", "string").alias("property_type"),
+        "n_on_page",
     )
 
 
@@ -255,7 +283,7 @@ def _polygon_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """SELECT c_custkey, position, CASE position WHEN 0 THEN 'P' || c_custkey ELSE c_custkey::VARCHAR END
-      AS polygon_id FROM customer, (VALUES (0), (2)) AS n(position) WHERE c_mktsegment <> 'BUILDING'"""
+      AS polygon_id FROM customer, (VALUES (0), (2)) AS n(position) WHERE c_mktsegment <> 'BUILDING' AND (position = 0 OR c_custkey <> 0)"""
 )
 def scan_polygon_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     listed = deals.scan_polygon_pages(_polygon_pages(spark, sf_dir))

@@ -38,25 +38,10 @@ LAYERS = (
 
 GEOMETRY = "STRUCT<type: STRING, coordinates: VARIANT>"
 
-# months and quarters share one type, so that both are read by one explode
-_INDEX_SERIES = (
-    "ARRAY<STRUCT<code: STRING, name: STRING, date: ARRAY<STRUCT<"
-    "year: INT, month: INT, monthDesc: STRING, quarter: INT, quarterDesc: STRING, "
-    "percent: DOUBLE, percentYear: DOUBLE, currBase: STRUCT<value: DOUBLE, baseDesc: STRING>, "
-    "prevBase: STRUCT<value: DOUBLE>>>>>"
-)
-
-INDEX_PAGE = (
-    f"month {_INDEX_SERIES}, quarter {_INDEX_SERIES}, "
-    "paging STRUCT<next_url: STRING>, _corrupt_record STRING"
-)
-
 PLACE_RESPONSE = (
     "results ARRAY<STRUCT<shape: STRING, x: STRING, lon: STRING, y: STRING, lat: STRING>>"
 )
 
-POLYGON_PAGE = "ARRAY<STRUCT<polygon_id: STRING, polygonId: STRING>>"
-
 # Numbers the listing pages give in no declared type stay VARIANT.
 LISTING = (
     "STRUCT<id: STRING, address: STRING, price: VARIANT, beds: VARIANT, floor: VARIANT, "

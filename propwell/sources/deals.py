@@ -14,6 +14,7 @@ from propwell.functions.canonical import (
     let,
     with_entries,
 )
+from propwell.functions.json_values import as_type, field, fields, is_empty, members
 from propwell.functions.scalars import parse_point
 from propwell.operators.dedup import cap_per_group, first_by, first_seen_hash
 from propwell.operators.paging import cut_at_end, sequence_ends
@@ -30,37 +31,55 @@ def scan_place_responses(places: DataFrame, body: str = "body") -> DataFrame:
 
 
 def scan_polygon_pages(polygons: DataFrame, body: str = "body") -> DataFrame:
-    """Polygon ids of bare arrays with their place in the response; anything else is empty."""
-    parsed = F.from_json(F.col(body), schema.POLYGON_PAGE)
-    is_array = F.ltrim(F.col(body)).startswith("[")
+    """Polygon ids of bare arrays with their place in the response; anything else is empty.
+
+    An empty id (null, '', 0) is none; members that are not objects have none either.
+    """
     listed = polygons.select(
         *[name for name in polygons.columns if name != body],
-        F.posexplode(F.when(is_array, parsed)).alias("position", "_polygon"),
-    )
-    spellings = [
-        F.nullif(F.col(f"_polygon.{name}"), F.lit("")) for name in ("polygon_id", "polygonId")
-    ]
-    return listed.withColumn("polygon_id", F.coalesce(*spellings)).drop("_polygon")
+        F.posexplode(members(F.try_parse_json(body))).alias("position", "_member"),
+    ).withColumn("_polygon", fields(F.col("_member")))
+    spellings = []
+    for name in ("polygon_id", "polygonId"):
+        given = field(F.col("_polygon"), name)
+        spellings.append(F.when(~is_empty(given), as_type(given, "string")))
+    return listed.withColumn("polygon_id", F.coalesce(*spellings)).drop("_member", "_polygon")
 
 
 def scan_deal_pages(pages: DataFrame, body: str = "body") -> DataFrame:
     """One row per deal of `{"data": [...]}` or bare-array pages.
 
     `deal` is an open payload in landed key order. A page that holds anything else is
-    empty and leaves one row without position; `failed` marks bodies that are not JSON.
+    empty and leaves one row without position; `failed` marks bodies that are not JSON. A member
+    that is not an object counts as one of the page, and is a row with `error` and no deal.
     """
     deals = "ARRAY<MAP<STRING, VARIANT>>"
+    kept = [name for name in pages.columns if name != body]
     bare = F.ltrim(F.col(body)).startswith("[")
     wrapped = F.from_json(body, f"data {deals}").getField("data")
     parsed = pages.withColumn("_deals", F.when(bare, F.from_json(body, deals)).otherwise(wrapped))
-    return parsed.select(
-        *[name for name in pages.columns if name != body],
+    # a list whose members are not all objects is read again, each member by itself: as text, which keeps
+    # the order of keys, and as VARIANT, which tells an object from a text that looks like one
+    texts = F.when(bare, F.from_json(body, "ARRAY<STRING>")).otherwise(F.from_json(body, "data ARRAY<STRING>").getField("data"))
+    mixed = F.col("_deals").isNull() | F.exists("_deals", lambda d: d.isNull())
+    page = F.when(mixed, F.try_parse_json(body))
+    read = parsed.withColumns({"_page": page, "_texts": F.when(mixed, texts)}).withColumn(
+        "_members", F.coalesce(members(F.col("_page")), members(field(fields(F.col("_page")), "data")))
+    )
+    one_by_one = F.zip_with(
+        "_members", "_texts", lambda m, t: F.when(fields(m).isNotNull(), F.from_json(t, "MAP<STRING, VARIANT>"))
+    )
+    return read.select(
+        *kept,
+        F.col("_page").isNull().alias("_no_page"),
+        mixed.alias("_mixed"),
+        F.when(mixed, one_by_one).otherwise(F.col("_deals")).alias("_deals"),
+    ).select(
+        *kept,
         F.coalesce(F.array_size("_deals"), F.lit(0)).alias("n_on_page"),
-        F.when(F.col("_deals").isNull(), F.try_parse_json(body).isNull())
-        .otherwise(F.lit(False))
-        .alias("failed"),
+        (F.col("_mixed") & F.col("_no_page")).alias("failed"),
         F.posexplode_outer("_deals").alias("position", "deal"),
-    )
+    ).withColumn("error", F.when(F.col("position").isNotNull() & F.col("deal").isNull(), "deal is not an object"))
 
 
 def add_provenance(payload: Column, requested_polygon: Column) -> Column:
@@ -68,8 +87,7 @@ def add_provenance(payload: Column, requested_polygon: Column) -> Column:
 
     def marked(deal: Column) -> Column:
         given = F.try_element_at(deal, F.lit("polygon_id"))
-        own = F.coalesce(F.try_variant_get(given, "$", "string"), F.lit("")) != ""
-        polygon = F.when(own, given).otherwise(requested_polygon.cast("variant"))
+        polygon = F.when(~is_empty(given), given).otherwise(requested_polygon.cast("variant"))
         source = F.lit(fixed.DEALS_PROVENANCE).cast("variant")
         return with_entries(deal, {"polygon_id": polygon, "source": source})
 
@@ -139,7 +157,7 @@ def collect_deals(places: DataFrame, polygons: DataFrame, rows: DataFrame) -> Da
     first = first_by(
         crawled.join(_bad_cities(asked, ends), ["run_id", "unit"], "left_anti"), SEQUENCE, ["unit", "turn"]
     )
-    kept = cut_at_end(rows, ends, SEQUENCE, "page").filter("position IS NOT NULL")
+    kept = cut_at_end(rows, ends, SEQUENCE, "page").filter("position IS NOT NULL AND error IS NULL")
     found = kept.drop("unit").join(first, SEQUENCE)
     payload = add_provenance(canonical_rename(F.col("deal")), F.col("request_id"))
     text = found.withColumn("payload_json", json_map(payload, T.VariantType()))
@@ -153,3 +171,10 @@ def collect_deals(places: DataFrame, polygons: DataFrame, rows: DataFrame) -> Da
         position=F.col("position"),
     )
     return first_seen_hash(collected)
+
+
+def rejected_deals(rows: DataFrame) -> DataFrame:
+    """(run_id, unit, page, error, n): bad members of the pages that count; `unit` is the polygon."""
+    rows = with_run(rows)
+    kept = cut_at_end(rows, deal_sequence_ends(rows), SEQUENCE, "page").filter("error IS NOT NULL")
+    return kept.groupBy("run_id", F.col("request_id").alias("unit"), "page", "error").agg(F.count("*").alias("n"))

@@ -22,10 +22,12 @@ Scan = Callable[[SparkSession, str], DataFrame]
 
 @dataclass(frozen=True)
 class Scanned:
-    """Items, and (run_id, unit) of the units that were left out because they failed."""
+    """Items, (run_id, unit) of the units that were left out because they failed, and, where the
+    scan tells them, (run_id, unit, page, error, n) of members that were left out by themselves."""
 
     items: DataFrame
     failed: DataFrame
+    rejected: DataFrame | None = None
 
 
 PageScan = Callable[[SparkSession, str, DataFrame], Scanned]
@@ -92,12 +94,12 @@ def _archive_items(spark: SparkSession, path: str) -> DataFrame:
 def _deal_items(spark: SparkSession, path: str, pages: DataFrame) -> Scanned:
     rows = materialize(deals.scan_deal_pages(pages), "deals")
     places, polygons = (read_landed_pages(spark, f"{path}/{name}") for name in ("places", "polygons"))
-    return Scanned(deals.collect_deals(places, polygons, rows), deals.failed_cities(places, polygons, rows))
+    return Scanned(deals.collect_deals(places, polygons, rows), deals.failed_cities(places, polygons, rows), deals.rejected_deals(rows))
 
 
 def _index_items(spark: SparkSession, path: str, pages: DataFrame) -> Scanned:
     rows = materialize(index_pages.scan_index_rows(pages), "index")
-    return Scanned(index_pages.collect_index(rows), index_pages.failed_series(rows))
+    return Scanned(index_pages.collect_index(rows), index_pages.failed_series(rows), index_pages.rejected_entries(rows))
 
 
 def _listing_items(spark: SparkSession, path: str, pages: DataFrame) -> Scanned:

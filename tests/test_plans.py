@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from propwell.functions.geometry import BBox
-from propwell.operators import catalog, dedup, ingest, layers, records, sinks
+from propwell.operators import catalog, dedup, ingest, layers, records, segments, sinks
 from propwell.queries import QUERIES
 from propwell.queries.base import table
 from propwell.queries.views import document_items, event_records, order_jobs, placed_customers
@@ -135,6 +135,23 @@ def test_hot_listing_is_cut_into_chunks(spark):
     assert history.count() == 3000
 
 
+def test_chunks_are_bounded_and_carry_sums(spark):
+    """A third of the rows in three weeks of one key, many of them at one instant."""
+    rows = spark.range(3000).select(
+        F.when(F.col("id") % 3 == 0, F.lit(-1)).otherwise(F.col("id") % 7).alias("listing"),
+        F.timestamp_seconds(F.when(F.col("id") % 2 == 0, F.lit(0)).otherwise(F.col("id"))).alias("at"),
+        "id",
+    )
+    chunked = segments.segmented(rows, ["listing"], ["at", "id"], 200)
+    assert chunked.groupBy("listing", segments.CHUNK).count().agg(F.max("count")).head()[0] <= 200
+    sums = segments.segmented_sum(chunked, ["listing"], ["at", "id"], F.col("id"), "so_far").collect()
+    assert segments.CHUNK not in sums[0].asDict()
+    expected, total = {}, {}
+    for r in sorted(rows.collect(), key=lambda r: (r.at, r.id)):
+        expected[r.id] = total[r.listing] = total.get(r.listing, 0) + r.id
+    assert {r.id: r.so_far for r in sums} == expected
+
+
 def test_hot_hash_sends_one_row_per_task(spark):
     """A third of the rows has one hash: each of the 8 map tasks hands on one of them."""
     shared = F.col("id") % 3 == 0
@@ -155,7 +172,7 @@ def test_hot_hash_sends_one_row_per_task(spark):
 def test_shuffle_width():
     from propwell.session import shuffle_width
 
-    assert [shuffle_width(n) for n in (0, 10**12, 10**14)] == [200, 7451, 100_000]
+    assert [shuffle_width(n) for n in (0, 10**12, 10**14)] == [200, 7451, 745_059]
 
 
 def test_parquet_store_keeps_source_folders(spark, tmp_path):

@@ -42,7 +42,7 @@ def test_index_sequences(spark):
             ("c", None, 2, 403, ""),  # fails the series
             ("d", None, 1, 200, index_page(2020, "n")),
             ("d", None, 2, 200, "{not json"),  # fails the series
-            ("e", None, 1, 200, index_page(2020, percent="n/a")),  # only loses a value
+            ("e", None, 1, 200, index_page(2020, percent="n/a")),  # kept as it was sent
             ("f", None, 1, 200, "{}"),
         ],
     )
@@ -55,7 +55,24 @@ def test_index_sequences(spark):
         "percent_change": 0.5, "percent_change_annual": None, "period_type": "month",
         "previous_base": None, "series_code": "40010", "series_name": "x", "source": "cbs", "year": 2020,
     }
-    assert next(p for unit, _, p in rows if unit == "e")["percent_change"] is None
+    assert next(p for unit, _, p in rows if unit == "e")["percent_change"] == "n/a"
+
+
+def test_index_values_and_members_are_not_lost(spark):
+    entries = [{"year": "2020", "month": 1, "percent": "1.5"}, 7, {"year": "2021", "month": 1, "percent": "1.5"}, {"year": 2022, "currBase": "x"}]
+    body = json.dumps({"month": [{"code": 1, "date": entries}, None, {"code": 2, "date": 5}], "quarter": [{"code": 3, "date": [{"year": 2023}]}]})
+    rows = index_pages.scan_index_rows(pages(spark, [("a", None, 1, 200, body), ("b", None, 1, 200, '{"month": 3}'), ("c", None, 1, 200, "[]")]))
+    found = index_pages.collect_index(rows).collect()
+    payloads = [json.loads(r.payload_json) for r in sorted(found, key=lambda r: r.position)]
+    assert [(p["series_code"], p["year"], p["percent_change"]) for p in payloads] == [(1, "2020", "1.5"), (1, "2021", "1.5"), (3, 2023, None)]
+    assert len({r.content_hash for r in found}) == 3
+    typed = index_pages.index_view(rows).filter("period_type = 'month'").orderBy("position").collect()
+    assert [(r.year, r.percent_change) for r in typed] == [(2020, 1.5), (2021, 1.5)]
+    rejected = {(r.unit, r.error): r.n for r in index_pages.rejected_entries(rows).collect()}
+    assert rejected == {
+        ("a", "series is not an object"): 1, ("a", "entry is not an object"): 1, ("a", "currBase is not an object"): 1, ("a", "dates are not a list"): 1,
+    }
+    assert {r.unit for r in index_pages.failed_series(rows).collect()} == {"b", "c"}
 
 
 def test_quarter_keeps_its_label(spark):
@@ -117,6 +134,31 @@ def test_deals(spark):
     ]
 
 
+def test_deals_beside_bad_members_are_kept(spark):
+    full = [{"b": i, "a": i} for i in range(98)] + ["{\"a\": 1}", None]
+    landed = pages(
+        spark,
+        [
+            ("", "1", 1, 200, json.dumps({"data": full})),
+            ("", "1", 2, 200, json.dumps([{"propertyTypeDescription": "x", "dealNatureDescription": "y"}, 5])),
+            ("", "0", 1, 200, json.dumps([3])),
+        ],
+    )
+    rows = deals.scan_deal_pages(landed)
+    assert {(r.request_id, r.page): r.n_on_page for r in rows.collect()} == {("1", 1): 100, ("1", 2): 2, ("0", 1): 1}
+    assert not rows.filter("failed").count()
+    kept = rows.filter("deal IS NOT NULL").selectExpr("page", "map_keys(deal) AS names").collect()
+    assert len(kept) == 99 and all(r.names == ["b", "a"] for r in kept if r.page == 1)
+    place = pages(spark, [("x", None, 1, 200, json.dumps({"results": [{"shape": "POINT(1 2)"}]}))])
+    polygons = pages(spark, [("x", None, 1, 200, '[{"polygon_id": 0, "polygonId": 1}, 4, {"polygon_id": "0"}, {"polygonId": 0}]')])
+    assert sorted(r.polygon_id or "-" for r in deals.scan_polygon_pages(polygons).collect()) == ["-", "-", "0", "1"]
+    found = deals.collect_deals(place, polygons, rows).collect()
+    assert len(found) == 99
+    assert [json.loads(r.payload_json)["property_type"] for r in found if r.page == 2] == ["y"]
+    rejected = {(r.unit, r.page): r.n for r in deals.rejected_deals(rows).collect()}
+    assert rejected == {("1", 1): 2, ("1", 2): 1, ("0", 1): 1}
+
+
 def test_city_with_bad_page_is_left_out(spark):
     place = json.dumps({"results": [{"x": 3, "lat": "4"}]})
     places = pages(spark, [("x", None, 1, 200, place), ("y", None, 1, 200, place)])
