@@ -39,8 +39,9 @@ BLOCK = 32
 #: Blocks that are opened first.
 FIRST = 4
 THRESHOLD = 0.7
-#: Rows that are compared at a time.
-ROWS_AT_ONCE = 16
+#: Terms whose postings are a matrix, and rows that are compared at a time.
+COMMON_TERMS = 2048
+ROWS_AT_ONCE = 64
 
 
 def term_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -112,14 +113,23 @@ class BlockMaxIndex:
     """Unit vectors of examples as an inverted index in blocks of BLOCK examples.
 
     An entry is a term in a block: its largest weight there, and its postings (examples and weights).
+    The terms of the most examples have their postings laid out as a matrix, a weight for every example.
     """
 
     def __init__(self, start: np.ndarray, term: np.ndarray, weight: np.ndarray, n_terms: int):
         self.n = len(start) - 1
         self.n_blocks = -(-self.n // BLOCK)
         example = np.repeat(np.arange(self.n), np.diff(start))
+        common = np.argsort(-np.bincount(term, minlength=n_terms), kind="stable")[:COMMON_TERMS]
+        self.column = np.full(n_terms, -1, np.int32)
+        self.column[common] = np.arange(len(common))
+        inside = self.column[term] >= 0
+        self.matrix = np.zeros((len(common), self.n_blocks * BLOCK))
+        self.matrix[self.column[term[inside]], example[inside]] = weight[inside]
+        self.largest_common = self.matrix.reshape(len(common), self.n_blocks, BLOCK).max(axis=2)
+        term, example, weight = term[~inside], example[~inside], weight[~inside]
         order = np.lexsort((example, term))
-        term, self.example, self.weight = term[order], example[order].astype(np.int32), weight[order]
+        term, self.example, self.weight = term[order], example[order], weight[order]
         block = self.example // BLOCK
         self.posting = np.flatnonzero(np.r_[True, (term[1:] != term[:-1]) | (block[1:] != block[:-1])]) if len(term) else np.zeros(0, np.int64)
         self.block, own = block[self.posting], term[self.posting]
@@ -127,12 +137,21 @@ class BlockMaxIndex:
         self.posting = np.append(self.posting, len(term))
         self.entry = np.searchsorted(own, np.arange(n_terms + 1))
 
-    def _cosines(self, entry: np.ndarray, row: np.ndarray, weight: np.ndarray, n_rows: int) -> np.ndarray:
-        """Parts of the cosines of rows and examples that these entries make."""
+    def _open(self, cosine: np.ndarray, opened: np.ndarray, common: np.ndarray, cell: np.ndarray, entry: np.ndarray, weight: np.ndarray) -> None:
+        """Add to `cosine` what the opened blocks (a row for each text) hold; a cell is a text and a block."""
+        if opened.all():
+            cosine += common @ self.matrix
+        else:
+            for b in np.flatnonzero(opened.any(axis=0)).tolist():
+                rows = np.flatnonzero(opened[:, b])
+                cosine[rows, b * BLOCK : (b + 1) * BLOCK] += common[rows] @ self.matrix[:, b * BLOCK : (b + 1) * BLOCK]
+        if not opened.all():
+            some = opened.ravel()[cell]
+            cell, entry, weight = cell[some], entry[some], weight[some]
         length = self.posting[entry + 1] - self.posting[entry]
         cells = W.ragged(self.posting[entry], length)
-        key = np.repeat(row * self.n, length) + self.example[cells]
-        return np.bincount(key, np.repeat(weight, length) * self.weight[cells], n_rows * self.n).reshape(n_rows, self.n)
+        key = np.repeat(cell // self.n_blocks * cosine.shape[1], length) + self.example[cells]
+        cosine += np.bincount(key, np.repeat(weight, length) * self.weight[cells], cosine.size).reshape(cosine.shape)
 
     def nearest(
         self, row: np.ndarray, term: np.ndarray, weight: np.ndarray, n_rows: int, k: int, without: np.ndarray | None = None
@@ -146,31 +165,38 @@ class BlockMaxIndex:
         found, cosines = np.full((n_rows, k), -1), np.zeros((n_rows, k))
         if not self.n:
             return found, cosines
+        column = self.column[term]
+        inside = column >= 0
+        common = np.zeros((n_rows, len(self.matrix)))
+        common[row[inside], column[inside]] = weight[inside]
+        row, term, weight = row[~inside], term[~inside], weight[~inside]
         length = self.entry[term + 1] - self.entry[term]
         entry = W.ragged(self.entry[term], length)
-        owner, own = np.repeat(row, length), np.repeat(weight, length)
-        block = self.block[entry]
-        cell = owner * self.n_blocks + block
+        own = np.repeat(weight, length)
+        cell = np.repeat(row, length) * self.n_blocks + self.block[entry]
         bound = np.bincount(cell, own * self.largest[entry], n_rows * self.n_blocks).reshape(n_rows, self.n_blocks)
-        rank = np.argsort(np.argsort(-bound, axis=1, kind="stable"), axis=1)
-        opened = rank < FIRST
-        some = opened.ravel()[cell]
-        cosine = self._cosines(entry[some], owner[some], own[some], n_rows)
-        left_out = np.arange(n_rows), (without if without is not None else np.full(n_rows, -1))
-        hidden = left_out[1] >= 0
-        own_place = left_out[0][hidden], left_out[1][hidden]
+        bound += common @ self.largest_common
+        least = -np.partition(-bound, min(FIRST, self.n_blocks) - 1, axis=1)[:, min(FIRST, self.n_blocks) - 1]
+        opened = bound >= least[:, None]
+        cosine = np.zeros((n_rows, self.n_blocks * BLOCK))
+        self._open(cosine, opened, common, cell, entry, own)
+        hidden = np.flatnonzero(without >= 0) if without is not None else np.zeros(0, np.int64)
+        own_place = (hidden, without[hidden]) if len(hidden) else (hidden, hidden)
         cosine[own_place] = 0
-        worst = -np.partition(-cosine, k - 1, axis=1)[:, k - 1] if self.n > k else np.zeros(n_rows)
-        more = (~opened & (bound > 0) & (bound >= worst[:, None] - 1e-9)).ravel()[cell]
+        k_here = min(k, self.n)
+        worst = -np.partition(-cosine, k_here - 1, axis=1)[:, k_here - 1]
+        more = ~opened & (bound > 0) & (bound >= worst[:, None] - 1e-9)
         if more.any():
-            cosine += self._cosines(entry[more], owner[more], own[more], n_rows)
+            if more.mean() > 0.5:  # one product for all is less work than many for nearly all
+                cosine[:], more = 0, np.ones_like(more)
+            self._open(cosine, more, common, cell, entry, own)
             cosine[own_place] = 0
-        k_here = min(k, self.n)
-        at = np.argpartition(-cosine, k_here - 1, axis=1)[:, :k_here] if k_here < self.n else np.tile(np.arange(self.n), (n_rows, 1))
+        at = np.argpartition(-cosine[:, : self.n], k_here - 1, axis=1)[:, :k_here]
+        value = np.take_along_axis(cosine, at, axis=1)
         # ties at the k-th cosine go by place
-        least = np.take_along_axis(cosine, at, axis=1).min(axis=1)
-        for i in np.flatnonzero((cosine == least[:, None]).sum(axis=1) > 1).tolist():
-            at[i] = np.lexsort((np.arange(self.n), -cosine[i]))[:k_here]
+        least = value.min(axis=1)
+        for i in np.flatnonzero(((cosine == least[:, None]).sum(axis=1) > 1) & (least > 0)).tolist():
+            at[i] = np.lexsort((np.arange(self.n), -cosine[i, : self.n]))[:k_here]
         value = np.take_along_axis(cosine, at, axis=1)
         order = np.lexsort((at, -value), axis=1)
         at, value = np.take_along_axis(at, order, axis=1), np.take_along_axis(value, order, axis=1)
