@@ -174,8 +174,8 @@ class BlockMaxIndex:
         entry = W.ragged(self.entry[term], length)
         own = np.repeat(weight, length)
         cell = np.repeat(row, length) * self.n_blocks + self.block[entry]
-        bound = np.bincount(cell, own * self.largest[entry], n_rows * self.n_blocks).reshape(n_rows, self.n_blocks)
-        bound += common @ self.largest_common
+        bound = common @ self.largest_common
+        bound += np.bincount(cell, own * self.largest[entry], bound.size).reshape(bound.shape)
         least = -np.partition(-bound, min(FIRST, self.n_blocks) - 1, axis=1)[:, min(FIRST, self.n_blocks) - 1]
         opened = bound >= least[:, None]
         cosine = np.zeros((n_rows, self.n_blocks * BLOCK))

@@ -1,6 +1,7 @@
 from collections import Counter
 
 import numpy as np
+import pytest
 from cases import SF_DIR, empty, odd, odd_rows, prose
 from pyspark.sql import functions as F
 
@@ -13,7 +14,9 @@ def labels(spark, column, sf_dir=BIG):
     return {r["doc_id"]: r[column] for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
 
 
-def test_nearest_is_exact():
+@pytest.mark.parametrize("common", [0, 20, 1024])
+def test_nearest_is_exact(monkeypatch, common):
+    monkeypatch.setattr(toxicity, "COMMON_TERMS", common)
     rng = np.random.default_rng(1)
     n, terms = 500, 60
     rows = [np.sort(rng.choice(terms, rng.integers(1, 8), replace=False)) for _ in range(n)]
@@ -37,13 +40,14 @@ def test_nearest_is_exact():
 
 
 def test_blocks_that_cannot_count_stay_closed(monkeypatch):
+    monkeypatch.setattr(toxicity, "COMMON_TERMS", 5)
     n, opened = 640, []
     start, term = np.arange(n + 1), np.repeat(np.arange(n // toxicity.BLOCK), toxicity.BLOCK)
     index = toxicity.BlockMaxIndex(start, term, np.ones(n), n // toxicity.BLOCK)
-    inner = index._cosines
-    monkeypatch.setattr(index, "_cosines", lambda entry, *rest: (opened.append(len(entry)), inner(entry, *rest))[1])
-    found, _ = index.nearest(np.zeros(10, int), np.arange(10), np.r_[0.9, np.full(9, 0.1)], 1, 8)
-    assert found.tolist() == [list(range(8))] and opened == [toxicity.FIRST]
+    inner = index._open
+    monkeypatch.setattr(index, "_open", lambda cosine, blocks, *rest: (opened.append(int(blocks.sum())), inner(cosine, blocks, *rest)))
+    found, _ = index.nearest(np.zeros(10, int), np.arange(10), np.r_[0.9, 0.08, 0.07, 0.06, np.full(6, 0.05)], 1, 8)
+    assert found.tolist() == [list(range(8))] and opened[0] < 20 and len(opened) == 1
 
 
 def test_neighbours_are_the_nearest_by_all_terms(spark):
