@@ -1,6 +1,8 @@
 """Landed payloads with their awkward shapes."""
 
+import io
 import json
+import zipfile
 
 import pytest
 from pyspark.sql import functions as F
@@ -312,6 +314,47 @@ def test_workbook_cells(spark):
     ]
 
 
+def _sheet(rows: str, strings: str = "") -> bytes:
+    """A workbook around the XML of its rows and shared strings."""
+    book = workbook(["x"], [])
+    out = io.BytesIO()
+    with zipfile.ZipFile(io.BytesIO(book)) as old, zipfile.ZipFile(out, "w") as new:
+        for name in old.namelist():
+            text = old.read(name).decode()
+            if name.endswith("sheet2.xml"):
+                text = f"<x:worksheet xmlns:x='m'><x:sheetData>{rows}</x:sheetData></x:worksheet>"
+            if name.endswith("sharedStrings.xml"):
+                text = f"<sst>{strings}</sst>"
+            new.writestr(name, text)
+    return out.getvalue()
+
+
+@pytest.mark.parametrize("piece", [300, 1 << 20])
+def test_sheets_are_read_in_pieces(spark, monkeypatch, piece):
+    """Rows and cells without places, gaps between pieces, rich and repeated shared strings, odd values."""
+    monkeypatch.setattr(archives, "PIECE", piece)
+    strings = "<si><t>H &amp; 1</t></si><si><r><t>ri</t></r><rPh><t>no</t></rPh><r><t xml:space='preserve'>ch </t></r></si><si/>"
+    rows = "<x:row r='1'><x:c t='s'><x:v>0</x:v></x:c><x:c r='C1' t='inlineStr'><x:is><x:t>c</x:t></x:is></x:c><x:c><x:v>7</x:v></x:c></x:row>"
+    expected = []
+    for i in range(40):
+        place = f" r='{2 + i + (i >= 20) * 3}'" if i % 10 == 0 else ""
+        rows += f"<x:row{place} spans='1'><x:c t='s'><x:v>1</x:v></x:c><x:c r='C9'><x:v>00{i}.250</x:v></x:c><x:c t='e'><x:v>#N/A</x:v></x:c></x:row>"
+        if i == 20:
+            expected += [{"H & 1": None, "c": None, "7": None}] * 3
+        expected.append({"H & 1": "rich ", "c": i + 0.25, "7": "#N/A"})
+    rows += "<x:row/><x:row r='46'><x:c t='s'><x:v>2</x:v></x:c></x:row>"
+    expected += [dict.fromkeys(["H & 1", "c", "7"])] * 1 + [{"H & 1": "", "c": None, "7": None}]
+    content = archive({"a.xlsx": _sheet(rows, strings), "b.xlsx": workbook(["k"], [(i,) for i in range(30)])})
+    late = _sheet("<x:row r='2'><x:c><x:v>1</x:v></x:c></x:row>")
+    frame = spark.createDataFrame([("p.zip", content), ("q.zip", archive({"a.xlsx": workbook(["k"], [("v",)]), "late.xlsx": late}))], ARCHIVE)
+    found = archives.scan_archive_sheets(frame).orderBy("path", "member", "row_index").collect()
+    first = [json.loads(r.cells) for r in found if (r.path, r.member) == ("p.zip", "a.xlsx")]
+    assert first == expected
+    assert [r.row_index for r in found if (r.path, r.member) == ("p.zip", "a.xlsx")] == list(range(len(expected)))
+    assert [json.loads(r.cells)["k"] for r in found if r.member == "b.xlsx"] == list(range(30))
+    assert [(r.member, json.loads(r.cells)) for r in found if r.path == "q.zip"] == [("a.xlsx", {"k": "v"})]
+
+
 def test_archive_status_and_files(spark, tmp_path):
     (tmp_path / "full.zip").write_bytes(archive({"a.xlsx": workbook(["GUSH"], [("1",)])}))
     (tmp_path / "none.zip").write_bytes(archive({"a.csv": b""}))
