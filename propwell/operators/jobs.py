@@ -70,6 +70,11 @@ def recover_stale_jobs(jobs: DataFrame, now: datetime) -> DataFrame:
     )
 
 
+def open_jobs(jobs: DataFrame) -> DataFrame:
+    """The jobs that `recover_stale_jobs` changes."""
+    return jobs.filter(F.col("status").isin(*_OPEN))
+
+
 def count_stale_jobs(jobs: DataFrame) -> DataFrame:
     """One row: how many jobs `recover_stale_jobs` would change."""
     return jobs.agg(F.count_if(F.col("status").isin(*_OPEN)).alias("recovered"))

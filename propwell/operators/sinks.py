@@ -51,11 +51,6 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def replace_table(df: DataFrame, path: str) -> None:
-    """Overwrite a table by rows derived from itself."""
-    materialize(df, "replace").write.mode("overwrite").parquet(path)
-
-
 def save_layer(features: DataFrame, path: str) -> None:
     """Write a layer along a curve over the map, so that boxes skip files and row groups.
 

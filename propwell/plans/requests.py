@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from propwell import fixed, schema
 from propwell.functions.geometry import BBox
 from propwell.operators import catalog, ingest, jobs, layers, records, sinks
+from propwell.operators.state_log import StateLog
 from propwell.sources import store
 from propwell.sources.items import read_landed_pages, whole_sequences
 from propwell.sources.registry import Source, get_source, implemented_sources
@@ -51,7 +52,6 @@ class MarketStore:
         """Empty tables and the seeded registry; existing tables are left alone."""
         make = self.spark.createDataFrame
         for table, columns in (
-            ("scrape_jobs", schema.JOBS),
             ("pipeline_logs", schema.LOGS),
             ("layer_configs", schema.LAYERS),
         ):
@@ -62,22 +62,29 @@ class MarketStore:
         else:
             bucketed = records_writer.bucketBy(self.buckets, "content_hash").sortBy("content_hash")
             bucketed.saveAsTable(self.records_table)
-        make([], schema.SOURCES).write.mode("ignore").parquet(self.path("source_registry"))
-        seeded = catalog.upsert_sources(self.sources(), catalog.seed_sources(self.spark))
-        sinks.replace_table(seeded, self.path("source_registry"))
+        seeds = catalog.seed_sources(self.spark)
+        self.registry.update(lambda now: catalog.upsert_sources(now.join(seeds, "name", "left_semi"), seeds))
 
     # tables
 
+    @property
+    def job_states(self) -> StateLog:
+        return StateLog(self.spark, self.path("scrape_jobs"), schema.JOBS, "job_id")
+
+    @property
+    def registry(self) -> StateLog:
+        return StateLog(self.spark, self.path("source_registry"), schema.SOURCES, "name")
+
     def records(self, **predicates: object) -> DataFrame:
         if self.records_table is not None:
             return records.filter_records(self.spark.table(self.records_table), **predicates)
         return store.scan_raw_records(self.spark, self.path("raw_records"), **predicates)
 
     def jobs(self, status: str | None = None) -> DataFrame:
-        return store.scan_jobs(self.spark, self.path("scrape_jobs"), status)
+        return jobs.filter_jobs_by_status(self.job_states.read(), status)
 
     def sources(self) -> DataFrame:
-        return store.scan_sources(self.spark, self.path("source_registry"))
+        return self.registry.read().orderBy("name")
 
     def layers(self) -> DataFrame:
         configs = self.spark.read.schema(schema.LAYERS).parquet(self.path("layer_configs"))
@@ -87,10 +94,15 @@ class MarketStore:
 
     def recover(self, now: datetime | None = None) -> int:
         """Fail jobs a crash left open; returns how many."""
-        current = self.jobs()
-        changed = jobs.count_stale_jobs(current).head().recovered
-        if changed:
-            sinks.replace_table(jobs.recover_stale_jobs(current, now or _now()), self.path("scrape_jobs"))
+        ended, changed = now or _now(), 0
+
+        def fail_open(current: DataFrame) -> DataFrame:
+            nonlocal changed
+            changed = jobs.count_stale_jobs(current).head().recovered
+            return jobs.recover_stale_jobs(jobs.open_jobs(current), ended)
+
+        if jobs.count_stale_jobs(self.jobs()).head().recovered:
+            self.job_states.update(fail_open)
         return changed
 
     def _transition(self, job_id: str, status: str, **values: object) -> None:
@@ -106,8 +118,7 @@ class MarketStore:
                 for name, dtype in fields.items()
             ],
         )
-        updated = jobs.transition_jobs(self.jobs(), change, list(fields))
-        sinks.replace_table(updated, self.path("scrape_jobs"))
+        self.job_states.update(lambda now: jobs.transition_jobs(now.filter(F.col("job_id") == job_id), change, list(fields)))
 
     def _new_job(self, source_name: str) -> str:
         job_id = _new_id()
@@ -115,7 +126,7 @@ class MarketStore:
             F.lit(job_id).alias("job_id"), F.lit(source_name).alias("source_name")
         )
         created = jobs.create_jobs(jobs.empty_jobs(self.spark), request, _now())
-        sinks.append_rows(created, self.path("scrape_jobs"))
+        self.job_states.update(lambda _: created)
         return job_id
 
     def _run(self, source_name: str, work: Callable[[str, Source], int]) -> str:

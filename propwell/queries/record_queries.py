@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from propwell import fixed
 from propwell.operators import catalog, jobs, records, sinks
 from propwell.operators.paging import union_skip_failed as split_failed
-from propwell.queries.base import query, table
+from propwell.operators.state_log import StateLog
+from propwell.queries.base import ORACLE, query, table
 from propwell.queries.views import (
     CUSTOMER_SOURCES_SQL,
     JOBS_SQL,
@@ -214,7 +215,14 @@ def create_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def transition_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every order with lines changes its status, three fields are set, one of them to NULL."""
-    changes = (
+    return jobs.transition_jobs(order_jobs(spark, sf_dir), _line_changes(spark, sf_dir), _CHANGED)
+
+
+_CHANGED = ["completed_at", "records_inserted", "error_message"]
+
+
+def _line_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return (
         table(spark, sf_dir, "lineitem")
         .groupBy(F.col("l_orderkey").cast("string").alias("job_id"))
         .agg(
@@ -232,8 +240,21 @@ def transition_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
             }
         )
     )
-    fields = ["completed_at", "records_inserted", "error_message"]
-    return jobs.transition_jobs(order_jobs(spark, sf_dir), changes, fields)
+
+
+@query(ORACLE["transition_jobs"])
+def job_state_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same changes, committed one after the other to a log that another writer compacts in between."""
+    made = order_jobs(spark, sf_dir)
+    columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in made.schema.fields)
+    log = StateLog(spark, scratch_path(spark, "jobs"), columns, "job_id")
+    log.update(lambda _: made)
+    changes = sinks.materialize(_line_changes(spark, sf_dir), "changes")
+    for odd in (0, 1):
+        some = changes.filter(F.col("job_id").cast("bigint") % 2 == odd)
+        log.update(lambda now, some=some: jobs.transition_jobs(now.join(some.select("job_id"), "job_id", "left_semi"), some, _CHANGED))
+        log.compact()
+    return log.read()
 
 
 @query(
