@@ -94,27 +94,45 @@ def point(lng: Column, lat: Column) -> Column:
     )
 
 
-def place_order(lng: Column, lat: Column, bits: int = 16) -> Column:
-    """Position on a Z-shaped curve over the globe: rows near it are near on both axes.
+#: Cells per axis of the map grid, as a power of two.
+GRID_BITS = 16
 
-    Sorted by it, every file and row group covers a small box, so that a bounding box
-    skips most of them whichever axis it is narrow on.
-    """
 
-    def cell(degrees: Column, lowest: int, span: int) -> Column:
-        scaled = F.floor((degrees - lowest) / span * (2**bits - 1)).cast("bigint")
-        return F.least(F.greatest(scaled, F.lit(0)), F.lit(2**bits - 1))
+def grid_cell(degrees: Column, lowest: int, span: int, bits: int = GRID_BITS) -> Column:
+    """The cell of one axis a coordinate lies in; it never falls as the coordinate rises."""
+    scaled = F.floor((degrees - lowest) / span * (2**bits - 1)).cast("bigint")
+    return F.least(F.greatest(scaled, F.lit(0)), F.lit(2**bits - 1))
+
+
+def grid_x(lng: Column, bits: int = GRID_BITS) -> Column:
+    return grid_cell(lng, -180, 360, bits)
+
+
+def grid_y(lat: Column, bits: int = GRID_BITS) -> Column:
+    return grid_cell(lat, -90, 180, bits)
+
+
+def interleave(x: Column, y: Column, bits: int = GRID_BITS) -> Column:
+    """The place of a cell on the Z-shaped curve: bits of both axes in turn."""
 
     def spread(value: Column, bit: int, shift: int) -> Column:
         return F.shiftleft(F.shiftright(value, bit).bitwiseAND(F.lit(1)), 2 * bit + shift)
 
-    x, y = cell(lng, -180, 360), cell(lat, -90, 180)
     code = F.lit(0).cast("bigint")
     for bit in range(bits):
         code = code.bitwiseOR(spread(x, bit, 0)).bitwiseOR(spread(y, bit, 1))
     return code
 
 
+def place_order(lng: Column, lat: Column, bits: int = GRID_BITS) -> Column:
+    """Position on a Z-shaped curve over the globe: rows near it are near on both axes.
+
+    Sorted by it, every file and row group covers a small box, so that a bounding box
+    skips most of them whichever axis it is narrow on.
+    """
+    return interleave(grid_x(lng, bits), grid_y(lat, bits), bits)
+
+
 def bbox_verdict(
     min_lat: Column, max_lat: Column, min_lng: Column, max_lng: Column, layer_id: Column
 ) -> Column:

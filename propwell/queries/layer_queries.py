@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from propwell.functions import geometry as geo
-from propwell.operators import layers, sinks
+from propwell.operators import box_join, layers, sinks
 from propwell.queries.base import query, table
 from propwell.queries.views import PLACED_SQL, placed_customers, text
 from propwell.session import scratch_path
@@ -122,6 +122,37 @@ def bbox_filter_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layers.bbox_filter_bounds(bounded, _BOX)
 
 
+# of every size from a street to the whole map, some empty, some a single place
+_BOXES_SQL = """(SELECT s_suppkey, lng AS min_lng, lat AS min_lat, lng + wide AS max_lng, lat + high AS max_lat
+  FROM (SELECT s_suppkey, 34 + (s_suppkey * 7 % 180)::DOUBLE / 100 AS lng,
+    31 + (s_suppkey * 11 % 280)::DOUBLE / 100 AS lat, (s_suppkey % 23 - 1)::DOUBLE / 50 AS wide,
+    (s_suppkey % 29)::DOUBLE / 40 AS high FROM supplier)
+  UNION ALL SELECT -1, -180, -90, 180, 90)"""
+
+
+def _boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("s_suppkey")
+    lng = F.lit(34) + (key * 7 % 180).cast("double") / 100
+    lat = F.lit(31) + (key * 11 % 280).cast("double") / 100
+    boxes = table(spark, sf_dir, "supplier").select(
+        "s_suppkey", lng.alias("min_lng"), lat.alias("min_lat"),
+        (lng + (key % 23 - 1).cast("double") / 50).alias("max_lng"),
+        (lat + (key % 29).cast("double") / 40).alias("max_lat"),
+    )
+    globe = spark.range(1).selectExpr("-1 s_suppkey", "-180d min_lng", "-90d min_lat", "180d max_lng", "90d max_lat")
+    return boxes.unionByName(globe)
+
+
+@query(
+    f"""SELECT s_suppkey, c_custkey FROM {_BOXES_SQL} JOIN {PLACED_SQL}
+      ON lng BETWEEN min_lng AND max_lng AND lat BETWEEN min_lat AND max_lat"""
+)
+def bbox_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every supplier's box, and the whole map, against every customer's place."""
+    places = placed_customers(spark, sf_dir).select("c_custkey", "lng", "lat")
+    return box_join.bbox_join(places, _boxes(spark, sf_dir)).select("s_suppkey", "c_custkey")
+
+
 @query(
     """SELECT c_custkey, CASE WHEN a NOT BETWEEN -90 AND 90 THEN 'min_lat'
       WHEN b NOT BETWEEN -90 AND 90 THEN 'max_lat' WHEN c NOT BETWEEN -180 AND 180 THEN 'min_lng'

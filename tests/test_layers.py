@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from propwell.functions.geometry import BBox, bounds, geometry_validity, place_order, point
-from propwell.operators import layers, sinks
+from propwell.operators import box_join, layers, sinks
 
 
 @pytest.mark.parametrize(
@@ -124,3 +124,35 @@ def test_place_order_interleaves(spark):
     frame = spark.createDataFrame([(-180.0, -90.0), (180.0, 90.0), (180.0, -90.0), (500.0, 0.0)], "x DOUBLE, y DOUBLE")
     found = [r.z for r in frame.select(place_order(F.col("x"), F.col("y"), 2).alias("z")).collect()]
     assert found == [0, 15, 5, 7]
+
+
+def test_box_join_against_brute_force(spark):
+    """Boxes of all sizes, points on edges, at the poles and without a place, one very frequent place."""
+    from random import Random
+
+    dice = Random(5)
+    places = [(dice.uniform(-180, 180), dice.uniform(-90, 90)) for _ in range(300)]
+    places += [(180.0, 90.0), (-180.0, -90.0), (None, 1.0), (float("nan"), 1.0)] + [(34.8, 32.1)] * 300
+    boxes = []
+    for i in range(120):
+        lng, lat = dice.choice(places[:300])
+        side = 10 ** dice.uniform(-6, 2.5)
+        boxes.append((lng, lat, min(180.0, lng + side), min(90.0, lat + side / 2)))
+    boxes += [(34.8, 32.1, 34.8, 32.1), (-180.0, -90.0, 180.0, 90.0), (2.0, 2.0, 1.0, 3.0), (None, 0.0, 1.0, 1.0)]
+    features = spark.createDataFrame([(i, *p) for i, p in enumerate(places)], "f INT, lng DOUBLE, lat DOUBLE").repartition(8)
+    frame = spark.createDataFrame([(i, *b) for i, b in enumerate(boxes)], "b INT, min_lng DOUBLE, min_lat DOUBLE, max_lng DOUBLE, max_lat DOUBLE")
+    assert box_join.box_cells(frame.filter("min_lng <= max_lng")).groupBy("b").count().agg(F.max("count")).head()[0] <= 25
+    want = {
+        (b, f)
+        for b, (x0, y0, x1, y1) in enumerate(boxes)
+        for f, (lng, lat) in enumerate(places)
+        if None not in (x0, lng) and x0 <= lng <= x1 and y0 <= lat <= y1
+    }
+    found = [tuple(r) for r in box_join.bbox_join(features, frame).select("b", "f").collect()]
+    assert len(found) == len(set(found)) and set(found) == want
+    assert box_join.bbox_join(features, frame.limit(0)).count() == 0
+    shapes_ = features.filter("lng IS NOT NULL AND NOT isnan(lng)").selectExpr(
+        "f", "lng AS min_lng", "lat AS min_lat", "lng + 0.5 AS max_lng", "lat + 0.25 AS max_lat"
+    )
+    want = {(b, f) for b, f in want if places[f][0] + 0.5 <= boxes[b][2] and places[f][1] + 0.25 <= boxes[b][3]}
+    assert {tuple(r) for r in box_join.bbox_join(shapes_, frame).select("b", "f").collect()} == want
