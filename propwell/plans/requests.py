@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from propwell import fixed, schema
 from propwell.functions.geometry import BBox
 from propwell.operators import catalog, ingest, jobs, layers, records, sinks
+from propwell.operators.hash_index import HashIndex
 from propwell.operators.state_log import StateLog
 from propwell.sources import store
 from propwell.sources.items import read_landed_pages, whole_sequences
@@ -32,18 +33,24 @@ def _new_id() -> str:
     return uuid.uuid4().hex[:24]
 
 
+def _counters(seen: int, inserted: int) -> dict[str, int]:
+    return {"records_inserted": inserted, "records_skipped": seen - inserted}
+
+
 @dataclass(frozen=True)
 class MarketStore:
     """Paths of the stored tables and the requests over them.
 
     Records are a folder under `root`, or, with `records_table`, a catalog table bucketed by
-    hash. The latter lets ingest compare a batch with a large store without moving the store.
+    hash. The latter lets ingest compare a batch with a large store without moving the store. With
+    `indexed`, ingest reads only those stored hashes that a sketch of them cannot rule out.
     """
 
     spark: SparkSession
     root: str
     records_table: str | None = None
     buckets: int = 1024
+    indexed: bool = False
 
     def path(self, table: str) -> str:
         return f"{self.root.rstrip('/')}/{table}"
@@ -129,11 +136,10 @@ class MarketStore:
         self.job_states.update(lambda _: created)
         return job_id
 
-    def _run(self, source_name: str, work: Callable[[str, Source], int]) -> str:
-        """A job around `work`, which returns how many rows came in.
+    def _run(self, source_name: str, work: Callable[[str, Source], tuple[int, int]]) -> str:
+        """A job around `work`, which returns how many rows came in and how many were stored.
 
-        Failures end in the job and its log. The inserted count is that of the stored rows
-        of the job, so nothing is computed a second time.
+        Failures end in the job and its log. Both counts are taken by the writes themselves.
         """
         request = self.spark.range(1).select(F.lit(source_name).alias("source_name"))
         if not jobs.has_running_job(request, self.jobs()).isEmpty():
@@ -141,39 +147,46 @@ class MarketStore:
         job_id = self._new_job(source_name)
         self._transition(job_id, "running", started_at=_now())
         try:
-            seen = work(job_id, self.runnable_source(source_name))
-            self._transition(job_id, "completed", completed_at=_now(), **self._counters(job_id, source_name, seen))
+            seen, inserted = work(job_id, self.runnable_source(source_name))
+            self._transition(job_id, "completed", completed_at=_now(), **_counters(seen, inserted))
         except Exception as error:  # the job table is where a failed run is reported
             self._transition(job_id, "failed", completed_at=_now(), error_message=str(error))
             self._log_error(job_id, source_name, str(error))
         return job_id
 
-    def _counters(self, job_id: str, source_name: str, seen: int) -> dict[str, int]:
-        stored = self.records(source_name=get_source(source_name).name, job_id=job_id)
-        inserted = stored.count()
-        return {"records_inserted": inserted, "records_skipped": seen - inserted}
-
-    def _enveloped(self, items: DataFrame, job_id: str, source: Source) -> DataFrame:
+    def _enveloped(self, items: DataFrame, job_id: str, source: Source) -> tuple[DataFrame, int]:
+        """The items as records, and how many."""
+        kept, seen = sinks.materialize_counted(items, "items")
         return ingest.record_envelope(
-            sinks.materialize(items, "items"),
+            kept,
             source_name=source.name,
             source_url=source.source_url,
             retrieval_method=source.retrieval_method,
             job_id=job_id,
             ingested_at=_now(),
-        )
+        ), seen
 
-    def _append(self, fresh: DataFrame) -> None:
+    @property
+    def hashes(self) -> HashIndex:
+        return HashIndex(self.spark, self.path("hash_index"))
+
+    def _existing(self, batch: DataFrame) -> DataFrame:
+        """Stored rows, at least those whose hash `batch` has."""
+        if not self.indexed:
+            return self.records()
+        self.hashes.refresh(self.records())
+        return self.hashes.matching(batch)
+
+    def _append(self, fresh: DataFrame) -> int:
         rows = fresh.select(*self.records().columns)
         if self.records_table is not None:
-            sinks.save_bucketed(rows, self.records_table, self.buckets)
-        else:
-            sinks.append_records(rows, self.path("raw_records"))
+            return sinks.save_bucketed(rows, self.records_table, self.buckets)
+        return sinks.append_records(rows, self.path("raw_records"))
 
     def collect_source(self, source_name: str, landed_path: str) -> str:
         """Ingest one source's landed data; returns the job id."""
 
-        def work(job_id: str, source: Source) -> int:
+        def work(job_id: str, source: Source) -> tuple[int, int]:
             failed = 0
             if source.scan_pages is None:
                 found = source.scan(self.spark, landed_path)
@@ -182,9 +195,9 @@ class MarketStore:
                 scanned = source.scan_pages(self.spark, landed_path, pages)
                 found, failed = scanned.items, self._log_failed(job_id, source.name, scanned.failed)
                 self._log_rejected(job_id, source.name, scanned.rejected)
-            batch = self._enveloped(found, job_id, source)
-            self._append(ingest.ingest_dedup(batch, self.records()))
-            return self._seen(job_id, batch.count(), failed)
+            batch, seen = self._enveloped(found, job_id, source)
+            inserted = self._append(ingest.ingest_dedup(batch, self._existing(batch)))
+            return self._seen(job_id, seen, failed), inserted
 
         return self._run(source_name, work)
 
@@ -199,24 +212,27 @@ class MarketStore:
         and a failure keeps what was stored before it.
         """
 
-        def work(job_id: str, source: Source) -> int:
+        def work(job_id: str, source: Source) -> tuple[int, int]:
             if source.scan_pages is None:
                 raise LookupError(f"source {source_name!r} does not land as pages")
             folder = f"{landed_path}/{source.pages}".rstrip("/")
-            seen = failed = 0
+            seen = inserted = failed = 0
+            batch: DataFrame | None = None
 
             def prepare(pages: DataFrame) -> DataFrame:
-                nonlocal failed
+                nonlocal batch, seen, failed
                 whole = whole_sequences(pages, read_landed_pages(self.spark, folder))
                 scanned = source.scan_pages(self.spark, landed_path, whole)
                 failed += self._log_failed(job_id, source.name, scanned.failed)
                 self._log_rejected(job_id, source.name, scanned.rejected)
-                return self._enveloped(scanned.items, job_id, source)
+                batch, came = self._enveloped(scanned.items, job_id, source)
+                seen += came
+                return batch
 
-            def count(batch: DataFrame) -> None:
-                nonlocal seen
-                seen += batch.count()
-                self._transition(job_id, "running", **self._counters(job_id, source_name, seen))
+            def append(fresh: DataFrame) -> None:
+                nonlocal inserted
+                inserted += self._append(fresh)
+                self._transition(job_id, "running", **_counters(seen, inserted))
 
             stream = (
                 self.spark.readStream.schema(schema.LANDED_PAGE_OF_RUN)
@@ -224,9 +240,9 @@ class MarketStore:
                 .parquet(folder)
             )
             incremental_ingest(
-                stream, self.records, self._append, checkpoint, prepare=prepare, after=count
+                stream, lambda: self._existing(batch), append, checkpoint, prepare=prepare
             ).awaitTermination()
-            return self._seen(job_id, seen, failed)
+            return self._seen(job_id, seen, failed), inserted
 
         return self._run(source_name, work)
 

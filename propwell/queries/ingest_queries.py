@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from propwell.functions import canonical
 from propwell.operators import dedup, ingest, sinks
+from propwell.operators.hash_index import HashIndex
 from propwell.queries.base import query, table
 from propwell.queries.views import DOC_HASH, document_items
 from propwell.session import scratch_path
@@ -66,6 +67,35 @@ def existing_hash_antijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.existing_hash_antijoin(batch, known, spread_by="doc_id")
 
 
+@query(
+    f"""SELECT count(DISTINCT h)::BIGINT AS inserted, (count(*) - count(DISTINCT h))::BIGINT AS skipped
+    FROM (SELECT {DOC_HASH} AS h FROM documents)"""
+)
+def ingest_counts_observed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents into a new store; both counts are taken by the writes, none by a second read."""
+    items_, seen = sinks.materialize_counted(document_items(spark, sf_dir), "items")
+    fresh = ingest.ingest_dedup(_envelope(items_), None)
+    rows = fresh.drop("unit", "request_id", "page", "position")
+    inserted = sinks.append_records(rows, scratch_path(spark, "raw-records"))
+    return spark.range(1).select(F.lit(inserted).cast("bigint").alias("inserted"), F.lit(seen - inserted).cast("bigint").alias("skipped"))
+
+
+@query(
+    f"""WITH h AS (SELECT doc_id, {DOC_HASH} AS content_hash FROM documents)
+    SELECT doc_id, content_hash FROM h WHERE content_hash NOT IN
+      (SELECT content_hash FROM h JOIN labels USING (doc_id))"""
+)
+def hash_index_antijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As `existing_hash_antijoin`, with the store's hashes read through sketches; two appends, an index of each."""
+    batch = document_items(spark, sf_dir).select(F.col("position").alias("doc_id"), "content_hash")
+    stored = batch.join(table(spark, sf_dir, "labels"), "doc_id", "left_semi").select("doc_id", "content_hash")
+    path, index = scratch_path(spark, "stored"), HashIndex(spark, scratch_path(spark, "hash-index"))
+    for part in (F.col("doc_id") % 2 == 0, F.col("doc_id") % 2 != 0):
+        stored.filter(part).write.mode("append").parquet(path)
+        index.refresh(spark.read.parquet(path))
+    return ingest.existing_hash_antijoin(batch, index.matching(batch), spread_by="doc_id")
+
+
 @query(
     f"""SELECT doc_id, content_hash FROM
     (SELECT doc_id, {DOC_HASH} AS content_hash, row_number() OVER
