@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from propwell import fixed
 from propwell.functions.times import at
-from propwell.operators import segments
+from propwell.operators import deep_pages, segments
 
 _RECORD_ID = re.compile(r"[0-9a-f]{24}")
 
@@ -54,16 +54,41 @@ def page_records(
     tie: str = "record_id",
     max_limit: int = fixed.MAX_PAGE_LIMIT,
 ) -> DataFrame:
-    """One page in sort order; ties follow the id. Runs as one top-k, not a full sort."""
+    """One page in sort order; ties follow the id. Runs as one top-k, not a full sort.
+
+    Beyond `deep_pages.MOST_SKIPPED` rows the page is found by counting first (`deep_pages.page_at_depth`),
+    so that no task sorts all that comes before it; that runs some small jobs when it is called.
+    """
     if not 1 <= limit <= max_limit:
         raise ValueError(f"limit must be within 1..{max_limit}")
     if offset < 0:
         raise ValueError("offset must not be negative")
+    if offset > deep_pages.MOST_SKIPPED:
+        return deep_pages.page_at_depth(records, sort_by, descending, limit, offset, tie)
     order = F.col(sort_by).desc() if descending else F.col(sort_by).asc()
     tie_order = F.col(tie).desc() if descending else F.col(tie).asc()
     return records.orderBy(order, tie_order).offset(offset).limit(limit)
 
 
+def page_after(
+    records: DataFrame, last: dict[str, object] | None, sort_by: str = "ingested_at", descending: bool = True,
+    limit: int = fixed.DEFAULT_PAGE_LIMIT, tie: str = "record_id",
+) -> DataFrame:
+    """The page after the row `last` (its sort and tie values), the first page without one.
+
+    A keyset cursor: the scan starts at the cursor, and the top-k is one page wide at any depth. Both columns
+    must not be null. `last` holds values as `page_records` returned them.
+    """
+    order = [F.col(c).desc() if descending else F.col(c).asc() for c in (sort_by, tie)]
+    if last is not None:
+        at_sort, at_tie = (F.lit(last[c]).cast(records.schema[c].dataType) for c in (sort_by, tie))
+        beyond = F.col(tie) < at_tie if descending else F.col(tie) > at_tie
+        further = F.col(sort_by) < at_sort if descending else F.col(sort_by) > at_sort
+        reached = F.col(sort_by) <= at_sort if descending else F.col(sort_by) >= at_sort
+        records = records.filter(reached & (further | beyond))
+    return records.orderBy(*order).limit(limit)
+
+
 def page_records_with_total(records: DataFrame, **page: object) -> DataFrame:
     """A page with the count under the same predicate in `total`.
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from propwell import fixed
-from propwell.operators import catalog, jobs, records, sinks
+from propwell.operators import catalog, deep_pages, jobs, records, sinks
 from propwell.operators.paging import union_skip_failed as split_failed
 from propwell.operators.state_log import StateLog
 from propwell.queries.base import ORACLE, query, table
@@ -91,6 +91,32 @@ def page_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.page_records(rows, limit=20, offset=40, tie="event_id")
 
 
+@query(
+    """SELECT l_orderkey, l_linenumber, l_shipdate FROM lineitem
+    ORDER BY l_shipdate DESC, l_orderkey * 10 + l_linenumber DESC LIMIT 50
+    OFFSET (SELECT count(*) // 2 FROM lineitem)"""
+)
+def page_at_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The page in the middle of all line items; at most 1,000 rows are sorted before it, whatever the table's size."""
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate")
+    placed = rows.withColumn("line", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
+    found = deep_pages.page_at_depth(placed, "l_shipdate", True, 50, rows.count() // 2, "line", most_skipped=1_000)
+    return found.drop("line")
+
+
+@query(
+    """SELECT l_orderkey, l_linenumber, l_shipdate FROM lineitem
+    ORDER BY l_shipdate DESC, l_orderkey * 10 + l_linenumber DESC LIMIT 50 OFFSET 50"""
+)
+def page_after(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second page of line items, by the cursor that the first one ends with."""
+    placed = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_shipdate", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("line")
+    )
+    first = records.page_after(placed, None, "l_shipdate", limit=50, tie="line").collect()
+    return records.page_after(placed, first[-1].asDict(), "l_shipdate", limit=50, tie="line").drop("line")
+
+
 @query(
     f"""SELECT event_id, ingested_at, (SELECT count(*) FROM events WHERE event_type = 'click')
       AS total FROM {RECORDS_SQL} WHERE source_name = 'click'
