@@ -220,7 +220,8 @@ def fit(documents: DataFrame, labelled: DataFrame) -> QualityModel | float:
     """A model from `documents` (doc_id, text, lang, source, n_chars) and `labelled` (doc_id,
     label 0/1); repeated labels of an id count once, as the largest.
 
-    Gathers at most MOST_LABELLED and MOST_UNLABELLED rows of features. With labels of one
+    Gathers at most MOST_LABELLED and MOST_UNLABELLED rows of features: of rows that share an id, the
+    smallest by text, language, source and length (null first). With labels of one
     kind only, their value is returned instead (1 where nothing is labelled).
     """
     spark = documents.sparkSession
@@ -232,9 +233,10 @@ def fit(documents: DataFrame, labelled: DataFrame) -> QualityModel | float:
         .orderBy(seeded, "doc_id").limit(MOST_UNLABELLED).withColumn("label", F.lit(-1.0))
     )
     chosen = spark.createDataFrame(first.unionByName(rest).toPandas(), "doc_id bigint, label double")
+    one = F.min(F.struct("label", "text", "lang", "source", "n_chars")).alias("row")  # repeats collapse in the map tasks
     rows = (
         documents.select("doc_id", "text", "lang", "source", "n_chars").join(F.broadcast(chosen), "doc_id")
-        .select("doc_id", "label", "text", "lang", "source", "n_chars")
+        .groupBy("doc_id").agg(one).select("doc_id", "row.*")
         .mapInArrow(_gathered, "doc_id bigint, label double, text array<float>, metadata array<float>")
         .toArrow()
         .sort_by("doc_id")
