@@ -145,20 +145,3 @@ def test_quality_of_odd_rows(spark):
     none = spark.createDataFrame([], "doc_id bigint, label int")
     assert quality.fit(odd(spark), none) == 1.0
     assert quality.fit(empty(spark), none) == 1.0
-
-
-def test_a_sampled_id_gathers_one_row(spark, monkeypatch):
-    """An id that thousands of rows share is one row of the sample, the smallest; the model does not depend on copies."""
-    gathered = []
-    inner = quality.co_train
-    monkeypatch.setattr(quality, "co_train", lambda views, label, held, pools: gathered.append((len(label), len(pools[0]))) or inner(views, label, held, pools))
-    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
-    marked = spark.read.parquet(f"{SF_DIR}/labels.parquet").select("doc_id", F.col("quality").alias("label"))
-    first = docs.join(marked, "doc_id", "left_semi").agg(F.min("doc_id")).head()[0]
-    copies = docs.filter(F.col("doc_id") == first).withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(3000))))
-    more = docs.unionByName(copies.withColumn("text", F.concat("text", F.lit(" "), "n")).drop("n"))
-    shape = ["doc_id"]
-    scores = [
-        {r["c0"]: r["score"] for r in quality.score_quality(docs, quality.fit(frame, marked), shape).collect()} for frame in (docs, more)
-    ]
-    assert gathered[0] == gathered[1] and scores[0] == scores[1]
