@@ -156,3 +156,18 @@ def test_box_join_against_brute_force(spark):
     )
     want = {(b, f) for b, f in want if places[f][0] + 0.5 <= boxes[b][2] and places[f][1] + 0.25 <= boxes[b][3]}
     assert {tuple(r) for r in box_join.bbox_join(shapes_, frame).select("b", "f").collect()} == want
+
+
+def test_box_join_deals_the_pairs_of_one_cell(spark, monkeypatch):
+    """One place with many features in many boxes: its pairs come from many tasks, each pair once."""
+    monkeypatch.setattr(box_join, "LOT", 16)
+    features = spark.range(0, 200, 1, 1).selectExpr("id AS f", "34.8d AS lng", "32.1d AS lat")
+    features = features.unionByName(features.limit(5))
+    boxes = spark.range(0, 90, 1, 1).selectExpr(
+        "id AS b", "34.7d AS min_lng", "32.0d AS min_lat", "34.9d AS max_lng", "32.2d AS max_lat"
+    )
+    pairs = box_join.bbox_join(features, boxes).select("b", "f", F.spark_partition_id().alias("task"))
+    found = [tuple(r) for r in pairs.collect()]
+    assert len(found) == 205 * 90 and len({r[:2] for r in found}) == 200 * 90
+    sizes = {t: sum(r[2] == t for r in found) for t in {r[2] for r in found}}
+    assert len(sizes) >= 4 and max(sizes.values()) < 205 * 90 / 2
