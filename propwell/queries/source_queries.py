@@ -10,6 +10,7 @@ from propwell.functions.canonical import canonical_rename, open_payload
 from propwell.operators.paging import page_prefix_cut as cut_pages
 from propwell.operators.paging import union_batches as union_by_name
 from propwell.operators.sinks import materialize
+from propwell.operators.spread import spread
 from propwell.queries.base import query, table
 from propwell.queries.views import text
 from propwell.queries.workbooks import ARCHIVE, customer_archives
@@ -479,7 +480,7 @@ def scan_listing_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
         ),
         "</div>",
     )
-    cards = table(spark, sf_dir, "part").select("p_partkey", card.alias("html"))
+    cards = spread(table(spark, sf_dir, "part")).select("p_partkey", card.alias("html"))
     return listings.scan_listing_cards(cards)
 
 
@@ -503,6 +504,6 @@ def scan_listing_details(spark: SparkSession, sf_dir: str) -> DataFrame:
         '<i data-testid="total-floors">קומות ', key % 40, "</i>",
         F.when(F.col("c_mktsegment") == "BUILDING", "").otherwise(gallery), "</body></html>",
     )
-    pages = table(spark, sf_dir, "customer").select("c_custkey", page.alias("html"))
+    pages = spread(table(spark, sf_dir, "customer")).select("c_custkey", page.alias("html"))
     details = listings.scan_listing_details(pages)
     return details.withColumn("image_urls", F.array_join("image_urls", " "))
