@@ -17,6 +17,7 @@ from propwell.functions.canonical import (
 from propwell.functions.json_values import as_type, field, fields, is_empty, members
 from propwell.functions.scalars import parse_point
 from propwell.operators.dedup import cap_per_group, first_by, first_seen_hash
+from propwell.operators.joins import join_per_key
 from propwell.operators.paging import cut_at_end, sequence_ends
 from propwell.operators.sinks import materialize
 from propwell.sources.items import items, with_run
@@ -157,14 +158,21 @@ def collect_deals(places: DataFrame, polygons: DataFrame, rows: DataFrame) -> Da
     first = first_by(
         crawled.join(_bad_cities(asked, ends), ["run_id", "unit"], "left_anti"), SEQUENCE, ["unit", "turn"]
     )
-    kept = cut_at_end(rows, ends, SEQUENCE, "page").filter("position IS NOT NULL AND error IS NULL")
-    found = kept.drop("unit").join(first, SEQUENCE)
+    # text and hash come first, so that no shuffle holds the deal itself, which is several times as wide
     payload = add_provenance(canonical_rename(F.col("deal")), F.col("request_id"))
-    text = found.withColumn("payload_json", json_map(payload, T.VariantType()))
+    texts = rows.filter("position IS NOT NULL AND error IS NULL").select(
+        *SEQUENCE, "page", "position", json_map(payload, T.VariantType()).alias("payload_json")
+    )
+    hashed = texts.withColumn("content_hash", content_hash(F.col("payload_json")))
+    told = first.join(ends, SEQUENCE, "left")
+    # a file of deals is small for its rows: told to merge, Spark does not broadcast them
+    found = join_per_key(hashed, told.hint("merge"), SEQUENCE, "page", how="inner").filter(
+        F.col("last_page").isNull() | (~F.col("failed") & (F.col("page") <= F.col("last_page")))
+    )
     collected = items(
-        text,
+        found,
         F.col("payload_json"),
-        content_hash(F.col("payload_json")),
+        F.col("content_hash"),
         unit=F.col("unit"),
         request_id=F.lpad(F.col("turn").cast("string"), 10, "0"),
         page=F.col("page"),
