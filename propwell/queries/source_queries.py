@@ -28,7 +28,7 @@ def _null(dtype: str) -> Column:
 
 def _archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     customers = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment")
-    return customers.mapInPandas(customer_archives, ARCHIVE)
+    return spread(customers).mapInPandas(customer_archives, ARCHIVE)
 
 
 @query("SELECT c_custkey AS price, c_name AS full_address, c_mktsegment AS block, 3 AS n_keys FROM customer")

@@ -1,8 +1,8 @@
 """Spreadsheet archives: ZIP files of XLSX workbooks -> one row per sheet row.
 
 Python unpacks the parts of each workbook and cuts long ones behind rows and items; nothing else. The
-pieces are spread over all tasks, and the XML is read by `from_xml`, fragment by fragment. Shared strings and
-cell styles are joined to the cells that refer to them.
+pieces are spread over all tasks, and the XML is read by `from_xml`, piece by piece, or fragment by fragment
+where a piece holds a malformed one. Shared strings and cell styles are joined to the cells that refer to them.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ import codecs
 import io
 import re
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import IO
 
 import pandas as pd
@@ -19,9 +19,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from propwell.functions.canonical import canonical_rename, content_hash, json_map, json_string, open_payload
+from propwell.functions.canonical import canonical_rename, content_hash, json_map, json_string, let, open_payload
 from propwell.operators.joins import join_per_key
 from propwell.operators.sinks import materialize
+from propwell.operators.spread import spread
 from propwell.sources.items import items
 
 PART = "path STRING, member STRING, member_index INT, part STRING, piece BIGINT, text STRING"
@@ -33,6 +34,8 @@ WORKBOOK, RELATIONS, STYLES, STRINGS = (
 #: Characters of a sheet or of shared strings that travel as one piece; it ends with a row or an item.
 PIECE = 1 << 20
 _PIECE_END = re.compile(r"</(?:\w+:)?(?:row|si)>")
+#: Rows of a piece that are numbered in one go: an array is built anew for each row added.
+_BLOCK = 64
 _OTHER_PARTS = ("xl/theme/", "xl/drawings/", "xl/charts/", "xl/media/")
 
 # fixed values: built-in number formats that show dates or times
@@ -53,6 +56,7 @@ _RUNS = "t STRING, r ARRAY<STRUCT<t: STRING>>"
 _ROW_XML = (
     "c ARRAY<STRUCT<_r: STRING, _t: STRING, _s: INT, v: STRING, is: STRUCT<t: STRING, r: ARRAY<STRUCT<t: STRING>>>>>"
 )
+_MALFORMED = "_malformed"
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
@@ -131,6 +135,23 @@ def _matches(text: Column, tag: str) -> Column:
     return F.regexp_extract_all(text, F.lit(rf"(?s)<{name}(?:\s[^>]*|/)?(?:(?<=/)>|(?<!/)>.*?</{name}>)"), F.lit(0))
 
 
+def _together(fragments: str, tag: str, schema: str) -> Column:
+    """The elements of an array of fragments, read as one document, which costs far less than one each.
+
+    Empty if any is malformed; they are then to be read one by one.
+    """
+    whole = F.concat(F.lit("<all>"), F.array_join(fragments, ""), F.lit("</all>"))
+    options = {**_XML, "columnNameOfCorruptRecord": _MALFORMED}
+    read = F.from_xml(whole, f"{tag} ARRAY<STRUCT<{schema}>>, {_MALFORMED} STRING", options)
+    good = let(read, lambda r: F.when(r[_MALFORMED].isNull() & (F.size(r[tag]) == F.size(fragments)), r[tag]))
+    return F.coalesce(good, F.array().cast(f"ARRAY<STRUCT<{schema}>>"))
+
+
+def _element(entry: str, schema: str) -> Column:
+    """The element of an entry (`read` of `_together`, `xml`), by itself where it was not read with the others."""
+    return F.coalesce(F.col(f"{entry}.read"), F.from_xml(f"{entry}.xml", schema, _XML))
+
+
 def _all_text(item: Column) -> Column:
     """Text runs of a string item; phonetic hints are not part of it."""
     runs = F.transform(F.coalesce(item["r"], F.array()), lambda r: F.coalesce(r["t"], F.lit("")))
@@ -176,15 +197,21 @@ def shared_strings(parts: DataFrame) -> DataFrame:
     sizes = items.select("path", "member", "piece", F.size("items").cast("bigint").alias("n"))
     before = Window.partitionBy("path", "member").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
     bases = sizes.select("path", "member", "piece", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    placed = items.join(bases, ["path", "member", "piece"]).select("path", "member", "base", F.posexplode("items").alias("i", "item"))
+    read = items.join(bases, ["path", "member", "piece"]).select(
+        "path", "member", "base", F.col("items").alias("xml"), _together("items", "si", _RUNS).alias("read")
+    )
+    # entries are made first: an array beside an exploded one would be copied for each of its rows
+    placed = read.select("path", "member", "base", F.arrays_zip("xml", "read").alias("entries")).select(
+        "path", "member", "base", F.posexplode("entries").alias("i", "entry")
+    )
     return placed.select(
-        "path", "member", (F.col("base") + F.col("i")).alias("at"), _all_text(F.from_xml("item", _RUNS, _XML)).alias("string")
+        "path", "member", (F.col("base") + F.col("i")).alias("at"), _all_text(_element("entry", _RUNS)).alias("string")
     )
 
 
 def numbered_rows(pieces: DataFrame) -> DataFrame:
-    """Pieces of sheets -> (path, member, member_index, piece, number, before, xml): each row with its number
-    and that of the row before it, 0 for none.
+    """Pieces of sheets -> (path, member, member_index, piece, number, before, cells): each row with its number,
+    that of the row before it, 0 for none, and its cells.
 
     A row without a number follows the one before; that may lie in an earlier piece, of which one small
     row is enough to know.
@@ -219,16 +246,26 @@ def numbered_rows(pieces: DataFrame) -> DataFrame:
         (F.coalesce("known.number", F.lit(0)) + F.col("so_far") - F.coalesce("known.loose", F.lit(0))).alias("carried"),
     )
     joined = listed.join(carried, ["path", "member", "piece"])
-    numbers = F.aggregate(
-        "given",
-        F.array("carried"),
-        lambda a, g: F.concat(a, F.array(F.coalesce(g, F.element_at(a, -1) + 1))),
-    )
-    with_numbers = joined.withColumn("numbers", numbers)
-    rows = with_numbers.select(*BOOK, "piece", "numbers", F.posexplode("rows").alias("i", "xml"))
-    return rows.select(
-        *BOOK, "piece", F.get("numbers", F.col("i") + 1).alias("number"), F.get("numbers", "i").alias("before"), "xml"
-    )
+    at = F.sequence(F.lit(0), F.greatest(F.ceil(F.size("given") / _BLOCK).cast("int") - 1, F.lit(0)))
+    with_blocks = joined.withColumn("blocks", F.transform(at, lambda b: F.slice("given", b * _BLOCK + 1, _BLOCK)))
+
+    def number(last: Column, given: Column) -> Column:
+        return F.coalesce(given, last + 1)
+
+    def listed_from(start: Column, steps: Column, step: Callable[[Column, Column], Column]) -> Column:
+        return F.aggregate(steps, F.array(start), lambda a, x: F.concat(a, F.array(step(F.element_at(a, -1), x))))
+
+    starts = listed_from(F.col("carried"), F.col("blocks"), lambda last, block: F.aggregate(block, last, number))
+    with_starts = with_blocks.withColumn("starts", F.slice(starts, 1, F.size("blocks")))
+    of_blocks = F.zip_with("starts", "blocks", lambda start, block: F.slice(listed_from(start, block, number), 2, _BLOCK))
+    with_numbers = with_starts.withColumn("numbers", F.concat(F.array("carried"), F.flatten(of_blocks)))
+    entries = with_numbers.select(
+        *BOOK, "piece",
+        F.col("rows").alias("xml"), _together("rows", "row", _ROW_XML).alias("read"),
+        F.slice("numbers", F.lit(2), F.size("rows")).alias("number"), F.slice("numbers", F.lit(1), F.size("rows")).alias("before"),
+    ).select(*BOOK, "piece", F.arrays_zip("xml", "read", "number", "before").alias("entries"))
+    rows = entries.select(*BOOK, "piece", F.explode("entries").alias("entry"))
+    return rows.select(*BOOK, "piece", "entry.number", "entry.before", _element("entry", _ROW_XML)["c"].alias("cells"))
 
 
 def _column(reference: Column) -> Column:
@@ -259,7 +296,7 @@ def _date_text(raw: Column, from_1904: Column) -> Column:
 
 def sheet_cells(rows: DataFrame, strings: DataFrame, books: DataFrame) -> DataFrame:
     """Cells of `numbered_rows`: (path, member, member_index, number, col, value), `value` as JSON, NULL for none."""
-    parsed = rows.select(*BOOK, "number", F.from_xml("xml", _ROW_XML, _XML)["c"].alias("cells"))
+    parsed = rows.select(*BOOK, "number", "cells")
     columns = F.aggregate(
         F.transform("cells", lambda c: _column(c["_r"])),
         F.array(F.lit(-1)),
@@ -278,7 +315,7 @@ def sheet_cells(rows: DataFrame, strings: DataFrame, books: DataFrame) -> DataFr
         F.when(kind == "s", F.col("cell.v").try_cast("bigint")).alias("at"),
     )
     shared = cells.filter("kind = 's'").drop("kind", "style", "raw", "inline")
-    shared = join_per_key(shared, strings, ["path", "member", "at"], spread_by="number").select(
+    shared = shared.join(strings, ["path", "member", "at"], "left").select(
         *BOOK, "number", "col", F.when(F.col("string").isNotNull(), json_string(F.col("string"))).alias("value")
     )
     others = join_per_key(
@@ -303,11 +340,13 @@ def scan_archive_sheets(archives: DataFrame) -> DataFrame:
     without one are left out, and of equal headers the last column wins. Rows missing
     from the file are rows of nulls. A sheet without a first row has no rows.
     """
-    parts = materialize(archive_parts(archives), "parts")
+    parts = materialize(spread(archive_parts(archives), "path", "member", "part", "piece"), "parts")
     about = materialize(books(parts), "books")
     sheets = join_per_key(parts.filter("part <> ''"), about.select("path", "member", "part"), ["path", "member", "part"], spread_by="piece", how="left_semi")
     rows = materialize(numbered_rows(sheets), "rows")
-    cells = materialize(sheet_cells(rows, shared_strings(parts), about).filter("value IS NOT NULL"), "cells")
+    # from files, so that both sides of the join on strings are shuffled for it and AQE splits a frequent one
+    strings = materialize(shared_strings(parts), "strings")
+    cells = materialize(sheet_cells(rows, strings, about).filter("value IS NOT NULL"), "cells")
     named = cells.filter("number = 1").groupBy("path", "member").agg(F.array_sort(F.collect_list(F.struct("col", "value"))).alias("header"))
     name = lambda h: F.when(h["value"].startswith('"'), h["value"]).otherwise(F.concat(F.lit('"'), h["value"], F.lit('"')))
     # a name's place is that of its first column, its value that of the last

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from propwell import schema
 from propwell.functions.markup import with_elements
 from propwell.operators.paging import listing_ends
+from propwell.queries import QUERIES, source_queries
 from propwell.queries.workbooks import ARCHIVE, archive, workbook
 from propwell.sources import archive as archives
 from propwell.sources import deals, index_pages, listings
@@ -365,3 +366,43 @@ def test_archive_status_and_files(spark, tmp_path):
     assert found == {"full.zip": (1, "readable"), "none.zip": (0, "empty"), "bare.zip": (1, "readable")}
     collected = archives.collect_archive(archives.scan_archive_sheets(landed)).collect()
     assert [json.loads(r.payload_json) for r in collected] == [{"block": "1"}]
+
+
+def test_malformed_fragments_are_read_by_themselves(spark):
+    """A piece with a row or string that is no XML, or has a bad style, gives the rest as a piece without it does."""
+    strings = "<si><t>h</t></si><si><t>a</b></si><si><t>last</t></si>"
+    rows = (
+        "<row r='1'><c t='s'><v>0</v></c></row><row r='2'><c t='s'><v>2</v></c></row><row r='3'><c><v>1</w></c></row>"
+        "<row r='4'><c t='s'><v>1</v></c></row><row r='6'><c><v>9</v></c></row><row/>"
+    )
+    frame = spark.createDataFrame([("p.zip", archive({"a.xlsx": _sheet(rows, strings)}))], ARCHIVE)
+    found = archives.scan_archive_sheets(frame).orderBy("row_index").collect()
+    assert [json.loads(r.cells)["h"] for r in found] == ["last", None, "", None, 9, None]
+
+
+def test_rows_without_numbers_follow_across_blocks(spark):
+    rows = "<row/>" * 70 + "<row r='90'/>" + "<row/>" * 70
+    piece = spark.createDataFrame([("p", "m", 0, "s", 0, rows), ("p", "m", 0, "s", 1, "<row/>")], archives.PART)
+    found = [(r.before, r.number) for r in archives.numbered_rows(piece).orderBy("piece", "number").collect()]
+    numbers = [*range(1, 71), *range(90, 162)]
+    assert found == list(zip([0, *numbers], numbers))
+
+
+def test_narrow_tables_are_dealt_before_they_grow(spark):
+    assert source_queries._archives(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= 8
+    for name in ("scan_listing_cards", "scan_listing_details"):
+        assert QUERIES[name](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= 8
+
+
+def test_no_join_of_collect_deals_holds_the_deal(spark):
+    def nodes(node):
+        yield node
+        for i in range(node.children().size()):
+            yield from nodes(node.children().apply(i))
+
+    plan = source_queries.collect_deals(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan()
+    joins = [n for n in nodes(plan) if n.nodeName() == "Join"]
+    assert joins
+    for join in joins:
+        names = [join.output().apply(i).name() for i in range(join.output().size())]
+        assert "deal" not in names and "_deals" not in names
