@@ -17,7 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from propwell.llm.registry import UNIFORM_SQL, cut_lineage, query, table, uniform
+from propwell.llm.registry import UNIFORM_SQL, cut_lineage, files, query, table, uniform
 from propwell.operators.joins import join_per_key
 
 WORDS = r"[^\x20\x09-\x0D]+"
@@ -85,12 +85,13 @@ def source_cuts(
     units = cut_lineage(
         records.groupBy("source", "id", "size", "key").agg(F.count(F.lit(1)).alias("alike"))
     )
-    blocks = max(64, -(-units.count() // ROWS_PER_BLOCK))
+    n = units.count()
+    blocks = max(64, -(-n // ROWS_PER_BLOCK))
     # rises with the key, and spreads keys of any rate: a block has at most some ten times its share
     block = F.least(F.floor(F.col("key") / (F.col("key") + 1.0) * blocks), F.lit(blocks - 1)).cast("bigint")
     words = (F.col("size") * F.col("alike")).alias("words")
     sums = units.groupBy("source", block.alias("block")).agg(F.sum(words).alias("words"))
-    sums = cut_lineage(sums)
+    sums = cut_lineage(sums, files(n))
     targets = source_targets(sums.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, most)
     whole = F.floor(F.col("target")).cast("bigint")
     targets = cut_lineage(
@@ -126,7 +127,8 @@ def source_cuts(
     return cut_lineage(
         targets.join(cuts, same(targets, cuts), "left").select(
             targets["source"], "source_size", "target", "epochs", "cut_key", "cut_id", "cut_size", "cut_words"
-        )
+        ),
+        files(n),
     )
 
 

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from propwell.llm import words as W
-from propwell.llm.registry import cut_lineage, query, table
+from propwell.llm.registry import cut_lineage, files, query, table
 from propwell.operators.joins import join_per_key
 
 SHINGLE = 5
@@ -41,6 +41,8 @@ COORDINATES = BANDS * ROWS
 MOST_PAIRED = 64
 #: Shingles of the texts in one block.
 BLOCK_WEIGHT = 1_500_000
+#: Rows with a text that one file of a checkpoint has.
+TEXTS_PER_FILE = 10_000
 #: Vertices of rows without an id are above all ids.
 NO_ID = 1 << 62
 
@@ -289,10 +291,10 @@ class _Block:
 
 def _large_bucket_links(large: DataFrame, texts: DataFrame) -> DataFrame:
     """Links (a, b) between classes of rows (key, first, class, vertex, n) of large buckets."""
-    groups = components(
-        large.where("vertex != first").select(F.col("first").alias("a"), F.col("vertex").alias("b")).distinct()
-    ).withColumnRenamed("class", "grp")
-    members = cut_lineage(large.select("vertex", "class", "n").distinct().join(groups, "vertex"))
+    width = files(large.count())
+    to_first = large.where("vertex != first").select(F.col("first").alias("a"), F.col("vertex").alias("b")).distinct()
+    groups = components(cut_lineage(to_first, width)).withColumnRenamed("class", "grp")
+    members = cut_lineage(large.select("vertex", "class", "n").distinct().join(groups, "vertex"), width)
     per_class = members.groupBy("grp", "class").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("weight"))
     per_group = per_class.groupBy("grp").agg(
         F.max(F.struct("rows", "class")).alias("main"),
@@ -372,16 +374,18 @@ def _first_root(turn: int) -> Column:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """vertex, class (its smallest vertex) for every vertex of the links (a, b).
+    """vertex, class (its smallest vertex) for every vertex of the links (a, b), which are read twice.
 
     Each round every task contracts its links by union-find. A vertex that has several roots, in several
     tasks, makes links of those roots, which are the next round's; roots are of random priority, so long
     chains shrink by a third each round as well. Links come to tasks by their smaller end, so what a
     bucket has linked to its first row is contracted at once. No task holds more than its own links.
     """
-    edges = cut_lineage(links.where("a != b").select("a", "b"))
+    edges = links.where("a != b").select("a", "b")
     labels: list[DataFrame] = []
+    width = None  # files for as many vertices as the links can have
     while n := edges.count():
+        width = width or files(2 * n, GRAPH_ROWS)
         parts, turn = max(8, -(-n // GRAPH_ROWS)), len(labels)
         stars = edges.repartition(parts, "a").mapInArrow(_local_roots(turn), "vertex bigint, root bigint")
         hooked = cut_lineage(stars.groupBy("vertex").agg(F.collect_set("root").alias("roots")).coalesce(parts))
@@ -403,9 +407,10 @@ def components(links: DataFrame) -> DataFrame:
             "vertex", F.coalesce("next", "class").alias("class")
         )
         if len(labels) % ROUNDS_AT_ONCE == 1:
-            found = cut_lineage(found)
+            found = cut_lineage(found, width)
     smallest = found.groupBy("class").agg(F.min("vertex").alias("low"))
-    return cut_lineage(join_per_key(found, smallest, ["class"], spread_by="vertex").select("vertex", F.col("low").alias("class")))
+    named = join_per_key(found, smallest, ["class"], spread_by="vertex").select("vertex", F.col("low").alias("class"))
+    return cut_lineage(named, width)
 
 
 def _with_these_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -418,11 +423,17 @@ def _with_these_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
             yield pa.RecordBatch.from_arrays([part.column(c).filter(pa.array(same)) for c in ("vertex", "text")], ["vertex", "text"])
 
 
-def _digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        parts = [word_digests(data, offsets) for _, _, data, offsets in W.pieces(batch.column("_text"))]
-        one, two = (np.concatenate(c) for c in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64),) * 2
-        yield pa.RecordBatch.from_arrays([batch.column("_row"), pa.array(one), pa.array(two)], ["_row", "one", "two"])
+def _digested(place: str):
+    """Rows (_row) with the digest of the words of their text, the field `place` of the row."""
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column("_row").field("row").field(place)
+            parts = [word_digests(data, offsets) for _, _, data, offsets in W.pieces(texts, W.PIECE_BYTES // 2)]
+            one, two = (np.concatenate(c) for c in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64),) * 2
+            yield pa.RecordBatch.from_arrays([batch.column("_row"), pa.array(one), pa.array(two)], ["_row", "one", "two"])
+
+    return digest
 
 
 def first_of_classes(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -436,12 +447,11 @@ def first_of_classes(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
         F.struct(
             vertex_of(F.col(f"`{doc_id}`"), F.col(f"`{text}`")).alias("vertex"),
             F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(documents.columns)]).alias("row"),
-        ).alias("_row"),
-        F.col(f"`{text}`").alias("_text"),
+        ).alias("_row")
     )
     schema = f"_row {own.schema['_row'].dataType.simpleString()}, one bigint, two bigint"
     place = f"c{documents.columns.index(text)}"
-    rows = own.mapInArrow(_digested, schema).select("_row.vertex", "one", "two", "_row.row")
+    rows = own.mapInArrow(_digested(place), schema).select("_row.vertex", "one", "two", "_row.row")
     first = rows.join(kept, ["vertex", "one", "two"], "left_semi").groupBy("vertex", "one", "two").agg(F.min_by("row", F.struct(f"row.{place}")).alias("row"))
     return first.select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(documents.columns)])
 
@@ -461,32 +471,38 @@ def near_duplicate_classes(documents: DataFrame, doc_id: str, text: str) -> Data
     signed = cut_lineage(
         rows.mapInArrow(_signatures, "vertex bigint, one bigint, two bigint, n bigint, bands array<bigint>")
     )
+    n_rows = signed.count()
+    width, wide = files(n_rows), files(BANDS * n_rows)
     own = cut_lineage(
         signed.where("n > 0")
         .groupBy("one", "two", "n")
-        .agg(F.min("vertex").alias("own_id"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"))
+        .agg(F.min("vertex").alias("own_id"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands")),
+        width,
     )
     crowded = cut_lineage(
-        own.groupBy("own_id").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("one", "two")).alias("first")).where("n > 1").select("own_id", "first")
+        own.groupBy("own_id").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("one", "two")).alias("first")).where("n > 1").select("own_id", "first"),
+        width,
     )
     several = not crowded.isEmpty()
     if several:  # unlike texts under one id
         number = F.xxhash64("own_id", "one", "two").bitwiseAND(F.lit((1 << 61) - 1)) + F.lit(NO_ID)
         later = F.col("first").isNotNull() & (F.struct("one", "two") != F.col("first"))
-        own = cut_lineage(own.join(crowded, "own_id", "left").withColumn("rep", F.when(later, number).otherwise(F.col("own_id"))).drop("first"))
+        own = cut_lineage(own.join(crowded, "own_id", "left").withColumn("rep", F.when(later, number).otherwise(F.col("own_id"))).drop("first"), width)
     else:
         own = own.withColumn("rep", F.col("own_id"))
     buckets = cut_lineage(
         own.select(F.explode("bands").alias("key"), F.col("rep").alias("vertex"), "n")
         .repartition("key")
         .sortWithinPartitions("key", "vertex", "n")
-        .mapInArrow(_pair_with_first, "key bigint, vertex bigint, n bigint, first bigint, first_n bigint")
+        .mapInArrow(_pair_with_first, "key bigint, vertex bigint, n bigint, first bigint, first_n bigint"),
+        wide,
     )
     # Of every bucket's pairs only those that can be similar: the lighter has 4/5 of the heavier
     pairs = cut_lineage(
         buckets.where("vertex != first AND 5 * least(n, first_n) >= 4 * greatest(n, first_n)")
         .select(F.least("vertex", "first").alias("a"), F.greatest("vertex", "first").alias("b"))
-        .distinct()
+        .distinct(),
+        wide,
     )
     in_buckets = buckets.select("vertex").distinct()
     # one text per vertex, so that repeated rows cannot multiply
@@ -495,13 +511,14 @@ def near_duplicate_classes(documents: DataFrame, doc_id: str, text: str) -> Data
         own_text = rows.withColumnRenamed("vertex", "own_id").join(wanted, "own_id").mapInArrow(_with_these_words, "vertex bigint, text string")
     else:
         own_text = rows.join(in_buckets, "vertex", "left_semi")
-    texts = cut_lineage(own_text.groupBy("vertex").agg(F.min("text").alias("text")))
-    links = cut_lineage(verified(pairs, texts))
+    texts = cut_lineage(own_text.groupBy("vertex").agg(F.min("text").alias("text")), files(n_rows, TEXTS_PER_FILE))
+    links = cut_lineage(verified(pairs, texts).repartition(wide))  # verified in as many tasks as there are, then written by few
     first = components(links)
     placed = cut_lineage(
         buckets.join(first, "vertex", "left").select(
             "key", "first", F.coalesce("class", "vertex").alias("class"), "vertex", "n"
-        )
+        ),
+        wide,
     )
     mixed = (
         placed.groupBy("key")
@@ -517,7 +534,7 @@ def near_duplicate_classes(documents: DataFrame, doc_id: str, text: str) -> Data
         .distinct()
         .join(pairs, ["a", "b"], "left_anti")
     )
-    large = cut_lineage(placed.join(mixed.where(F.col("rows") > MOST_PAIRED).select("key"), "key", "left_semi"))
+    large = cut_lineage(placed.join(mixed.where(F.col("rows") > MOST_PAIRED).select("key"), "key", "left_semi"), wide)
     late = verified(more, texts)
     if not large.isEmpty():
         late = late.union(_large_bucket_links(large, texts))
@@ -526,7 +543,8 @@ def near_duplicate_classes(documents: DataFrame, doc_id: str, text: str) -> Data
         late.join(of_a, "a", "left")
         .join(of_b, "b", "left")
         .select(F.coalesce("to_a", "a").alias("a"), F.coalesce("to_b", "b").alias("b"))
-        .distinct()
+        .distinct(),
+        wide,
     )
     placed_reps = own.join(first, own["rep"] == first["vertex"], "left").select(
         "one", "two", "own_id", "rep", F.coalesce("class", "rep").alias("class"), "copies"
@@ -536,7 +554,8 @@ def near_duplicate_classes(documents: DataFrame, doc_id: str, text: str) -> Data
         placed_reps = placed_reps.join(joined_classes, "class", "left").withColumn("class", F.coalesce("next", "class"))
     by_rep = cut_lineage(
         placed_reps.select("one", "two", "own_id", "rep", "class", "copies")
-        .where("copies > 1 OR class != own_id")
+        .where("copies > 1 OR class != own_id"),
+        width,
     )
     joined = join_per_key(signed.select("vertex", "one", "two", "n"), by_rep, ["one", "two"], spread_by="vertex")
     return joined.select(

@@ -58,7 +58,7 @@ def text_features(texts: pa.Array) -> np.ndarray:
         kind[i, [ord(c) for c in characters]] = True
     kind[-1, 128:] = True
     parts = []
-    for first, last, data, offsets in W.pieces(texts):
+    for first, last, data, offsets in W.pieces(texts, W.PIECE_BYTES // 4):
         n = last - first
         size = np.diff(offsets)
         per_byte = 1.0 / np.maximum(size, 1)
@@ -259,14 +259,14 @@ def fit(documents: DataFrame, labelled: DataFrame) -> QualityModel | float:
     )
 
 
-def _scorer(model: QualityModel):
+def _scorer(model: QualityModel, passed: int, viewed: list[str]):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            view = [batch.column(i) for i in range(batch.num_columns - 4, batch.num_columns)]
+            view = [batch.column(c) for c in viewed]
             scores = model.scores(text_features(view[0]), metadata_features(*view[1:]))
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-4], *[pa.array(s) for s in scores]],
-                [f"c{i}" for i in range(batch.num_columns - 4)] + ["by_text", "by_metadata", "score"],
+                [*batch.columns[:passed], *[pa.array(s) for s in scores]],
+                [f"c{i}" for i in range(passed)] + ["by_text", "by_metadata", "score"],
             )
 
     return score
@@ -281,12 +281,14 @@ def score_quality(documents: DataFrame, model: QualityModel | float, passed: lis
     own = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(passed)]
     if isinstance(model, float):
         return documents.select(*own, *[F.lit(model).alias(c) for c in ("by_text", "by_metadata", "score")])
-    view = [F.col("text").alias("v0"), F.col("lang").alias("v1"), F.col("source").alias("v2"), F.col("n_chars").alias("v3")]
+    # what is passed is not sent a second time to be looked at
+    viewed = {c: f"c{passed.index(c)}" if c in passed else f"v{i}" for i, c in enumerate(("text", "lang", "source", "n_chars"))}
+    view = [F.col(c).alias(v) for c, v in viewed.items() if c not in passed]
     shape = T.StructType(
         [T.StructField(f"c{i}", documents.schema[c].dataType) for i, c in enumerate(passed)]
         + [T.StructField(c, T.DoubleType()) for c in ("by_text", "by_metadata", "score")]
     )
-    return documents.select(*own, *view).mapInArrow(_scorer(model), shape)
+    return documents.select(*own, *view).mapInArrow(_scorer(model, len(passed), list(viewed.values())), shape)
 
 
 def quality_model(spark: SparkSession, documents: DataFrame, sf_dir: str) -> QualityModel | float:

@@ -30,10 +30,28 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return frame.select(*columns) if columns else frame
 
 
-def cut_lineage(frame: DataFrame) -> DataFrame:
-    """The frame, written once to the shared checkpoint folder and read from there."""
+#: Files of a checkpoint that are written at least where there are as many partitions, and rows for each file beyond.
+LEAST_FILES = 24
+ROWS_PER_FILE = 100_000
+
+
+def files(rows: int, per_file: int = ROWS_PER_FILE) -> int:
+    """How many files so many rows are worth."""
+    return max(LEAST_FILES, -(-rows // per_file))
+
+
+def cut_lineage(frame: DataFrame, at_most: int | None = None) -> DataFrame:
+    """The frame, written once to the shared checkpoint folder and read from there.
+
+    Every partition is a file, an empty one too, and where Hadoop runs without its native library, as on a
+    local disk, an executor starts processes for each. `at_most` files are for frames of known size and
+    little work per row: their partitions are joined, which takes as many tasks less.
+    """
     from propwell.session import scratch_path
 
+    if at_most is not None:
+        frame = frame.coalesce(at_most)
+
     context = frame.sparkSession.sparkContext
     if not context.getCheckpointDir():
         context.setCheckpointDir(scratch_path(frame.sparkSession, "checkpoints"))

@@ -1,4 +1,5 @@
 from collections import Counter
+from pathlib import Path
 
 import pytest
 from cases import SF_DIR, WORDS, documents, empty, odd
@@ -22,6 +23,43 @@ def test_odd_and_empty_tables(spark, tmp_path, name):
     assert STAGES[name](spark, empty(spark), SF_DIR).count() == 0
 
 
+def written(spark) -> Counter:
+    """Checkpoints by their number of files."""
+    folder = Path(spark.sparkContext.getCheckpointDir().removeprefix("file:"))
+    return Counter({str(d): len([*d.glob("part-*")]) for d in folder.glob("rdd-*")})
+
+
+def test_small_tables_make_few_files(spark):
+    held = {"spark.sql.shuffle.partitions": "90", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
+    p.drop_near_duplicates(spark, docs.limit(1), SF_DIR)  # sets the folder
+    before, kept = written(spark), {k: spark.conf.get(k) for k in held}
+    for k, v in held.items():
+        spark.conf.set(k, v)
+    try:
+        p.drop_near_duplicates(spark, docs, SF_DIR)
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    files = written(spark) - before
+    assert len(files) > 10 and max(files.values()) <= 24
+
+
+@pytest.mark.parametrize("name", ["quality", "near_dedup"])
+def test_texts_go_to_python_once(spark, name):
+    plan = STAGES[name](spark, spark.read.parquet(f"{SF_DIR}/documents.parquet"), SF_DIR)._jdf.queryExecution()
+    found = []
+
+    def walk(node):
+        if node.nodeName() == "MapInArrow":
+            found.append(node.children().apply(0).schema().treeString().count(": string"))
+        for i in range(node.children().size()):
+            walk(node.children().apply(i))
+
+    walk(plan.optimizedPlan())
+    assert found == [3]  # text, lang and source
+
+
 def test_one_of_each_group_stays(spark):
     docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
     got = p.drop_near_duplicates(spark, docs, SF_DIR).collect()
