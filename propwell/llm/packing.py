@@ -39,6 +39,10 @@ MOST_SLACK = 4
 #: Words, and their bytes, whose ids a worker process remembers; once full, new ones are encoded each time.
 REMEMBERED = 600_000
 REMEMBERED_BYTES = 1 << 25
+#: Words that are encoded as one text.
+JOINED = 512
+#: Bytes of text that are worked through at a time: numpy needs some 60 times that, in each worker process.
+PIECE_BYTES = 1 << 19
 
 PIECES = "part bigint, length int, nth bigint, doc_id bigint, start bigint, doc_tokens bigint, ids binary"
 PLACED = "sequence_id bigint, offset bigint, doc_id bigint, start bigint, doc_tokens bigint, ids binary"
@@ -51,6 +55,8 @@ _KIND = np.array([1 if chr(i).isalpha() and i < 128 else 2 if 0x30 <= i <= 0x39
 _LOWER = np.array([i + 32 if 0x41 <= i <= 0x5A else i for i in range(256)], np.uint8)
 #: Words with such a byte stay as they are: beyond ASCII, or part of a special token.
 _ODD = np.array([i >= 128 or i == 0x7C for i in range(256)])
+#: Bytes of words that may be several parts for the tokenizer, or none: control characters, apostrophes, beyond ASCII.
+_JOINED = np.array([not 0x20 < i < 0x7F or i == 0x27 for i in range(256)])
 
 
 def atoms(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -74,6 +80,14 @@ def atoms(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndar
     return np.where(inside, _LOWER[data], data), begin, np.minimum(until, end[np.searchsorted(start, begin, "right") - 1])
 
 
+def _grown(held: np.ndarray, used: int, more: np.ndarray) -> np.ndarray:
+    """`held` with `more` behind its first `used` entries; its room doubles when it is full."""
+    if used + len(more) > len(held):
+        held = np.concatenate([held[:used], np.empty(max(used, len(more)) + len(more), held.dtype)])
+    held[used : used + len(more)] = more
+    return held
+
+
 class WordEncoder:
     """Ids of texts by a tokenizer that drops white space and case, each distinct part of a word encoded once."""
 
@@ -82,37 +96,69 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
-        self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        size = self.tokenizer.get_vocab_size()
+        self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.closes = np.array([bool(suffix) and (self.tokenizer.id_to_token(i) or "").endswith(suffix) for i in range(size)], bool)
+        bar = self.tokenizer.encode("|", add_special_tokens=False).ids
+        self.bar = bar[0] if len(bar) == 1 else -1
         self._forget()
 
     def _forget(self) -> None:
-        self.place: dict[int, int] = {}
+        self.keys, self.place = np.zeros(0, np.uint64), np.zeros(0, np.int32)  # in order of the keys
+        # of the first `n` words: where bytes and ids begin, with an end; rooms of these arrays are larger
+        self.n = 0
         self.bytes, self.begin = np.zeros(0, np.uint8), np.zeros(1, np.int64)
-        self.count, self.ids = np.zeros(0, np.int64), np.zeros(0, self.dtype)
+        self.ids, self.first = np.zeros(0, self.dtype), np.zeros(1, np.int64)
 
     def _encode_words(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of words, end to end, and how many each has.
 
-        Words of ASCII without an apostrophe are one part for the tokenizer, so 512 of them make a text
-        whose parts are those words; others are given one by one.
+        Words of ASCII without an apostrophe are one part for the tokenizer, so many make a text whose parts
+        are those words, each closed by an id with the suffix. Others are told apart by a bar between them, but for
+        those that have one; these, and words whose ids cannot be told apart so, are given one by one.
         """
-        raw = data.tobytes()
-        words = [raw[a:b].decode() for a, b in zip(start.tolist(), end.tolist(), strict=True)]
-        single = np.array([w.isascii() and w.isprintable() and "'" not in w and "|" not in w for w in words], bool)
-        order = np.r_[np.flatnonzero(single), np.flatnonzero(~single)]
-        n = int(single.sum())
-        cuts = [*range(0, n, 512), *range(n, len(words), 512), len(words)]
-        groups = [[words[i] for i in order[a:b].tolist()] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-        alone = -(-n // 512)
-        made = self.tokenizer.encode_batch([" ".join(g) for g in groups[:alone]], add_special_tokens=False)
-        made += self.tokenizer.encode_batch(groups[alone:], is_pretokenized=True, add_special_tokens=False)
-        count = np.zeros(len(words), np.int64)
-        for k, (e, g) in enumerate(zip(made, groups, strict=True)):
-            count[cuts[k] : cuts[k] + len(g)] = np.bincount(np.array(e.word_ids, np.int64), minlength=len(g))
-        ids = np.concatenate([np.array(e.ids, self.dtype) for e in made])
+        marks = np.zeros((2, len(data) + 1), np.int32)
+        np.cumsum(_JOINED[data], out=marks[0, 1:])
+        np.cumsum(data == 0x7C, out=marks[1, 1:])
+        kind = np.where(marks[1, end] > marks[1, start], 2, (marks[0, end] > marks[0, start]).astype(np.int8))
+        order = np.argsort(kind, kind="stable")
+        bounds = np.searchsorted(kind[order], np.arange(4)).tolist()
+        parts, counts = [self.ids[:0]], [np.zeros(0, np.int64)]
+        for how, between in ((0, b" "), (1, b" | "), (2, b"\n")):
+            for at in range(bounds[how], bounds[how + 1], JOINED):
+                some = order[at : min(at + JOINED, bounds[how + 1])]
+                size = end[some] - start[some]
+                text = np.resize(np.frombuffer(between, np.uint8), (len(some), len(between)))
+                ends = np.cumsum(size + len(between))
+                flat = np.empty(int(ends[-1]), np.uint8)
+                flat[W.ragged(ends - size - len(between), size)] = data[W.ragged(start[some], size)]
+                flat[W.ragged(ends - len(between), np.full(len(some), len(between)))] = text.ravel()
+                for ids, count in self._encode_joined(flat[: ends[-1] - len(between)].tobytes().decode(), how, len(some), between.decode()):
+                    parts.append(ids)
+                    counts.append(count)
+        ids, count = np.concatenate(parts), np.concatenate(counts)
         first, back = np.cumsum(count) - count, np.argsort(order)
         return ids[W.ragged(first[back], count[back])], count[back]
 
+    def _encode_joined(self, text: str, how: int, n: int, between: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Ids of the n words that `between` parts, and how many each has."""
+        if how < 2:
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
+            if how == 0:
+                close = np.flatnonzero(self.closes[ids])
+                if len(close) == n and close[-1] == len(ids) - 1:
+                    yield ids, np.diff(close, prepend=-1)
+                    return
+            else:
+                bars = ids == self.bar
+                at = np.flatnonzero(bars)
+                if len(at) == n - 1:
+                    yield ids[~bars], np.diff(at, prepend=-1, append=len(ids)) - 1
+                    return
+        made = self.tokenizer.encode(text.split(between), is_pretokenized=True, add_special_tokens=False)
+        yield np.array(made.ids, self.dtype), np.bincount(np.array(made.word_ids, np.int64), minlength=n)
+
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows, and how many each has; no end id."""
         start, end, rows = W.spans(data, offsets)
@@ -123,30 +169,35 @@ class WordEncoder:
         rows = np.r_[np.searchsorted(start, whole), len(start)][rows]
         keys = W.word_hashes(data, start, end)
         distinct, at, back = np.unique(keys, return_index=True, return_inverse=True)
-        known = distinct.tolist()
-        if len(self.place) > REMEMBERED or len(self.bytes) > REMEMBERED_BYTES:
+        if self.n > REMEMBERED or self.begin[self.n] > REMEMBERED_BYTES:
             self._forget()
-        place = np.fromiter((self.place.get(k, -1) for k in known), np.int64, len(known))
-        new = np.flatnonzero(place < 0)
+        near = np.searchsorted(self.keys, distinct)
+        known = near < len(self.keys)
+        known[known] = self.keys[near[known]] == distinct[known]
+        new = np.flatnonzero(~known)
         if len(new):
-            place[new] = len(self.count) + np.arange(len(new))
+            numbers = self.n + np.arange(len(new), dtype=np.int32)
             self._remember(data, start[at[new]], end[at[new]])
-            self.place.update(zip(distinct[new].tolist(), place[new].tolist(), strict=True))
-        place = place[back]
-        same = (np.diff(self.begin)[place] == end - start) & W.same_bytes(data, start, end, self.bytes, self.begin[place])
+            self.keys, self.place = np.insert(self.keys, near[new], distinct[new]), np.insert(self.place, near[new], numbers)
+        place = self.place[np.searchsorted(self.keys, distinct)][back]
+        begin = self.begin[place]
+        same = (self.begin[place + 1] - begin == end - start) & W.same_bytes(data, start, end, self.bytes[: self.begin[self.n]], begin)
         odd = np.flatnonzero(~same)
         if len(odd):  # equal hashes of unequal words: remembered without a key
-            place[odd] = len(self.count) + np.arange(len(odd))
+            place[odd] = self.n + np.arange(len(odd))
             self._remember(data, start[odd], end[odd])
-        first = np.cumsum(self.count) - self.count
-        sizes = self.count[place]
-        return self.ids[W.ragged(first[place], sizes)], np.diff(np.r_[0, np.cumsum(sizes)][rows])
+        first = self.first[place]
+        sizes = self.first[place + 1] - first
+        return self.ids[W.ragged(first, sizes)], np.diff(np.r_[0, np.cumsum(sizes)][rows])
 
     def _remember(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
         got, counts = self._encode_words(data, start, end)
-        self.begin = np.r_[self.begin, self.begin[-1] + np.cumsum(end - start)]
-        self.bytes = np.r_[self.bytes, data[W.ragged(start, end - start)]]
-        self.count, self.ids = np.r_[self.count, counts], np.r_[self.ids, got]
+        n, size = self.n, end - start
+        self.bytes = _grown(self.bytes, self.begin[n], data[W.ragged(start, size)])
+        self.ids = _grown(self.ids, self.first[n], got)
+        self.begin = _grown(self.begin, n + 1, self.begin[n] + np.cumsum(size))
+        self.first = _grown(self.first, n + 1, self.first[n] + np.cumsum(counts))
+        self.n = n + len(size)
 
 
 def worker_encoder(tokenizer_path: str) -> WordEncoder:
@@ -165,7 +216,7 @@ def _cutter(tokenizer_path: str, end_id: int, capacity: int):
         seen = np.zeros(capacity + 1, np.int64)  # pieces of each length so far
         for batch in batches:
             doc_id, waiting = batch.column("doc_id"), []
-            for first, end, data, offsets, more in W.slices(batch.column("text")):
+            for first, end, data, offsets, more in W.slices(batch.column("text"), PIECE_BYTES):
                 ids, count = encoder.encode(data, offsets)
                 if more or waiting:  # parts of one long row
                     waiting.append(ids)
