@@ -6,7 +6,8 @@ documents, and its relevance: a floor, and more the more it goes with the label
 (chi-square), so every term counts, and terms that tell count most.
 
 Examples lie in blocks, like ones together; of every term and block the index has the largest weight and the
-postings. A text adds those maxima up to a bound per block, opens the blocks of the largest bounds, and then
+postings. The commonest terms are a matrix, whose product with the texts is exact per example; its largest in a
+block plus the maxima of the other terms bound that block. A text opens the blocks of the largest bounds, and then
 only blocks that can still have one of the k nearest. The neighbours are the evidence; their
 votes, weighted by cosine, are calibrated by logistic regression on labelled rows, examples left out
 of their own votes.
@@ -42,6 +43,8 @@ THRESHOLD = 0.7
 #: Terms whose postings are a matrix, and rows that are compared at a time.
 COMMON_TERMS = 2048
 ROWS_AT_ONCE = 64
+#: Of these, rows whose postings are gathered at a time, so that they stay in a core's cache.
+POSTINGS_AT_ONCE = 16
 
 
 def term_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -126,7 +129,6 @@ class BlockMaxIndex:
         inside = self.column[term] >= 0
         self.matrix = np.zeros((len(common), self.n_blocks * BLOCK))
         self.matrix[self.column[term[inside]], example[inside]] = weight[inside]
-        self.largest_common = self.matrix.reshape(len(common), self.n_blocks, BLOCK).max(axis=2)
         term, example, weight = term[~inside], example[~inside], weight[~inside]
         order = np.lexsort((example, term))
         term, self.example, self.weight = term[order], example[order], weight[order]
@@ -137,30 +139,47 @@ class BlockMaxIndex:
         self.posting = np.append(self.posting, len(term))
         self.entry = np.searchsorted(own, np.arange(n_terms + 1))
 
-    def _open(self, cosine: np.ndarray, opened: np.ndarray, common: np.ndarray, cell: np.ndarray, entry: np.ndarray, weight: np.ndarray) -> None:
-        """Add to `cosine` what the opened blocks (a row for each text) hold; a cell is a text and a block."""
-        if opened.all():
-            cosine += common @ self.matrix
-        else:
-            for b in np.flatnonzero(opened.any(axis=0)).tolist():
-                rows = np.flatnonzero(opened[:, b])
-                cosine[rows, b * BLOCK : (b + 1) * BLOCK] += common[rows] @ self.matrix[:, b * BLOCK : (b + 1) * BLOCK]
-        if not opened.all():
-            some = opened.ravel()[cell]
-            cell, entry, weight = cell[some], entry[some], weight[some]
-        length = self.posting[entry + 1] - self.posting[entry]
-        cells = W.ragged(self.posting[entry], length)
+    def _open(self, cosine: np.ndarray, opened: np.ndarray, cell: np.ndarray, entry: np.ndarray, weight: np.ndarray) -> None:
+        """Add to `cosine` the postings of the opened blocks (a row for each text); a cell is a text and a block."""
+        some = np.flatnonzero(opened.ravel()[cell])
+        cell, entry, weight = cell[some], entry[some], weight[some]
+        first = self.posting[entry]
+        length = self.posting[entry + 1] - first
+        cells = W.ragged(first, length)
         key = np.repeat(cell // self.n_blocks * cosine.shape[1], length) + self.example[cells]
         cosine += np.bincount(key, np.repeat(weight, length) * self.weight[cells], cosine.size).reshape(cosine.shape)
 
+    def _add_postings(self, cosine: np.ndarray, row: np.ndarray, term: np.ndarray, weight: np.ndarray, k: int, without: np.ndarray | None) -> None:
+        """Open the blocks of each row of `cosine`, which holds the common terms; the terms are the others."""
+        first = self.entry[term]
+        length = self.entry[term + 1] - first
+        entry = W.ragged(first, length)
+        own = np.repeat(weight, length)
+        cell = np.repeat(row * self.n_blocks, length) + self.block[entry]
+        hidden = np.flatnonzero(without >= 0) if without is not None else np.zeros(0, np.int64)
+        own_place = (hidden, without[hidden]) if len(hidden) else (hidden, hidden)
+        cosine[own_place] = 0
+        bound = cosine.reshape(len(cosine), self.n_blocks, BLOCK).max(axis=2)
+        bound += np.bincount(cell, own * self.largest[entry], bound.size).reshape(bound.shape)
+        least = -np.partition(-bound, min(FIRST, self.n_blocks) - 1, axis=1)[:, min(FIRST, self.n_blocks) - 1]
+        opened = bound >= least[:, None]
+        self._open(cosine, opened, cell, entry, own)
+        cosine[own_place] = 0
+        worst = -np.partition(-cosine, k - 1, axis=1)[:, k - 1]
+        more = ~opened & (bound > 0) & (bound >= worst[:, None] - 1e-9)
+        if more.any():
+            self._open(cosine, more, cell, entry, own)
+            cosine[own_place] = 0
+
     def nearest(
         self, row: np.ndarray, term: np.ndarray, weight: np.ndarray, n_rows: int, k: int, without: np.ndarray | None = None
     ) -> tuple[np.ndarray, np.ndarray]:
         """For each row the k examples of largest cosine and their cosines, -1 and 0 where fewer are above 0; ties by place.
 
-        Rows are n_rows lists of terms, in order. Blocks are opened in falling order of their bound, the
-        sum of the row's weights times the largest of the block: FIRST of them, then all whose
-        bound reaches the k-th cosine so far.
+        Rows are n_rows lists of terms, in order. The common terms are one product with the matrix. Blocks are
+        opened in falling order of their bound, the largest of that product plus the sum of the row's other weights
+        times the largest of the block: FIRST of them, then all whose bound reaches the k-th cosine so
+        far. What a block that stays closed has so far is below its bound, and so below the k-th.
         """
         found, cosines = np.full((n_rows, k), -1), np.zeros((n_rows, k))
         if not self.n:
@@ -170,27 +189,13 @@ class BlockMaxIndex:
         common = np.zeros((n_rows, len(self.matrix)))
         common[row[inside], column[inside]] = weight[inside]
         row, term, weight = row[~inside], term[~inside], weight[~inside]
-        length = self.entry[term + 1] - self.entry[term]
-        entry = W.ragged(self.entry[term], length)
-        own = np.repeat(weight, length)
-        cell = np.repeat(row, length) * self.n_blocks + self.block[entry]
-        bound = common @ self.largest_common
-        bound += np.bincount(cell, own * self.largest[entry], bound.size).reshape(bound.shape)
-        least = -np.partition(-bound, min(FIRST, self.n_blocks) - 1, axis=1)[:, min(FIRST, self.n_blocks) - 1]
-        opened = bound >= least[:, None]
-        cosine = np.zeros((n_rows, self.n_blocks * BLOCK))
-        self._open(cosine, opened, common, cell, entry, own)
-        hidden = np.flatnonzero(without >= 0) if without is not None else np.zeros(0, np.int64)
-        own_place = (hidden, without[hidden]) if len(hidden) else (hidden, hidden)
-        cosine[own_place] = 0
+        cosine = common @ self.matrix
         k_here = min(k, self.n)
-        worst = -np.partition(-cosine, k_here - 1, axis=1)[:, k_here - 1]
-        more = ~opened & (bound > 0) & (bound >= worst[:, None] - 1e-9)
-        if more.any():
-            if more.mean() > 0.5:  # one product for all is less work than many for nearly all
-                cosine[:], more = 0, np.ones_like(more)
-            self._open(cosine, more, common, cell, entry, own)
-            cosine[own_place] = 0
+        bounds = np.searchsorted(row, np.arange(0, n_rows + POSTINGS_AT_ONCE, POSTINGS_AT_ONCE))
+        for i, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
+            first = i * POSTINGS_AT_ONCE
+            some = slice(first, first + POSTINGS_AT_ONCE)
+            self._add_postings(cosine[some], row[a:b] - first, term[a:b], weight[a:b], k_here, None if without is None else without[some])
         at = np.argpartition(-cosine[:, : self.n], k_here - 1, axis=1)[:, :k_here]
         value = np.take_along_axis(cosine, at, axis=1)
         # ties at the k-th cosine go by place

@@ -50,6 +50,28 @@ def test_blocks_that_cannot_count_stay_closed(monkeypatch):
     assert found.tolist() == [list(range(8))] and opened[0] < 20 and len(opened) == 1
 
 
+def test_common_terms_of_unlike_examples_open_no_block(monkeypatch):
+    """Examples that share no common term do not add up to a bound that opens their block."""
+    monkeypatch.setattr(toxicity, "COMMON_TERMS", 32)
+    size, blocks, opened = toxicity.BLOCK, 20, 0
+    start = np.r_[np.arange(0, size * 32 + 1, 32), size * 32 + np.arange(1, size * (blocks - 1) + 1)]
+    term = np.r_[np.tile(np.arange(32), size), np.tile(np.arange(size) % 32, blocks - 1)]
+    weight = np.r_[np.full(size * 32, 32**-0.5), np.repeat(0.5 + np.arange(1, blocks) / 100, size)]
+    index = toxicity.BlockMaxIndex(start, term, weight, 33)
+    inner = index._open
+
+    def counted(cosine, which, *rest):
+        nonlocal opened
+        opened += int(which.sum())
+        inner(cosine, which, *rest)
+
+    monkeypatch.setattr(index, "_open", counted)
+    n = 3 * toxicity.ROWS_AT_ONCE // 4
+    found, cosines = index.nearest(np.repeat(np.arange(n), 32), np.tile(np.arange(32), n), np.full(32 * n, 32**-0.5), n, 8)
+    assert found.tolist() == [list(range(8))] * n and np.allclose(cosines, 1)
+    assert opened == toxicity.FIRST * n
+
+
 def test_neighbours_are_the_nearest_by_all_terms(spark):
     """Rows without a telling term have neighbours too, and the right ones."""
     rows = [(i, prose(i, 40) + (" vilewordy grumblor" if i % 5 == 0 else "")) for i in range(200)]
